@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ class PieceEncoder(dict):
     tokenizer whole.  The result always equals tokenizer.encode(text, add_special_tokens=False).
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), limit
@@ -56,6 +57,12 @@ class PieceEncoder(dict):
         return self.whole(first) + (b"".join(map(self.__getitem__, rest.split(" "))) if rest else b"")
 
 
+@cache
+def encoder(path: str) -> PieceEncoder:
+    """One encoder a worker process, whose memo serves all tasks it runs."""
+    return PieceEncoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): a document's ids with end_id behind them, cut only if over capacity.
 
@@ -64,7 +71,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last = PieceEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        enc, last = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
