@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, embeddings, licenses, mixing, packing, quality, secrets, simhash, urls, windows
+from . import chat, embeddings, licenses, mixing, oracle, packing, quality, secrets, simhash, urls, windows
 
 # The probe conversation and the url rules.
 PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
