@@ -31,10 +31,10 @@ def descent(tree: DataFrame) -> DataFrame:
     found = tree.select("source", F.col("v").alias("top"), "v").union(tree.select("source", F.col("parent").alias("top"), F.col("parent").alias("v"))).distinct()
     found = materialise(found, "descent")
     while not up.isEmpty():
-        far = up.select(F.col("source").alias("s2"), F.col("v").alias("v2"), "up")
+        far = up.select(F.col("source").alias("s2"), F.col("v").alias("v2"), F.col("up").alias("up2"))
         on = (F.col("source") == F.col("s2")) & (F.col("top") == F.col("v2"))
-        more = found.join(far, on).select("source", F.col("up").alias("top"), "v")
-        nxt = up.alias("a").join(far, (F.col("a.source") == F.col("s2")) & (F.col("a.up") == F.col("v2"))).select("a.source", "a.v", far["up"])
+        more = found.join(far, on).select("source", F.col("up2").alias("top"), "v")
+        nxt = up.join(far, (F.col("source") == F.col("s2")) & (F.col("up") == F.col("v2"))).select("source", "v", F.col("up2").alias("up"))
         found, up = materialise(found.union(more).distinct(), "descent"), materialise(nxt, "tree")
     return found
 

@@ -380,7 +380,7 @@ def _(spark, d):
     return policy.eviction_plan(_scored(spark, d), 6708, 100_000, 6708)
 
 
-@register("ewma_reuse_gap", f"WITH {ACC}, g AS (SELECT q, source, q - lag(q) OVER (PARTITION BY source ORDER BY q) AS gap FROM acc) SELECT source, round(list_reduce(list(gap::DOUBLE ORDER BY q), (m, x) -> 0.75::DOUBLE * m + 0.25::DOUBLE * x), 9) AS ewma FROM g WHERE gap IS NOT NULL GROUP BY 1")
+@register("ewma_reuse_gap", f"WITH {ACC}, g AS (SELECT q, source, q - lag(q) OVER (PARTITION BY source ORDER BY q) AS gap FROM acc) SELECT source, round(list_reduce(list(gap::DOUBLE ORDER BY q), lambda m, x: 0.75::DOUBLE * m + 0.25::DOUBLE * x), 9) AS ewma FROM g WHERE gap IS NOT NULL GROUP BY 1")
 def _(spark, d):
     return policy.ewma_gaps(_acc(spark, d))
 
