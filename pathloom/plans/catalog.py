@@ -63,73 +63,73 @@ def _dist(spark: SparkSession, g: DataFrame, *sources: int) -> DataFrame:
 
 # ---- graphs --------------------------------------------------------------------------------------------------------
 @register("graph_edges_flow", f"WITH {FLOW} SELECT edge_id, src, dst, weight FROM flow")
-def _(spark, d):
+def graph_edges_flow(spark, d):
     return views.flow(spark, d)
 
 
 @register("graph_edges_trade", f"WITH {TRADE} SELECT edge_id, src, dst, weight FROM trade")
-def _(spark, d):
+def graph_edges_trade(spark, d):
     return views.trade(spark, d)
 
 
 @register("graph_edges_supply", """WITH p AS (SELECT l_suppkey * 2 AS src, l_partkey * 2 + 1 AS dst, CAST(min(l_quantity) AS BIGINT) AS weight FROM lineitem GROUP BY l_suppkey, l_partkey), b AS (SELECT src, dst, weight FROM p UNION ALL SELECT dst, src, weight FROM p)
 SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst, weight FROM b""")
-def _(spark, d):
+def graph_edges_supply(spark, d):
     return views.supply(spark, d)
 
 
 @register("graph_vertices", f"WITH {FLOW} SELECT DISTINCT v FROM (SELECT src AS v FROM flow UNION ALL SELECT dst FROM flow)")
-def _(spark, d):
+def graph_vertices(spark, d):
     return views.vertices(views.flow(spark, d))
 
 
 @register("degree_out", f"WITH {FLOW} SELECT src AS v, count(*) AS degree FROM flow GROUP BY 1")
-def _(spark, d):
+def degree_out(spark, d):
     return views.flow(spark, d).groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
 
 
 @register("degree_in", f"WITH {FLOW} SELECT dst AS v, count(*) AS degree FROM flow GROUP BY 1")
-def _(spark, d):
+def degree_in(spark, d):
     return views.flow(spark, d).groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
 
 
 @register("adjacency_list", f"WITH {TRADE} SELECT src, string_agg(dst || ':' || weight, ',' ORDER BY edge_id) AS arcs FROM trade GROUP BY 1")
-def _(spark, d):
+def adjacency_list(spark, d):
     arcs = F.transform(F.array_sort(F.collect_list(F.struct("edge_id", F.concat_ws(":", F.col("dst").cast("string"), F.col("weight").cast("string")).alias("a")))), lambda x: x["a"])
     return views.trade(spark, d).groupBy("src").agg(F.array_join(arcs, ",").alias("arcs"))
 
 
 @register("edge_lookup", f"WITH {FLOW} SELECT edge_id, src, dst, weight FROM flow WHERE edge_id = 17")
-def _(spark, d):
+def edge_lookup(spark, d):
     return views.flow(spark, d).where("edge_id = 17")
 
 
 # ---- distances -----------------------------------------------------------------------------------------------------
 @register("sssp_flow", f"WITH RECURSIVE {FLOW}, {_sp('SELECT 0::BIGINT AS s')} SELECT v, dist FROM sp")
-def _(spark, d):
+def sssp_flow(spark, d):
     return rx.sssp(views.flow(spark, d), _one(spark, 0)).select("v", "dist")
 
 
 @register("sssp_flow_relational", f"WITH RECURSIVE {FLOW}, {_sp('SELECT 0::BIGINT AS s')} SELECT v, dist FROM sp")
-def _(spark, d):
+def sssp_flow_relational(spark, d):
     return rx.sssp(views.flow(spark, d), _one(spark, 0), kernel_edges=0).select("v", "dist")
 
 
 @register("sssp_flow_all_sources", f"WITH RECURSIVE {FLOW}, {_sp('SELECT DISTINCT src AS s FROM flow UNION SELECT DISTINCT dst FROM flow')} SELECT s AS source, count(*) AS reached, sum(dist)::BIGINT AS total, max(dist) AS farthest FROM sp GROUP BY 1")
-def _(spark, d):
+def sssp_flow_all_sources(spark, d):
     g = views.flow(spark, d)
     all_d = rx.sssp(g, views.vertices(g).withColumnRenamed("v", "source"))
     return all_d.groupBy("source").agg(F.count(F.lit(1)).alias("reached"), F.sum("dist").alias("total"), F.max("dist").alias("farthest"))
 
 
 @register("sssp_trade_all_pairs", f"WITH RECURSIVE {TRADE}, {_sp('SELECT DISTINCT src AS s FROM trade UNION SELECT DISTINCT dst FROM trade', 'trade')} SELECT s AS source, v, dist FROM sp")
-def _(spark, d):
+def sssp_trade_all_pairs(spark, d):
     g = views.trade(spark, d)
     return rx.sssp(g, views.vertices(g).withColumnRenamed("v", "source"))
 
 
 @register("p2p_distance", f"WITH RECURSIVE {FLOW}, pairs AS (SELECT DISTINCT event_id % 5 AS source, (event_id * 31 + 7) % (SELECT max(greatest(src, dst)) + 1 FROM flow) AS target FROM events WHERE event_id < 500), {_sp('SELECT DISTINCT source AS s FROM pairs')} SELECT source, target, CASE WHEN source = target THEN 0 ELSE coalesce(dist, {INF}) END AS dist FROM pairs LEFT JOIN sp ON s = source AND v = target")
-def _(spark, d):
+def p2p_distance(spark, d):
     g = views.flow(spark, d)
     top = g.agg((F.max(F.greatest("src", "dst")) + 1).alias("n"))
     p = views.table(spark, d, "events").where("event_id < 500").select("event_id").crossJoin(F.broadcast(top))
@@ -137,44 +137,44 @@ def _(spark, d):
 
 
 @register("bidirectional_meet", f"WITH RECURSIVE {FLOW}, {_sp('SELECT 3::BIGINT AS s')} SELECT coalesce(min(dist), {INF}) AS dist FROM sp WHERE v = 11")
-def _(spark, d):
+def bidirectional_meet(spark, d):
     return rx.bidirectional(views.flow(spark, d), 3, 11)
 
 
 @register("reverse_sssp", f"WITH RECURSIVE {FLOW}, {_sp('SELECT 0::BIGINT AS s', tail='dst', head='src')} SELECT v, dist FROM sp")
-def _(spark, d):
+def reverse_sssp(spark, d):
     seed = spark.range(1).select(F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("dist"))
     return rx.relax(seed, views.flow(spark, d), ["k"], reverse=True).select("v", "dist")
 
 
 @register("unreachable_as_inf", f"WITH RECURSIVE {FLOW}, light AS (SELECT * FROM flow WHERE weight <= 2), {_sp('SELECT 0::BIGINT AS s', 'light')}, vs AS (SELECT src AS v FROM flow UNION SELECT dst FROM flow) SELECT v, coalesce(dist, {INF}) AS dist FROM vs LEFT JOIN sp USING (v)")
-def _(spark, d):
+def unreachable_as_inf(spark, d):
     g = views.flow(spark, d)
     s = rx.sssp(g.where("weight <= 2"), _one(spark, 0)).select(F.col("v").alias("v2"), "dist")
     return views.vertices(g).join(s, F.col("v") == F.col("v2"), "left").select("v", F.coalesce("dist", F.lit(INF)).alias("dist"))
 
 
-@register("saturating_add", f"SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 = 0 THEN {INF} ELSE l_partkey + l_suppkey END AS total FROM lineitem")
-def _(spark, d):
+@register("saturating_add", f"SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 = 0 AND l_suppkey >= 1 THEN {INF} WHEN l_partkey % 3 = 0 THEN {INF - 1} ELSE l_partkey + l_suppkey END AS total FROM lineitem")
+def saturating_add(spark, d):
     a = F.when(F.col("l_partkey") % 3 == 0, F.lit(INF - 1)).otherwise(F.col("l_partkey"))
     return views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.sat_add(a, F.col("l_suppkey")).alias("total"))
 
 
 # ---- trees ---------------------------------------------------------------------------------------------------------
 @register("tight_edges", f"WITH RECURSIVE {FLOW}, {_sp('SELECT 0::BIGINT AS s')} SELECT e.edge_id, e.src, e.dst FROM sp a JOIN flow e ON a.v = e.src JOIN sp b ON b.v = e.dst WHERE a.dist + e.weight = b.dist")
-def _(spark, d):
+def tight_edges(spark, d):
     g = views.flow(spark, d)
     return tt.tight_edges(g, _dist(spark, g, 0)).select("edge_id", "src", "dst")
 
 
 @register("sssp_tree_parent", f"WITH RECURSIVE {FLOW}, {_sp('SELECT 0::BIGINT AS s')}, {TREE.format(edges='flow')} SELECT v, parent_edge, parent FROM par")
-def _(spark, d):
+def sssp_tree_parent(spark, d):
     g = views.flow(spark, d)
     return tt.parents(g, _dist(spark, g, 0)).select("v", "parent_edge", "parent")
 
 
 @register("subtree_sizes", f"WITH RECURSIVE {FLOW}, {_sp('SELECT 0::BIGINT AS s')}, {TREE.format(edges='flow')}, anc(top, v) AS (SELECT v, v FROM sp UNION ALL SELECT par.parent, anc.v FROM anc JOIN par ON par.v = anc.top) SELECT top AS v, count(*) AS size FROM anc GROUP BY 1")
-def _(spark, d):
+def subtree_sizes(spark, d):
     g = views.flow(spark, d)
     return tt.subtree_sizes(tt.parents(g, _dist(spark, g, 0))).select("v", "size")
 
@@ -195,13 +195,13 @@ HEAVY = f"{FLOW}, {_sp('SELECT 0::BIGINT AS s')}, {TREE.format(edges='flow')}, a
 
 
 @register("increase_affected_set", f"WITH RECURSIVE {HEAVY} SELECT anc.v FROM anc JOIN heavy ON anc.top = heavy.head")
-def _(spark, d):
+def increase_affected_set(spark, d):
     g, _, tree, e = _heaviest(spark, d)
     return tt.subtree(tree, g.where(F.col("edge_id") == e).first()["dst"]).select("v")
 
 
 @register("increase_boundary_seeds", f"WITH RECURSIVE {HEAVY}, area AS (SELECT anc.v FROM anc JOIN heavy ON anc.top = heavy.head), up AS (SELECT edge_id, src, dst, weight + CASE WHEN edge_id = (SELECT parent_edge FROM heavy) THEN {RAISED} ELSE 0 END AS weight FROM flow) SELECT up.dst AS v, min(sp.dist + up.weight) AS dist FROM up JOIN sp ON sp.v = up.src WHERE up.dst IN (SELECT v FROM area) AND up.src NOT IN (SELECT v FROM area) GROUP BY 1")
-def _(spark, d):
+def increase_boundary_seeds(spark, d):
     g, dist, tree, e = _heaviest(spark, d)
     row = g.where(F.col("edge_id") == e).first()
     up = rp.set_weight(g, e, row["weight"] + RAISED)
@@ -209,21 +209,21 @@ def _(spark, d):
 
 
 @register("increase_repair", f"WITH RECURSIVE {HEAVY}, up AS (SELECT edge_id, src, dst, weight + CASE WHEN edge_id = (SELECT parent_edge FROM heavy) THEN {RAISED} ELSE 0 END AS weight FROM flow), {_sp('SELECT 0::BIGINT AS s', 'up', 'sq')} SELECT v, dist FROM sq")
-def _(spark, d):
+def increase_repair(spark, d):
     g, dist, tree, e = _heaviest(spark, d)
     up = rp.set_weight(g, e, g.where(F.col("edge_id") == e).first()["weight"] + RAISED)
     return rp.repair_increase(up, dist, tree, e).select("v", "dist")
 
 
 @register("decrease_repair", f"WITH RECURSIVE {FLOW}, slow AS (SELECT edge_id, src, dst, CASE WHEN edge_id = (SELECT min(edge_id) FROM flow WHERE src = 0 AND weight > 3) THEN 1 ELSE weight END AS weight FROM flow), {_sp('SELECT 0::BIGINT AS s', 'slow')} SELECT v, dist FROM sp")
-def _(spark, d):
+def decrease_repair(spark, d):
     g = views.flow(spark, d)
     e = g.where("src = 0 and weight > 3").agg(F.min("edge_id")).first()[0]
     return rp.repair_decrease(rp.set_weight(g, e, 1), _dist(spark, g, 0), e).select("v", "dist")
 
 
-@register("update_classification", f"WITH RECURSIVE {OPS}, {_sp('SELECT 0::BIGINT AS s UNION ALL SELECT 1')}, {TREE.format(edges='flow')}, u AS (SELECT f.edge_id, f.src, f.dst, f.weight AS old_weight, o.new_weight FROM (SELECT edge_id, arg_min(new_weight, op_seq) AS new_weight FROM optrace WHERE kind = 'UPDATE' GROUP BY 1) o JOIN flow f USING (edge_id)) SELECT u.edge_id, r.s AS source, CASE WHEN new_weight = old_weight THEN 'unchanged' WHEN new_weight < old_weight AND (a.dist IS NULL OR a.dist + new_weight >= coalesce(b.dist, {INF})) THEN 'filtered' WHEN new_weight < old_weight THEN 'repair_decrease' WHEN a.dist IS NULL OR a.dist + old_weight <> coalesce(b.dist, {INF}) THEN 'filtered' WHEN par.parent_edge = u.edge_id THEN 'repair_increase' ELSE 'rebuild' END AS outcome FROM u CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 1) r LEFT JOIN sp a ON a.s = r.s AND a.v = u.src LEFT JOIN sp b ON b.s = r.s AND b.v = u.dst LEFT JOIN par ON par.s = r.s AND par.v = u.dst")
-def _(spark, d):
+@register("update_classification", f"WITH RECURSIVE {OPS}, {_sp('SELECT 0::BIGINT AS s UNION ALL SELECT 1')}, {TREE.format(edges='flow')}, u AS (SELECT f.edge_id, f.src, f.dst, f.weight AS old_weight, o.new_weight FROM (SELECT edge_id, arg_min(new_weight, op_seq) AS new_weight FROM optrace WHERE kind = 'UPDATE' GROUP BY 1) o JOIN flow f USING (edge_id)) SELECT u.edge_id, r.s::BIGINT AS source, CASE WHEN new_weight = old_weight THEN 'unchanged' WHEN new_weight < old_weight AND (a.dist IS NULL OR a.dist + new_weight >= coalesce(b.dist, {INF})) THEN 'filtered' WHEN new_weight < old_weight THEN 'repair_decrease' WHEN a.dist IS NULL OR a.dist + old_weight <> coalesce(b.dist, {INF}) THEN 'filtered' WHEN par.parent_edge = u.edge_id THEN 'repair_increase' ELSE 'rebuild' END AS outcome FROM u CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 1) r LEFT JOIN sp a ON a.s = r.s AND a.v = u.src LEFT JOIN sp b ON b.s = r.s AND b.v = u.dst LEFT JOIN par ON par.s = r.s AND par.v = u.dst")
+def update_classification(spark, d):
     g = views.flow(spark, d)
     t = views.optrace(spark, d, g).where("kind = 'UPDATE'").groupBy(F.col("edge_id").alias("e2")).agg(F.min_by("new_weight", "op_seq").alias("new_weight"))
     u = t.join(g, F.col("e2") == F.col("edge_id")).select("edge_id", "src", "dst", F.col("weight").alias("old_weight"), "new_weight")
@@ -241,27 +241,27 @@ LINE = "CASE WHEN kind = 'QUERY' THEN 'QUERY ' || source || ' ' || target ELSE '
 
 
 @register("optrace", f"WITH {OPS} SELECT op_seq, kind, source, target, edge_id, old_weight, new_weight FROM optrace")
-def _(spark, d):
+def optrace(spark, d):
     return _log(spark, d)[1]
 
 
 @register("trace_counts", f"WITH {OPS} SELECT count(*) FILTER (kind = 'QUERY') AS n_query, count(*) FILTER (kind = 'UPDATE') AS n_update, count(*) FILTER (new_weight > old_weight) AS n_increase, count(*) FILTER (new_weight < old_weight) AS n_decrease FROM optrace")
-def _(spark, d):
+def trace_counts(spark, d):
     return tr.counts(_log(spark, d)[1])
 
 
 @register("trace_canonical_lines", f"WITH {OPS} SELECT op_seq, {LINE} AS line FROM optrace")
-def _(spark, d):
+def trace_canonical_lines(spark, d):
     return tr.canonical_lines(_log(spark, d)[1])
 
 
 @register("trace_sha256", f"WITH {OPS} SELECT sha256(string_agg({LINE} || chr(10), '' ORDER BY op_seq)) AS sha256 FROM optrace")
-def _(spark, d):
+def trace_sha256(spark, d):
     return tr.trace_sha256(_log(spark, d)[1])
 
 
 @register("trace_validation_errors", f"WITH {OPS} SELECT op_seq, 'old_weight' AS error FROM optrace WHERE kind = 'UPDATE' AND op_seq % 4 = 1 UNION ALL SELECT op_seq, 'vertex' FROM optrace WHERE kind = 'QUERY' AND op_seq % 9 = 2")
-def _(spark, d):
+def trace_validation_errors(spark, d):
     g, t = _log(spark, d)
     n = g.agg(F.max(F.greatest("src", "dst")) + 1).first()[0]
     spoilt = t.withColumn("old_weight", F.when(F.col("op_seq") % 4 == 1, F.col("old_weight") + 1000).otherwise(F.col("old_weight"))).withColumn("target", F.when(F.col("op_seq") % 9 == 2, n).otherwise(F.col("target")))
@@ -269,17 +269,17 @@ def _(spark, d):
 
 
 @register("epochs", f"WITH {OPS}, {VERSIONS} SELECT op_seq, epoch::BIGINT AS epoch FROM ep")
-def _(spark, d):
+def epochs(spark, d):
     return tr.epochs(_log(spark, d)[1]).select("op_seq", "epoch")
 
 
 @register("edge_versions", f"WITH {OPS}, {VERSIONS} SELECT edge_id, src, dst, weight, valid_from::BIGINT AS valid_from, valid_to::BIGINT AS valid_to FROM versions")
-def _(spark, d):
+def edge_versions(spark, d):
     return tr.edge_versions(*_log(spark, d))
 
 
 @register("weights_asof", f"WITH {OPS}, {VERSIONS} SELECT edge_id, src, dst, weight FROM versions WHERE valid_from <= 20 AND valid_to > 20")
-def _(spark, d):
+def weights_asof(spark, d):
     return tr.weights_asof(tr.edge_versions(*_log(spark, d)), 20)
 
 
@@ -287,31 +287,31 @@ REPLAY = f"WITH RECURSIVE {OPS}, {VERSIONS}, sp(e, s, v, dist) USING KEY (e, s,
 
 
 @register("trace_replay_answers", f"{REPLAY} SELECT op_seq, source, target, answer FROM answers")
-def _(spark, d):
+def trace_replay_answers(spark, d):
     return tr.replay(*_log(spark, d))
 
 
 @register("oracle_mismatches", "SELECT 0::BIGINT AS n_mismatches")
-def _(spark, d):
+def oracle_mismatches(spark, d):
     g, t = _log(spark, d)
     seq = replay_engines(g, t, ["FULL"]).select("op_seq", "answer")
     return tr.mismatches(tr.replay(g, t).select("op_seq", "answer"), seq).agg(F.count(F.lit(1)).alias("n_mismatches"))
 
 
 @register("engine_profiles", f"{REPLAY}, engines AS (SELECT unnest(['B0', 'B1', 'B2', 'B3', 'B2L', 'B3L', 'COLD', 'FREQ-LRU-REBUILD', 'FREQ-LRU-REPAIR', 'WORK-LRU-REPAIR', 'WORK-DEBT-REPAIR', 'FULL', 'ECONOMIC', 'ECONOMIC-FAST']) AS engine) SELECT engine, op_seq, answer FROM answers CROSS JOIN engines")
-def _(spark, d):
+def engine_profiles(spark, d):
     return replay_engines(*_log(spark, d))
 
 
 @register("distinct_sources_preflight", f"WITH {OPS} SELECT count(DISTINCT source) AS sources, count(DISTINCT source) * (SELECT max(n) FROM size) * 44 AS bytes FROM optrace")
-def _(spark, d):
+def distinct_sources_preflight(spark, d):
     g, t = _log(spark, d)
     n = g.agg((F.max(F.greatest("src", "dst")) + 1).alias("n"))
     return t.agg(F.count_distinct("source").alias("sources")).crossJoin(n).select("sources", (F.col("sources") * F.col("n") * fn.SSSP_VERTEX).alias("bytes"))
 
 
 @register("streaming_trace_replay", f"{REPLAY} SELECT op_seq, answer FROM answers")
-def _(spark, d):
+def streaming_trace_replay(spark, d):
     import uuid
 
     from pathloom.functions.tables import shared_dir
@@ -329,7 +329,7 @@ def _(spark, d):
 
 
 @register("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
-def _(spark, d):
+def event_windows(spark, d):
     w = stream.event_windows(views.table(spark, d, "events"))
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
@@ -343,22 +343,22 @@ def _acc(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("reuse_gaps", f"WITH {ACC} SELECT q, source, q - lag(q) OVER (PARTITION BY source ORDER BY q) AS gap FROM acc")
-def _(spark, d):
+def reuse_gaps(spark, d):
     return policy.reuse_gaps(_acc(spark, d))
 
 
 @register("lru_hits_misses", f"WITH {ACC}, p AS (SELECT q, source, lag(q) OVER (PARTITION BY source ORDER BY q) AS prev FROM acc), h AS (SELECT q, source, prev, CASE WHEN prev IS NOT NULL AND (SELECT count(DISTINCT b.source) FROM acc b WHERE b.q > p.prev AND b.q < p.q) < 4 THEN 1 ELSE 0 END AS hit FROM p) SELECT q, source, hit::BIGINT AS hit, CASE WHEN hit = 0 AND (SELECT count(DISTINCT b.source) FROM acc b WHERE b.q < h.q) >= 4 THEN 1 ELSE 0 END::BIGINT AS evicts FROM h")
-def _(spark, d):
+def lru_hits_misses(spark, d):
     return policy.lru(_acc(spark, d), 4)
 
 
 @register("probation_frequency", f"WITH {ACC}, k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q) AS k FROM acc) SELECT q, source, (k - 1) % 4 + 1 AS seen, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS promotes FROM k")
-def _(spark, d):
+def probation_frequency(spark, d):
     return policy.probation(_acc(spark, d))
 
 
 @register("recent_slot_lookup", f"WITH {ACC}, h AS (SELECT q, source, source % 64 AS slot, lag(source) OVER (PARTITION BY source % 64 ORDER BY q) AS holder FROM acc) SELECT q, source, slot, holder, CASE WHEN holder = source THEN 1 ELSE 0 END::BIGINT AS found FROM h")
-def _(spark, d):
+def recent_slot_lookup(spark, d):
     return policy.recent_slots(_acc(spark, d))
 
 
@@ -371,45 +371,45 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("resident_score", f"WITH {SCORES} SELECT source, hits, age, debt, score FROM scored")
-def _(spark, d):
+def resident_score(spark, d):
     return _scored(spark, d)
 
 
 @register("budget_eviction_plan", f"WITH {SCORES} SELECT source, score, CASE WHEN (count(*) OVER () - (row_number() OVER (ORDER BY score, source) - 1)) * 6708 + 6708 > 100000 THEN 1 ELSE 0 END::BIGINT AS victim FROM scored")
-def _(spark, d):
+def budget_eviction_plan(spark, d):
     return policy.eviction_plan(_scored(spark, d), 6708, 100_000, 6708)
 
 
 @register("ewma_reuse_gap", f"WITH {ACC}, g AS (SELECT q, source, q - lag(q) OVER (PARTITION BY source ORDER BY q) AS gap FROM acc) SELECT source, round(list_reduce(list(gap::DOUBLE ORDER BY q), lambda m, x: 0.75::DOUBLE * m + 0.25::DOUBLE * x), 9) AS ewma FROM g WHERE gap IS NOT NULL GROUP BY 1")
-def _(spark, d):
+def ewma_reuse_gap(spark, d):
     return policy.ewma_gaps(_acc(spark, d))
 
 
 @register("cooldown_blocks", f"WITH {ACC} SELECT q, source FROM acc a WHERE q % 2 = 0 AND EXISTS (SELECT 1 FROM acc b WHERE b.q % 2 = 1 AND b.source = a.source AND a.q >= b.q AND a.q < b.q + 32)")
-def _(spark, d):
+def cooldown_blocks(spark, d):
     a = _acc(spark, d)
     return policy.cooldown_blocks(a.where("q % 2 = 1"), a.where("q % 2 = 0"))
 
 
 @register("byte_accounting", f"WITH {ACC}, b AS (SELECT q, least(q, 4) * (8 + 44 * 150 + 100) + (q % 7) * 16 + (q % 5) * 12 AS bytes FROM acc) SELECT q, bytes, max(bytes) OVER (ORDER BY q) AS peak FROM b")
-def _(spark, d):
+def byte_accounting(spark, d):
     per = _acc(spark, d).select("q", F.least(F.col("q"), F.lit(4)).alias("residents"), (F.col("q") % 7).alias("probation"), (F.col("q") % 5).alias("cooldown"))
     return policy.account(per, 150)
 
 
 # ---- statistics ----------------------------------------------------------------------------------------------------
 @register("latency_nearest_rank", "SELECT l_returnflag, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice) AS p95 FROM lineitem GROUP BY 1")
-def _(spark, d):
+def latency_nearest_rank(spark, d):
     return views.table(spark, d, "lineitem").groupBy("l_returnflag").agg(stats.nearest_rank(0.5, "l_extendedprice").alias("p50"), stats.nearest_rank(0.95, "l_extendedprice").alias("p95"))
 
 
 @register("percentile_rounded_index", "SELECT o_orderstatus, list_sort(list(o_totalprice))[1 + round_even((count(*) - 1) * 0.95, 0)::BIGINT] AS p95 FROM orders GROUP BY 1")
-def _(spark, d):
+def percentile_rounded_index(spark, d):
     return views.table(spark, d, "orders").groupBy("o_orderstatus").agg(stats.rounded_index(0.95, "o_totalprice").alias("p95"))
 
 
 @register("grouped_median", "SELECT o_orderpriority, o_orderstatus, median(o_totalprice) AS mid, count(*) AS n FROM orders GROUP BY 1, 2")
-def _(spark, d):
+def grouped_median(spark, d):
     return views.table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.median("o_totalprice").alias("mid"), F.count(F.lit(1)).alias("n"))
 
 
@@ -431,84 +431,84 @@ def _speed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("paired_speedups", f"WITH {SPEED} SELECT cell, count(*) AS n_pairs, round(median(speedup), 9) AS speedup, CASE WHEN round(median(speedup), 9) >= 1.10 THEN 'superior' WHEN round(median(speedup), 9) <= 0.90 THEN 'inferior' ELSE 'parity' END AS class FROM sp GROUP BY 1")
-def _(spark, d):
+def paired_speedups(spark, d):
     return stats.paired_speedups(_pairs(spark, d), ["cell"], "base", "subject")
 
 
 @register("geomean_ci", f"WITH {SPEED}, per AS (SELECT cell, seed, avg(ln(speedup)) AS m FROM sp GROUP BY 1, 2), s AS (SELECT cell, count(*) AS n_seeds, avg(m) AS a, coalesce((CASE WHEN count(*) = 3 THEN 4.302652729911275 ELSE 1.96 END) * stddev_samp(m) / sqrt(count(*)), 0) AS h FROM per GROUP BY 1) SELECT cell, n_seeds, round(exp(a), 6) AS geomean, round(exp(a - h), 6) AS low, round(exp(a + h), 6) AS high FROM s")
-def _(spark, d):
+def geomean_ci(spark, d):
     return stats.geomean_interval(_speed(spark, d), ["cell"], "seed", "speedup")
 
 
 @register("win_tie_loss", f"WITH {SPEED} SELECT cell, count(*) FILTER (speedup > 1.01) AS wins, count(*) FILTER (speedup BETWEEN 1 / 1.01::DOUBLE AND 1.01) AS ties, count(*) FILTER (speedup < 1 / 1.01::DOUBLE) AS losses FROM sp GROUP BY 1")
-def _(spark, d):
+def win_tie_loss(spark, d):
     return stats.win_tie_loss(_speed(spark, d), ["cell"], "speedup")
 
 
 @register("fastest_profile", "WITH m AS (SELECT o_orderpriority AS regime, o_orderstatus AS profile, min(o_totalprice) AS ms FROM orders GROUP BY 1, 2), f AS (SELECT regime, min(ms) AS least FROM m GROUP BY 1) SELECT m.regime, (SELECT profile FROM m x WHERE x.regime = m.regime ORDER BY ms, profile LIMIT 1) AS fastest, count(*) FILTER (ms <= ceil(least * 1.01)) AS near FROM m JOIN f USING (regime) GROUP BY 1")
-def _(spark, d):
+def fastest_profile(spark, d):
     m = views.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("regime"), F.col("o_orderstatus").alias("profile")).agg(F.min("o_totalprice").alias("ms"))
     return stats.fastest(m, ["regime"], "profile", "ms")
 
 
 @register("decision", f"WITH {SPEED}, a AS (SELECT count(*) FILTER (speedup >= 1.10) AS wins, count(*) FILTER (speedup <= 1 / 1.10::DOUBLE) AS losses FROM sp) SELECT wins, losses, CASE WHEN wins > 0 AND losses = 0 THEN 'GO' WHEN wins > 0 THEN 'REFRAME' ELSE 'NO-GO' END AS decision FROM a")
-def _(spark, d):
+def decision(spark, d):
     return stats.decision(_speed(spark, d), "speedup")
 
 
 @register("phase_class", f"WITH {SPEED} SELECT cell, repeat, CASE WHEN speedup >= 1.10 THEN 'superior' WHEN speedup <= 0.90 THEN 'inferior' ELSE 'parity' END AS class FROM sp")
-def _(spark, d):
+def phase_class(spark, d):
     return _speed(spark, d).select("cell", "repeat", fn.phase_class(F.col("speedup")).alias("class"))
 
 
 @register("telemetry_reconciles", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_linenumber + l_quantity::BIGINT = l_linenumber * 2 + l_quantity::BIGINT - 1)")
-def _(spark, d):
+def telemetry_reconciles(spark, d):
     l = views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"), (F.col("l_linenumber") * 2 + F.col("l_quantity").cast("long") - 1).alias("total"))
     return stats.reconcile(l, ["l_linenumber", "q"], "total").select("l_orderkey", "l_linenumber")
 
 
 @register("matched_cell_identity", "SELECT o_custkey, count(DISTINCT o_orderstatus || '|' || o_orderpriority) AS identities FROM orders GROUP BY 1 HAVING identities > 1")
-def _(spark, d):
+def matched_cell_identity(spark, d):
     return stats.conflicting_cells(views.table(spark, d, "orders"), ["o_custkey"], ["o_orderstatus", "o_orderpriority"])
 
 
 # ---- workloads -----------------------------------------------------------------------------------------------------
 @register("spatial_grid_bins", "WITH c AS (SELECT p_partkey AS v, (p_partkey * 7919) % 10007 AS x, (p_partkey * 104729) % 9973 AS y FROM part), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c) SELECT v, least(31, floor((x - x0) * 32 / greatest(1, x1 - x0)))::BIGINT AS bx, least(31, floor((y - y0) * 32 / greatest(1, y1 - y0)))::BIGINT AS by FROM c, b")
-def _(spark, d):
+def spatial_grid_bins(spark, d):
     p = views.table(spark, d, "part")
     return stats.spatial_bins(p.select(F.col("p_partkey").alias("v"), ((F.col("p_partkey") * 7919) % 10007).alias("x"), ((F.col("p_partkey") * 104729) % 9973).alias("y")))
 
 
 @register("zipf_cdf", "SELECT r AS rank, (1000000 // r)::BIGINT AS weight, sum(1000000 // r) OVER (ORDER BY r)::BIGINT AS cumulative FROM range(1, 65) t(r)")
-def _(spark, d):
+def zipf_cdf(spark, d):
     w = fn.zipf_weight(F.col("rank"))
     return spark.range(1, 65).withColumnRenamed("id", "rank").select("rank", w.alias("weight"), F.sum(w).over(Window.orderBy("rank")).alias("cumulative"))
 
 
 @register("update_schedule", "SELECT i - 1 AS update_no, least(99, least(((i - 1) // 3) * 3 + 3, 25) * 4)::BIGINT AS before_query FROM range(1, 26) t(i)")
-def _(spark, d):
+def update_schedule(spark, d):
     i = F.col("id")
     return spark.range(25).select(i.alias("update_no"), F.least(F.lit(99), F.least(F.floor(i / 3) * 3 + 3, F.lit(25)) * 4).cast("long").alias("before_query"))
 
 
 @register("hot_rotation", "SELECT q, (q // 16) % 8 AS epoch_slot, q % 8 AS churn_slot FROM range(0, 400) t(q)")
-def _(spark, d):
+def hot_rotation(spark, d):
     q = F.col("q")
     return spark.range(400).withColumnRenamed("id", "q").select("q", (F.floor(q / 16) % 8).alias("epoch_slot"), (q % 8).alias("churn_slot"))
 
 
 @register("magnitude_bands", f"WITH {OPS} SELECT op_seq, CASE WHEN abs(new_weight - old_weight) BETWEEN 1 AND 3 THEN 'small' WHEN abs(new_weight - old_weight) BETWEEN 4 AND 31 THEN 'medium' WHEN abs(new_weight - old_weight) BETWEEN 32 AND 255 THEN 'large' END AS magnitude FROM optrace WHERE kind = 'UPDATE'")
-def _(spark, d):
+def magnitude_bands(spark, d):
     return _log(spark, d)[1].where("kind = 'UPDATE'").select("op_seq", fn.magnitude_of(F.col("new_weight") - F.col("old_weight")).alias("magnitude"))
 
 
 @register("grid_generator", "WITH v AS (SELECT i AS src, i % 224 AS x, i // 224 AS y FROM range(224 * 224) t(i)), e AS (SELECT src, src + 1 AS dst FROM v WHERE x < 223 UNION ALL SELECT src, src - 1 FROM v WHERE x > 0 UNION ALL SELECT src, src + 224 FROM v WHERE y < 223 UNION ALL SELECT src, src - 224 FROM v WHERE y > 0) SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst, 1 + (src * 31 + dst * 17) % 1000 AS weight FROM e")
-def _(spark, d):
+def grid_generator(spark, d):
     return gen.grid(spark)
 
 
 @register("kernel_work_counters")
-def _(spark, d):
+def kernel_work_counters(spark, d):
     """(source, reached, edges_scanned, settled) of the heap kernel for every source of flow."""
     import pandas as pd
 
