@@ -24,8 +24,9 @@ m AS (SELECT page_id, host, path, key, verdict, row_number() OVER (PARTITION BY
 SELECT h.page_id, h.host, h.path, m.key AS rule, coalesce(m.verdict, 'allow') AS verdict FROM h JOIN m ON m.i = 1 AND m.page_id IS NOT DISTINCT FROM h.page_id AND m.host = h.host AND m.path = h.path"""
 
 OP7 = """WITH RECURSIVE s AS (SELECT source, round(pow(count(*)::DOUBLE, 0.7), 6) AS weight FROM documents GROUP BY 1),
-i AS (SELECT source, weight / (SELECT sum(weight) FROM s) * (1000 - (SELECT count(*) FROM s)) AS ideal FROM s),
-n AS (SELECT source, floor(ideal)::BIGINT + 1 + CASE WHEN row_number() OVER (ORDER BY ideal - floor(ideal) DESC, source NULLS FIRST) <= 1000 - (SELECT sum(floor(ideal) + 1) FROM i) THEN 1 ELSE 0 END AS n FROM i),
+u AS (SELECT source, weight, weight / (SELECT sum(weight) FROM s) * 1000 < 2 AS small FROM s),
+i AS (SELECT source, small, 1000 - (SELECT count(*) FILTER (small) FROM u) AS rest, weight / sum(weight) OVER (PARTITION BY small) * (1000 - (SELECT count(*) FILTER (small) FROM u)) AS ideal FROM u),
+n AS (SELECT source, CASE WHEN small THEN 1 ELSE floor(ideal)::BIGINT + CASE WHEN row_number() OVER (PARTITION BY small ORDER BY ideal - floor(ideal) DESC, source NULLS FIRST) <= rest - sum(floor(ideal)) OVER (PARTITION BY small) THEN 1 ELSE 0 END END AS n FROM i),
 q AS (SELECT list(source ORDER BY source NULLS FIRST) AS src, list(n ORDER BY source NULLS FIRST) AS n FROM n),
 due AS (SELECT 1),
 e(t, k, i) AS (SELECT -1::BIGINT, list_transform(n, lambda x: 0::BIGINT), 0::BIGINT FROM q

@@ -154,3 +154,28 @@ def substrings(rows, window=50):
         gone = {k + j for k in range(len(w) - window + 1) if first[tuple(w[k : k + window])] < i for j in range(window)}
         out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
     return out
+
+
+def entropy_spans(text, classes, allowed):
+    import math
+    from collections import Counter
+
+    out = []
+    for c in classes:
+        for m in re.finditer("[" + re.escape(c.alphabet) + "]{%d,}" % c.window, text or ""):
+            run = m.group()
+            if any(re.search(p, run) for p in allowed):
+                continue
+            hot = [i for i in range(len(run) - c.window + 1) if -sum(n / c.window * math.log2(n / c.window) for n in Counter(run[i : i + c.window]).values()) >= c.bits - 1e-9]
+            if hot:
+                out.append((m.start() + hot[0], m.start() + hot[-1] + c.window))
+    return out
+
+
+def redact(text, spans, mark="[SECRET]"):
+    out, at = "", 0
+    for s, e in sorted(spans):
+        if s >= at:
+            out += text[at:s] + mark
+        at = max(at, e)
+    return out + text[at:]
