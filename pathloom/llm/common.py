@@ -2,35 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-_LOCAL: dict[str, str] = {}
-
-#: Replaces every ASCII character of the class [\x20\x09-\x0D] used by bytes.split(): words are maximal runs of other bytes.
-WORD_SPACES = b" \t\n\x0b\x0c\r"
-
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="pathloom-")
-    return _LOCAL[key]
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: computed once, lineage cut, safe when executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from pathloom.functions.tables import materialise, shared_dir
 
+__all__ = ["byte_texts", "materialise", "salted_rank", "shared_dir"]
 
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of a string column, without decoding; null becomes empty."""
@@ -44,8 +21,6 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
     A key is numbered bucket by bucket and the buckets are offset by running counts, so a key that holds a third of all
     rows is spread over its buckets.  Keys compare null-safely.
     """
-    from pyspark.sql import Window
-
     b, base = "_pl_bucket", "_pl_base"
     with_b = df.withColumn(b, bucket)
     sizes = with_b.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_pl_n"))

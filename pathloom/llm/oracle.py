@@ -45,3 +45,62 @@ a AS (SELECT doc_id, count(*) FILTER (gone = 1) AS n_removed, string_agg(word, '
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN a USING (doc_id)"""
 
 SQL = {"op1_chat": OP1, "op4_embeddings": OP4, "op6_urls": OP6, "op7_mixing": OP7, "op10_substrings": OP10}
+
+
+def _op3() -> str:
+    from .quality import RULES
+
+    score = {
+        "symbols": "n_symbols / greatest(word_chars, 1)",
+        "repeats": "n_repeat_words / greatest(n_words, 1)",
+        "lines": "n_dup_lines / greatest(n_lines, 1)",
+        "word_length": "abs(word_chars / greatest(n_words, 1) - 6.5::DOUBLE)",
+    }
+    grid = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, (_, cs) in RULES.items() for i, c in enumerate(cs))
+    scores = " UNION ALL ".join(f"SELECT doc_id, lang, '{r}' AS rule, ({s})::DOUBLE AS score FROM base" for r, s in score.items())
+    return f"""WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS a, unnest(generate_series(1, len(ws))) AS i FROM t),
+g AS (SELECT *, lead(a, 1) OVER d AS b, lead(a, 2) OVER d AS c FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, CASE WHEN c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, a, b, c) > 1 THEN 1 ELSE 0 END AS rep FROM g),
+r AS (SELECT doc_id, sum(cover) AS n_repeat_words FROM (SELECT doc_id, max(rep) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS cover FROM h) GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^ \\t\\n\\v\\f\\r]') GROUP BY 1),
+counted AS (SELECT t.doc_id, lang, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines FROM t LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+grid(rule, i, cut) AS (VALUES {grid}),
+s AS ({scores}),
+good AS (SELECT s.* FROM s JOIN base USING (doc_id) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+k AS (SELECT lang, rule, i, cut, count(*) AS n, count(*) FILTER (score > cut) AS k FROM good JOIN grid USING (rule) GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k = n THEN 1.0 ELSE list_sum(list_transform(generate_series(0, k), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01::DOUBLE) + (n - j) * ln(0.99::DOUBLE)))) END AS tail FROM k),
+v AS (SELECT lang, rule, cut, min(CASE WHEN tail <= 0.05 / (4 * (SELECT count(DISTINCT lang) FROM good)) THEN 1 ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY i) AS fine FROM p),
+cuts AS (SELECT lang, rule, min(cut) AS cut FROM v WHERE fine = 1 GROUP BY 1, 2),
+bad AS (SELECT DISTINCT s.doc_id FROM s JOIN cuts ON cuts.rule = s.rule AND cuts.lang IS NOT DISTINCT FROM s.lang WHERE s.score > cuts.cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM base"""
+
+
+SQL["op3_quality"] = _op3()
+
+
+def _op2() -> str:
+    from .secrets import ALLOWED, CLASSES, KINDS
+
+    def q(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    parts = []
+    for i, (name, (pattern, group, least)) in enumerate(KINDS.items()):
+        parts.append(f"SELECT {i} AS kind, {q(name)} AS name, doc_id, unnest(regexp_extract_all(text, {q(pattern)})) AS m, unnest(list_transform(regexp_extract_all(text, {q(pattern)}, {group}), lambda x: length(x) >= {least})) AS fine, unnest(regexp_split_to_array(text, {q(pattern)})) AS gap, unnest(generate_series(1, len(regexp_split_to_array(text, {q(pattern)})))) AS i, 0 AS width, 0::DOUBLE AS bits FROM d WHERE regexp_matches(text, {q(pattern)})")
+    for i, c in enumerate(CLASSES):
+        pattern = "[" + c.alphabet.replace("-", "\\-") + "]{" + str(c.window) + ",}"
+        known = " OR ".join(f"regexp_matches(x, {q(p)})" for p in ALLOWED)
+        parts.append(f"SELECT {len(KINDS) + i}, {q('entropy_' + c.name)}, doc_id, unnest(regexp_extract_all(text, {q(pattern)})), unnest(list_transform(regexp_extract_all(text, {q(pattern)}), lambda x: NOT ({known}))), unnest(regexp_split_to_array(text, {q(pattern)})), unnest(generate_series(1, len(regexp_split_to_array(text, {q(pattern)})))), {c.window}, {c.bits}::DOUBLE FROM d WHERE regexp_matches(text, {q(pattern)})")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({' UNION ALL '.join(parts)}),
+a AS (SELECT *, sum(length(gap)) OVER o + coalesce(sum(length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM f WINDOW o AS (PARTITION BY doc_id, kind ORDER BY i)),
+h AS (SELECT *, CASE WHEN width > 0 THEN list_filter(generate_series(0, length(m) - width), lambda j: list_aggregate(string_split(substr(m, j + 1, width), ''), 'entropy') >= bits - 1e-9) END AS hot FROM a WHERE m IS NOT NULL AND fine),
+s AS (SELECT doc_id, kind, name, CASE WHEN width > 0 THEN start + hot[1] ELSE start END::BIGINT AS start, CASE WHEN width > 0 THEN start + hot[-1] + width ELSE start + length(m) END::BIGINT AS stop FROM h WHERE width = 0 OR len(hot) > 0),
+k AS (SELECT s.* FROM s WHERE kind < {len(KINDS)} OR NOT EXISTS (SELECT 1 FROM s b WHERE b.kind < {len(KINDS)} AND b.doc_id = s.doc_id AND b.start <= s.start AND s.stop <= b.stop)),
+g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = {i}) AS n_{n}" for i, n in enumerate(KINDS))}, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < {len(KINDS)}) AS base, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM k GROUP BY 1)
+SELECT doc_id, {', '.join(f"coalesce(n_{n}, 0) AS n_{n}" for n in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+SQL["op2_secrets"] = _op2()
