@@ -26,7 +26,8 @@ def unescape(text: Column) -> Column:
 def reply_paths(messages: DataFrame, tree: str, node: str, parent: str, score: str | None = None, top_k: int | None = 1, max_doublings: int = 40) -> DataFrame:
     """(tree, leaf, branch_rank, branch_score, back, node): the chosen root-to-leaf paths, `back` steps from the leaf.
 
-    Self-joins double the reach of parent pointers, so a path of n messages takes log2(n) joins.  A branch scores the mean
+    Self-joins double the reach of parent pointers, so a path of n messages takes log2(n) joins, and only messages whose
+    root isn't found yet take part.  A branch scores the mean
     of its messages' scores (null: 0); the best top_k leaves of a tree are chosen, ties to the smaller leaf, all if None.
     Leaves are ranked in salted parts first, so a tree may hold a third of all messages.  Messages whose parent is not in
     the tree are roots; those on or below a cycle have no root and are in no path.  Null tree: a tree of its own.
@@ -35,15 +36,15 @@ def reply_paths(messages: DataFrame, tree: str, node: str, parent: str, score: s
     m = messages.where(F.col(node).isNotNull()).groupBy(F.col(tree).alias("t"), F.col(node).alias("n")).agg(F.min(F.struct(F.col(parent).alias("p"), value.alias("s"))).alias("x")).select("t", "n", "x.p", "x.s")
     here = m.select(F.col("t").alias("t2"), F.col("n").alias("n2"))
     m = materialise(m.join(here, F.col("t").eqNullSafe(F.col("t2")) & (F.col("p") == F.col("n2")), "left").select("t", "n", F.col("n2").alias("up"), F.lit(1).cast("long").alias("steps"), F.col("s").alias("total")), "tree")
-    jumps = [m]
     bound = max(1, m.count()).bit_length() + 1
-    while len(jumps) < min(max_doublings, bound) and not jumps[-1].where("up is not null").isEmpty():
-        j = jumps[-1]
-        far = j.select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
-        both = j.join(far, F.col("t").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")), "left")
-        jumps.append(materialise(both.select("t", "n", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")), "tree"))
+    active, rooted, jumps = m.where("up is not null"), m.where("up is null"), []
+    while len(jumps) < min(max_doublings, bound) and not active.isEmpty():
+        far = rooted.union(active).select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
+        both = active.join(far, F.col("t").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")))
+        nxt = materialise(both.select("t", "n", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("total") + F.col("total2")).alias("total")), "tree")
+        jumps.append(active)
+        active, rooted = nxt.where("up is not null"), rooted.union(nxt.where("up is null"))
     parents = m.where("up is not null").select(F.col("t").alias("t2"), F.col("up").alias("n2")).distinct()
-    rooted = jumps[-1].where("up is null")
     leaves = rooted.join(parents, F.col("t").eqNullSafe(F.col("t2")) & (F.col("n") == F.col("n2")), "left_anti").select("t", F.col("n").alias("leaf"), (F.col("total") / F.col("steps")).alias("branch_score"))
     order = [F.desc("branch_score"), F.asc("leaf")]
     if top_k is None:
@@ -52,8 +53,8 @@ def reply_paths(messages: DataFrame, tree: str, node: str, parent: str, score: s
         part = leaves.withColumn("salt", F.pmod(F.xxhash64("leaf"), F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("t", "salt").orderBy(*order))).where(F.col("r") <= top_k).drop("salt", "r")
         ranked = part.withColumn("branch_rank", F.row_number().over(Window.partitionBy("t").orderBy(*order))).where(F.col("branch_rank") <= top_k)
     path = ranked.select("t", "leaf", "branch_rank", "branch_score", F.lit(0).cast("long").alias("back"), F.col("leaf").alias("node"))
-    for i in range(len(jumps) - 2, -1, -1):
-        j = jumps[i].where("up is not null").select(F.col("t").alias("t2"), F.col("n").alias("n2"), "up")
+    for i in range(len(jumps) - 1, -1, -1):
+        j = jumps[i].select(F.col("t").alias("t2"), F.col("n").alias("n2"), "up")
         both = path.join(j, F.col("t").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left")
         steps = F.array(F.struct("back", "node"), F.struct((F.col("back") + (1 << i)).alias("back"), F.col("up").alias("node")))
         path = both.select("t", "leaf", "branch_rank", "branch_score", F.explode(F.filter(steps, lambda x: x["node"].isNotNull())).alias("x")).select("t", "leaf", "branch_rank", "branch_score", "x.back", "x.node")
