@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,32 +21,59 @@ EOT = "<|endoftext|>"
 ODD = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
+def _byte_signs() -> dict[int, str]:
+    """The printable sign that byte-level vocabularies write for each byte: itself, or the next free one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(free)) for b in range(256)}
+
+
+SIGNS = _byte_signs()
+BLANK = SIGNS[32]
+
+# Fixed value: the pattern of the vocabulary's pieces, for texts whose only numerals are ASCII digits.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
 class PieceEncoder(dict):
     """Ids (as little-endian bytes) of texts under a byte-level BPE whose pieces never span a lone blank or line feed.
 
     Such a vocabulary's pattern lets a piece begin with white space but not hold it later, so a text in which each blank
     or line feed stands between two other characters is the sum of its parts cut before them.  Parts are kept in a
-    bounded memo; a closing comma or full stop after a letter or digit is a piece of its own.  Any other text goes to the
-    tokenizer whole.  The result always equals tokenizer.encode(text, add_special_tokens=False).
+    bounded memo, whose older half goes when it is full; a closing comma or full stop after a letter or digit is a piece of its own.  Any other text goes to the
+    tokenizer whole.  A part of letters and ASCII is split by the vocabulary's own pattern and goes straight to the tokenizer's model.  The result always equals tokenizer.encode(text, add_special_tokens=False).
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tok.model
         self.marks = {c: self.whole(c) for c in ",."}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def fresh(self, full: str) -> bytes:
+        """The ids of a part as it stands in the text."""
+        if full.isascii() or all(c.isascii() or c.isalpha() for c in full):
+            ids = array("I")
+            for piece in PIECES.findall(full):
+                ids.extend([x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(SIGNS))])
+            return ids.tobytes()
+        return self.whole(full)
+
     def __missing__(self, part: str) -> bytes:
-        if len(part) > 1 and part[-1] in ",." and part[-2].isalnum():
-            ids = self[part[:-1]] + self.marks[part[-1]]
+        if part[-1] in ",." and len(part) > 1 and part[-2].isalnum():
+            return self[part[:-1]] + self.marks[part[-1]]  # not kept: its stem is
+        if part.isascii() and part.isalpha():
+            ids = array("I", [x.id for x in self.model.tokenize(BLANK + part)]).tobytes()
         else:
-            ids = self.whole(part if part[0] == "\n" else " " + part)
+            ids = self.fresh(part if part[0] == "\n" else " " + part)
         if len(part) < 64:
             if len(self) >= self.limit:
-                self.clear()
+                for old in list(islice(self, self.limit // 2)):
+                    del self[old]
             self[part] = ids
         return ids
 
@@ -54,7 +84,7 @@ class PieceEncoder(dict):
         if "  " in cut or "\n " in cut or cut[0] in " \n" or cut[-1] in " \n" or EOT in text or any(c in text for c in ODD):
             return self.whole(text)
         first, _, rest = cut.partition(" ")
-        return self.whole(first) + (b"".join(map(self.__getitem__, rest.split(" "))) if rest else b"")
+        return self.fresh(first) + (b"".join(map(self.__getitem__, rest.split(" "))) if rest else b"")
 
 
 @cache
