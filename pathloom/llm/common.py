@@ -9,6 +9,7 @@ from pathloom.functions.tables import materialise, shared_dir
 
 __all__ = ["byte_texts", "materialise", "salted_rank", "shared_dir"]
 
+
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of a string column, without decoding; null becomes empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -19,17 +20,14 @@ def salted_rank(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
     """Add `name`: 0-based row number within keys, ordered by (bucket, order).
 
     A key is numbered bucket by bucket and the buckets are offset by running counts, so a key that holds a third of all
-    rows is spread over its buckets.  Keys compare null-safely.
+    rows is spread over its buckets.  Null keys equal each other.  Keys become one plain string, so the rows are shuffled
+    once: the offsets meet them where the numbering has put them.
     """
-    b, base = "_pl_bucket", "_pl_base"
-    with_b = df.withColumn(b, bucket)
-    sizes = with_b.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_pl_n"))
-    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(k).alias(f"_pl_k{i}") for i, k in enumerate(keys)], F.col(b).alias("_pl_b2"), F.coalesce(F.sum("_pl_n").over(before), F.lit(0)).alias(base))
-    within = F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)) - 1
-    on = [F.col(k).eqNullSafe(F.col(f"_pl_k{i}")) for i, k in enumerate(keys)] + [F.col(b) == F.col("_pl_b2")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    joined = with_b.withColumn("_pl_r", within).join(offsets, cond)
-    return joined.withColumn(name, (F.col("_pl_r") + F.col(base)).cast("long")).drop(b, base, "_pl_r", "_pl_b2", *[f"_pl_k{i}" for i in range(len(keys))])
+    text = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")) for k in keys])
+    rows = df.withColumn("_pl_key", text).withColumn("_pl_bucket", bucket)
+    sizes = rows.groupBy("_pl_key", "_pl_bucket").agg(F.count(F.lit(1)).alias("_pl_n"))
+    before = Window.partitionBy("_pl_key").orderBy("_pl_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pl_key", "_pl_bucket", F.coalesce(F.sum("_pl_n").over(before), F.lit(0)).alias("_pl_base"))
+    within = F.row_number().over(Window.partitionBy("_pl_key", "_pl_bucket").orderBy(*order)) - 1
+    joined = rows.withColumn("_pl_r", within).join(offsets, ["_pl_key", "_pl_bucket"])
+    return joined.withColumn(name, (F.col("_pl_r") + F.col("_pl_base")).cast("long")).drop("_pl_key", "_pl_bucket", "_pl_base", "_pl_r")
