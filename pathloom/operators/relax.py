@@ -19,26 +19,27 @@ KERNEL_EDGES = 4_000_000
 def relax(seeds: DataFrame, edges: DataFrame, keys: list[str], reverse: bool = False, valid: Column | None = None, heads: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
     """(keys, v, dist): least distances from seeds (keys, v, dist) over edges (src, dst, weight, ...).
 
-    A round joins the frontier to the edges, takes a minimum per (keys, v), which combines before the shuffle, and keeps
-    strict improvements.  All keys advance together, so rounds count the longest path in hops and not the keys.  `valid`
+    A round joins the frontier (the labels that improved last) to the edges and takes minima per (keys, v) over old and new
+    labels: one aggregation, combined before its shuffle, whose result marks the next frontier.  All keys advance together, so rounds count the longest path in hops and not the keys.  `valid`
     restricts edges by columns of both sides (versions as of a key); `heads` (keys, v) restricts what may be reached.
     Vertices not reached are absent.  Every round is written down, so its lineage is one round long.
     """
     tail, head = ("dst", "src") if reverse else ("src", "dst")
     e = edges.select(*[F.col(c).alias("_e_" + c) for c in edges.columns])
     k = [F.col(c) for c in keys]
-    best = front = materialise(seeds.groupBy(*keys, "v").agg(F.min("dist").alias("dist")), "relax")
+    best = materialise(seeds.groupBy(*keys, "v").agg(F.min("dist").alias("dist"), F.lit(True).alias("fresh")), "relax")
     for _ in range(max_rounds):
         on = F.col("v") == F.col("_e_" + tail)
-        step = front.join(e, on if valid is None else on & valid)
-        cand = step.groupBy(*k, F.col("_e_" + head).alias("v")).agg(F.min(sat_add(F.col("dist"), F.col("_e_weight"))).alias("nd")).where(F.col("nd") < INF)
+        step = best.where("fresh").join(e, on if valid is None else on & valid)
+        cand = step.select(*k, F.col("_e_" + head).alias("v"), sat_add(F.col("dist"), F.col("_e_weight")).alias("dist")).where(F.col("dist") < INF)
         if heads is not None:
             cand = cand.join(heads, [*keys, "v"], "left_semi")
-        better = cand.join(best, [*keys, "v"], "left").where("dist is null or nd < dist").select(*keys, "v", F.col("nd").alias("dist"))
-        front = materialise(better, "relax")
-        if front.isEmpty():
-            return best
-        best = materialise(best.union(front).groupBy(*keys, "v").agg(F.min("dist").alias("dist")), "relax")
+        both = best.select(*keys, "v", "dist", F.col("dist").alias("was")).union(cand.select(*keys, "v", "dist", F.lit(None).cast("long")))
+        low = both.groupBy(*keys, "v").agg(F.min("dist").alias("dist"), F.min("was").alias("was"))
+        nxt = materialise(low.select(*keys, "v", "dist", F.expr("was is null or dist < was").alias("fresh")), "relax")
+        if nxt.where("fresh").isEmpty():
+            return nxt.drop("fresh")
+        best = nxt
     raise RuntimeError("relaxation did not settle")
 
 
