@@ -82,8 +82,8 @@ def _split(phrase: str) -> list[bytes]:
 class LicenseIndex:
     """Postings (template, place) of template words, and each word's IDF over the corpus."""
 
-    def __init__(self, idf: dict[bytes, float], templates: dict = TEMPLATES, base: dict = BASE, rarest: int = 8, least: float = 0.75):
-        self.idf, self.rarest, self.least = idf, rarest, least
+    def __init__(self, idf: dict[bytes, float], templates: dict = TEMPLATES, base: dict = BASE, least: float = 0.75):
+        self.idf, self.least = idf, least
         self.names = list(templates)
         self.texts = [_split(t) for t, _ in templates.values()]
         self.keys = [[_split(k) for k in keys] for _, keys in templates.values()]
@@ -118,11 +118,10 @@ class LicenseIndex:
                         starts.append(i - k)
                         labels.add(label)
         found, score = set(labels), 1.0 if labels else 0.0
-        # the text's highest-IDF licence words vote for (template, shift)
-        top = sorted((w for w in places if w in self.postings), key=lambda w: (-self.idf.get(w, 0.0), w))[: self.rarest]
+        # all posted words vote for (template, shift), so a licence's votes don't depend on what else the text holds
         votes: Counter = Counter()
-        for w in top:
-            for t, q in self.postings[w]:
+        for w in places:
+            for t, q in self.postings.get(w, ()):
                 for i in places[w]:
                     votes[t, i - q] += 1
         for (t, shift), n in votes.items():

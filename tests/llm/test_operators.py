@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from pathloom.llm import chat, components, embeddings, mixing, packing, quality, queries as q, secrets, simhash, windows
+from pathloom.llm import chat, components, embeddings, licenses, mixing, packing, quality, queries as q, secrets, simhash, windows
 
 from . import brute
 from .test_contracts import _documents, _vectors
@@ -168,3 +168,15 @@ def test_pipeline(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
     assert {k: sorted(v) for k, v in got.items()} == {i: brute.pieces(t, tok) for i, t in clean.items()}
+
+
+def _licence_index(**idf):
+    return licenses.LicenseIndex({w: idf.get(w.decode(), 5.0) for w in licenses.vocabulary()})
+
+
+def test_a_rare_licence_does_not_hide_a_common_one():
+    mit, mpl = licenses.TEMPLATES["mit"][0], licenses.TEMPLATES["mpl-2"][0]
+    index = _licence_index(**{w: 1.0 for w in mit.split()})
+    assert index.scan(licenses.words_of(f"{mit} and then {mpl}".encode()))[4:] == ("mit,mpl-2", 1.0)
+    stray = " x ".join(sorted(w.decode() for w in licenses.vocabulary() if w.decode() not in mit.split())[:40])
+    assert index.scan(licenses.words_of(f"{stray} {mit}".encode()))[4:] == ("mit", 1.0)
