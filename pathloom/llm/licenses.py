@@ -82,19 +82,21 @@ def _split(phrase: str) -> list[bytes]:
 class LicenseIndex:
     """Postings (template, place) of template words, and each word's IDF over the corpus."""
 
-    def __init__(self, idf: dict[bytes, float], templates: dict = TEMPLATES, base: dict = BASE, least: float = 0.75):
-        self.idf, self.least = idf, least
+    def __init__(self, idf: dict[bytes, float], templates: dict = TEMPLATES, base: dict = BASE, least: float = 0.75, slack: int = 8):
+        self.idf, self.least, self.slack = idf, least, slack
         self.names = list(templates)
         self.texts = [_split(t) for t, _ in templates.values()]
         self.keys = [[_split(k) for k in keys] for _, keys in templates.values()]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        # a template is posted at the rarer half of its words: a text with three quarters of it holds half of these at least
+        # a template is posted at the rarer half of its words: a text with `least` of it holds so many of these places
+        self.needs: list[int] = []
         for t, words in enumerate(self.texts):
             ranked = sorted(set(words), key=lambda w: (-idf.get(w, 0.0), w))
             posted = set(ranked[: (len(ranked) + 1) // 2])
             for q, w in enumerate(words):
                 if w in posted:
                     self.postings[w].append((t, q))
+            self.needs.append(max(1, sum(w in posted for w in words) - int((1 - least) * len(words))))
         self.base = [(_split(p), label) for p, label in base.items()]
         # a phrase is looked for at its rarest word
         self.rare: dict[bytes, list[tuple[int, list[bytes], str]]] = defaultdict(list)
@@ -118,25 +120,57 @@ class LicenseIndex:
                         starts.append(i - k)
                         labels.add(label)
         found, score = set(labels), 1.0 if labels else 0.0
-        # all posted words vote for (template, shift), so a licence's votes don't depend on what else the text holds
-        votes: Counter = Counter()
-        for w in places:
-            for t, q in self.postings.get(w, ()):
-                for i in places[w]:
-                    votes[t, i - q] += 1
-        for (t, shift), n in votes.items():
-            if n < 2:
-                continue
-            text = self.texts[t]
-            hit = sum(0 <= shift + q < len(words) and words[shift + q] == w for q, w in enumerate(text)) / len(text)
-            if hit >= self.least and all(self._near(words, shift, len(text), k) for k in self.keys[t]):
+        # all posted words vote, so a licence's votes don't depend on what else the text holds
+        held = Counter(t for w in places for t, _ in self.postings.get(w, ()))
+        hits: dict[int, list[tuple[int, int]]] = {t: [] for t, n in held.items() if n >= self.needs[t]}
+        if hits:
+            for w, at in places.items():
+                for t, q in self.postings.get(w, ()):
+                    if t in hits:
+                        hits[t] += [(i - q, q) for i in at]
+        for t, votes in hits.items():
+            best = self._best(words, t, sorted(votes))
+            if best:
                 found.add(self.names[t])
-                score = max(score, hit)
+                score = max(score, best)
         return len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(found)), score
 
+    def _best(self, words: list[bytes], t: int, votes: list[tuple[int, int]]) -> float:
+        """The best share of template t's words that stand in order within `slack` of one shift, 0 below `least` or without
+        its key phrases.  Words added or left out move the later words by a few shifts, which are joined here."""
+        text, best, seen, end = self.texts[t], 0.0, Counter(), 0
+        for k, (shift, q) in enumerate(votes):
+            while end < len(votes) and votes[end][0] <= shift + self.slack:
+                seen[votes[end][1]] += 1
+                end += 1
+            if len(seen) >= self.needs[t] and (k == 0 or votes[k - 1][0] < shift):
+                hit = self._aligned(words, text, shift) / len(text)
+                if hit >= self.least and hit > best and all(self._near(words, shift, len(text), key) for key in self.keys[t]):
+                    best = hit
+                    if best == 1:
+                        break
+            seen[q] -= 1
+            if not seen[q]:
+                del seen[q]
+        return best
+
+    def _aligned(self, words: list[bytes], text: list[bytes], shift: int) -> int:
+        """The longest common subsequence of a template and the text, each word at most slack places off the shift."""
+        n, wide = len(words), 2 * self.slack + 1
+        row = [0] * (wide + 1)  # row[d]: the most matches up to the text's place shift - slack + q + d
+        for q, w in enumerate(text):
+            at, left = shift - self.slack + q, 0
+            new = []
+            for d in range(wide):
+                here = row[d] + 1 if 0 <= at + d < n and words[at + d] == w else row[d + 1]
+                left = max(left, here)
+                new.append(left)
+            row = [*new, new[-1]]
+        return row[-1]
+
     @staticmethod
     def _near(words: list[bytes], shift: int, length: int, key: list[bytes]) -> bool:
-        area = words[max(0, shift - 8) : shift + length + 8]
+        area = words[max(0, shift - 8) : max(0, shift + length + 8)]
         return any(area[i : i + len(key)] == key for i in range(len(area) - len(key) + 1))
 
 

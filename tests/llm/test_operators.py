@@ -180,3 +180,22 @@ def test_a_rare_licence_does_not_hide_a_common_one():
     assert index.scan(licenses.words_of(f"{mit} and then {mpl}".encode()))[4:] == ("mit,mpl-2", 1.0)
     stray = " x ".join(sorted(w.decode() for w in licenses.vocabulary() if w.decode() not in mit.split())[:40])
     assert index.scan(licenses.words_of(f"{stray} {mit}".encode()))[4:] == ("mit", 1.0)
+
+
+def test_licences_with_words_added_or_left_out():
+    index = _licence_index()
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions"
+    assert index.scan(licenses.words_of(bsd.encode()))[4:] == ("bsd", 1.0)
+    for name, (text, keys) in licenses.TEMPLATES.items():
+        words = text.split()
+        held = {i + j for k in keys for i in range(len(words)) if words[i : i + len(k.split())] == k.split() for j in range(len(k.split()))}
+        tried = 0
+        for at in range(1, len(words)):
+            more, less = [*words[:at], "zz", *words[at:]], [*words[:at], *words[at + 1 :]]
+            for made, fine in ((more, not {at - 1, at} <= held), (less, at not in held)):
+                if fine:
+                    tried += 1
+                    got = index.scan(licenses.words_of(" ".join(["x", *made, "y"]).encode()))
+                    assert name in got[4].split(","), (name, made)
+        assert tried > 4
+    assert index.scan(licenses.words_of(" ".join(reversed(bsd.split())).encode()))[4:] == ("", 0.0)
