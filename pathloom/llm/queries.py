@@ -59,7 +59,7 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"), period=1000)  # as its SQL
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

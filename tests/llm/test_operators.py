@@ -199,3 +199,23 @@ def test_licences_with_words_added_or_left_out():
                     assert name in got[4].split(","), (name, made)
         assert tried > 4
     assert index.scan(licenses.words_of(" ".join(reversed(bsd.split())).encode()))[4:] == ("", 0.0)
+
+
+def test_exact_mixing_stays_within_a_block_over_the_whole_order(spark):
+    w = {"hot": 9750.0, **{f"s{i:02}": 126.0 + i / 7 for i in range(60)}, "tiny": 0.9, None: 57.4}
+    blocks = {s: 40 for s in w} | {"hot": 900, "tiny": 1}
+    total = sum(w.values())
+    rows = mixing.exact_schedule(spark.createDataFrame([(s, x, blocks[s]) for s, x in w.items()], "source string, weight double, blocks long"), chunk=100).collect()
+    assert sorted((str(r.source), r.j) for r in rows) == sorted((str(s), j) for s, n in blocks.items() for j in range(n))
+    assert len({r.slot for r in rows}) == len(rows) and max(r.slot for r in rows) > 4000
+    for r in rows:
+        due = w[r.source] / total
+        assert r.release <= r.slot < r.deadline
+        assert abs(r.j - due * r.slot) < 1 and abs(r.j + 1 - due * (r.slot + 1)) < 1
+
+
+@pytest.mark.parametrize("period", [None, 1000])
+def test_mixing_gives_over_a_thousand_sources_slots(spark, period):
+    d = spark.range(1100).selectExpr("id as doc_id", "concat('s', id) as source")
+    slots = [r.slot for r in mixing.mix(d, block=1, period=period).collect()]
+    assert None not in slots and len(set(slots)) == 1100
