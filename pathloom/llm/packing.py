@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -93,18 +94,20 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): a document's ids with end_id behind them, cut only if over capacity.
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, order_col: str | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32[, ids][, order_col]): a document's ids with end_id behind them, cut only if
+    over capacity.
 
     Then the first piece takes the remainder and all others are full.  Null text: empty, one piece of one id.
     """
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids + [order_col] * bool(order_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, last = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
+            places = b.column(2).to_pylist() if order_col else [None] * b.num_rows
+            for doc, text, place in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), places, strict=True):
                 ids = memoryview(enc.encode(text.decode()) + last)
                 n = len(ids) // 4
                 at, first = 0, n % capacity or capacity
@@ -112,14 +115,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
                 while at < n:
                     to = at + (first if k == 0 else capacity)
                     part = ids[4 * at : 4 * to]
-                    rows.append((doc, k, at, to - at, zlib.crc32(part), *([bytes(part)] if keep_ids else ())))
+                    rows.append((doc, k, at, to - at, zlib.crc32(part), *([bytes(part)] if keep_ids else ()), *([place] if order_col else ())))
                     at, k = to, k + 1
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids + [pa.int64()] * bool(order_col)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + (f", `{order_col}` long" if order_col else "")
+    more = [F.col(order_col).cast("long").alias("o")] if order_col else []
+    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), *more).mapInArrow(run, schema)
 
 
 def slack_patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -161,44 +165,80 @@ def slack_patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[tup
     return out
 
 
-def pack(parts: DataFrame, capacity: int = 1024, buckets: int = 64) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 1024, buckets: int = 64, order_col: str | None = None, groups: int = 64, group_pieces: int = 512) -> DataFrame:
     """parts (with doc_id, piece, length) plus sequence_id and offset, gapless from 0 in each sequence.
 
     Only the histogram of at most `capacity` lengths comes to the driver.  Pieces of a length are numbered bucket by
     bucket, and number ranges map to patterns in a table of bounded size.  Empty table: no rows.
+
+    With order_col the sequences follow that order: it is cut into at most `groups` equal ranges, of about `group_pieces`
+    pieces at least, and the sequences of a range, which hold its pieces only, come before those of the next; pieces
+    without a place follow in a range of their own.  Patterns alternate within a range, so that long documents don't lead.
     """
-    hist = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranges: dict[int, list[tuple[int, int, int, int]]] = {}
-    used: Counter = Counter()
-    base = 0
-    for pattern, times in slack_patterns(hist, capacity):
-        offset = 0
-        for l, c in pattern:
-            ranges.setdefault(l, []).append((used[l], c, base, offset))
-            used[l] += c * times
-            offset += l * c
-        base += times
-    table = {l: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for l, r in ranges.items()}
-
-    ranked = salted_rank(parts, ["length"], [F.xxhash64("doc_id", "piece"), F.col("doc_id"), F.col("piece")], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)), "_pl_rank")
-    names = parts.columns
+    names, group, order = parts.columns, F.lit(0), [F.xxhash64("doc_id", "piece"), F.col("doc_id"), F.col("piece")]
+    if order_col:
+        n, top = parts.agg(F.count(F.lit(1)), F.max(order_col)).first()
+        groups = max(1, min(groups, n // group_pieces))
+        at = F.col(order_col) * groups / F.lit(float((top or 0) + 1))
+        group = F.coalesce(F.floor(at), F.lit(groups)).cast("int")
+        bucket = F.coalesce(F.floor((at - F.floor(at)) * buckets), F.pmod(order[0], F.lit(buckets)))
+        order = [F.col(order_col), *order]
+    else:
+        bucket = F.pmod(order[0], F.lit(buckets))
+    parts = parts.withColumn("_pl_group", group)
+    hists: dict[int, dict[int, int]] = {}
+    for r in parts.groupBy("_pl_group", "length").agg(F.count(F.lit(1)).alias("n")).collect():
+        hists.setdefault(r["_pl_group"], {})[r["length"]] = r["n"]
+    table, spans, base = {}, {}, 0
+    for g, hist in sorted(hists.items()):
+        ranges: dict[int, list[tuple[int, int, int, int]]] = {}
+        used: Counter = Counter()
+        start = base
+        for pattern, times in slack_patterns(hist, capacity):
+            offset = 0
+            for l, c in pattern:
+                ranges.setdefault(l, []).append((used[l], c, base, offset))
+                used[l] += c * times
+                offset += l * c
+            base += times
+        table |= {(g, l): tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for l, r in ranges.items()}
+        spans[g] = (start, base - start, _stride(base - start) if order_col else 1)
+
+    ranked = salted_rank(parts, ["_pl_group", "length"], order, bucket, "_pl_rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_pl_rank"))
+            length, rank, of = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "_pl_rank", "_pl_group"))
             seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for l in np.unique(length):
-                at = np.flatnonzero(length == l)
-                start, copies, first, offset = table[int(l)]
+            both = of.astype(np.int64) * (capacity + 1) + length
+            for x in np.unique(both):
+                at = np.flatnonzero(both == x)
+                g, l = divmod(int(x), capacity + 1)
+                start, copies, first, offset = table[g, l]
                 p = np.searchsorted(start, rank[at], "right") - 1
                 r = rank[at] - start[p]
-                seq[at], off[at] = first[p] + r // copies[p], offset[p] + r % copies[p] * l
+                low, n, stride = spans[g]
+                seq[at] = low + (first[p] + r // copies[p] - low) * stride % n
+                off[at] = offset[p] + r % copies[p] * l
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in parts.dtypes) + ", sequence_id long, offset long"
-    return ranked.select(*names, "_pl_rank").mapInArrow(run, schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in parts.select(*names).dtypes) + ", sequence_id long, offset long"
+    return ranked.select(*names, "_pl_rank", "_pl_group").mapInArrow(run, schema)
+
+
+def _stride(n: int) -> int:
+    """A step near the golden section of n without a common divisor: multiples of it modulo n are spread evenly."""
+    step = max(1, round(n * 0.618))
+    while math.gcd(step, n) > 1:
+        step += 1
+    return step
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack: one row per piece.  Ties and repeated rows are pieces of their own; null ids stay null."""
-    return pack(materialise(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, keep_ids), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, order_col: str | None = None) -> DataFrame:
+    """Tokenise, cut and pack: one row per piece.  Ties and repeated rows are pieces of their own; null ids stay null.
+
+    With order_col, a column of docs, sequences follow it; it isn't returned.
+    """
+    parts = materialise(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, keep_ids, order_col), "pieces")
+    packed = pack(parts, capacity, order_col=order_col)
+    return packed.drop(order_col) if order_col else packed

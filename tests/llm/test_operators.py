@@ -219,3 +219,23 @@ def test_mixing_gives_over_a_thousand_sources_slots(spark, period):
     d = spark.range(1100).selectExpr("id as doc_id", "concat('s', id) as source")
     slots = [r.slot for r in mixing.mix(d, block=1, period=period).collect()]
     assert None not in slots and len(set(slots)) == 1100
+
+
+def test_sequences_follow_the_mixed_order(spark):
+    # a holds a seventh of the rows and half of the weight: half of the order is a's until its documents are used up
+    rows = [(i, "a" if i % 7 == 0 else "b", "w " * (20 + i * 37 % 400)) for i in range(4200)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mixed = mixing.mixed_order(d, "mix_order", weights=spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double"), block=8)
+    out = packing.pack_documents(mixed, q.tokenizer_path(), order_col="mix_order").collect()
+    assert {r.doc_id for r in out} == set(range(4200)) and "mix_order" not in out[0].asDict()
+    seqs = {}
+    for r in out:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length, r.doc_id))
+    assert sorted(seqs) == list(range(len(seqs))) and len(seqs) <= 1.02 * -(-sum(r.length for r in out) // 1024) + 1
+    for parts in seqs.values():
+        parts.sort()
+        assert [o for o, *_ in parts] == [sum(l for _, l, _ in parts[:k]) for k in range(len(parts))]
+    order = [i for s in sorted(seqs) for _, _, i in seqs[s]]
+    share = [sum(i % 7 == 0 for i in order[k : k + 525]) / 525 for k in range(0, 1050, 525)]
+    assert all(abs(x - 0.5) < 0.1 for x in share), share
+    assert not any(i % 7 == 0 for i in order[2100:])
