@@ -239,3 +239,11 @@ def test_sequences_follow_the_mixed_order(spark):
     share = [sum(i % 7 == 0 for i in order[k : k + 525]) / 525 for k in range(0, 1050, 525)]
     assert all(abs(x - 0.5) < 0.1 for x in share), share
     assert not any(i % 7 == 0 for i in order[2100:])
+
+
+def test_a_key_behind_an_allowed_segment_is_redacted(spark):
+    r = random.Random(21)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    texts = [f"get /example/{key} now", f"see {key}0123456789 too", "at /usr/Example/lib/python3/x1 and abcdefghij0123456789klmno"]
+    out = [x.text for x in secrets.redact_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all("[SECRET]" in x and key[8:-8] not in x for x in out[:2]) and "example" in out[0] and out[2] == texts[2]
