@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.functions.tables import materialise, shared_dir
 
-__all__ = ["byte_texts", "materialise", "salted_rank", "shared_dir"]
+__all__ = ["bounded", "byte_texts", "give_back", "materialise", "salted_rank", "shared_dir", "small_batches"]
 
 
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -16,6 +20,34 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def bounded(docs: DataFrame, most: str = "4m") -> DataFrame:
+    """docs, after a session whose Arrow batches have Spark's own bound of bytes has got `most`: a batch of 10,000 texts is
+    otherwise as large as they are, in the JVM, in the worker and between them.  A bound set by the user stays."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name).rstrip("b") == str(64 << 20):
+        conf.set(name, most)
+    return docs
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, so that only `rows` texts at a time stand beside the batch as Python objects.
+
+    When the task's batches are used up, what Arrow and the C library hold of freed memory goes back: a worker serves many
+    tasks of many queries, and its executor counts what it keeps.
+    """
+    for b in batches:
+        for at in range(0, b.num_rows or 1, rows):
+            yield b.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
     """Add `name`: 0-based row number within keys, ordered by (bucket, order).
 

@@ -10,7 +10,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts
+from .common import bounded, byte_texts, small_batches
 
 # The base phrases and their labels.
 BASE = {
@@ -184,14 +184,14 @@ def licence_idf(docs: DataFrame, text_col: str = "text") -> dict[bytes, float]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, seen, n = vocabulary(), Counter(), 0
-        for b in batches:
+        for b in small_batches(batches):
             for t in byte_texts(b.column(0)):
                 seen.update(vocab.intersection(words_of(t)))
                 n += 1
         seen[b""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
 
-    df = {bytes(r["w"]): r["n"] for r in docs.select(text_col).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    df = {bytes(r["w"]): r["n"] for r in bounded(docs).select(text_col).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     total = df.get(b"", 0)
     return {w: math.log((1 + total) / (1 + df.get(w, 0))) for w in vocabulary()}
 
@@ -205,7 +205,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = LicenseIndex(idf)
-        for b in batches:
+        for b in small_batches(batches):
             rows = []
             for t in byte_texts(b.column(1)):
                 words = words_of(t)
@@ -215,4 +215,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(run, schema)

@@ -23,19 +23,18 @@ h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/]*'), '{
 m AS (SELECT page_id, host, path, key, verdict, row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(key) DESC NULLS LAST, instr(key, '/') DESC) AS i FROM h LEFT JOIN r ON (host = split_part(key, '/', 1) OR ends_with(host, '.' || split_part(key, '/', 1))) AND starts_with(path, substr(key, instr(key, '/'))))
 SELECT h.page_id, h.host, h.path, m.key AS rule, coalesce(m.verdict, 'allow') AS verdict FROM h JOIN m ON m.i = 1 AND m.page_id IS NOT DISTINCT FROM h.page_id AND m.host = h.host AND m.path = h.path"""
 
-OP7 = """WITH RECURSIVE s AS (SELECT source, round(pow(count(*)::DOUBLE, 0.7), 6) AS weight FROM documents GROUP BY 1),
-u AS (SELECT source, weight, weight / (SELECT sum(weight) FROM s) * 1000 < 2 AS small FROM s),
-i AS (SELECT source, small, 1000 - (SELECT count(*) FILTER (small) FROM u) AS rest, weight / sum(weight) OVER (PARTITION BY small) * (1000 - (SELECT count(*) FILTER (small) FROM u)) AS ideal FROM u),
-n AS (SELECT source, CASE WHEN small THEN 1 ELSE floor(ideal)::BIGINT + CASE WHEN row_number() OVER (PARTITION BY small ORDER BY ideal - floor(ideal) DESC, source NULLS FIRST) <= rest - sum(floor(ideal)) OVER (PARTITION BY small) THEN 1 ELSE 0 END END AS n FROM i),
-q AS (SELECT list(source ORDER BY source NULLS FIRST) AS src, list(n ORDER BY source NULLS FIRST) AS n FROM n),
-due AS (SELECT 1),
-e(t, k, i) AS (SELECT -1::BIGINT, list_transform(n, lambda x: 0::BIGINT), 0::BIGINT FROM q
-  UNION ALL SELECT t + 1, list_transform(k, lambda x, j: x + CASE WHEN j = w THEN 1 ELSE 0 END), w FROM (SELECT t, k, list_position(d, list_min(d)) AS w FROM (SELECT t, k, list_transform(k, lambda x, j: CASE WHEN x < q.n[j] AND x * 1000 // q.n[j] <= t + 1 THEN ((x + 1) * 1000 + q.n[j] - 1) // q.n[j] ELSE 1000000 END) AS d FROM e, q WHERE t < 999))),
-plan AS (SELECT q.src[i] AS source, q.n[i] AS n, t AS slot, row_number() OVER (PARTITION BY i ORDER BY t) - 1 AS j FROM e, q WHERE i > 0),
-d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - 1 AS no FROM documents),
-b AS (SELECT doc_id, d.source, no // 32 AS block, no % 32 AS place, n.n FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
-SELECT doc_id, b.source, block, (block // b.n) * 1000 + (block % b.n) * 1000 // b.n AS release, (block // b.n) * 1000 + ((block % b.n + 1) * 1000 + b.n - 1) // b.n AS deadline, (block // b.n) * 1000 + slot AS slot, place
-FROM b JOIN plan ON plan.source IS NOT DISTINCT FROM b.source AND plan.j = block % b.n""".replace("due AS (SELECT 1),\n", "")
+OP7 = """WITH RECURSIVE s AS (SELECT source, count(*) AS c, round(pow(count(*)::DOUBLE, 0.7), 6) AS weight FROM documents GROUP BY 1),
+v AS (SELECT source, c, greatest(1, round(weight / max(weight) OVER () * 1073741824)::BIGINT) AS w FROM s),
+x AS (SELECT source, c, w, (sum(w) OVER ())::BIGINT AS total FROM v),
+z AS (SELECT greatest(32, ceil(max(c * (total::DOUBLE / w)) / 16384)::BIGINT) AS block, max(c * (total::DOUBLE / w)) AS far, count(*) AS n FROM x),
+q AS (SELECT list(source ORDER BY source NULLS FIRST) AS src, list(w ORDER BY source NULLS FIRST) AS w, any_value(total) AS total, list((c + block - 1) // block ORDER BY source NULLS FIRST) AS blocks, any_value(ceil(far / block)::BIGINT + n) AS horizon FROM x, z),
+e(t, k, i) AS (SELECT -1::BIGINT, list_transform(w, lambda x: 0::BIGINT), 0::BIGINT FROM q
+  UNION ALL SELECT t + 1, list_transform(k, lambda x, j: x + CASE WHEN j = i THEN 1 ELSE 0 END), i FROM (SELECT t, k, CASE WHEN list_min(d) < 1000000000000 THEN list_position(d, list_min(d))::BIGINT ELSE 0 END AS i
+    FROM (SELECT t, k, list_transform(k, lambda x, j: CASE WHEN x < q.blocks[j] AND x * q.total // q.w[j] <= t + 1 THEN ((x + 1) * q.total + q.w[j] - 1) // q.w[j] ELSE 1000000000000 END) AS d FROM e, q WHERE t < q.horizon - 1))),
+plan AS (SELECT q.src[i] AS source, q.w[i] AS w, q.total, t AS slot, row_number() OVER (PARTITION BY i ORDER BY t) - 1 AS j FROM e, q WHERE i > 0),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - 1 AS no FROM documents)
+SELECT doc_id, d.source, no // block AS block, j * total // w AS release, ((j + 1) * total + w - 1) // w AS deadline, slot, no % block AS place
+FROM d CROSS JOIN z JOIN plan ON plan.source IS NOT DISTINCT FROM d.source AND plan.j = no // block"""
 
 OP10 = f"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 k AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i, unnest(list_transform(generate_series(1, len(ws)), lambda i: CASE WHEN i + 49 <= len(ws) THEN hash(ws[i:i + 49]) END)) AS key FROM w),
@@ -69,10 +68,11 @@ base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_f
 grid(rule, i, cut) AS (VALUES {grid}),
 s AS ({scores}),
 good AS (SELECT s.* FROM s JOIN base USING (doc_id) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-k AS (SELECT lang, rule, i, cut, count(*) AS n, count(*) FILTER (score > cut) AS k FROM good JOIN grid USING (rule) GROUP BY ALL),
-p AS (SELECT *, CASE WHEN k = n THEN 1.0 ELSE list_sum(list_transform(generate_series(0, k), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01::DOUBLE) + (n - j) * ln(0.99::DOUBLE)))) END AS tail FROM k),
-v AS (SELECT lang, rule, cut, min(CASE WHEN tail <= 0.05 / (4 * (SELECT count(DISTINCT lang) FROM good)) THEN 1 ELSE 0 END) OVER (PARTITION BY lang, rule ORDER BY i) AS fine FROM p),
-cuts AS (SELECT lang, rule, min(cut) AS cut FROM v WHERE fine = 1 GROUP BY 1, 2),
+hits AS (SELECT lang, doc_id, i, max(CASE WHEN score > cut THEN 1 ELSE 0 END) AS hit FROM good JOIN grid USING (rule) GROUP BY ALL),
+k AS (SELECT lang, i, count(*) AS n, sum(hit) AS k FROM hits GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k = n THEN 1.0 ELSE list_sum(list_transform(generate_series(0, k::BIGINT), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.04::DOUBLE) + (n - j) * ln(0.96::DOUBLE)))) END AS tail FROM k),
+v AS (SELECT lang, i, min(CASE WHEN tail <= 0.05 / (SELECT count(DISTINCT lang) + max(CASE WHEN lang IS NULL THEN 1 ELSE 0 END) FROM good) THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY i) AS fine FROM p),
+cuts AS (SELECT lang, rule, cut FROM grid JOIN (SELECT lang, max(i) AS i FROM v WHERE fine = 1 GROUP BY 1) USING (i)),
 bad AS (SELECT DISTINCT s.doc_id FROM s JOIN cuts ON cuts.rule = s.rule AND cuts.lang IS NOT DISTINCT FROM s.lang WHERE s.score > cuts.cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM base"""
 

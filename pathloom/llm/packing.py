@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts, materialise, salted_rank
+from .common import bounded, byte_texts, materialise, salted_rank, small_batches
 
 EOT = "<|endoftext|>"
 #: White space, beside blank and line feed, that the splitter below doesn't treat; texts with it take the tokenizer's own path.
@@ -45,7 +45,7 @@ class PieceEncoder(dict):
     tokenizer whole.  A part of letters and ASCII is split by the vocabulary's own pattern and goes straight to the tokenizer's model.  The result always equals tokenizer.encode(text, add_special_tokens=False).
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), limit
@@ -104,7 +104,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, last = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids + [pa.int64()] * bool(order_col)
+        for b in small_batches(batches):
             rows: list[tuple] = []
             places = b.column(2).to_pylist() if order_col else [None] * b.num_rows
             for doc, text, place in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), places, strict=True):
@@ -118,12 +119,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: i
                     rows.append((doc, k, at, to - at, zlib.crc32(part), *([bytes(part)] if keep_ids else ()), *([place] if order_col else ())))
                     at, k = to, k + 1
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids + [pa.int64()] * bool(order_col)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + (f", `{order_col}` long" if order_col else "")
     more = [F.col(order_col).cast("long").alias("o")] if order_col else []
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), *more).mapInArrow(run, schema)
+    return bounded(docs).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), *more).mapInArrow(run, schema)
 
 
 def slack_patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:

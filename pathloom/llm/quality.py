@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import byte_texts, materialise
+from .common import bounded, byte_texts, give_back, materialise
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -52,8 +52,9 @@ def text_counts(text: bytes) -> tuple[int, ...]:
 
 
 def _counts(texts: pa.Array) -> pa.Array:
-    rows = [text_counts(t) for t in byte_texts(texts)]
+    rows = [text_counts(t) for at in range(0, len(texts), 256) for t in byte_texts(texts.slice(at, 256))]
     cols = list(zip(*rows, strict=True)) if rows else [()] * len(COUNTS)
+    give_back()
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], list(COUNTS))
 
 
@@ -62,13 +63,14 @@ def counts(text: Column) -> Column:
     return arrow_udf(_counts, _STRUCT)(text)
 
 
-#: name: (score of a struct column c, larger is worse; cutoffs tried, mildest first).
+#: name: (score of a struct column c, larger is worse; its cutoffs at each joint step, mildest first).
 RULES = {
-    "symbols": (lambda c: c["n_symbols"] / F.greatest(c["word_chars"], F.lit(1)), [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01]),
-    "repeats": (lambda c: c["n_repeat_words"] / F.greatest(c["n_words"], F.lit(1)), [0.48, 0.44, 0.4, 0.36, 0.32, 0.28, 0.24, 0.2, 0.16, 0.12, 0.08]),
-    "lines": (lambda c: c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1)), [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1]),
-    "word_length": (lambda c: F.abs(c["word_chars"] / F.greatest(c["n_words"], F.lit(1)) - 6.5), [30.0, 20.0, 15.0, 12.0, 10.0, 8.0, 7.0, 6.0, 5.0, 4.5, 4.0, 3.5, 3.0]),
+    "symbols": (lambda c: c["n_symbols"] / F.greatest(c["word_chars"], F.lit(1)), [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04]),
+    "repeats": (lambda c: c["n_repeat_words"] / F.greatest(c["n_words"], F.lit(1)), [0.48, 0.44, 0.4, 0.36, 0.32, 0.28, 0.24, 0.2, 0.16, 0.14, 0.12, 0.1]),
+    "lines": (lambda c: c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1)), [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1]),
+    "word_length": (lambda c: F.abs(c["word_chars"] / F.greatest(c["n_words"], F.lit(1)) - 6.5), [30.0, 20.0, 15.0, 12.0, 10.0, 8.0, 7.0, 6.0, 5.0, 4.5, 4.0, 3.5]),
 }
+STEPS = len(RULES["symbols"][1])
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -80,41 +82,38 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def cutoffs(good: DataFrame, strata: Column, risk: float = 0.04, delta: float = 0.05, rules: dict = RULES, counted: str = "_pl_c") -> DataFrame:
-    """(stratum, one cutoff a rule) from labelled good documents; a cutoff is null where none is safe.
+def over(c: Column, step: Column | int) -> Column:
+    """Whether any rule's score of counts c exceeds its cutoff at a step; false where the step is null."""
+    at = F.lit(step) if isinstance(step, int) else step
+    one = [F.coalesce(score(c) > F.get(F.array(*map(F.lit, grid)), at), F.lit(False)) for score, grid in RULES.values()]
+    return reduce(lambda a, b: a | b, one)
 
-    A rule may reject at most risk / #rules of a stratum's good documents, so all of them at most `risk`.  A rule's
-    cutoffs are tried from the mildest on while the exact binomial test refutes a higher rate at delta / (#rules *
-    #strata): a fixed sequence needs no share for its steps, the rules and strata share delta (Bonferroni).  So with
-    probability 1 - delta no stratum's false rejection exceeds `risk`.  Rejections are counted by partial sums, one row a
-    stratum; the row count of that table is the number of strata.
+
+def cutoffs(good: DataFrame, strata: Column, risk: float = 0.04, delta: float = 0.05, counted: str = "_pl_c") -> DataFrame:
+    """(stratum, step) from labelled good documents: the strictest safe joint step of all rules, null where none is safe.
+
+    The steps are one fixed sequence: at each, all rules together reject no fewer documents than at the one before.  They
+    are tried from the mildest on while the exact binomial test refutes a false rejection of more than `risk` at the level
+    delta / #strata.  A fixed sequence needs no share for its steps, and one for all rules none for the rules; the strata
+    share delta (Bonferroni).  So with probability 1 - delta no stratum loses more than `risk` of its good documents to
+    the rules.  log(delta / #strata) / log(1 - risk) labels without a rejection are the fewest that allow a step: 108 with
+    four strata.  Rejections are counted by partial sums, one row a stratum; an empty table has no strata.
     """
-    sums = [F.sum((score(F.col(counted)) > c).cast("long")).alias(f"{r}_{i}") for r, (score, grid) in rules.items() for i, c in enumerate(grid)]
-    per = good.groupBy(strata.alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *sums)
-    per = per.withColumn("strata", F.lit(max(1, per.count())))
-
-    def choose(frames: Iterator) -> Iterator:
-        for f in frames:
-            level = delta / (len(rules) * f["strata"])
-            for r, (_, grid) in rules.items():
-                best = []
-                for row, n, lev in zip(f.to_dict("records"), f["n"], level, strict=True):
-                    safe = None
-                    for i, c in enumerate(grid):
-                        if binomial_tail(row[f"{r}_{i}"], int(n), risk / len(rules)) > lev:
-                            break
-                        safe = c
-                    best.append(safe)
-                f[r] = np.array(best, float)
-            yield f[["stratum", *rules]]
+    per = good.groupBy(strata.alias("stratum")).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(over(F.col(counted), i).cast("long")) for i in range(STEPS)]).alias("k"))
+    level = delta / max(1, per.count())
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best = [next((i for i, x in enumerate(k) if binomial_tail(x, n, risk) > level), STEPS) - 1 for n, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x if x >= 0 else None for x in best], pa.int32())], ["stratum", "step"])
 
     kind = per.schema["stratum"].dataType.simpleString()
-    return per.mapInPandas(choose, f"stratum {kind}, " + ", ".join(f"{r} double" for r in rules))
+    return per.mapInArrow(choose, f"stratum {kind}, step int")
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """(id, stratum, _pl_c): the counts of every document without its text, computed once."""
-    return materialise(docs.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), counts(F.col(text_col)).alias("_pl_c")), "quality")
+    return materialise(bounded(docs).select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), counts(F.col(text_col)).alias("_pl_c")), "quality")
 
 
 def _base_failed(c: Column) -> Column:
@@ -122,7 +121,8 @@ def _base_failed(c: Column) -> Column:
 
 
 def fit(slim: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", risk: float = 0.04, delta: float = 0.05) -> DataFrame:
-    """Cutoffs per stratum from measured() documents labelled 1 that pass the base (a document labelled twice counts once)."""
+    """Steps per stratum from measured() documents labelled 1 that pass the base.  A document labelled twice counts once;
+    null ids and labels are no labels; rows that repeat a labelled id each count."""
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("_pl_id")).where("_pl_id is not null").distinct()
     held = slim.where(~_base_failed(F.col("_pl_c"))).join(good, F.col("id") == F.col("_pl_id"), "left_semi")
     return materialise(cutoffs(held, F.col("stratum"), risk, delta), "quality-cutoffs")
@@ -132,17 +132,20 @@ def verdicts(rows: DataFrame, cut: DataFrame, stratum_col: str) -> DataFrame:
     """rows with counts `_pl_c`, plus `_pl_base_failed` and `_pl_kept`; every row returns once.
 
     Base: under 50 words, or over half of them in repeated windows.  A document that passes is rejected if a rule's score
-    exceeds its stratum's cutoff.  Null text has no words and fails.  A null stratum is one of its own; strata without
-    labels and an empty labels table have no cutoffs, so only the base rejects.
+    exceeds the cutoff at its stratum's step.  Null text has no words and fails.  A null stratum is one of its own; strata
+    without enough labels and an empty labels table have no step, so only the base rejects.
     """
-    cut = cut.select(F.col("stratum").alias("_pl_stratum"), *[F.col(r).alias(f"_pl_cut_{r}") for r in RULES])
-    c = F.col("_pl_c")
-    over = reduce(lambda a, b: a | b, [F.coalesce(score(c) > F.col(f"_pl_cut_{r}"), F.lit(False)) for r, (score, _) in RULES.items()])
+    cut = cut.select(F.col("stratum").alias("_pl_stratum"), F.col("step").alias("_pl_step"))
     both = rows.join(cut, F.col(stratum_col).eqNullSafe(F.col("_pl_stratum")), "left")
-    return both.withColumn("_pl_base_failed", _base_failed(c)).withColumn("_pl_kept", ~_base_failed(c) & ~over).drop("_pl_stratum", *[f"_pl_cut_{r}" for r in RULES])
+    failed = _base_failed(F.col("_pl_c"))
+    return both.withColumn("_pl_base_failed", failed).withColumn("_pl_kept", ~failed & ~over(F.col("_pl_c"), F.col("_pl_step"))).drop("_pl_stratum", "_pl_step")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The rows of docs that the rules keep, with their own columns."""
-    cut = fit(measured(docs, id_col, text_col, stratum_col), labels, id_col)
-    return verdicts(docs.withColumn("_pl_c", counts(F.col(text_col))), cut, stratum_col).where("_pl_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that the rules keep, with their own columns; nulls, repeats and empty tables as in verdicts().
+
+    Counts are worked out once and written beside the texts, of which the fit reads the counts only.
+    """
+    counted = materialise(bounded(docs).withColumn("_pl_c", counts(F.col(text_col))), "quality")
+    cut = fit(counted.select(F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), "_pl_c"), labels, id_col)
+    return verdicts(counted, cut, stratum_col).where("_pl_kept").select(*[F.col(f"`{c}`") for c in docs.columns])

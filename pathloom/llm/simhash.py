@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts, materialise
+from .common import bounded, byte_texts, materialise, small_batches
 from .components import connected_components
 
 BITS = 64
@@ -49,11 +49,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long): fp has the 64 bits of the fingerprint.  Null or wordless text: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             fp = [_signed(fingerprint(t, width)) for t in byte_texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    d = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     return d.mapInArrow(run, "id long, fp long")
 
 

@@ -10,7 +10,7 @@ import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from .common import byte_texts
+from .common import bounded, byte_texts
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -97,7 +97,7 @@ def repeated_cells(docs: DataFrame, window: int, width: int, id_col: str, text_c
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int32))], ["cell", "n"])
 
     block = 1 << 16  # bits in a returned row
-    cells = docs.where(f"`{id_col}` is not null").select(text_col).mapInArrow(sketch, "cell long, n int").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").select((F.col("cell") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(cell % 64 as int)) as bit"))
+    cells = bounded(docs, "8m").where(f"`{id_col}` is not null").select(text_col).mapInArrow(sketch, "cell long, n int").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").select((F.col("cell") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(cell % 64 as int)) as bit"))
     words = cells.groupBy("w").agg(F.bit_or("bit").alias("bits")).select((F.col("w") / (block // 64)).cast("long").alias("g"), F.struct("w", "bits").alias("x"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,14 +57,37 @@ def test_binomial_tail_is_exact():
         assert quality.binomial_tail(k, n, float(p)) == pytest.approx(float(want), rel=1e-9)
 
 
+def _counted(n_symbols, words=100):
+    c = {"n_words": F.lit(words), "word_chars": F.lit(650), "n_symbols": n_symbols, "n_dup_lines": F.lit(0), "n_repeat_words": F.lit(0), "n_lines": F.lit(5)}
+    return F.struct(*[x.cast("long").alias(k) for k, x in c.items()])
+
+
 def test_cutoffs_are_as_sharp_as_the_holdout_allows(spark):
-    rows = [("en", i) for i in range(4000)] + [("de", i) for i in range(30)]
-    c = F.struct(F.lit(100).cast("long").alias("n_words"), F.lit(650).cast("long").alias("word_chars"), F.when(F.col("i") < 20, 140).otherwise(0).cast("long").alias("n_symbols"), F.lit(0).cast("long").alias("n_dup_lines"), F.lit(0).cast("long").alias("n_repeat_words"), F.lit(5).cast("long").alias("n_lines"))
-    cut = {r.stratum: r for r in quality.cutoffs(spark.createDataFrame(rows, "s string, i int").withColumn("_pl_c", c), F.col("s")).collect()}
-    assert cut["de"].symbols is None  # 30 documents refute nothing
-    level, risk = 0.05 / (len(quality.RULES) * 2), 0.04 / len(quality.RULES)
-    assert quality.binomial_tail(20, 4000, risk) < level and cut["en"].symbols == 0.01
-    assert quality.binomial_tail(60, 4000, risk) > level
+    # of en's 4000 good documents 120 have a symbol score of 0.2: steps that reject them need P(X <= 120) at 160 expected
+    rows = [("en", i) for i in range(4000)] + [("de", i) for i in range(30)] + [("fr", i) for i in range(108)] + [("es", i) for i in range(107)]
+    made = spark.createDataFrame(rows, "s string, i int").withColumn("_pl_c", _counted(F.when((F.col("s") == "en") & (F.col("i") < 120), 131).otherwise(0)))
+    cut = {r.stratum: r.step for r in quality.cutoffs(made, F.col("s")).collect()}
+    assert quality.binomial_tail(120, 4000, 0.04) < 0.05 / 4 < quality.binomial_tail(135, 4000, 0.04)
+    assert cut == {"en": quality.STEPS - 1, "fr": quality.STEPS - 1, "de": None, "es": None}  # 107 documents refute nothing
+    more = made.withColumn("_pl_c", _counted(F.when((F.col("s") == "en") & (F.col("i") < 140), 131).otherwise(0)))
+    cut = {r.stratum: r.step for r in quality.cutoffs(more, F.col("s")).collect()}
+    assert quality.RULES["symbols"][1][cut["en"]] == 0.25  # the last cutoff above their score
+    assert quality.cutoffs(made.limit(0), F.col("s")).collect() == []
+
+
+def test_each_rule_rejects(spark):
+    words = [f"word{i}" for i in range(200)]
+    good = [" ".join(words[i % 7 :]) + "\n" + " ".join(words[: i % 5 + 2]) for i in range(120)]
+    bad = {"symbols": " ".join(f"{w}##" for w in words), "repeats": " ".join(words + words[:40] * 2), "lines": "\n".join(words[:40] + ["the same"] * 20 + words[60:120]), "word_length": " ".join("x" * 20 + w for w in words)}
+    docs = [(i, t, "en") for i, t in enumerate(good)] + [(1000 + i, t, "en") for i, t in enumerate(bad.values())]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(120)] + [(1000, 0)], "doc_id long, quality int")
+    assert {r.doc_id for r in quality.keep_good(d, labels).collect()} == set(range(120))
+    slim = quality.measured(d)
+    got = {r.id: (r._pl_base_failed, r._pl_kept) for r in quality.verdicts(slim, quality.fit(slim, labels), "stratum").collect()}
+    assert [got[1000 + i] for i in range(4)] == [(False, False)] * 4
+    unlabelled = quality.verdicts(slim, quality.fit(slim, labels.limit(0)), "stratum")
+    assert all(r._pl_kept for r in unlabelled.collect())
 
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 9), max_size=12))
@@ -89,17 +112,28 @@ def test_encoder_equals_the_tokenizer(text):
     assert _ENC.encode(text) == _ENC.whole(text)
 
 
-def test_mixing_stays_within_a_block_of_its_targets(spark):
-    n = {"a": 500, "b": 333, "c": 100, "d": 66, "e": 1}
-    rows = mixing.schedule(spark.createDataFrame(list(n.items()), "source string, n long"), 1000).orderBy("slot").collect()
-    assert [r.slot for r in rows] == list(range(1000))
-    got = dict.fromkeys(n, 0)
-    for t, r in enumerate(rows, 1):
-        got[r.source] += 1
-        assert r.release <= r.slot < r.deadline
-        assert all(abs(1000 * got[s] - t * n[s]) < 1000 for s in n)
-    s = mixing.shares(spark.createDataFrame([("a", 3.0), ("b", 1.0), (None, 0.5), ("z", 0.0)], "source string, weight double"), 100)
-    assert {r.source: r.n for r in s.collect()} == {"a": 67, "b": 22, None: 11}
+@pytest.mark.parametrize("sources", [3, 700, 3000])
+def test_mixing_stays_within_a_block_of_its_targets(spark, sources):
+    w = {f"s{i}": Fraction(1, 1 + i % 97) if i else Fraction(sources, 3) for i in range(sources)} | {"tiny": Fraction(1, 10**6)}
+    n = {s: 7 for s in w} | {"s0": 900, "tiny": 1}
+    rows = [(i, s) for i, s in enumerate(s for s in w for _ in range(n[s]))]
+    weights = spark.createDataFrame([(s, float(x)) for s, x in w.items()] + [("none", 0.0), ("gone", None)], "source string, weight double")
+    d = spark.createDataFrame([*rows, (-1, "none"), (-2, None)], "doc_id long, source string").repartition(8)
+    out = mixing.mix(d, weights, block=3, slots=6000).collect()
+    assert sorted(r.doc_id for r in out) == list(range(-2, len(rows)))
+    assert all(r.slot is None for r in out if r.doc_id < 0)
+    total, taken, size = sum(w.values()), {}, 1 + max(r.place for r in out)
+    for r in out:
+        if r.slot is not None:
+            assert taken.setdefault(r.slot, (r.source, r.block, r.release, r.deadline)) == (r.source, r.block, r.release, r.deadline)
+    assert len(taken) == sum(-(-x // size) for x in n.values()) and max(taken) <= 6000 + len(w)
+    done = dict.fromkeys(w, 0)
+    for t in sorted(taken):
+        s, block, release, deadline = taken[t]
+        due = w[s] / total
+        assert block == done[s] and release <= t < deadline
+        assert abs(block - due * t) < 1.001 and abs(block + 1 - due * (t + 1)) < 1.001
+        done[s] += 1
 
 
 def test_mixed_rows_are_written_in_order(spark):
@@ -108,6 +142,8 @@ def test_mixed_rows_are_written_in_order(spark):
     place = {r.doc_id: (r.m_slot, r.m_place) for r in mixing.mix(d, prefix="m_", block=8, bucket_rows=40).collect()}
     out = [r.doc_id for r in mixing.mixed_order(d, block=8, bucket_rows=40).collect()]
     assert sorted(out) == list(range(700)) and [place[i] for i in out] == sorted(place.values())
+    kept = {r.doc_id: r.o for r in mixing.mixed_order(d, "o", block=8, bucket_rows=40).collect()}
+    assert sorted(kept, key=kept.get) == out
 
 
 def test_reply_trees(spark):
@@ -170,6 +206,21 @@ def test_pipeline(spark, tmp_path):
     assert {k: sorted(v) for k, v in got.items()} == {i: brute.pieces(t, tok) for i, t in clean.items()}
 
 
+@pytest.mark.parametrize("some", [False, True])
+def test_pipeline_over_awkward_tables(spark, tmp_path, some):
+    """Empty tables, null texts and ids, repeated rows, columns with the stages' own names: each stage ends with a defined result."""
+    import corpus_pipeline
+
+    said = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, said, "en", "a"), (1, said, "en", "a"), (2, None, None, None), (None, said + " x", "en", None), (3, "", "de", "a"), (4, " ".join(f"v{i * i}" for i in range(300)), None, None)] if some else []
+    d = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "k", 5, 6) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _k string, slot long, fp long")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(((r.doc_id, r.piece) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
+    # a null id takes no part in dedup and stays; rows that repeat a kept id stay; null and empty texts fail the quality base
+    assert got == ([(1, 0), (1, 0), (4, 0), (None, 0)] if some else [])
+
+
 def _licence_index(**idf):
     return licenses.LicenseIndex({w: idf.get(w.decode(), 5.0) for w in licenses.vocabulary()})
 
@@ -201,26 +252,6 @@ def test_licences_with_words_added_or_left_out():
     assert index.scan(licenses.words_of(" ".join(reversed(bsd.split())).encode()))[4:] == ("", 0.0)
 
 
-def test_exact_mixing_stays_within_a_block_over_the_whole_order(spark):
-    w = {"hot": 9750.0, **{f"s{i:02}": 126.0 + i / 7 for i in range(60)}, "tiny": 0.9, None: 57.4}
-    blocks = {s: 40 for s in w} | {"hot": 900, "tiny": 1}
-    total = sum(w.values())
-    rows = mixing.exact_schedule(spark.createDataFrame([(s, x, blocks[s]) for s, x in w.items()], "source string, weight double, blocks long"), chunk=100).collect()
-    assert sorted((str(r.source), r.j) for r in rows) == sorted((str(s), j) for s, n in blocks.items() for j in range(n))
-    assert len({r.slot for r in rows}) == len(rows) and max(r.slot for r in rows) > 4000
-    for r in rows:
-        due = w[r.source] / total
-        assert r.release <= r.slot < r.deadline
-        assert abs(r.j - due * r.slot) < 1 and abs(r.j + 1 - due * (r.slot + 1)) < 1
-
-
-@pytest.mark.parametrize("period", [None, 1000])
-def test_mixing_gives_over_a_thousand_sources_slots(spark, period):
-    d = spark.range(1100).selectExpr("id as doc_id", "concat('s', id) as source")
-    slots = [r.slot for r in mixing.mix(d, block=1, period=period).collect()]
-    assert None not in slots and len(set(slots)) == 1100
-
-
 def test_sequences_follow_the_mixed_order(spark):
     # a holds a seventh of the rows and half of the weight: half of the order is a's until its documents are used up
     rows = [(i, "a" if i % 7 == 0 else "b", "w " * (20 + i * 37 % 400)) for i in range(4200)]
