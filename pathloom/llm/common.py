@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.functions.tables import materialise, shared_dir
 
-__all__ = ["bounded", "byte_texts", "give_back", "materialise", "salted_rank", "shared_dir", "small_batches"]
+__all__ = ["bounded", "byte_texts", "give_back", "hot_join", "materialise", "salted_rank", "shared_dir", "small_batches"]
 
 
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -48,6 +48,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def hot_join(rows: DataFrame, named: DataFrame, on: Column, total: int, how: str = "left", parts: int = 1000) -> DataFrame:
+    """rows joined (left or inner) to named, which has one row a key and the key's number n of rows; n goes.
+
+    Keys with over a `parts`th of all `total` rows, which are fewer than `parts`, are broadcast, so their rows stay where they
+    are; the others meet by a shuffle, whose largest key is no longer hot.
+    """
+    hot = F.broadcast(named.where(F.col("n") > total / parts))
+    rest = named.where(F.col("n") <= total / parts)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(rest, on, how)).drop("n")
+
+
 def salted_rank(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
     """Add `name`: 0-based row number within keys, ordered by (bucket, order).
 

@@ -131,6 +131,23 @@ def simhash(rows):
     return {i: (f"{f:016x}", comp[i]) for i, f in fp}
 
 
+def jaccard(a, b, width=5):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def without_near_copies(rows, least=0.8):
+    """Documents that aren't similar, directly or by others, to one with a smaller id; no pair may be near the limit."""
+    sure = [(i, j, jaccard(t, u)) for k, (i, t) in enumerate(rows) for j, u in rows[k + 1 :]]
+    assert not any(0.55 < s < 0.9 for _, _, s in sure)
+    comp = components([i for i, _ in rows], [(i, j) for i, j, s in sure if s >= least])
+    return [(i, t) for i, t in rows if comp[i] == i]
+
+
 def pieces(text, tok, cap=1024):
     ids = tok.encode(text or "", add_special_tokens=False).ids + [2]
     cut = list(range(len(ids), 0, -cap))[::-1]

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from pathloom.llm import chat, components, embeddings, licenses, mixing, packing, quality, queries as q, secrets, simhash, windows
+from pathloom.llm import chat, common, components, embeddings, licenses, mixing, packing, quality, queries as q, secrets, simhash, windows
 
 from . import brute
 from .test_contracts import _documents, _vectors
@@ -195,8 +195,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     kept = [(i, t) for i, t, *_ in rows if not brute.quality(t)[5]]
-    named = brute.simhash(kept)
-    kept = [(i, t) for i, t in kept if named[i][1] == i]
+    kept = brute.without_near_copies(kept)
     clean = {i: brute.redact(t, [tuple(map(int, s.split(":")[1:])) for s in brute.secrets(t)[1]] + brute.entropy_spans(t, secrets.CLASSES, secrets.ALLOWED)) for i, t in kept}
     assert "[SECRET]" in clean[9000]
     tok = Tokenizer.from_file(q.tokenizer_path())
@@ -278,3 +277,35 @@ def test_a_key_behind_an_allowed_segment_is_redacted(spark):
     texts = [f"get /example/{key} now", f"see {key}0123456789 too", "at /usr/Example/lib/python3/x1 and abcdefghij0123456789klmno"]
     out = [x.text for x in secrets.redact_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert all("[SECRET]" in x and key[8:-8] not in x for x in out[:2]) and "example" in out[0] and out[2] == texts[2]
+
+
+def test_partition_masks_cover_their_radius():
+    r, masks = random.Random(2), simhash.partition_masks(256, 19, 60)
+    assert masks.shape == (60, 19) and all(len(set(m)) == 19 for m in masks.tolist())
+    for _ in range(300):
+        flips = set(r.sample(range(256), 256 // 19 - 1))
+        assert any(not flips & set(m) for m in masks.tolist())
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    r, docs, made = random.Random(6), [], {}
+    word = lambda: f"w{r.getrandbits(30)}"
+    for i in range(240):
+        a = [word() for _ in range(r.randint(60, 400))]
+        b, least = list(a), (0.8, 0.9, 0.4)[i % 3]
+        while brute.jaccard(" ".join(a), " ".join(b)) > least + 0.02:
+            b[r.randrange(len(b))] = word()
+        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        made[i] = least
+    got = {x.id: x.component for x in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = {s: sum(got[2 * i + 1] == 2 * i for i, x in made.items() if x == s) / 80 for s in (0.8, 0.9, 0.4)}
+    assert found[0.8] >= 0.75 and found[0.9] >= 0.97 and found[0.4] == 0, found
+    assert all(c // 2 == i // 2 for i, c in got.items())
+
+
+def test_hot_keys_join_as_others(spark):
+    rows = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 0 when id % 100 = 1 then null else id end as k")
+    named = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).selectExpr("k as k2", "k * 2 as x", "n").where("k2 % 7 <> 1")
+    got = common.hot_join(rows, named, F.col("k") == F.col("k2"), 3000)
+    want = rows.join(named.drop("n"), F.col("k") == F.col("k2"), "left")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
