@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise
+from .common import hot_join, materialise
 
 
 def _mark(e: DataFrame) -> tuple[int, int]:
@@ -12,11 +12,12 @@ def _mark(e: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, many: int = 1 << 22) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
-    Minima are aggregated before the shuffle and joined back, so a star whose centre has very many leaves is no single
-    group; edges never reach the driver, which sees one count and one hash a round.  Null ends and loops are ignored.
+    Minima are aggregated before the shuffle and joined back; of more than `many` edges the centres of stars, with over a
+    thousandth of all edge ends, get theirs by broadcast (under a thousand rows), so a star is no single group.  Edges never
+    reach the driver, which sees one count and one hash a round.  Null ends and loops are ignored.
     No edges: no rows.
     """
     e = edges.where(f"{a} is not null and {b} is not null and {a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -25,11 +26,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not seen[0]:
             break
+        meet = lambda x, low, n=seen[0]: hot_join(x, low, F.col("u") == F.col("k"), 2 * n, "inner") if n > many else x.join(low, F.col("u") == F.col("k"))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "n")
+        large = meet(both.where("v > u"), low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = meet(large, low.withColumnRenamed("u", "k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         e = materialise(small, "components")
         now = _mark(e)
         if now == seen:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise
+from .common import hot_join, materialise
 from .components import connected_components
 
 
+@cache
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
     """A fixed random orthogonal matrix, which spreads the variance evenly over the blocks."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
@@ -24,44 +26,78 @@ def block_edges(dim: int, blocks: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cut, cut[1:], strict=False) if b > a]
 
 
-def link_vectors(vectors: DataFrame, threshold: float = 0.98, blocks: int = 8, tile: int = 2048) -> tuple[DataFrame, DataFrame]:
+def layout(dim: int, bits: float, budget: float) -> tuple[int, int]:
+    """(blocks, gridded dimensions of each) with the fewest copies of a vector that split a label's points by `bits` bits.
+
+    With b blocks the reach is sqrt(budget / b), cells are two reaches wide, a point is sent to two cells a dimension, and
+    a dimension tells a spread of 1 / sqrt(dim) apart by the entropy of a normal variable in such cells.  A label that fits
+    a task needs no bits: one block, one cell, no copies.
+    """
+    if bits <= 0:
+        return 1, 0
+    best = None
+    for blocks in (b for b in (1, 2, 4, 8, 16, 32) if b <= dim):
+        told = max(0.05, math.log2(max(1.0, 4.13 / math.sqrt(dim) / (2 * math.sqrt(budget / blocks)))))
+        grid = min(math.ceil(bits / told), dim // blocks)
+        short = max(0.0, bits - grid * told)  # a grid too coarse leaves pairs of chunks, which copy too
+        cost = math.log2(blocks) + grid + short
+        if best is None or cost < best[0]:
+            best = cost, blocks, grid
+    return best[1:]
+
+
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes: 4 a component if single precision holds them all exactly, 8 if not."""
+    with np.errstate(over="ignore"):
+        single = x.astype("<f4")
+    return [s.tobytes() if (s == r).all() else r.tobytes() for s, r in zip(single, x.astype("<f8"), strict=True)]
+
+
+def _unpacked(rows: list[bytes], dim: int) -> np.ndarray:
+    return np.array([np.frombuffer(r, "<f4" if len(r) == 4 * dim else "<f8") for r in rows], np.float64).reshape(-1, dim)
+
+
+def link_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 4096) -> tuple[DataFrame, DataFrame]:
     """vectors: (rep long, label, v array<double>, n long), distinct finite non-zero vectors -> (counts, edges).
 
     For unit vectors a cosine of `threshold` is a squared distance of at most 2 - 2 * threshold, and some block of the
     rotated vectors takes at most its proportional share (dimensions / all dimensions) of it.  So each block is
     range-joined on its own: points fall into grid cells of that block's first dimensions and are also sent to the
-    neighbouring cells within reach.  A cell compares its points in the block, verifies those within budget by the full
-    cosine in double precision, and counts a pair only in the first block that has it within budget and in the cell at
-    home to its smaller id: exactly once.  It returns sums of links per vector and a spanning forest, never pairs.
+    neighbouring cells within reach.  A cell compares its points in the block, verifies those within budget by the cosine
+    of the stored vectors in double precision, and counts a pair only in the first block that has it within budget and in
+    the cell at home to its smaller id: exactly once.  It returns sums of links per vector and a spanning forest, never
+    pairs.
 
-    The number of gridded dimensions follows the number of vectors, so cells hold about `tile` of them; a cell with more
-    is cut into chunks that meet in pairs, so no task holds more than two chunks and no pair is lost.
+    Blocks and gridded dimensions follow the size of the largest label (see layout()), so that cells hold about two tiles;
+    a cell with more is cut into chunks that meet in pairs, so no task holds more than two chunks and no pair is lost.
     """
     budget = 2 - 2 * threshold + 1e-9
     biggest = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1
-    grid = max(1, math.ceil(math.log2(max(2, biggest / (tile / 4)))))
+    bits = math.log2(biggest / (2 * tile))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             for dim, g in f.groupby(f["v"].map(len)):
                 x = np.stack(g["v"].to_numpy()).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                y = x @ rotation(dim)
+                # a power of two per vector keeps squares in range and changes no digit
+                x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+                y = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(dim)
+                sent = np.array(_packed(x), object)
+                blocks, grid = layout(dim, bits, budget)
                 for k, (a, b) in enumerate(block_edges(dim, blocks)):
                     reach = math.sqrt(budget * (b - a) / dim) * (1 + 1e-9)
                     use = min(grid, b - a)
-                    width = max(2 * reach, 2 / math.sqrt(dim))
-                    z = y[:, a : a + use] / width + 0.5
+                    z = y[:, a : a + use] / (2 * reach) + 0.5
                     home = np.floor(z)
-                    low = (z - home) * width
-                    side = np.where(low < width / 2, -1, 1)
-                    gap = np.minimum(low, width - low) ** 2
+                    low = (z - home) * 2 * reach
+                    side = np.where(low < reach, -1, 1)
+                    gap = np.minimum(low, 2 * reach - low) ** 2
                     for m in range(1 << use):
                         pick = np.array([m >> i & 1 for i in range(use)], bool)
                         near = np.flatnonzero(gap[:, pick].sum(axis=1) <= reach * reach)
                         if near.size:
                             cell = home[near] + side[near] * pick
-                            yield pd.DataFrame({"rep": g["rep"].to_numpy()[near], "label": g["label"].to_numpy()[near], "cell": [f"{dim}:{k}:" + ",".join(map(str, c)) for c in cell.astype(int).tolist()], "home": m == 0, "v": [x.tobytes() for x in y[near]], "n": g["n"].to_numpy()[near]})
+                            yield pd.DataFrame({"rep": g["rep"].to_numpy()[near], "label": g["label"].to_numpy()[near], "cell": [f"{dim}:{k}:" + ",".join(map(str, c)) for c in cell.astype(int).tolist()], "home": m == 0, "v": sent[near], "n": g["n"].to_numpy()[near]})
 
     label = vectors.schema["label"].dataType.simpleString()
     dealt = vectors.mapInPandas(deal, f"rep long, label {label}, cell string, home boolean, v binary, n long")
@@ -74,8 +110,10 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, blocks: int = 8, t
     def meet(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("rep", ignore_index=True)
         dim, k, _ = key[1].split(":")
-        edges, k = block_edges(int(dim), blocks), int(k)
-        y = np.frombuffer(b"".join(f["v"]), np.float64).reshape(len(f), -1)
+        edges, k = block_edges(int(dim), layout(int(dim), bits, budget)[0]), int(k)
+        x = _unpacked(f["v"].tolist(), int(dim))
+        norm = np.linalg.norm(x, axis=1)
+        y = x / norm[:, None] @ rotation(int(dim))
         rep, home, own, n = (f[c].to_numpy() for c in ("rep", "home", "own", "n"))
         shares = [budget * (b - a) / int(dim) for a, b in edges]
         a, b = edges[k]
@@ -104,7 +142,7 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, blocks: int = 8, t
                 for e, (c, d) in enumerate(edges[:k]):
                     first &= ((y[i, c:d] - y[j, c:d]) ** 2).sum(axis=1) > shares[e]
                 i, j = i[first], j[first]
-                good = np.einsum("ij,ij->i", y[i], y[j]) >= threshold
+                good = np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j]) >= threshold
                 i, j = i[good], j[good]
                 np.add.at(links, i, n[j])
                 np.add.at(links, j, n[i])
@@ -139,7 +177,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     links, edges = link_vectors(reps, threshold)
     parts = connected_components(edges)
     named = reps.join(parts, F.col("rep") == F.col("node"), "left").join(links.withColumnRenamed("rep", "r2"), F.col("rep") == F.col("r2"), "left")
-    named = named.select(F.col("label").alias("l2"), F.col("v").alias("v2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = v.join(named, F.col("fine") & (F.col("label") == F.col("l2")) & (F.col("v") == F.col("v2")), "left")
+    named = named.select(F.col("label").alias("l2"), F.col("v").alias("v2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"), "n")
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    out = hot_join(v.where("fine"), named, (F.col("label") == F.col("l2")) & (F.col("v") == F.col("v2")), total).select("vec_id", "links", "component")
+    out = out.unionByName(v.where("not fine").select("vec_id"), allowMissingColumns=True)
     comp = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(True)).alias("kept"))

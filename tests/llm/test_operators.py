@@ -46,9 +46,17 @@ def test_components_of_long_paths_and_stars(spark):
     ids = list(range(400))
     r.shuffle(ids)
     links = list(zip(ids[:150], ids[1:150])) + [(ids[200], x) for x in ids[200:300]] + [(3, 3)]
-    got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = brute.components(ids, links)
-    assert {i: got.get(i, i) for i in ids} == want
+    for many in (0, 1 << 22):
+        got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(links, "a long, b long"), many=many).collect()}
+        assert {i: got.get(i, i) for i in ids} == want
+
+
+def test_vectors_of_extreme_size(spark):
+    base = [random.Random(1).gauss(0, 1) for _ in range(16)]
+    rows = [(i, [x * s for x in base], 0) for i, s in enumerate((1.0, 1e200, 1e-200, -1.0, 3e-310))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (0, 3), 4: (3, 0)}
 
 
 def test_binomial_tail_is_exact():
