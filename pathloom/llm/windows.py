@@ -10,7 +10,7 @@ import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, byte_texts
+from .common import bounded, byte_texts, hot_join, materialise
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -78,11 +78,12 @@ def _cells(anchors: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (anchors & mask).astype(np.int64), ((anchors >> np.uint64(33)) * np.uint64(0x9E3779B1) & mask).astype(np.int64) + width
 
 
-def repeated_cells(docs: DataFrame, window: int, width: int, id_col: str, text_col: str) -> np.ndarray:
-    """Pass 1: a bitmap of the count-min cells whose merged count over all partitions is two or more.
+def repeated_cells(docs: DataFrame, window: int, width: int, id_col: str, text_col: str, hot: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
+    """Pass 1: a bitmap of the count-min cells whose merged count over all partitions is two or more, and the sorted cells
+    with more than `hot`.
 
     Each task sketches its batches (anchors once a document); sketches merge by a sum per cell.  The bitmap has 2 * width
-    bits, whatever the input.
+    bits, whatever the input; hot cells are as many at most as all anchors by `hot`.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,49 +98,56 @@ def repeated_cells(docs: DataFrame, window: int, width: int, id_col: str, text_c
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int32))], ["cell", "n"])
 
     block = 1 << 16  # bits in a returned row
-    cells = bounded(docs, "8m").where(f"`{id_col}` is not null").select(text_col).mapInArrow(sketch, "cell long, n int").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").select((F.col("cell") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(cell % 64 as int)) as bit"))
-    words = cells.groupBy("w").agg(F.bit_or("bit").alias("bits")).select((F.col("w") / (block // 64)).cast("long").alias("g"), F.struct("w", "bits").alias("x"))
+    cells = bounded(docs, "8m").where(f"`{id_col}` is not null").select(text_col).mapInArrow(sketch, "cell long, n int").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").select("cell", (F.col("cell") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(cell % 64 as int)) as bit"), (F.col("n") > hot).alias("hot"))
+    words = cells.groupBy("w").agg(F.bit_or("bit").alias("bits"), F.bit_or(F.when(F.col("hot"), F.col("bit")).otherwise(0)).alias("hots")).select((F.col("w") / (block // 64)).cast("long").alias("g"), F.struct("w", "bits", "hots").alias("x"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             xs, ends = b.column(1), np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False))
-            flat, out, at = xs.flatten(), [], 0
-            w, bits = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            flat, out, hots, at = xs.flatten(), [], [], 0
+            w, bits, hot_bits = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             for e in ends:
-                m = np.zeros(block // 64, np.int64)
+                m, h = np.zeros((2, block // 64), np.int64)
                 m[w[at:e] % (block // 64)] = bits[at:e]
+                h[w[at:e] % (block // 64)] = hot_bits[at:e]
                 out.append(m.tobytes())
+                hots.append(np.flatnonzero(np.unpackbits(h.view(np.uint8), bitorder="little")).tolist())
                 at = e
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["g", "m"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array(hots, pa.list_(pa.int64()))], ["g", "m", "hots"])
 
-    bitmap = np.zeros((max(2 * width, block) // block, block // 8), np.uint8)
-    for r in words.groupBy("g").agg(F.collect_list("x").alias("xs")).mapInArrow(blocks, "g long, m binary").toLocalIterator():
+    bitmap, hot_cells = np.zeros((max(2 * width, block) // block, block // 8), np.uint8), [np.empty(0, np.int64)]
+    for r in words.groupBy("g").agg(F.collect_list("x").alias("xs")).mapInArrow(blocks, "g long, m binary, hots array<long>").toLocalIterator():
         bitmap[r["g"]] = np.frombuffer(r["m"], np.uint8)
-    return bitmap.reshape(-1)
+        hot_cells.append(np.array(r["hots"], np.int64) + r["g"] * block)
+    return bitmap.reshape(-1), np.sort(np.concatenate(hot_cells))
 
 
-def sketch_width(docs: DataFrame, text_col: str, most: int = 1 << 28) -> int:
+def sketch_width(size: int, most: int = 1 << 28) -> int:
     """Cells in a sketch row: the power of two above a 32nd of the bytes (about four cells an anchor), within bounds.
 
     At the upper bound the bitmap takes 64 MB; more input then only makes the prefilter let more windows through.
     """
-    n = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return min(most, max(1 << 16, 1 << int(n // 32).bit_length()))
+    return min(most, max(1 << 16, 1 << int(size // 32).bit_length()))
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, width: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, starts): starts of the windows of a document that also start in a document with a smaller id.
+def repeated_windows(docs: DataFrame, window: int = 50, width: int | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
+    """(id, digest, lo, hi): first and last starts of runs of windows that also start in a document with a smaller id.
 
     digest is the xxhash64 of the text, so that rows repeating an id keep apart.  Pass 2 sends only windows whose anchor
     the sketch has met twice, packed by anchor occurrence and copies of an occurrence in a batch once.  They are grouped
-    by the anchor's hash and compared by the window's hash and its distance to the anchor: exact but for a collision of
-    two 64-bit hashes at once.
+    by the anchor's hash and compared by the window's hash and its distance to the anchor: exact, unless two words of the
+    corpus or two windows of an anchor share a 64-bit hash.
+
+    Anchors that over `hot` documents may hold (a 500th of all, 1000 at least) take another way, as their group would be
+    one task's: their windows are single rows, the least id of a window is found by partial minima, and the most frequent
+    windows get it by broadcast.
     """
-    width = width or sketch_width(docs, text_col)
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_cells(docs, window, width, id_col, text_col))
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
+    bitmap, hot_cells = repeated_cells(docs, window, width := width or sketch_width(size or 0), id_col, text_col, max(1000, n // 500) if hot is None else hot)
+    bits = docs.sparkSession.sparkContext.broadcast((bitmap, hot_cells))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, (bitset, hot_set) = WordHashes(), bits.value
         for b in batches:
             met: dict[tuple, list] = {}
             for doc, digest, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2)), strict=True):
@@ -148,18 +156,21 @@ def repeated_windows(docs: DataFrame, window: int = 50, width: int | None = None
                     continue
                 whole, anchor, at = anchored(hashes.of(words), window)
                 hit = np.ones(len(at), bool)
+                often = np.full(len(at), hot_set.size > 0)
                 for c in _cells(anchor, width):
-                    hit &= (bits.value[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
+                    hit &= (bitset[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
+                    if often.any():
+                        often &= np.isin(c, hot_set)
                 # an anchor occurrence is a run of windows with one place; all of a run hit or none
                 edge = np.flatnonzero(np.diff(at, prepend=-1))
                 for s, e in zip(edge, [*edge[1:], len(at)], strict=True):
                     if hit[s]:
-                        met.setdefault((int(anchor[s].view(np.int64)), int(at[s] - s), whole[s:e].tobytes()), []).append((doc, digest, int(s)))
+                        met.setdefault((int(anchor[s].view(np.int64)), int(at[s] - s), whole[s:e].tobytes(), bool(often[s])), []).append((doc, digest, int(s)))
             keys, lists = list(met), list(met.values())
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.binary()), pa.array([min(x)[0] for x in lists], pa.int64()), *(pa.array([[y[i] for y in x] for x in lists], pa.list_(pa.int64())) for i in range(3))], ["a", "rel", "hashes", "low", "ids", "digests", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.binary()), pa.array([k[3] for k in keys], pa.bool_()), pa.array([min(x)[0] for x in lists], pa.int64()), *(pa.array([[y[i] for y in x] for x in lists], pa.list_(pa.int64())) for i in range(3))], ["a", "rel", "hashes", "hot", "low", "ids", "digests", "starts"])
 
     d = docs.where(f"`{id_col}` is not null").select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("t"))
-    runs = d.mapInArrow(probe, "a long, rel int, hashes binary, low long, ids array<long>, digests array<long>, starts array<long>")
+    runs = d.mapInArrow(probe, "a long, rel int, hashes binary, hot boolean, low long, ids array<long>, digests array<long>, starts array<long>")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (anchor, least id): a window is repeated if an earlier, smaller id has it.  What is kept for
@@ -182,16 +193,42 @@ def repeated_windows(docs: DataFrame, window: int = 50, width: int | None = None
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "digest", "lo", "hi"])
 
-    return runs.repartition("a").sortWithinPartitions("a", "low").mapInArrow(settle, "id long, digest long, lo long, hi long")
+    def settled(runs: DataFrame) -> DataFrame:
+        return runs.drop("hot").repartition("a").sortWithinPartitions("a", "low").mapInArrow(settle, "id long, digest long, lo long, hi long")
+
+    if not hot_cells.size:
+        return settled(runs)
+    runs = materialise(runs, "window-runs")
+    return settled(runs.where("not hot")).unionByName(_hot_windows(runs.where("hot")))
 
 
-def drop_repeated(docs: DataFrame, window: int = 50, width: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _hot_windows(runs: DataFrame) -> DataFrame:
+    """repeated_windows() of the runs of hot anchors: a row a window, met by its hash."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            each = np.repeat(np.arange(b.num_rows), [len(x) for x in hs])
+            step = np.concatenate([np.arange(len(x)) for x in hs]) if hs else np.empty(0, np.int64)
+            rel = b.column(0).to_numpy(zero_copy_only=False)[each] - step
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs) if hs else step), pa.array(rel.astype(np.int32)), pa.array(step), *(b.column(i).take(pa.array(each)) for i in (2, 3, 4, 5))], ["h", "rel", "step", "low", "ids", "digests", "starts"])
+
+    windows = runs.select("rel", "hashes", "low", "ids", "digests", "starts").mapInArrow(split, "h long, rel int, step long, low long, ids array<long>, digests array<long>, starts array<long>")
+    least = materialise(windows.groupBy("h", "rel").agg(F.min("low").alias("owner"), F.count(F.lit(1)).alias("n")), "window-owners").select(F.col("h").alias("h2"), F.col("rel").alias("rel2"), "owner", "n")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    met = hot_join(windows, least, (F.col("h") == F.col("h2")) & (F.col("rel") == F.col("rel2")), total, "inner")
+    each = met.select("owner", "step", F.explode(F.arrays_zip("ids", "digests", "starts")).alias("x")).where(F.col("owner") < F.col("x.ids"))
+    at = F.col("x.starts") + F.col("step")
+    return each.select(F.col("x.ids").alias("id"), F.col("x.digests").alias("digest"), at.alias("lo"), at.alias("hi"))
+
+
+def drop_repeated(docs: DataFrame, window: int = 50, width: int | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words joined by blanks, without words of repeated windows.
 
     Judged on the input.  Null text: no words.  Documents under `window` words and null ids lose nothing; rows that share
     an id are no copies of each other.  Empty table: no rows.
     """
-    gone = repeated_windows(docs, window, width, id_col, text_col).groupBy("id", "digest").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")).select(F.col("id").alias("i2"), F.col("digest").alias("d2"), "runs")
+    gone = repeated_windows(docs, window, width, id_col, text_col, hot).groupBy("id", "digest").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")).select(F.col("id").alias("i2"), F.col("digest").alias("d2"), "runs")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("t"))
     both = d.join(gone, (F.col("id") == F.col("i2")) & (F.col("digest") == F.col("d2")), "left").select("id", "t", "runs")
 

@@ -189,9 +189,10 @@ def test_entropy_and_redaction(spark):
         assert x.text == brute.redact(t, spans) and (x.n_chars == len(x.text) if spans else x.n_chars == 1)
 
 
-def test_a_full_sketch_loses_nothing(spark):
+@pytest.mark.parametrize(("width", "hot"), [(64, None), (1 << 16, 1), (64, 2), (1 << 16, 4)])
+def test_a_full_sketch_or_hot_anchors_lose_nothing(spark, width, hot):
     docs = [(r[0], r[1]) for r in _documents()]
-    got = sorted((x.doc_id, x.n_words, x.n_removed) for x in windows.drop_repeated(spark.createDataFrame(docs, "doc_id long, text string"), window=12, width=64).collect())
+    got = sorted((x.doc_id, x.n_words, x.n_removed) for x in windows.drop_repeated(spark.createDataFrame(docs, "doc_id long, text string"), window=12, width=width, hot=hot).collect())
     assert got == sorted(x[:3] for x in brute.substrings(docs, 12))
 
 
