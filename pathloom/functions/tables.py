@@ -2,30 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-_LOCAL: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir, or else one in the warehouse: both are seen by driver and executors."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _LOCAL:
-        _LOCAL[key] = "file://" + tempfile.mkdtemp(prefix="pathloom-")
-    return _LOCAL[key]
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pathloom-tables"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: computed once, lineage cut, safe if executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._pathloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised table that nothing reads any more, as between the rounds of a loop."""
+    if path := getattr(df, "_pathloom_path", None):
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def global_lead(df: DataFrame, order: list[str], value: str, bucket: Column, name: str) -> DataFrame:
@@ -49,3 +51,12 @@ def global_rank(df: DataFrame, order: list[str], bucket: Column, name: str) -> D
     offsets = sizes.select(F.col("_b").alias("_b2"), (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_o"))
     at = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
     return b.withColumn("_r", at).join(offsets, F.col("_b") == F.col("_b2")).withColumn(name, (F.col("_r") + F.col("_o")).cast("long")).drop("_b", "_b2", "_r", "_o")
+
+
+def global_sum(df: DataFrame, order: list[str], value: Column, bucket: Column, name: str) -> DataFrame:
+    """The running sum of a value up to and with each row of a global order, with the same bucket rule."""
+    b = df.withColumn("_b", bucket).withColumn("_x", value)
+    sums = b.groupBy("_b").agg(F.sum("_x").alias("_n"))
+    offsets = sums.select(F.col("_b").alias("_b2"), (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_o"))
+    within = F.sum("_x").over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return b.withColumn("_r", within).join(offsets, F.col("_b") == F.col("_b2")).withColumn(name, (F.col("_r") + F.col("_o")).cast("long")).drop("_b", "_b2", "_x", "_r", "_o")

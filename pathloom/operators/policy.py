@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pathloom.functions import scalar as fn
+from pathloom.functions.tables import global_rank, global_sum
+from pathloom.operators.trace import effective
 
 
 def accesses(trace: DataFrame) -> DataFrame:
-    """(q, op_seq, source): the queries numbered from 1.  A log is one ordered sequence."""
-    return trace.where("kind = 'QUERY'").select(F.row_number().over(Window.orderBy("op_seq")).cast("long").alias("q"), "op_seq", "source")
+    """(q, op_seq, source): the queries numbered from 1, range by range of operations."""
+    q = global_rank(trace.where("kind = 'QUERY'").select("op_seq", "source"), ["op_seq"], F.shiftright("op_seq", 12), "q")
+    return q.select((F.col("q") + 1).alias("q"), "op_seq", "source")
+
+
+def clocks(trace: DataFrame) -> DataFrame:
+    """(op_seq, queries, updates, rate): the running query and effective-update clocks, and updates per query."""
+    x = global_sum(trace, ["op_seq"], (F.col("kind") == "QUERY").cast("long"), F.shiftright("op_seq", 12), "queries")
+    x = global_sum(x, ["op_seq"], F.coalesce(effective(), F.lit(0)), F.shiftright("op_seq", 12), "updates")
+    return x.select("op_seq", "queries", "updates", F.round(F.col("updates") / F.greatest(F.lit(1), F.col("queries")), 9).alias("rate"))
 
 
 def reuse_gaps(acc: DataFrame) -> DataFrame:
@@ -17,21 +32,43 @@ def reuse_gaps(acc: DataFrame) -> DataFrame:
     return acc.select("q", "source", (F.col("q") - F.lag("q").over(Window.partitionBy("source").orderBy("q"))).alias("gap"))
 
 
-def lru(acc: DataFrame, cap: int) -> DataFrame:
-    """(q, source, hit, evicts) of a least-recently-used cache of `cap` sources, by the stack property.
+def lru(acc: DataFrame, cap: int, slice_ops: int = 1 << 16) -> DataFrame:
+    """(q, source, hit, victim) of a least-recently-used cache of `cap` sources; victim: the source that leaves, or null.
 
-    An access hits if fewer than cap other sources were met since the source's last access; those are the sources whose
-    last access before q is later than that.  A miss evicts once cap different sources have been seen before.
+    The log is cut into ranges that are walked apart.  What a range finds in the cache are the last `cap` different sources
+    before it: each range states its own last ones, and one pass over these, a row a range, carries them forward.
     """
-    prev = F.lag("q").over(Window.partitionBy("source").orderBy("q"))
-    nxt = F.lead("q").over(Window.partitionBy("source").orderBy("q"))
-    a = acc.select("q", "source", prev.alias("prev"), nxt.alias("next"))
-    b = a.select(F.col("q").alias("q2"), F.col("next").alias("next2"))
-    between = a.join(b, (F.col("q2") < F.col("q")) & (F.col("q2") > F.coalesce("prev", F.lit(0))) & F.coalesce(F.col("next2") >= F.col("q"), F.lit(True)), "left")
-    d = between.groupBy("q", "source", "prev").agg(F.count("q2").alias("others"))
-    hit = F.col("prev").isNotNull() & (F.col("others") < cap)
-    seen = F.sum(F.col("prev").isNull().cast("long")).over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1))
-    return d.withColumn("hit", hit.cast("long")).select("q", "source", "hit", F.when((F.col("hit") == 0) & (F.coalesce(seen, F.lit(0)) >= cap), 1).otherwise(0).cast("long").alias("evicts"))
+    if cap < 1:
+        return acc.select("q", "source", F.lit(0).cast("long").alias("hit"), F.lit(None).cast("long").alias("victim"))
+    a = acc.select("q", "source", F.floor(F.col("q") / slice_ops).alias("part"))
+    last = a.groupBy("part", "source").agg(F.max("q").alias("q"))
+    top = last.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("q")))).where(F.col("r") <= cap)
+    tops = top.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "source"))), lambda x: x["source"]).alias("own"))
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[int] = []
+        for b in batches:
+            before = []
+            for own in b.column(1).to_pylist():
+                before.append(list(held))
+                held = [*(x for x in held if x not in own), *own][-cap:]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(before, pa.list_(pa.int64()))], ["part2", "held"])
+
+    held = tops.repartition(1).sortWithinPartitions("part").mapInArrow(carry, "part2 long, held array<long>")
+
+    def walk(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("q", ignore_index=True)
+        cache: OrderedDict[int, None] = OrderedDict.fromkeys(f["held"].iloc[0])
+        hits, victims = [], []
+        for s in f["source"].tolist():
+            hit = s in cache
+            victims.append(cache.popitem(last=False)[0] if not hit and len(cache) >= cap else None)
+            cache[s] = None
+            cache.move_to_end(s)
+            hits.append(int(hit))
+        return pd.DataFrame({"q": f["q"], "source": f["source"], "hit": hits, "victim": pd.array(victims, "Int64")})
+
+    return a.join(held, F.col("part") == F.col("part2")).drop("part2").groupBy("part").applyInPandas(walk, "q long, source long, hit long, victim long")
 
 
 def probation(acc: DataFrame, limit: int = 4) -> DataFrame:
@@ -57,12 +94,16 @@ def scores(acc: DataFrame, debts: DataFrame, penalty: float = 4.0) -> DataFrame:
 
 
 def eviction_plan(scored: DataFrame, each: int, budget: int, need: int) -> DataFrame:
-    """(source, score, victim): the lowest scores go until `need` fits the budget; every resident takes `each` bytes."""
-    total = Window.partitionBy(F.lit(0))
-    order = Window.orderBy("score", "source")
-    before = (F.row_number().over(order) - 1) * each
-    used = F.count(F.lit(1)).over(total) * each
-    return scored.select("source", "score", (used - before + need > budget).cast("long").alias("victim"))
+    """(source, score, victim): the lowest scores go until `need` fits the budget; every resident takes `each` bytes.
+
+    Only a number of victims is needed, and their scores are found without an order of all residents in one place.
+    """
+    count = scored.count()
+    go = max(0, min(count, -((budget - need - count * each) // each)))
+    if go in (0, count):
+        return scored.select("source", "score", F.lit(int(go > 0)).cast("long").alias("victim"))
+    ranked = global_rank(scored, ["score", "source"], F.floor(F.col("score") * 1024), "_rank")
+    return ranked.select("source", "score", (F.col("_rank") < go).cast("long").alias("victim"))
 
 
 def ewma_gaps(acc: DataFrame, alpha: float = 0.25) -> DataFrame:
@@ -81,4 +122,13 @@ def account(per_op: DataFrame, n_vertices: int) -> DataFrame:
     """(q, bytes, peak): logical bytes from residents and records per operation (q, residents, probation, cooldown), and their running peak."""
     b = F.col("residents") * (fn.SSSP_BASE + fn.SSSP_VERTEX * n_vertices + fn.ADAPTIVE_ENTRY) + fn.metadata_bytes(F.col("probation"), F.col("cooldown"), F.lit(0), F.lit(0))
     x = per_op.select("q", b.cast("long").alias("bytes"))
-    return x.withColumn("peak", F.max("bytes").over(Window.orderBy("q").rowsBetween(Window.unboundedPreceding, 0)))
+    return running_max(x, "q", "bytes", "peak")
+
+
+def running_max(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """The largest value up to and with each row, by ranges of a dense order: one row a range is ordered in one place."""
+    b = rows.withColumn("_b", F.shiftright(order, 12))
+    tops = b.groupBy("_b").agg(F.max(value).alias("_m"))
+    before = tops.select(F.col("_b").alias("_b2"), F.max("_m").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    within = F.max(value).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return b.withColumn("_w", within).join(before, F.col("_b") == F.col("_b2")).withColumn(name, F.greatest("_w", "_before")).drop("_b", "_b2", "_w", "_before")

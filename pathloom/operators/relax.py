@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pathloom.functions.scalar import INF, sat_add
-from pathloom.functions.tables import materialise
+from pathloom.functions.tables import discard, materialise
 
-#: Edges up to which a graph is sent to every executor (24 bytes each as arrays).
+#: Edges up to which a graph is sent to every executor (56 bytes each as flat arrays, 220 MB at most in a worker).
 KERNEL_EDGES = 4_000_000
 
 
@@ -37,6 +38,7 @@ def relax(seeds: DataFrame, edges: DataFrame, keys: list[str], reverse: bool = F
         both = best.select(*keys, "v", "dist", F.col("dist").alias("was")).union(cand.select(*keys, "v", "dist", F.lit(None).cast("long")))
         low = both.groupBy(*keys, "v").agg(F.min("dist").alias("dist"), F.min("was").alias("was"))
         nxt = materialise(low.select(*keys, "v", "dist", F.expr("was is null or dist < was").alias("fresh")), "relax")
+        discard(best)
         if nxt.where("fresh").isEmpty():
             return nxt.drop("fresh")
         best = nxt
@@ -44,24 +46,35 @@ def relax(seeds: DataFrame, edges: DataFrame, keys: list[str], reverse: bool = F
 
 
 class Csr:
-    """Forward adjacency as arrays, in edge_id order at each vertex."""
+    """Forward adjacency in edge_id order at each vertex, as flat arrays of 8 bytes; the reverse one points into it."""
 
     def __init__(self, edge_id: np.ndarray, src: np.ndarray, dst: np.ndarray, weight: np.ndarray):
         order = np.lexsort((edge_id, src))
         self.names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
         s, d = at[: len(src)][order], at[len(src) :][order]
-        self.start = np.searchsorted(s, np.arange(len(self.names) + 1)).tolist()
-        self.dst, self.weight, self.edge_id = d.tolist(), weight[order].tolist(), edge_id[order].tolist()
-        self.at = {int(v): i for i, v in enumerate(self.names)}
+        n = np.arange(len(self.names) + 1)
+        back = np.argsort(d, kind="stable")
+        flat = lambda x: array("q", np.ascontiguousarray(x, np.int64).tobytes())
+        self.start, self.src, self.dst, self.weight, self.edge_id = flat(np.searchsorted(s, n)), flat(s), flat(d), flat(weight[order]), flat(edge_id[order])
+        self.into, self.back = flat(np.searchsorted(d[back], n)), flat(back)
+
+    def at(self, v: int) -> int:
+        """The index of a vertex, -1 if no edge touches it."""
+        i = int(np.searchsorted(self.names, v))
+        return i if i < len(self.names) and self.names[i] == v else -1
+
+    def places(self) -> dict[int, int]:
+        """The place of each edge id in the arrays."""
+        return {e: i for i, e in enumerate(self.edge_id)}
 
     def from_source(self, source: int, target: int | None = None) -> tuple[list[int], list[int], int, int]:
         """(dist, parent edge, edges scanned, vertices settled); stops at target if given.  Ties keep the first parent."""
         n = len(self.names)
         dist, parent, scans, settled = [INF] * n, [-1] * n, 0, 0
-        i = self.at.get(source)
-        if i is None:
+        i = self.at(source)
+        if i < 0:
             return dist, parent, 0, 0
-        goal = self.at.get(target, -1) if target is not None else -1
+        goal = self.at(target) if target is not None else -1
         dist[i], heap = 0, [(0, i)]
         start, dst, weight, pop, push = self.start, self.dst, self.weight, heapq.heappop, heapq.heappush
         while heap:
@@ -79,6 +92,34 @@ class Csr:
                     push(heap, (nd, v))
         return dist, parent, scans, settled
 
+    def both_ways(self, source: int, target: int, weight: array | None = None) -> tuple[int, int, int]:
+        """(distance, edges scanned, vertices settled) of one pair: searches from both ends, the one with the smaller key
+        next, until the keys sum to the best path that joins them.  INF where there is none, 0 from a vertex to itself."""
+        if source == target:
+            return 0, 0, 0
+        s, t = self.at(source), self.at(target)
+        if s < 0 or t < 0:
+            return INF, 0, 0
+        weight = self.weight if weight is None else weight
+        near, heaps, best, scans, settled = ({s: 0}, {t: 0}), ([(0, s)], [(0, t)]), INF, 0, 0
+        while heaps[0] and heaps[1] and heaps[0][0][0] + heaps[1][0][0] < best:
+            side = heaps[0][0][0] > heaps[1][0][0]
+            mine, other, heap = near[side], near[not side], heaps[side]
+            d, u = heapq.heappop(heap)
+            if d != mine[u]:
+                continue
+            settled += 1
+            bounds = self.into if side else self.start
+            for k in range(bounds[u], bounds[u + 1]):
+                e = self.back[k] if side else k
+                scans += 1
+                v, nd = self.src[e] if side else self.dst[e], d + weight[e]
+                if nd < mine.get(v, INF):
+                    mine[v] = nd
+                    heapq.heappush(heap, (nd, v))
+                    best = min(best, nd + other.get(v, INF))
+        return best, scans, settled
+
 
 def csr_of(edges: DataFrame, most: int = KERNEL_EDGES) -> Csr | None:
     """The graph as arrays if it has at most `most` edges (checked before anything is collected), else None."""
@@ -104,7 +145,7 @@ def sssp(edges: DataFrame, sources: DataFrame, kernel_edges: int = KERNEL_EDGES)
         names = g.value.names
         for f in frames:
             for s in f["source"]:
-                if s not in g.value.at:
+                if g.value.at(int(s)) < 0:
                     yield pd.DataFrame({"source": [s], "v": [s], "dist": [0]})
                     continue
                 dist = np.array(g.value.from_source(int(s))[0], np.int64)
@@ -114,12 +155,37 @@ def sssp(edges: DataFrame, sources: DataFrame, kernel_edges: int = KERNEL_EDGES)
     return src.mapInPandas(run, "source long, v long, dist long")
 
 
-def distances(edges: DataFrame, pairs: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
-    """(source, target, dist) for each distinct pair: INF where unreachable, 0 from a vertex to itself."""
-    p = pairs.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).distinct()
-    d = sssp(edges, p.select("source"), kernel_edges).select(F.col("source").alias("s"), "v", "dist")
-    found = p.join(d, (F.col("source") == F.col("s")) & (F.col("target") == F.col("v")), "left")
-    return found.select("source", "target", F.when(F.col("source") == F.col("target"), 0).otherwise(F.coalesce("dist", F.lit(INF))).cast("long").alias("dist"))
+def distances(edges: DataFrame, pairs: DataFrame, kernel_edges: int = KERNEL_EDGES, few: int = 8) -> DataFrame:
+    """(source, target, dist, edge_scans, settled) for each distinct pair: INF where unreachable, 0 from a vertex to itself.
+
+    With the kernel a source of up to `few` targets searches each from both ends, one with more searches once for all of
+    them (its counters stand with its first target); by joins the counters are null.
+    """
+    p = pairs.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).where("source is not null and target is not null").distinct()
+    csr = csr_of(edges, kernel_edges)
+    if csr is None:
+        seeds = p.select("source").distinct().select("source", F.col("source").alias("v"), F.lit(0).cast("long").alias("dist"))
+        d = relax(seeds, edges, ["source"]).select(F.col("source").alias("s"), "v", "dist")
+        found = p.join(d, (F.col("source") == F.col("s")) & (F.col("target") == F.col("v")), "left")
+        none = F.lit(None).cast("long")
+        return found.select("source", "target", F.when(F.col("source") == F.col("target"), 0).otherwise(F.coalesce("dist", F.lit(INF))).cast("long").alias("dist"), none.alias("edge_scans"), none.alias("settled"))
+    sent = edges.sparkSession.sparkContext.broadcast(csr)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = sent.value
+        for f in frames:
+            for s, targets in zip(f["source"].tolist(), f["targets"].tolist(), strict=True):
+                targets = sorted(map(int, targets))
+                if len(targets) <= few:
+                    rows = [(s, t, *g.both_ways(s, t)) for t in targets]
+                else:
+                    dist, _, scans, settled = g.from_source(s)
+                    at = [g.at(t) for t in targets]
+                    rows = [(s, t, 0 if s == t else dist[i] if i >= 0 else INF, 0 if k else scans, 0 if k else settled) for k, (t, i) in enumerate(zip(targets, at, strict=True))]
+                yield pd.DataFrame(rows, columns=["source", "target", "dist", "edge_scans", "settled"])
+
+    # targets of one source are vertices of a graph of bounded size
+    return p.groupBy("source").agg(F.collect_list("target").alias("targets")).mapInPandas(run, "source long, target long, dist long, edge_scans long, settled long")
 
 
 def bidirectional(edges: DataFrame, source: int, target: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.functions.scalar import phase_class, ratio
 
@@ -10,28 +10,112 @@ from pathloom.functions.scalar import phase_class, ratio
 T_THREE, Z = 4.302652729911275, 1.96
 
 
-def nearest_rank(p: float, value: str) -> Column:
-    return F.expr(f"coalesce(percentile_disc({p}) within group (order by {value}), 0)")
+def nearest_rank(p: float) -> Column:
+    """The 1-based rank ceil(p n) among n values."""
+    return F.greatest(F.lit(1), F.ceil(F.col("n") * p))
 
 
-def rounded_index(p: float, value: str) -> Column:
-    """The value at index round((n - 1) p), halves to even, of the sorted values.  Collects a group: for groups of bounded size."""
-    xs = F.array_sort(F.collect_list(value))
-    return F.try_element_at(xs, (F.bround((F.count(value) - 1) * p) + 1).cast("int"))
+def rounded_index(p: float) -> Column:
+    """The 1-based rank of index round((n - 1) p), halves to even."""
+    return F.bround((F.col("n") - 1) * p) + 1
 
 
-def median(value: str) -> Column:
-    return F.median(value)
+def values_at(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], buckets: int = 1024) -> DataFrame:
+    """(keys, n, one value a rank) of each group's non-null values in ascending order; a rank is a column of n, from 1.
+
+    A group's values fall into equal parts of its range; counts tell the part a rank lies in, and only those parts' values
+    are numbered, a part apart from the others.  So no group is collected or sorted whole.  Null keys are groups; a group
+    of nulls only is absent.
+    """
+    r = rows.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("k"), F.col(value).alias("x"))
+    ends = r.groupBy("k").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"))
+    wanted = ends.select(F.col("k").alias("k2"), "low", "high", "n", F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]).alias("ranks"))
+    at = F.when(F.col("high") > F.col("low"), F.least(F.lit(buckets - 1), F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * buckets))).otherwise(0)
+    dealt = r.join(wanted, F.col("k").eqNullSafe(F.col("k2"))).select("k", "x", "n", "ranks", at.cast("int").alias("b"))
+    sizes = dealt.groupBy("k", "b").agg(F.count(F.lit(1)).alias("c"), F.first("ranks").alias("ranks"))
+    upto = F.sum("c").over(Window.partitionBy("k").orderBy("b"))
+    summed = sizes.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
+    hit = summed.select("k", "b", "before", "upto", F.explode("ranks").alias("r")).where("r.rank > before and r.rank <= upto")
+    hit = hit.select(F.col("k").alias("k3"), F.col("b").alias("b3"), "r.name", (F.col("r.rank") - F.col("before")).alias("place"))
+    near = dealt.join(hit.select("k3", "b3").distinct(), F.col("k").eqNullSafe(F.col("k3")) & (F.col("b") == F.col("b3")), "left_semi")
+    numbered = near.withColumn("no", F.row_number().over(Window.partitionBy("k", "b").orderBy("x")))
+    got = numbered.join(hit, F.col("k").eqNullSafe(F.col("k3")) & (F.col("b") == F.col("b3")) & (F.col("no") == F.col("place")))
+    one = got.groupBy("k").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in ranks])
+    return one.select("k.*", "n", *ranks)
+
+
+def medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, n, name): exact medians, the mean of the two middle values of an even number."""
+    got = values_at(rows, keys, value, {"_lo": F.floor((F.col("n") + 1) / 2), "_hi": F.floor(F.col("n") / 2) + 1})
+    return got.select(*keys, "n", ((F.col("_lo") + F.col("_hi")) / 2).alias(name))
+
+
+def summaries(rows: DataFrame, keys: list[str], ns: str, rss: str, sums: list[str]) -> DataFrame:
+    """(keys, n, median_ms, p95_ms, median_rss_mb, sums): one line a group of a summary report."""
+    t = values_at(rows, keys, ns, {"lo": F.floor((F.col("n") + 1) / 2), "hi": F.floor(F.col("n") / 2) + 1, "p95": rounded_index(0.95)})
+    t = t.select(F.struct(*keys).alias("k"), "n", F.round((F.col("lo") + F.col("hi")) / 2 / 1e6, 3).alias("median_ms"), F.round(F.col("p95") / 1e6, 3).alias("p95_ms"))
+    m = medians(rows, keys, rss, "mid").select(F.struct(*keys).alias("k2"), F.round(F.col("mid") / 1024, 2).alias("median_rss_mb"))
+    out = t.join(m, F.col("k").eqNullSafe(F.col("k2")))
+    if sums:
+        s = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).select(F.struct(*keys).alias("k3"), *sums)
+        out = out.join(s, F.col("k").eqNullSafe(F.col("k3")))
+    return out.select("k.*", "n", "median_ms", "p95_ms", "median_rss_mb", *sums)
+
+
+def campaign_medians(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(keys, samples, median_<value>): whole medians (rounded down) of every value by regime and profile."""
+    out = None
+    for v in values:
+        m = medians(rows, keys, v, "mid").select(F.struct(*keys).alias(f"k_{v}"), F.col("n").alias(f"n_{v}"), F.floor("mid").alias(f"median_{v}"))
+        out = m if out is None else out.join(m, F.col(f"k_{values[0]}").eqNullSafe(F.col(f"k_{v}")))
+    return out.select(f"k_{values[0]}.*", F.col(f"n_{values[0]}").alias("samples"), *[f"median_{v}" for v in values])
+
+
+def material(intervals: DataFrame, group: list[str], band: float = 1.10) -> DataFrame:
+    """(group, wins, regressions) of intervals (geomean, low, high): over the band with the whole interval on that side of 1."""
+    win = (F.col("geomean") >= band) & (F.col("low") > 1)
+    loss = (F.col("geomean") <= 1 / band) & (F.col("high") < 1)
+    return intervals.groupBy(*group).agg(F.count_if(win).alias("wins"), F.count_if(loss).alias("regressions"))
+
+
+def stage_ratios(rows: DataFrame, cell: list[str], kind: str, value: str, kinds: list[str]) -> DataFrame:
+    """(cell, <a>_over_<b> of neighbouring kinds, fastest): what each stage of a ladder of profiles gains; null over zero."""
+    wide = paired(rows, cell, kind, value, kinds)
+    steps = [F.round(ratio(F.col(a), F.col(b)), 9).alias(f"{a}_over_{b}") for a, b in zip(kinds, kinds[1:])]
+    fastest = F.array_min(F.array(*[F.struct(F.col(k).alias("x"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(kinds)]))["k"]
+    return wide.select(*cell, *steps, fastest.alias("fastest"))
+
+
+def valid_rows(rows: DataFrame, numbers: list[str], exit_col: str = "exit_code") -> DataFrame:
+    """Text rows of runs that ended well, whose `numbers` are whole; those columns become longs."""
+    x = rows.where(F.col(exit_col) == "0")
+    for c in numbers:
+        x = x.withColumn(c, F.when(F.col(c).rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(c).try_cast("long")))
+    return x.where(" and ".join(f"`{c}` is not null" for c in numbers))
+
+
+def repeated_traces(rows: DataFrame, identity: list[str], sha: str) -> DataFrame:
+    """(sha, n) of logs that differently named configurations share: each identity must have its own."""
+    return rows.select(F.struct(*identity).alias("_i"), sha).distinct().groupBy(sha).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def phases(tables: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several campaigns under one another, by column name, with the phase's name; missing columns are null."""
+    out = None
+    for name, t in tables.items():
+        t = t.withColumn("phase", F.lit(name))
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    return out
 
 
 def paired(rows: DataFrame, cell: list[str], kind: str, value: str, kinds: list[str]) -> DataFrame:
     """One row a cell with a column for each kind; cells that lack a kind are dropped."""
-    return rows.groupBy(*cell).pivot(kind, kinds).agg(F.first(value)).dropna(subset=kinds)
+    return rows.groupBy(*cell).pivot(kind, kinds).agg(F.min(value)).dropna(subset=kinds)
 
 
 def paired_speedups(pairs: DataFrame, group: list[str], base: str, subject: str) -> DataFrame:
-    x = ratio(F.col(base), F.col(subject))
-    return pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.median(x), 9).alias("speedup")).withColumn("class", phase_class(F.col("speedup")))
+    m = medians(pairs.withColumn("_x", ratio(F.col(base), F.col(subject))), group, "_x", "mid")
+    return m.select(*group, F.col("n").alias("n_pairs"), F.round("mid", 9).alias("speedup")).withColumn("class", phase_class(F.col("speedup")))
 
 
 def geomean_interval(rows: DataFrame, group: list[str], seed: str, speedup: str) -> DataFrame:
@@ -80,5 +164,13 @@ def conflicting_cells(rows: DataFrame, cell: list[str], identity: list[str]) ->
 def spatial_bins(coords: DataFrame, side: int = 32) -> DataFrame:
     """(v, bx, by) of points (v, x, y) in a side x side grid over their bounding box."""
     box = coords.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    at = lambda c: F.least(F.lit(side - 1), F.floor((F.col(c) - F.col(c + "0")) * side / F.greatest(F.lit(1), F.col(c + "1") - F.col(c + "0")))).cast("long")
+    at = lambda c: F.least(F.lit(side - 1), F.floor((F.col(c) - F.col(c + "0")) * side / (F.col(c + "1") - F.col(c + "0") + 1))).cast("long")
     return coords.crossJoin(F.broadcast(box)).select("v", at("x").alias("bx"), at("y").alias("by"))
+
+
+def next_filled(bins: DataFrame, starts: DataFrame, side: int = 32) -> DataFrame:
+    """(start, cell): the first cell (by * side + bx) with a point at or after each start, going round; no points: no rows."""
+    full = bins.select((F.col("by") * side + F.col("bx")).alias("cell")).distinct()
+    ring = F.array_sort(F.collect_list("cell"))  # side * side cells at most
+    cells = full.agg(ring.alias("cells")).where("size(cells) > 0")
+    return starts.crossJoin(F.broadcast(cells)).select("start", F.coalesce(F.try_element_at(F.filter("cells", lambda c: c >= F.col("start")), F.lit(1)), F.element_at("cells", 1)).alias("cell"))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from array import array
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.functions.scalar import INF
-from pathloom.operators.relax import relax
+from pathloom.functions.tables import global_sum
+from pathloom.operators.relax import KERNEL_EDGES, csr_of, relax
 
 
 def line_of() -> Column:
@@ -20,9 +27,19 @@ def canonical_lines(trace: DataFrame) -> DataFrame:
 
 
 def trace_sha256(trace: DataFrame) -> DataFrame:
-    """One row: the SHA-256 of all canonical lines, each ended by a line feed, in order.  A hash over one ordered text is one value's work."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("op_seq", line_of().alias("l")))), lambda x: F.concat(x["l"], F.lit("\n")))
-    return trace.agg(F.sha2(F.array_join(lines, ""), 256).alias("sha256"))
+    """One row: the SHA-256 of all canonical lines, each ended by a line feed, in order.
+
+    A digest is sequential, so one task reads the sorted lines; it holds a batch of them at a time, not the log.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hashlib.sha256()
+        for b in batches:
+            for line in b.column(1).to_pylist():
+                h.update(line.encode() + b"\n")
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], ["sha256"])
+
+    return trace.select("op_seq", line_of().alias("l")).repartition(1).sortWithinPartitions("op_seq").mapInArrow(digest, "sha256 string")
 
 
 def counts(trace: DataFrame) -> DataFrame:
@@ -30,17 +47,24 @@ def counts(trace: DataFrame) -> DataFrame:
     return trace.agg(F.count_if(F.col("kind") == "QUERY").alias("n_query"), F.count_if(u).alias("n_update"), F.count_if(u & (F.col("new_weight") > F.col("old_weight"))).alias("n_increase"), F.count_if(u & (F.col("new_weight") < F.col("old_weight"))).alias("n_decrease"))
 
 
-def validation_errors(trace: DataFrame, edges: DataFrame, n_vertices: Column | int) -> DataFrame:
-    """(op_seq, error) of operations that name no vertex or edge, or whose old weight isn't the edge's last one."""
-    n = F.lit(n_vertices) if isinstance(n_vertices, int) else n_vertices
+def validation_errors(trace: DataFrame, edges: DataFrame, n_vertices: Column | int, logs: list[str] | None = None) -> DataFrame:
+    """(op_seq, error) of operations that name no vertex or edge, or whose old weight isn't the edge's last one.
+
+    `logs` names columns that tell several logs of one graph apart; they are returned too.
+    """
+    n, logs = F.lit(n_vertices) if isinstance(n_vertices, int) else n_vertices, logs or []
     first = edges.select(F.col("edge_id").alias("e2"), F.col("weight").alias("first"))
-    before = F.lag("new_weight").over(Window.partitionBy("kind", "edge_id").orderBy("op_seq"))
-    t = trace.withColumn("before", before).join(first, F.col("edge_id") == F.col("e2"), "left")
-    bad_vertex = (F.col("kind") == "QUERY") & ~(F.coalesce(F.col("source").between(0, n - 1), F.lit(False)) & F.coalesce(F.col("target").between(0, n - 1), F.lit(False)))
-    bad_edge = (F.col("kind") == "UPDATE") & F.col("e2").isNull()
-    bad_old = (F.col("kind") == "UPDATE") & ~F.col("old_weight").eqNullSafe(F.coalesce("before", "first"))
-    err = F.when(bad_vertex, "vertex").when(bad_edge, "edge").when(bad_old, "old_weight").when(~F.col("kind").isin("QUERY", "UPDATE"), "kind")
-    return t.select("op_seq", err.alias("error")).where("error is not null")
+    ok = lambda c: F.coalesce(F.col(c).between(0, n - 1), F.lit(False))
+    is_update = F.coalesce(F.col("kind") == "UPDATE", F.lit(False))
+    rest = trace.where(~is_update)
+    err = F.when(~F.coalesce(F.col("kind") == "QUERY", F.lit(False)), "kind").when(~(ok("source") & ok("target")), "vertex")
+    other = rest.select(*logs, "op_seq", err.alias("error"))
+    # only updates are dealt by edge: queries have none
+    before = F.lag("new_weight").over(Window.partitionBy(*logs, "edge_id").orderBy("op_seq"))
+    t = trace.where(is_update).withColumn("before", before).join(first, F.col("edge_id") == F.col("e2"), "left")
+    bad_old = ~F.col("old_weight").eqNullSafe(F.coalesce("before", "first"))
+    mine = t.select(*logs, "op_seq", F.when(F.col("e2").isNull(), "edge").when(bad_old, "old_weight").alias("error"))
+    return other.union(mine).where("error is not null")
 
 
 def effective() -> Column:
@@ -48,8 +72,8 @@ def effective() -> Column:
 
 
 def epochs(trace: DataFrame) -> DataFrame:
-    """trace plus epoch: the effective updates up to and with each operation.  The log is one ordered sequence."""
-    return trace.withColumn("epoch", F.sum(effective()).over(Window.orderBy("op_seq").rowsBetween(Window.unboundedPreceding, 0)))
+    """trace plus epoch: the effective updates up to and with each operation, summed in ranges of operations."""
+    return global_sum(trace, ["op_seq"], F.coalesce(effective(), F.lit(0)), F.shiftright("op_seq", 12), "epoch")
 
 
 def edge_versions(edges: DataFrame, trace: DataFrame) -> DataFrame:
@@ -66,18 +90,48 @@ def weights_asof(versions: DataFrame, epoch: int) -> DataFrame:
     return versions.where((F.col("valid_from") <= epoch) & (F.col("valid_to") > epoch)).select("edge_id", "src", "dst", "weight")
 
 
-def replay(edges: DataFrame, trace: DataFrame) -> DataFrame:
+def replay(edges: DataFrame, trace: DataFrame, kernel_edges: int = KERNEL_EDGES, slice_ops: int | None = None) -> DataFrame:
     """(op_seq, source, target, answer) of every query, exact as of its place in the log.
 
-    All (epoch, source) pairs relax in one loop over the edge versions valid at their epoch, so the log isn't walked
-    operation by operation.
+    A graph of bounded size goes to all executors once and the log is cut into ranges of `slice_ops` operations, which are
+    answered apart: a range starts from the weights as of its first operation (the last update of an edge in the ranges
+    before, at most one row an edge and range) and walks its own operations.  A larger graph is relaxed for all (epoch,
+    source) pairs in one loop.
     """
+    csr = csr_of(edges, kernel_edges)
+    if csr is None:
+        return _replay_relational(edges, trace)
+    spark = edges.sparkSession
+    n = trace.agg(F.max("op_seq")).first()[0] or 0
+    # few ranges while edges change often, as each starts with all changed weights; at most 200,000 operations in memory
+    size = slice_ops or max(512, min(200_000, -(-(n + 1) // (4 * spark.sparkContext.defaultParallelism))))
+    ops = trace.select(F.floor(F.col("op_seq") / size).cast("int").alias("part"), "op_seq", (F.col("kind") == "QUERY").alias("query"), F.coalesce("source", "edge_id").alias("a"), F.coalesce("target", "new_weight").alias("b"))
+    last = ops.where("not query").groupBy("a", "part").agg(F.max_by("b", "op_seq").alias("b"))
+    until = F.coalesce(F.lead("part").over(Window.partitionBy("a").orderBy("part")), F.lit(n // size))
+    start = last.withColumn("until", until).where("part < until").select(F.explode(F.sequence(F.col("part") + 1, F.col("until"))).alias("part"), F.lit(-1).cast("long").alias("op_seq"), F.lit(False).alias("query"), "a", "b")
+    sent = spark.sparkContext.broadcast(csr)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        g, out = sent.value, []
+        weight, place = array("q", g.weight), g.places()
+        f = f.sort_values("op_seq", kind="stable")
+        for seq, query, a, b in zip(f["op_seq"].tolist(), f["query"].tolist(), f["a"].tolist(), f["b"].tolist(), strict=True):
+            if query:
+                out.append((seq, a, b, g.both_ways(a, b, weight)[0]))
+            else:
+                weight[place[a]] = b
+        return pd.DataFrame(out, columns=["op_seq", "source", "target", "answer"])
+
+    return ops.unionByName(start).groupBy("part").applyInPandas(run, "op_seq long, source long, target long, answer long")
+
+
+def _replay_relational(edges: DataFrame, trace: DataFrame) -> DataFrame:
     q = epochs(trace).where("kind = 'QUERY'").select("op_seq", "source", "target", "epoch")
     seeds = q.select("epoch", "source").distinct().select("epoch", "source", F.col("source").alias("v"), F.lit(0).cast("long").alias("dist"))
     valid = (F.col("_e_valid_from") <= F.col("epoch")) & (F.col("epoch") < F.col("_e_valid_to"))
     d = relax(seeds, edge_versions(edges, trace), ["epoch", "source"], valid=valid).select(F.col("epoch").alias("ep"), F.col("source").alias("s"), "v", "dist")
     a = q.join(d, (F.col("epoch") == F.col("ep")) & (F.col("source") == F.col("s")) & (F.col("target") == F.col("v")), "left")
-    return a.select("op_seq", "source", "target", F.coalesce("dist", F.lit(INF)).alias("answer"))
+    return a.select("op_seq", "source", "target", F.when(F.col("source") == F.col("target"), 0).otherwise(F.coalesce("dist", F.lit(INF))).cast("long").alias("answer"))
 
 
 def mismatches(answers: DataFrame, oracle: DataFrame) -> DataFrame:

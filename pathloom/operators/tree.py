@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pathloom.functions.scalar import sat_add
-from pathloom.functions.tables import materialise
+from pathloom.functions.tables import discard, materialise
 
 
 def tight_edges(edges: DataFrame, dist: DataFrame) -> DataFrame:
@@ -40,17 +40,43 @@ def descent(tree: DataFrame) -> DataFrame:
 
 
 def subtree_sizes(tree: DataFrame) -> DataFrame:
-    """(source, v, size) with v itself counted."""
-    return descent(tree).groupBy("source", F.col("top").alias("v")).agg(F.count(F.lit(1)).alias("size"))
+    """(source, v, size) with v itself counted.
+
+    After k rounds a vertex holds the number of those less than 2^k levels below it and a pointer 2^k levels up; it gains
+    what the vertices exactly 2^k levels below hold.  So the work is the vertices by the logarithm of the depth.
+    """
+    roots = tree.select("source", F.col("parent").alias("v")).distinct().join(tree.select("source", "v"), ["source", "v"], "left_anti")
+    at = materialise(tree.select("source", "v", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")).unionByName(roots.select("source", "v", F.lit(None).cast("long").alias("up"), F.lit(1).cast("long").alias("size"))), "sizes")
+    while not at.where("up is not null").isEmpty():
+        gain = at.where("up is not null").groupBy(F.col("source").alias("s2"), F.col("up").alias("v2")).agg(F.sum("size").alias("more"))
+        far = at.select(F.col("source").alias("s3"), F.col("v").alias("v3"), F.col("up").alias("up3"))
+        nxt = at.join(gain, (F.col("source") == F.col("s2")) & (F.col("v") == F.col("v2")), "left").join(far, (F.col("source") == F.col("s3")) & (F.col("up") == F.col("v3")), "left")
+        nxt = materialise(nxt.select("source", "v", F.col("up3").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
+        discard(at)
+        at = nxt
+    return at.select("source", "v", "size")
 
 
 def subtree(tree: DataFrame, top: int, most: int | None = None) -> DataFrame | None:
-    """(source, v) of the vertices below and at top, level by level; None once there are more than `most`."""
-    level = found = materialise(tree.where(F.col("v") == top).select("source", "v"), "subtree")
-    while not level.isEmpty():
-        if most is not None and found.count() > most:
-            return None
-        p = level.select(F.col("source").alias("s2"), F.col("v").alias("p2"))
-        level = materialise(tree.join(p, (F.col("source") == F.col("s2")) & (F.col("parent") == F.col("p2"))).select("source", "v"), "subtree")
-        found = materialise(found.union(level), "subtree")
-    return found
+    """(source, v) of the vertices below and at top; None if they are more than `most` (of all sources together).
+
+    A vertex asks its ancestors 1, 2, 4, ... levels up whether they are known to lie below top: the logarithm of the depth
+    in rounds.
+    """
+    at = materialise(tree.select("source", "v", F.when(F.col("v") != top, F.col("parent")).alias("up"), (F.col("v") == top).alias("inside")), "subtree")
+    while not at.where("up is not null").isEmpty():
+        far = at.select(F.col("source").alias("s2"), F.col("v").alias("v2"), F.col("up").alias("up2"), F.col("inside").alias("in2"))
+        nxt = at.join(far, (F.col("source") == F.col("s2")) & (F.col("up") == F.col("v2")), "left")
+        nxt = materialise(nxt.select("source", "v", F.when(~F.coalesce("in2", F.lit(False)), F.col("up2")).alias("up"), (F.col("inside") | F.coalesce("in2", F.lit(False))).alias("inside")), "subtree")
+        discard(at)
+        at = nxt
+    found = at.where("inside").select("source", "v")
+    return None if most is not None and found.count() > most else found
+
+
+def edge_regimes(tree: DataFrame, n: int) -> DataFrame:
+    """tree (source, v, parent_edge, parent) plus size, small and catastrophic: what hangs below each tree edge, and whether
+    that is very little or a quarter of all n vertices."""
+    z = subtree_sizes(tree).select(F.col("source").alias("s2"), F.col("v").alias("v2"), "size")
+    j = tree.join(z, (F.col("source") == F.col("s2")) & (F.col("v") == F.col("v2"))).drop("s2", "v2")
+    return j.withColumn("small", F.col("size") <= max(8, n // 1000)).withColumn("catastrophic", F.col("size") >= max(2, n // 4))

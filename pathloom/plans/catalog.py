@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pathloom.functions import scalar as fn
 from pathloom.operators import policy, relax as rx, repair as rp, stats, trace as tr, tree as tt
-from pathloom.plans.engine import replay_engines
-from pathloom.sources import generators as gen, views
+from pathloom.plans.engine import engine_counters, replay_engines
+from pathloom.sources import generators as gen, views, workloads as wl
+from pathloom.sources.traces import TRACE_SCHEMA
 from pathloom.streaming import replay as stream
 
 INF = fn.INF
@@ -23,12 +24,13 @@ flow AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst,
 TRADE = """trade AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst, weight FROM (SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2))"""
 OPS = f"""{FLOW},
 size AS (SELECT count(*) AS m, max(greatest(src, dst)) + 1 AS n FROM flow),
-head AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS op_seq, * FROM events ORDER BY ts, event_id LIMIT 200),
-op AS (SELECT op_seq, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'QUERY' ELSE 'UPDATE' END AS kind, event_id, user_id::BIGINT AS u, 1 + CAST(round(value * 100) AS BIGINT) % 97 AS w, m, n FROM head, size),
+head AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS op_seq, * FROM events),
+op AS (SELECT op_seq, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'QUERY' ELSE 'UPDATE' END AS kind, event_id, user_id::BIGINT AS u, 1 + CAST(round(value * 100) AS BIGINT) % 97 AS w, m, n FROM head CROSS JOIN size),
 ups AS (SELECT op_seq, (event_id * 7919) % m AS edge_id, w AS new_weight FROM op WHERE kind = 'UPDATE'),
 upd AS (SELECT op_seq, ups.edge_id, coalesce(lag(new_weight) OVER (PARTITION BY ups.edge_id ORDER BY op_seq), flow.weight) AS old_weight, new_weight FROM ups JOIN flow USING (edge_id)),
 optrace AS (SELECT o.op_seq, o.kind, CASE WHEN o.kind = 'QUERY' THEN o.u END AS source, CASE WHEN o.kind = 'QUERY' THEN (o.event_id * 31 + 7) % o.n END AS target, upd.edge_id, upd.old_weight, upd.new_weight FROM op o LEFT JOIN upd USING (op_seq))"""
-VERSIONS = """ep AS (SELECT *, sum(CASE WHEN kind = 'UPDATE' AND new_weight <> old_weight THEN 1 ELSE 0 END) OVER (ORDER BY op_seq) AS epoch FROM optrace),
+EPOCHS = """ep AS (SELECT *, sum(CASE WHEN kind = 'UPDATE' AND new_weight <> old_weight THEN 1 ELSE 0 END) OVER (ORDER BY op_seq) AS epoch FROM optrace)"""
+VERSIONS = EPOCHS + """,
 ch AS (SELECT edge_id, weight, 0 AS valid_from FROM flow UNION ALL SELECT edge_id, new_weight, epoch FROM ep WHERE kind = 'UPDATE' AND new_weight <> old_weight),
 versions AS (SELECT ch.edge_id, src, dst, ch.weight, valid_from, coalesce(lead(valid_from) OVER (PARTITION BY ch.edge_id ORDER BY valid_from), 4611686018427387903) AS valid_to FROM ch JOIN flow USING (edge_id))"""
 
@@ -128,12 +130,12 @@ def sssp_trade_all_pairs(spark, d):
     return rx.sssp(g, views.vertices(g).withColumnRenamed("v", "source"))
 
 
-@register("p2p_distance", f"WITH RECURSIVE {FLOW}, pairs AS (SELECT DISTINCT event_id % 5 AS source, (event_id * 31 + 7) % (SELECT max(greatest(src, dst)) + 1 FROM flow) AS target FROM events WHERE event_id < 500), {_sp('SELECT DISTINCT source AS s FROM pairs')} SELECT source, target, CASE WHEN source = target THEN 0 ELSE coalesce(dist, {INF}) END AS dist FROM pairs LEFT JOIN sp ON s = source AND v = target")
+@register("p2p_distance", f"WITH RECURSIVE {FLOW}, pairs AS (SELECT DISTINCT user_id::BIGINT AS source, (event_id * 31 + 7) % (SELECT max(greatest(src, dst)) + 1 FROM flow) AS target FROM events WHERE user_id IS NOT NULL), {_sp('SELECT DISTINCT source AS s FROM pairs')} SELECT source, target, CASE WHEN source = target THEN 0 ELSE coalesce(dist, {INF}) END AS dist FROM pairs LEFT JOIN sp ON s = source AND v = target")
 def p2p_distance(spark, d):
     g = views.flow(spark, d)
     top = g.agg((F.max(F.greatest("src", "dst")) + 1).alias("n"))
-    p = views.table(spark, d, "events").where("event_id < 500").select("event_id").crossJoin(F.broadcast(top))
-    return rx.distances(g, p.select((F.col("event_id") % 5).alias("source"), ((F.col("event_id") * 31 + 7) % F.col("n")).alias("target")))
+    p = views.table(spark, d, "events").select("event_id", F.col("user_id").cast("long").alias("source")).crossJoin(F.broadcast(top))
+    return rx.distances(g, p.select("source", ((F.col("event_id") * 31 + 7) % F.col("n")).alias("target"))).select("source", "target", "dist")
 
 
 @register("bidirectional_meet", f"WITH RECURSIVE {FLOW}, {_sp('SELECT 3::BIGINT AS s')} SELECT coalesce(min(dist), {INF}) AS dist FROM sp WHERE v = 11")
@@ -291,11 +293,12 @@ def trace_replay_answers(spark, d):
     return tr.replay(*_log(spark, d))
 
 
-@register("oracle_mismatches", "SELECT 0::BIGINT AS n_mismatches")
+@register("oracle_mismatches", f"WITH {OPS} SELECT op_seq FROM optrace WHERE kind = 'QUERY' AND op_seq % 50 = 3")
 def oracle_mismatches(spark, d):
+    """Operations at which an engine's answers, each fiftieth of them spoilt, differ from the answers of fresh searches."""
     g, t = _log(spark, d)
-    seq = replay_engines(g, t, ["FULL"]).select("op_seq", "answer")
-    return tr.mismatches(tr.replay(g, t).select("op_seq", "answer"), seq).agg(F.count(F.lit(1)).alias("n_mismatches"))
+    seq = replay_engines(g, t, ["FULL"]).select("op_seq", (F.col("answer") + (F.col("op_seq") % 50 == 3).cast("long")).alias("answer"))
+    return tr.mismatches(seq, tr.replay(g, t).select("op_seq", "answer")).select("op_seq")
 
 
 @register("engine_profiles", f"{REPLAY}, engines AS (SELECT unnest(['B0', 'B1', 'B2', 'B3', 'B2L', 'B3L', 'COLD', 'FREQ-LRU-REBUILD', 'FREQ-LRU-REPAIR', 'WORK-LRU-REPAIR', 'WORK-DEBT-REPAIR', 'FULL', 'ECONOMIC', 'ECONOMIC-FAST']) AS engine) SELECT engine, op_seq, answer FROM answers CROSS JOIN engines")
@@ -310,7 +313,7 @@ def distinct_sources_preflight(spark, d):
     return t.agg(F.count_distinct("source").alias("sources")).crossJoin(n).select("sources", (F.col("sources") * F.col("n") * fn.SSSP_VERTEX).alias("bytes"))
 
 
-@register("streaming_trace_replay", f"{REPLAY} SELECT op_seq, answer FROM answers")
+@register("streaming_trace_replay")
 def streaming_trace_replay(spark, d):
     import uuid
 
@@ -319,8 +322,11 @@ def streaming_trace_replay(spark, d):
 
     g, t = _log(spark, d)
     home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    for i, part in enumerate([t.where("op_seq < 80"), t.where("op_seq >= 80")]):
-        part.coalesce(1).write.parquet(f"{home}/in/part={i}")
+    half = (t.agg(F.max("op_seq")).first()[0] or 0) // 2
+    for i, part in enumerate([t.where(F.col("op_seq") < half), t.where(F.col("op_seq") >= half)]):
+        part.repartition(1).write.parquet(f"{home}/in/part={i}")
+    if g.count() > rx.KERNEL_EDGES:
+        raise ValueError("too large for the sequential engines: use operators.trace.replay")
     rows = [tuple(r) for r in g.orderBy("edge_id").select("src", "dst", "weight").collect()]
     sink = stream.ReplayStream(Engine(Graph(max(max(u, v) for u, v, _ in rows) + 1, rows)), f"{home}/out")
     for i in range(2):  # one run a part, so files arrive in order
@@ -347,11 +353,20 @@ def reuse_gaps(spark, d):
     return policy.reuse_gaps(_acc(spark, d))
 
 
-@register("lru_hits_misses", f"WITH {ACC}, p AS (SELECT q, source, lag(q) OVER (PARTITION BY source ORDER BY q) AS prev FROM acc), h AS (SELECT q, source, prev, CASE WHEN prev IS NOT NULL AND (SELECT count(DISTINCT b.source) FROM acc b WHERE b.q > p.prev AND b.q < p.q) < 4 THEN 1 ELSE 0 END AS hit FROM p) SELECT q, source, hit::BIGINT AS hit, CASE WHEN hit = 0 AND (SELECT count(DISTINCT b.source) FROM acc b WHERE b.q < h.q) >= 4 THEN 1 ELSE 0 END::BIGINT AS evicts FROM h")
+LRU = """lru(q, source, held, hit, victim) AS (SELECT 0::BIGINT, NULL::BIGINT, []::BIGINT[], 0::BIGINT, NULL::BIGINT UNION ALL
+SELECT a.q, a.source, list_append(list_filter(CASE WHEN NOT list_contains(held, a.source) AND len(held) >= 4 THEN held[2:] ELSE held END, lambda x: x <> a.source), a.source), CASE WHEN list_contains(held, a.source) THEN 1 ELSE 0 END, CASE WHEN NOT list_contains(held, a.source) AND len(held) >= 4 THEN held[1] END FROM lru JOIN acc a ON a.q = lru.q + 1)"""
+
+
+@register("lru_hits_misses", f"WITH RECURSIVE {ACC}, {LRU} SELECT q, source, hit, victim FROM lru WHERE q > 0")
 def lru_hits_misses(spark, d):
     return policy.lru(_acc(spark, d), 4)
 
 
+@register("policy_clocks", f"WITH {OPS}, c AS (SELECT op_seq, sum(CASE WHEN kind = 'QUERY' THEN 1 ELSE 0 END) OVER w AS queries, sum(CASE WHEN kind = 'UPDATE' AND new_weight <> old_weight THEN 1 ELSE 0 END) OVER w AS updates FROM optrace WINDOW w AS (ORDER BY op_seq)) SELECT op_seq, queries::BIGINT AS queries, updates::BIGINT AS updates, round(updates / greatest(1, queries), 9) AS rate FROM c")
+def policy_clocks(spark, d):
+    return policy.clocks(_log(spark, d)[1])
+
+
 @register("probation_frequency", f"WITH {ACC}, k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q) AS k FROM acc) SELECT q, source, (k - 1) % 4 + 1 AS seen, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS promotes FROM k")
 def probation_frequency(spark, d):
     return policy.probation(_acc(spark, d))
@@ -362,12 +377,18 @@ def recent_slot_lookup(spark, d):
     return policy.recent_slots(_acc(spark, d))
 
 
-SCORES = f"{ACC}, sc AS (SELECT source, count(*) AS hits, (SELECT max(q) FROM acc) - max(q) AS age, source % 3 AS debt FROM acc GROUP BY 1), scored AS (SELECT *, round(hits / (1 + age + 4.0::DOUBLE * debt), 9) AS score FROM sc)"
+# the debt of a source are the effective updates since its last query
+SCORES = f"{ACC}, {EPOCHS}, lastq AS (SELECT acc.source, count(*) AS hits, (SELECT max(q) FROM acc) - max(acc.q) AS age, (SELECT max(epoch) FROM ep) - max(ep.epoch) AS debt FROM acc JOIN ep USING (op_seq) GROUP BY 1), scored AS (SELECT source, hits, age, debt::BIGINT AS debt, round(hits / (1 + age + 4.0::DOUBLE * debt), 9) AS score FROM lastq)"
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    a = _acc(spark, d)
-    return policy.scores(a, a.select("source", (F.col("source") % 3).alias("debt")).distinct())
+    from pathloom.functions.tables import materialise
+
+    t = _log(spark, d)[1]
+    ep = materialise(tr.epochs(t).select(F.col("op_seq").alias("o2"), "epoch"), "epochs")
+    a = policy.accesses(t)
+    since = a.join(ep, F.col("op_seq") == F.col("o2")).groupBy("source").agg(F.max("epoch").alias("e")).crossJoin(F.broadcast(ep.agg(F.max("epoch").alias("top"))))
+    return policy.scores(a, since.select("source", (F.col("top") - F.col("e")).alias("debt")))
 
 
 @register("resident_score", f"WITH {SCORES} SELECT source, hits, age, debt, score FROM scored")
@@ -375,9 +396,11 @@ def resident_score(spark, d):
     return _scored(spark, d)
 
 
-@register("budget_eviction_plan", f"WITH {SCORES} SELECT source, score, CASE WHEN (count(*) OVER () - (row_number() OVER (ORDER BY score, source) - 1)) * 6708 + 6708 > 100000 THEN 1 ELSE 0 END::BIGINT AS victim FROM scored")
+@register("budget_eviction_plan", f"WITH {SCORES}, z AS (SELECT 8 + 44 * max(n) + 100 AS each FROM size) SELECT source, score, CASE WHEN (count(*) OVER () - (row_number() OVER (ORDER BY score, source) - 1)) * each + each > 40 * each THEN 1 ELSE 0 END::BIGINT AS victim FROM scored, z")
 def budget_eviction_plan(spark, d):
-    return policy.eviction_plan(_scored(spark, d), 6708, 100_000, 6708)
+    n = views.flow(spark, d).agg(F.max(F.greatest("src", "dst")) + 1).first()[0] or 0
+    each = fn.SSSP_BASE + fn.SSSP_VERTEX * n + fn.ADAPTIVE_ENTRY
+    return policy.eviction_plan(_scored(spark, d), each, 40 * each, each)
 
 
 @register("ewma_reuse_gap", f"WITH {ACC}, g AS (SELECT q, source, q - lag(q) OVER (PARTITION BY source ORDER BY q) AS gap FROM acc) SELECT source, round(list_reduce(list(gap::DOUBLE ORDER BY q), lambda m, x: 0.75::DOUBLE * m + 0.25::DOUBLE * x), 9) AS ewma FROM g WHERE gap IS NOT NULL GROUP BY 1")
@@ -385,32 +408,93 @@ def ewma_reuse_gap(spark, d):
     return policy.ewma_gaps(_acc(spark, d))
 
 
-@register("cooldown_blocks", f"WITH {ACC} SELECT q, source FROM acc a WHERE q % 2 = 0 AND EXISTS (SELECT 1 FROM acc b WHERE b.q % 2 = 1 AND b.source = a.source AND a.q >= b.q AND a.q < b.q + 32)")
+@register("cooldown_blocks", f"WITH RECURSIVE {ACC}, {LRU} SELECT q, source FROM lru a WHERE q > 0 AND hit = 0 AND EXISTS (SELECT 1 FROM lru b WHERE b.victim = a.source AND a.q >= b.q AND a.q < b.q + 32)")
 def cooldown_blocks(spark, d):
-    a = _acc(spark, d)
-    return policy.cooldown_blocks(a.where("q % 2 = 1"), a.where("q % 2 = 0"))
+    from pathloom.functions.tables import materialise
+
+    c = materialise(policy.lru(_acc(spark, d), 4), "lru")
+    return policy.cooldown_blocks(c.where("victim is not null").select("q", F.col("victim").alias("source")), c.where("hit = 0"))
 
 
-@register("byte_accounting", f"WITH {ACC}, b AS (SELECT q, least(q, 4) * (8 + 44 * 150 + 100) + (q % 7) * 16 + (q % 5) * 12 AS bytes FROM acc) SELECT q, bytes, max(bytes) OVER (ORDER BY q) AS peak FROM b")
+@register("byte_accounting", f"WITH {ACC}, f AS (SELECT q, sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (ORDER BY q) AS met FROM (SELECT q, row_number() OVER (PARTITION BY source ORDER BY q) = 1 AS first FROM acc)), b AS (SELECT q, (least(met, 4) * (8 + 44 * (SELECT max(n) FROM size) + 100))::BIGINT AS bytes FROM f) SELECT q, bytes, max(bytes) OVER (ORDER BY q) AS peak FROM b")
 def byte_accounting(spark, d):
-    per = _acc(spark, d).select("q", F.least(F.col("q"), F.lit(4)).alias("residents"), (F.col("q") % 7).alias("probation"), (F.col("q") % 5).alias("cooldown"))
-    return policy.account(per, 150)
+    from pathloom.functions.tables import global_sum
+
+    g, t = _log(spark, d)
+    n = g.agg(F.max(F.greatest("src", "dst")) + 1).first()[0] or 0
+    first = (F.row_number().over(Window.partitionBy("source").orderBy("q")) == 1).cast("long")
+    met = global_sum(policy.accesses(t).withColumn("first", first), ["q"], F.col("first"), F.shiftright("q", 12), "met")
+    return policy.account(met.select("q", F.least(F.col("met"), F.lit(4)).alias("residents"), F.lit(0).alias("probation"), F.lit(0).alias("cooldown")), n)
 
 
 # ---- statistics ----------------------------------------------------------------------------------------------------
 @register("latency_nearest_rank", "SELECT l_returnflag, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice) AS p95 FROM lineitem GROUP BY 1")
 def latency_nearest_rank(spark, d):
-    return views.table(spark, d, "lineitem").groupBy("l_returnflag").agg(stats.nearest_rank(0.5, "l_extendedprice").alias("p50"), stats.nearest_rank(0.95, "l_extendedprice").alias("p95"))
+    return stats.values_at(views.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": stats.nearest_rank(0.5), "p95": stats.nearest_rank(0.95)}).drop("n")
 
 
 @register("percentile_rounded_index", "SELECT o_orderstatus, list_sort(list(o_totalprice))[1 + round_even((count(*) - 1) * 0.95, 0)::BIGINT] AS p95 FROM orders GROUP BY 1")
 def percentile_rounded_index(spark, d):
-    return views.table(spark, d, "orders").groupBy("o_orderstatus").agg(stats.rounded_index(0.95, "o_totalprice").alias("p95"))
+    return stats.values_at(views.table(spark, d, "orders"), ["o_orderstatus"], "o_totalprice", {"p95": stats.rounded_index(0.95)}).drop("n")
 
 
 @register("grouped_median", "SELECT o_orderpriority, o_orderstatus, median(o_totalprice) AS mid, count(*) AS n FROM orders GROUP BY 1, 2")
 def grouped_median(spark, d):
-    return views.table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.median("o_totalprice").alias("mid"), F.count(F.lit(1)).alias("n"))
+    return stats.medians(views.table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"], "o_totalprice", "mid")
+
+
+@register("grouped_median_ratio", "WITH m AS (SELECT o_orderpriority, median(o_totalprice) FILTER (o_orderstatus = 'F') AS base, median(o_totalprice) FILTER (o_orderstatus = 'O') AS subject FROM orders GROUP BY 1) SELECT o_orderpriority, round(base / subject, 9) AS ratio, CASE WHEN base / subject >= 1.10 THEN 'superior' WHEN base / subject <= 0.90 THEN 'inferior' ELSE 'parity' END AS class FROM m")
+def grouped_median_ratio(spark, d):
+    m = stats.medians(views.table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"], "o_totalprice", "mid")
+    x = fn.ratio(F.col("F"), F.col("O"))
+    return stats.paired(m, ["o_orderpriority"], "o_orderstatus", "mid", ["F", "O"]).select("o_orderpriority", F.round(x, 9).alias("ratio"), fn.phase_class(x).alias("class"))
+
+
+RUNS = "runs AS (SELECT o_orderpriority AS workload, o_orderstatus AS baseline, (o_totalprice * 1000)::BIGINT AS ns, o_custkey % 5000 + 100 AS rss, o_custkey % 7 AS rebuilds, o_custkey % 3 AS repairs FROM orders)"
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "orders").select(F.col("o_orderpriority").alias("workload"), F.col("o_orderstatus").alias("baseline"), F.round(F.col("o_totalprice") * 1000).cast("long").alias("ns"), (F.col("o_custkey") % 5000 + 100).alias("rss"), (F.col("o_custkey") % 7).alias("rebuilds"), (F.col("o_custkey") % 3).alias("repairs"))
+
+
+@register("metric_summary", f"WITH {RUNS} SELECT workload, baseline, count(*) AS n, round(median(ns) / 1e6, 3) AS median_ms, round(list_sort(list(ns))[1 + round_even((count(*) - 1) * 0.95, 0)::BIGINT] / 1e6, 3) AS p95_ms, round(median(rss) / 1024, 2) AS median_rss_mb, sum(rebuilds)::BIGINT AS rebuilds, sum(repairs)::BIGINT AS repairs FROM runs GROUP BY 1, 2")
+def metric_summary(spark, d):
+    return stats.summaries(_runs(spark, d), ["workload", "baseline"], "ns", "rss", ["rebuilds", "repairs"])
+
+
+@register("campaign_medians", f"WITH {RUNS} SELECT workload, baseline, count(*) AS samples, floor(median(ns))::BIGINT AS median_ns, floor(median(rss))::BIGINT AS median_rss FROM runs GROUP BY 1, 2")
+def campaign_medians(spark, d):
+    return stats.campaign_medians(_runs(spark, d), ["workload", "baseline"], ["ns", "rss"])
+
+
+@register("stage_ratios", f"WITH {RUNS}, m AS (SELECT workload, min(ns) FILTER (baseline = 'F') AS f, min(ns) FILTER (baseline = 'O') AS o, min(ns) FILTER (baseline = 'P') AS p FROM runs GROUP BY 1 HAVING f IS NOT NULL AND o IS NOT NULL AND p IS NOT NULL) SELECT workload, round(f::DOUBLE / o, 9) AS F_over_O, round(o::DOUBLE / p, 9) AS O_over_P, CASE WHEN f <= o AND f <= p THEN 'F' WHEN o <= p THEN 'O' ELSE 'P' END AS fastest FROM m")
+def stage_ratios(spark, d):
+    return stats.stage_ratios(_runs(spark, d), ["workload"], "baseline", "ns", ["F", "O", "P"])
+
+
+@register("material_counts", "WITH iv AS (SELECT o_orderpriority AS phase, 0.8 + (o_custkey % 50) / 100.0::DOUBLE AS geomean, (o_custkey % 11) / 100.0::DOUBLE AS half FROM orders) SELECT phase, count(*) FILTER (geomean >= 1.10 AND geomean - half > 1) AS wins, count(*) FILTER (geomean <= 1 / 1.10::DOUBLE AND geomean + half < 1) AS regressions FROM iv GROUP BY 1")
+def material_counts(spark, d):
+    g, half = F.lit(0.8) + (F.col("o_custkey") % 50) / 100.0, (F.col("o_custkey") % 11) / 100.0
+    return stats.material(views.table(spark, d, "orders").select(F.col("o_orderpriority").alias("phase"), g.alias("geomean"), (g - half).alias("low"), (g + half).alias("high")), ["phase"])
+
+
+@register("valid_run_rows", "SELECT o_orderkey AS id, (o_orderkey % 13)::BIGINT AS ns FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 <> 0")
+def valid_run_rows(spark, d):
+    o = views.table(spark, d, "orders")
+    text = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "0").otherwise("1").alias("exit_code"), F.when(F.col("o_orderkey") % 5 == 0, "nan").otherwise((F.col("o_orderkey") % 13).cast("string")).alias("ns"))
+    return stats.valid_rows(text, ["ns"]).select("id", "ns")
+
+
+@register("repeated_traces", "SELECT sha, count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderpriority, o_orderstatus || (o_custkey % 9) AS sha FROM orders) GROUP BY 1 HAVING n > 1")
+def repeated_traces(spark, d):
+    return stats.repeated_traces(views.table(spark, d, "orders").withColumn("sha", F.concat("o_orderstatus", (F.col("o_custkey") % 9).cast("string"))), ["o_custkey", "o_orderpriority"], "sha")
+
+
+@register("joined_phases", "SELECT 'first' AS phase, o_orderkey AS id, o_totalprice AS price, NULL::BIGINT AS lines FROM orders UNION ALL SELECT 'second', l_orderkey, NULL, l_linenumber FROM lineitem")
+def joined_phases(spark, d):
+    a = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    b = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("lines"))
+    return stats.phases({"first": a, "second": b})
 
 
 PAIRS = "pairs AS (SELECT c_mktsegment AS cell, c_nationkey AS repeat, min(o_totalprice) FILTER (o_orderstatus = 'F') AS base, min(o_totalprice) FILTER (o_orderstatus = 'O') AS subject FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 HAVING base IS NOT NULL AND subject IS NOT NULL)"
@@ -461,10 +545,40 @@ def phase_class(spark, d):
     return _speed(spark, d).select("cell", "repeat", fn.phase_class(F.col("speedup")).alias("class"))
 
 
-@register("telemetry_reconciles", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_linenumber + l_quantity::BIGINT = l_linenumber * 2 + l_quantity::BIGINT - 1)")
+# counters of the engines without a cost model, from the log alone
+FIXED_ENGINES = ["B0", "B1", "B2", "B3", "B2L", "B3L"]
+COUNTED = f"""{ACC}, {EPOCHS}, {LRU},
+firsts AS (SELECT source, min(op_seq) AS op_seq FROM acc GROUP BY 1),
+n AS (SELECT count(*) AS queries, (SELECT count(*) FROM firsts) AS sources, (SELECT count(*) FROM lru WHERE hit = 1) AS hits, (SELECT count(*) FROM lru WHERE victim IS NOT NULL) AS evictions FROM acc),
+met AS (SELECT u.op_seq, count(f.source) AS met FROM ep u LEFT JOIN firsts f ON f.op_seq < u.op_seq WHERE kind = 'UPDATE' AND new_weight <> old_weight GROUP BY 1),
+c AS (SELECT unnest(['B0', 'B1', 'B2', 'B3', 'B2L', 'B3L']) AS engine, 'queries' AS counter, queries AS value FROM n
+UNION ALL SELECT unnest(['B0', 'B1']), 'cold_queries', queries FROM n UNION ALL SELECT unnest(['B2', 'B3']), 'promotions', sources FROM n UNION ALL SELECT unnest(['B2', 'B3']), 'resident_queries', queries - sources FROM n
+UNION ALL SELECT unnest(['B2L', 'B3L']), 'cold_queries', queries - hits FROM n UNION ALL SELECT unnest(['B2L', 'B3L']), 'promotions', queries - hits FROM n UNION ALL SELECT unnest(['B2L', 'B3L']), 'resident_queries', hits FROM n UNION ALL SELECT unnest(['B2L', 'B3L']), 'evictions', evictions FROM n
+UNION ALL SELECT unnest(['B2L', 'B3L']), 'peak_bytes', least(4, sources) * (8 + 44 * (SELECT max(n) FROM size) + 8) FROM n
+UNION ALL SELECT 'B2', 'rebuilds', (SELECT sum(met) FROM met) UNION ALL SELECT 'B2L', 'rebuilds', (SELECT sum(least(met, 4)) FROM met))"""
+
+
+@register("engine_counters", f"WITH RECURSIVE {COUNTED} SELECT engine, counter, value::BIGINT AS value FROM c WHERE value > 0")
+def engine_counters_fixed(spark, d):
+    c = engine_counters(*_log(spark, d), FIXED_ENGINES)
+    return c.where("counter not in ('filtered', 'decrease_repairs', 'increase_repairs') and not (counter = 'rebuilds' and engine in ('B3', 'B3L'))")
+
+
+@register("engine_counters_adaptive")
+def engine_counters_adaptive(spark, d):
+    """All counters of the adaptive engines: costs by work units, which no SQL has."""
+    from pathloom.plans.engine import PROFILES
+
+    return engine_counters(*_log(spark, d), list(PROFILES))
+
+
+@register("telemetry_reconciles", f"WITH RECURSIVE {COUNTED} SELECT engine, value::BIGINT AS queries FROM c WHERE counter = 'queries' AND engine NOT IN ('B2', 'B3')")
 def telemetry_reconciles(spark, d):
-    l = views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("q"), (F.col("l_linenumber") * 2 + F.col("l_quantity").cast("long") - 1).alias("total"))
-    return stats.reconcile(l, ["l_linenumber", "q"], "total").select("l_orderkey", "l_linenumber")
+    """Engines whose cold and resident queries sum up to their queries, by their own counters."""
+    kinds = ["queries", "cold_queries", "resident_queries"]
+    c = engine_counters(*_log(spark, d), FIXED_ENGINES).groupBy("engine").pivot("counter", kinds).agg(F.max("value"))
+    bad = stats.reconcile(c, kinds[1:], "queries").select(F.col("engine").alias("e2"))
+    return c.join(bad, F.col("engine") == F.col("e2"), "left_anti").select("engine", "queries")
 
 
 @register("matched_cell_identity", "SELECT o_custkey, count(DISTINCT o_orderstatus || '|' || o_orderpriority) AS identities FROM orders GROUP BY 1 HAVING identities > 1")
@@ -473,22 +587,93 @@ def matched_cell_identity(spark, d):
 
 
 # ---- workloads -----------------------------------------------------------------------------------------------------
-@register("spatial_grid_bins", "WITH c AS (SELECT p_partkey AS v, (p_partkey * 7919) % 10007 AS x, (p_partkey * 104729) % 9973 AS y FROM part), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c) SELECT v, least(31, floor((x - x0) * 32 / greatest(1, x1 - x0)))::BIGINT AS bx, least(31, floor((y - y0) * 32 / greatest(1, y1 - y0)))::BIGINT AS by FROM c, b")
-def spatial_grid_bins(spark, d):
+POINTS = "c AS (SELECT p_partkey AS v, (p_partkey * 7919) % 10007 AS x, (p_partkey * 104729) % 9973 AS y FROM part), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM c), bins AS (SELECT v, least(31, ((x - x0) * 32) // (x1 - x0 + 1))::BIGINT AS bx, least(31, ((y - y0) * 32) // (y1 - y0 + 1))::BIGINT AS by FROM c, b)"
+
+
+def _bins(spark: SparkSession, d: str) -> DataFrame:
     p = views.table(spark, d, "part")
     return stats.spatial_bins(p.select(F.col("p_partkey").alias("v"), ((F.col("p_partkey") * 7919) % 10007).alias("x"), ((F.col("p_partkey") * 104729) % 9973).alias("y")))
 
 
+@register("spatial_grid_bins", f'WITH {POINTS} SELECT v, bx, "by" FROM bins')
+def spatial_grid_bins(spark, d):
+    return _bins(spark, d)
+
+
+@register("next_filled_cell", f"WITH {POINTS}, full_cells AS (SELECT DISTINCT bins.by * 32 + bx AS cell FROM bins WHERE v % 40 = 0 OR v < 20) SELECT s AS start, coalesce((SELECT min(cell) FROM full_cells WHERE cell >= s), (SELECT min(cell) FROM full_cells)) AS cell FROM range(1024) t(s)")
+def next_filled_cell(spark, d):
+    return stats.next_filled(_bins(spark, d).where("v % 40 = 0 or v < 20"), spark.range(1024).withColumnRenamed("id", "start"))
+
+
 @register("zipf_cdf", "SELECT r AS rank, (1000000 // r)::BIGINT AS weight, sum(1000000 // r) OVER (ORDER BY r)::BIGINT AS cumulative FROM range(1, 65) t(r)")
 def zipf_cdf(spark, d):
     w = fn.zipf_weight(F.col("rank"))
     return spark.range(1, 65).withColumnRenamed("id", "rank").select("rank", w.alias("weight"), F.sum(w).over(Window.orderBy("rank")).alias("cumulative"))
 
 
-@register("update_schedule", "SELECT i - 1 AS update_no, least(99, least(((i - 1) // 3) * 3 + 3, 25) * 4)::BIGINT AS before_query FROM range(1, 26) t(i)")
+@register("zipf_inverse", "WITH z AS (SELECT r AS rank, sum(1000000 // r) OVER (ORDER BY r) AS upto, sum(1000000 // r) OVER () AS total FROM range(1, 65) t(r)) SELECT event_id, (SELECT min(rank) FROM z WHERE (event_id * 2654435761) % total < upto) AS rank FROM events")
+def zipf_inverse(spark, d):
+    w = [1_000_000 // k for k in range(1, 65)]
+    sums = F.array(*[F.lit(sum(w[: i + 1])) for i in range(len(w))])
+    draw = (F.col("event_id") * 2654435761) % sum(w)
+    return views.table(spark, d, "events").select("event_id", F.array_position(F.transform(sums, lambda x: draw < x), True).alias("rank"))
+
+
+@register("update_schedule", "WITH c AS (SELECT unnest([1, 3, 7]) AS burst, 100 AS queries, 5 AS every), n AS (SELECT *, (queries - 1) // every AS n FROM c) SELECT burst::BIGINT AS burst, i AS update_no, least(queries - 1, least(n, (i // burst + 1) * burst) * every)::BIGINT AS before_query FROM n, range(0, 100) t(i) WHERE i < n")
 def update_schedule(spark, d):
-    i = F.col("id")
-    return spark.range(25).select(i.alias("update_no"), F.least(F.lit(99), F.least(F.floor(i / 3) * 3 + 3, F.lit(25)) * 4).cast("long").alias("before_query"))
+    out = [wl.schedule(spark, 100, 5, b).select(F.lit(b).cast("long").alias("burst"), "update_no", "before_query") for b in (1, 3, 7)]
+    return out[0].union(out[1]).union(out[2])
+
+
+@register("workload_counts", "WITH f AS (SELECT unnest(['uniform', 'single-hot', 'hot-pool', 'zipf', 'rotating-hot', 'churn']) AS family), m AS (SELECT unnest(['increase-only', 'decrease-only', 'balanced-random', 'strict-alternating', 'bursty', 'repeated-edge']) AS mode) SELECT family, mode, 40::BIGINT AS queries, 19::BIGINT AS updates, CASE mode WHEN 'increase-only' THEN 19 WHEN 'decrease-only' THEN 0 WHEN 'balanced-random' THEN NULL ELSE 10 END::BIGINT AS increases, 0::BIGINT AS faults FROM f, m")
+def workload_counts(spark, d):
+    """Logs of every family and mode over the trade graph: their operations, and faults against the graph."""
+    g = views.trade(spark, d)
+    from pathloom.functions.tables import materialise
+
+    g, out = materialise(g, "trade"), []
+    n, weights = wl.fetched(g)
+    for family in wl.FAMILIES:
+        for mode in wl.MODES:
+            c = wl.Workload(40, 2, family, min(4, n), 5, 90, mode, "small", 3)
+            out += [(family, mode, *r) for r in wl._workload(n, list(weights), 91, c).rows]
+    t = spark.createDataFrame(out, f"family string, mode string, {TRACE_SCHEMA}")
+    faults = tr.validation_errors(t, g, n, ["family", "mode"]).groupBy(F.col("family").alias("f2"), F.col("mode").alias("m2")).agg(F.count(F.lit(1)).alias("faults"))
+    up = F.count_if((F.col("kind") == "UPDATE") & (F.col("new_weight") > F.col("old_weight")))
+    per = t.groupBy("family", "mode").agg(F.count_if(F.col("kind") == "QUERY").alias("queries"), F.count_if(F.col("kind") == "UPDATE").alias("updates"), F.when(F.col("mode") != "balanced-random", up).alias("increases"))
+    return per.join(faults, (F.col("family") == F.col("f2")) & (F.col("mode") == F.col("m2")), "left").select("family", "mode", "queries", "updates", "increases", F.coalesce("faults", F.lit(0)).alias("faults"))
+
+
+@register("generated_logs", "WITH k AS (SELECT unnest(['mixed', 'local', 'cross', 'clustered', 'moving', 'random', 'alternating', 'small', 'catastrophic']) AS kind) SELECT kind, CASE WHEN kind IN ('random', 'alternating') THEN 119 WHEN kind IN ('small', 'catastrophic') THEN 16 ELSE 100 END::BIGINT AS operations, 0::BIGINT AS faults FROM k")
+def generated_logs(spark, d):
+    """The other generators over the trade graph, held against it."""
+    from pathloom.functions.tables import materialise
+
+    g = materialise(views.trade(spark, d), "trade")
+    n = g.agg(F.max(F.greatest("src", "dst")) + 1).first()[0]
+    bins = stats.spatial_bins(spark.range(n).select(F.col("id").alias("v"), (F.col("id") * 37 % 101).alias("x"), (F.col("id") * 53 % 97).alias("y")))
+    logs = {"mixed": wl.mixed(spark, g, 3, 100)} | {k: wl.spatial(spark, g, bins, k, 3, 100) for k in ("local", "cross", "clustered", "moving")}
+    logs |= {m: wl.phase(spark, g, 3, 100, 5, mode=m) for m in ("random", "alternating")} | {r: wl.controller(spark, g, r, 8) for r in ("small", "catastrophic")}
+    t = stats.phases(logs)
+    faults = tr.validation_errors(t, g, n, ["phase"]).groupBy(F.col("phase").alias("p2")).agg(F.count(F.lit(1)).alias("faults"))
+    per = t.groupBy(F.col("phase").alias("kind")).agg(F.count(F.lit(1)).alias("operations"))
+    return per.join(faults, F.col("kind") == F.col("p2"), "left").select("kind", "operations", F.coalesce("faults", F.lit(0)).alias("faults"))
+
+
+@register("eligible_edge", f"WITH {FLOW}, s AS (SELECT DISTINCT (event_id * 7919) % (SELECT count(*) FROM flow) AS start FROM events), fit AS (SELECT edge_id FROM flow WHERE weight >= 60) SELECT start, coalesce((SELECT min(edge_id) FROM fit WHERE edge_id >= start), (SELECT min(edge_id) FROM fit)) AS edge_id FROM s")
+def eligible_edge(spark, d):
+    """For each start the first edge, going round, that can fall by 60."""
+    g = views.flow(spark, d)
+    m = g.count()
+    starts = views.table(spark, d, "events").select(((F.col("event_id") * 7919) % m).alias("start")).distinct()
+    return rp.next_edge(g, F.col("weight") >= 60, starts)
+
+
+@register("tree_edge_regimes", f"WITH RECURSIVE {FLOW}, {_sp('SELECT 0::BIGINT AS s')}, {TREE.format(edges='flow')}, anc(top, v) AS (SELECT v, v FROM sp UNION ALL SELECT par.parent, anc.v FROM anc JOIN par ON par.v = anc.top), z AS (SELECT top, count(*) AS size FROM anc GROUP BY 1), n AS (SELECT max(greatest(src, dst)) + 1 AS n FROM flow) SELECT par.v, parent_edge, size <= greatest(8, n // 1000) AS small, size >= greatest(2, n // 4) AS catastrophic FROM par JOIN z ON z.top = par.v CROSS JOIN n")
+def tree_edge_regimes(spark, d):
+    g = views.flow(spark, d)
+    n = g.agg(F.max(F.greatest("src", "dst")) + 1).first()[0]
+    return tt.edge_regimes(tt.parents(g, _dist(spark, g, 0)), n).select("v", "parent_edge", "small", "catastrophic")
 
 
 @register("hot_rotation", "SELECT q, (q // 16) % 8 AS epoch_slot, q % 8 AS churn_slot FROM range(0, 400) t(q)")
@@ -502,18 +687,42 @@ def magnitude_bands(spark, d):
     return _log(spark, d)[1].where("kind = 'UPDATE'").select("op_seq", fn.magnitude_of(F.col("new_weight") - F.col("old_weight")).alias("magnitude"))
 
 
-@register("grid_generator", "WITH v AS (SELECT i AS src, i % 224 AS x, i // 224 AS y FROM range(224 * 224) t(i)), e AS (SELECT src, src + 1 AS dst FROM v WHERE x < 223 UNION ALL SELECT src, src - 1 FROM v WHERE x > 0 UNION ALL SELECT src, src + 224 FROM v WHERE y < 223 UNION ALL SELECT src, src - 224 FROM v WHERE y > 0) SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst, 1 + (src * 31 + dst * 17) % 1000 AS weight FROM e")
+# SplitMix64 of the ends in 128-bit arithmetic
+_MIX = "(({0})::UHUGEINT * {1}::UHUGEINT % 18446744073709551616::UHUGEINT)"
+GRID_WEIGHTS = f"""x AS (SELECT src, dst, xor(xor(673765::UBIGINT, ((src + 1)::UBIGINT << 32)), (dst + 1)::UBIGINT) AS x FROM e),
+z0 AS (SELECT src, dst, ((x::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM x),
+z1 AS (SELECT src, dst, {_MIX.format('xor(z, z >> 30)', 13787848793156543929)}::UBIGINT AS z FROM z0),
+z2 AS (SELECT src, dst, {_MIX.format('xor(z, z >> 27)', 10723151780598845931)}::UBIGINT AS z FROM z1)"""
+
+
+@register("grid_generator", f"WITH v AS (SELECT i AS src, i % 224 AS x, i // 224 AS y FROM range(224 * 224) t(i)), e AS (SELECT src, src + 1 AS dst FROM v WHERE x < 223 UNION ALL SELECT src, src - 1 FROM v WHERE x > 0 UNION ALL SELECT src, src + 224 FROM v WHERE y < 223 UNION ALL SELECT src, src - 224 FROM v WHERE y > 0), {GRID_WEIGHTS} SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst, (1 + xor(z, z >> 31) % 100000)::BIGINT AS weight FROM z2")
 def grid_generator(spark, d):
     return gen.grid(spark)
 
 
+@register("graph_generators", "SELECT * FROM (VALUES ('uniform', 1800::BIGINT, 6::BIGINT, 0::BIGINT), ('clustered', 1800, 6, 0), ('preferential', 2380, NULL, 0), ('small_world', NULL, NULL, 0)) t(kind, arcs, out_degree, faults)")
+def graph_generators(spark, d):
+    """The four random graphs at 300 vertices: arcs, equal out-degree if they have one, loops and weights out of range."""
+    made = {"uniform": gen.uniform(spark, 300), "clustered": gen.clustered(spark, 300, 10), "preferential": gen.preferential(spark, 300), "small_world": gen.small_world(spark, 300)}
+    t = stats.phases(made).withColumnRenamed("phase", "kind")
+    deg = t.groupBy("kind", "src").agg(F.count(F.lit(1)).alias("n")).groupBy("kind").agg(F.when(F.min("n") == F.max("n"), F.max("n")).alias("out_degree"))
+    faults = F.count_if((F.col("src") == F.col("dst")) | ~F.col("weight").between(1, gen.MOST))
+    per = t.groupBy("kind").agg(F.when(F.col("kind") != "small_world", F.count_distinct("src", "dst")).alias("arcs"), faults.alias("faults"))
+    return per.join(deg, "kind").select("kind", "arcs", "out_degree", "faults")
+
+
 @register("kernel_work_counters")
 def kernel_work_counters(spark, d):
     """(source, reached, edges_scanned, settled) of the heap kernel for every source of flow."""
     import pandas as pd
 
     g = views.flow(spark, d)
-    sent = spark.sparkContext.broadcast(rx.csr_of(g))
+    csr = rx.csr_of(g)
+    if csr is None:  # beyond the kernel's size there are distances, but no order in which a heap meets edges
+        dist = rx.sssp(g, views.vertices(g).withColumnRenamed("v", "source"), 0)
+        none = F.lit(None).cast("long")
+        return dist.groupBy("source").agg(F.count(F.lit(1)).alias("reached")).select("source", "reached", none.alias("edges_scanned"), none.alias("settled"))
+    sent = spark.sparkContext.broadcast(csr)
 
     def run(frames):
         for f in frames:

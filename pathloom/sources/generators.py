@@ -1,167 +1,123 @@
-"""Synthetic graphs and workloads.  Sequential random streams run on the driver; the grid is relational."""
+"""Synthetic graphs with pinned random streams: the same seed gives the same arcs and weights everywhere.
+
+The grid is relational; the others draw from one sequential stream on the driver, whose size is theirs.
+"""
 
 from __future__ import annotations
 
-import random
-from dataclasses import asdict, dataclass
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import pandas_udf
+
+from pathloom.functions.scalar import splitmix64
+from pathloom.functions.tables import global_rank
+
+# The seeds of the five published-size graphs and the largest arc weight.
+SEEDS = {"grid": 0xA47E5, "uniform": 0x147A11, "preferential": 0x5CA1EF, "small_world": 0x5A411, "clustered": 0xC1A57}
+MOST = 100_000
+_MASK = (1 << 64) - 1
+
+
+def arc_weights(src: np.ndarray, dst: np.ndarray, seed: int) -> np.ndarray:
+    """Weights in 1..MOST from the ends of an arc alone: SplitMix64 of the seed and both ends."""
+    mixed = np.uint64(seed) ^ ((src.astype(np.uint64) + np.uint64(1)) << np.uint64(32)) ^ (dst.astype(np.uint64) + np.uint64(1))
+    return (splitmix64(mixed) % np.uint64(MOST)).astype(np.int64) + 1
+
 
-from pathloom.functions.scalar import MAGNITUDES, splitmix64
+def weight_of(src: Column, dst: Column, seed: int) -> Column:
+    @pandas_udf("long")
+    def w(u: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series(arc_weights(u.to_numpy(), v.to_numpy(), seed))
 
-SOURCE_FAMILIES = ("fixed", "uniform", "rotating", "zipf", "hotset", "churn")
-UPDATE_MODES = ("random", "increase", "decrease", "alternating", "repeated", "bursty")
+    return w(src, dst)
 
 
-def arc_weights(ids: np.ndarray, seed: int, most: int = 100_000) -> np.ndarray:
-    """Weights in 1..most from the ids alone."""
-    return (splitmix64(ids.astype(np.uint64) ^ np.uint64(seed)) % np.uint64(most)).astype(np.int64) + 1
+def _draws(seed: int) -> Iterator[int]:
+    """The stream x, f(x), f(f(x)), ... of SplitMix64 from f(seed) on."""
+    x = seed & _MASK
+    while True:
+        z = x = (x + 0x9E3779B97F4A7C15) & _MASK
+        z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
+        z = (z ^ (z >> 27)) * 0x94D049BB133111EB & _MASK
+        x = z ^ (z >> 31)
+        yield x
 
 
-def grid(spark: SparkSession, side: int = 224) -> DataFrame:
-    """A square grid with arcs both ways between neighbours: edge_id, src, dst, weight = 1 + (31 src + 17 dst) mod 1000."""
+def grid(spark: SparkSession, side: int = 224, seed: int = SEEDS["grid"]) -> DataFrame:
+    """A square grid with arcs both ways between neighbours: edge_id, src, dst, weight."""
     v = spark.range(side * side).select("id", (F.col("id") % side).alias("x"), F.floor(F.col("id") / side).alias("y"))
     steps = F.array(F.when(F.col("x") < side - 1, F.col("id") + 1), F.when(F.col("x") > 0, F.col("id") - 1), F.when(F.col("y") < side - 1, F.col("id") + side), F.when(F.col("y") > 0, F.col("id") - side))
     e = v.select(F.col("id").alias("src"), F.explode(steps).alias("dst")).where("dst is not null")
-    from pathloom.functions.tables import global_rank
-
-    e = e.withColumn("weight", (1 + (F.col("src") * 31 + F.col("dst") * 17) % 1000).cast("long"))
-    return global_rank(e, ["src", "dst"], F.floor(F.col("src") / 4096), "edge_id").select("edge_id", "src", "dst", "weight")
+    ranked = global_rank(e, ["src", "dst"], F.floor(F.col("src") / 4096), "edge_id")
+    return ranked.select("edge_id", "src", "dst", weight_of(F.col("src"), F.col("dst"), seed).alias("weight"))
 
 
 def _frame(spark: SparkSession, pairs: set[tuple[int, int]], seed: int) -> DataFrame:
-    rows = sorted(pairs)
-    w = arc_weights(np.arange(len(rows)), seed).tolist()
-    return spark.createDataFrame([(i, u, v, w[i]) for i, (u, v) in enumerate(rows)], "edge_id long, src long, dst long, weight long")
+    ends = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    f = pd.DataFrame({"edge_id": np.arange(len(ends)), "src": ends[:, 0], "dst": ends[:, 1], "weight": arc_weights(ends[:, 0], ends[:, 1], seed)})
+    return spark.createDataFrame(f, "edge_id long, src long, dst long, weight long")
+
+
+def _other(draw: Iterator[int], n: int, self_: int) -> int:
+    """One of n places that isn't self_."""
+    x = next(draw) % (n - 1)
+    return x + (x >= self_)
 
 
-def uniform(spark: SparkSession, n: int, degree: int = 6, seed: int = 1) -> DataFrame:
+def uniform(spark: SparkSession, n: int = 50_000, degree: int = 6, seed: int = SEEDS["uniform"]) -> DataFrame:
     """`degree` different random targets a vertex."""
-    r, pairs = random.Random(seed), set()
+    draw, pairs = _draws(seed), set()
     for u in range(n):
         mine: set[int] = set()
-        while len(mine) < min(degree, n - 1):
-            if (v := r.randrange(n)) != u:
-                mine.add(v)
-        pairs |= {(u, v) for v in mine}
+        while len(mine) < degree:
+            mine.add(_other(draw, n, u))
+        pairs.update((u, v) for v in mine)
     return _frame(spark, pairs, seed)
 
 
-def preferential(spark: SparkSession, n: int, m: int = 4, seed: int = 1) -> DataFrame:
-    """New vertices attach both ways to m others, each with odds by its degree."""
-    r, ends, pairs = random.Random(seed), list(range(m + 1)), set()
-    for u in range(m + 1):
-        pairs |= {(u, v) for v in range(m + 1) if v != u}
+def preferential(spark: SparkSession, n: int = 50_000, m: int = 4, seed: int = SEEDS["preferential"]) -> DataFrame:
+    """New vertices attach both ways to m others, each with odds by its degree, from a clique of m + 1."""
+    draw, pairs = _draws(seed), set()
+    for u, v in combinations(range(m + 1), 2):
+        pairs |= {(u, v), (v, u)}
+    ends = [u for u in range(m + 1) for _ in range(m)]
     for u in range(m + 1, n):
         mine: set[int] = set()
         while len(mine) < m:
-            mine.add(r.choice(ends))
-        for v in sorted(mine):
+            mine.add(ends[next(draw) % len(ends)])
+        for v in mine:
             pairs |= {(u, v), (v, u)}
-            ends += [u, v]
+        ends += [*sorted(mine), *[u] * m]
     return _frame(spark, pairs, seed)
 
 
-def small_world(spark: SparkSession, n: int, k: int = 8, rewire: float = 0.1, seed: int = 1) -> DataFrame:
-    """A ring of k nearest neighbours, some arcs rewired; arcs met twice count once."""
-    r, pairs = random.Random(seed), set()
+def small_world(spark: SparkSession, n: int = 50_000, k: int = 8, percent: int = 10, seed: int = SEEDS["small_world"]) -> DataFrame:
+    """A ring of k nearest neighbours with `percent` of the arcs rewired to an end their tail has no arc to yet."""
+    draw, pairs = _draws(seed), set()
     for u in range(n):
         for d in range(1, k // 2 + 1):
             for v in ((u + d) % n, (u - d) % n):
-                if r.random() < rewire:
-                    v = r.randrange(n)
-                if v != u:
-                    pairs.add((u, v))
+                if next(draw) % 100 < percent:
+                    v = _other(draw, n, u)
+                    while (u, v) in pairs:
+                        v = _other(draw, n, u)
+                pairs.add((u, v))
     return _frame(spark, pairs, seed)
 
 
-def clustered(spark: SparkSession, n: int, communities: int = 100, local: int = 5, far: int = 1, seed: int = 1) -> DataFrame:
-    """`local` arcs within a vertex's community and `far` to anywhere."""
-    r, pairs, size = random.Random(seed), set(), max(2, n // communities)
+def clustered(spark: SparkSession, n: int = 50_000, communities: int = 100, local: int = 5, seed: int = SEEDS["clustered"]) -> DataFrame:
+    """`local` arcs within a vertex's community and one to another community."""
+    draw, pairs, size = _draws(seed), set(), n // communities
     for u in range(n):
-        low = u // size * size
-        mine: set[int] = set()
-        room = min(size, n - low)
-        while len(mine) < min(local, room - 1):
-            if (v := low + r.randrange(room)) != u:
-                mine.add(v)
-        while len(mine) < min(local, room - 1) + far:
-            if (v := r.randrange(n)) != u:
-                mine.add(v)
-        pairs |= {(u, v) for v in mine}
+        low, mine = u // size * size, set()
+        while len(mine) < local:
+            mine.add(low + _other(draw, size, u - low))
+        far = next(draw) % n
+        while far // size == u // size:
+            far = next(draw) % n
+        pairs.update((u, v) for v in (*mine, far))
     return _frame(spark, pairs, seed)
-
-
-@dataclass(frozen=True)
-class Workload:
-    """A generated log's configuration; invalid combinations raise."""
-
-    queries: int
-    update_every: int = 4
-    family: str = "hotset"
-    mode: str = "random"
-    magnitude: str = "medium"
-    hot: int = 8
-    locality: int = 80
-    burst_length: int = 1
-    epoch: int = 64
-
-    def __post_init__(self):
-        if self.family not in SOURCE_FAMILIES or self.mode not in UPDATE_MODES or self.magnitude not in MAGNITUDES:
-            raise ValueError("unknown name")
-        if self.queries < 1 or self.update_every < 0 or self.hot < 1 or not 0 <= self.locality <= 100 or self.burst_length < 1 or self.epoch < 1:
-            raise ValueError("out of range")
-        if self.burst_length > 1 and self.mode != "bursty":
-            raise ValueError("bursts need the bursty mode")
-
-    def canonical(self) -> str:
-        return "".join(f"{k}={v}\n" for k, v in sorted(asdict(self).items()))
-
-
-def update_slots(queries: int, every: int, burst: int) -> list[int]:
-    """For each update the query it precedes: one every `every` queries, gathered `burst` at a time at the last of their slots."""
-    if not every:
-        return []
-    nominal = list(range(every, queries + 1, every))
-    return [min(queries - 1, nominal[min(i // burst * burst + burst, len(nominal)) - 1]) for i in range(len(nominal))]
-
-
-def workload(spark: SparkSession, edges: DataFrame, seed: int, c: Workload) -> DataFrame:
-    """A log by c over edges; deterministic in (edges, seed, c), weights stay positive."""
-    from pathloom.sources.traces import TRACE_SCHEMA
-
-    rows = edges.orderBy("edge_id").select("src", "dst", "weight").collect()
-    n = max(max(r["src"], r["dst"]) for r in rows) + 1
-    if c.hot > n:
-        raise ValueError("more hot sources than vertices")
-    r, weight = random.Random(seed), [x["weight"] for x in rows]
-    pool = r.sample(range(n), c.hot)
-    odds = [1_000_000 // k for k in range(1, c.hot + 1)]
-    low, high = MAGNITUDES[c.magnitude]
-    slots: dict[int, int] = {}
-    for s in update_slots(c.queries, c.update_every, c.burst_length):
-        slots[s] = slots.get(s, 0) + 1
-    ops, up, anchor = [], True, None
-    for q in range(c.queries):
-        for _ in range(slots.get(q, 0)):
-            grow = {"increase": True, "decrease": False, "alternating": up}.get(c.mode, r.random() < 0.5)
-            up = not up
-            if c.mode == "repeated":
-                anchor = r.randrange(len(weight)) if anchor is None else anchor
-                e = anchor
-            else:
-                start = r.randrange(len(weight))
-                e = next((i % len(weight) for i in range(start, start + len(weight)) if grow or weight[i % len(weight)] > low), start)
-            old = weight[e]
-            d = r.randint(low, high)
-            new = old + d if grow or old <= low else max(1, old - min(d, old - 1))
-            weight[e] = new
-            ops.append((len(ops), "UPDATE", None, None, e, old, new))
-        k = {"fixed": 0, "rotating": q % c.hot, "churn": q % c.hot, "hotset": q // c.epoch % c.hot}.get(c.family)
-        if c.family == "uniform" or c.locality < 100 and r.randrange(100) >= c.locality and c.family != "fixed":
-            s = r.randrange(n)
-        else:
-            s = pool[r.choices(range(c.hot), odds)[0] if k is None else k]
-        ops.append((len(ops), "QUERY", s, r.randrange(n), None, None, None))
-    return spark.createDataFrame(ops, TRACE_SCHEMA)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pathloom.functions.tables import global_lead, global_rank, materialise
 
@@ -19,7 +19,7 @@ def _numbered(pairs: DataFrame) -> DataFrame:
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive users of the event stream: weight is the least 1 + cents of value mod 97 of a pair."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").cast("long").alias("user_id"), "value")
-    nxt = global_lead(e, ["ts", "event_id"], "user_id", F.date_trunc("day", "ts"), "dst")
+    nxt = global_lead(e, ["ts", "event_id"], "user_id", F.date_trunc("minute", "ts"), "dst")
     pairs = nxt.where("dst is not null and dst <> user_id").groupBy(F.col("user_id").alias("src"), "dst").agg(F.min(1 + F.round(F.col("value") * 100).cast("long") % 97).alias("weight"))
     return materialise(_numbered(pairs), "flow")
 
@@ -45,18 +45,19 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
 
 
-def optrace(spark: SparkSession, sf_dir: str, edges: DataFrame, ops: int = 200) -> DataFrame:
-    """The first `ops` events as an operation log: op_seq, kind, source, target, edge_id, old_weight, new_weight."""
-    from pyspark.sql import Window
+def optrace(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+    """All events as an operation log: op_seq, kind, source, target, edge_id, old_weight, new_weight.
 
+    Operations are numbered by (ts, event_id), minute by minute.
+    """
     size = edges.agg(F.count(F.lit(1)).alias("m"), F.max(F.greatest("src", "dst")).alias("top"))
     e = table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").cast("long").alias("user_id"), "event_type", "value")
-    head = e.orderBy("ts", "event_id").limit(ops)
-    head = head.withColumn("op_seq", (F.row_number().over(Window.orderBy("ts", "event_id")) - 1).cast("long")).crossJoin(F.broadcast(size))
+    e = global_rank(e, ["ts", "event_id"], F.date_trunc("minute", "ts"), "op_seq").crossJoin(F.broadcast(size))
     is_query = F.col("event_type").isin("view", "click", "signup")
-    target = (F.col("event_id") * 31 + 7) % (F.col("top") + 1)
-    op = head.select("op_seq", F.when(is_query, "QUERY").otherwise("UPDATE").alias("kind"), F.when(is_query, F.col("user_id")).alias("source"), F.when(is_query, target).alias("target"), F.when(~is_query, (F.col("event_id") * 7919) % F.col("m")).alias("edge_id"), F.when(~is_query, 1 + F.round(F.col("value") * 100).cast("long") % 97).alias("new_weight"))
-    first = edges.select(F.col("edge_id").alias("e2"), F.col("weight").alias("first"))
-    before = F.lag("new_weight").over(Window.partitionBy("edge_id").orderBy("op_seq"))
-    old = F.when(F.col("kind") == "UPDATE", F.coalesce(F.when(F.col("edge_id").isNotNull(), before), F.col("first")))
-    return materialise(op.join(first, F.col("edge_id") == F.col("e2"), "left").select("op_seq", "kind", "source", "target", "edge_id", old.alias("old_weight"), "new_weight"), "optrace")
+    none = F.lit(None).cast("long")
+    q = e.where(is_query).select("op_seq", F.lit("QUERY").alias("kind"), F.col("user_id").alias("source"), ((F.col("event_id") * 31 + 7) % (F.col("top") + 1)).alias("target"), none.alias("edge_id"), none.alias("old_weight"), none.alias("new_weight"))
+    u = e.where(~F.coalesce(is_query, F.lit(False))).select("op_seq", ((F.col("event_id") * 7919) % F.col("m")).alias("edge_id"), (1 + F.round(F.col("value") * 100).cast("long") % 97).alias("new_weight"))
+    u = u.withColumn("before", F.lag("new_weight").over(Window.partitionBy("edge_id").orderBy("op_seq")))
+    u = u.join(edges.select(F.col("edge_id").alias("e2"), F.col("weight").alias("first")), F.col("edge_id") == F.col("e2"))
+    u = u.select("op_seq", F.lit("UPDATE").alias("kind"), none.alias("source"), none.alias("target"), "edge_id", F.coalesce("before", "first").alias("old_weight"), "new_weight")
+    return materialise(q.union(u), "optrace")

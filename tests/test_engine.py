@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.scalar import INF
 from pathloom.operators import policy, relax as rx, repair as rp, trace as tr, tree as tt
 from pathloom.plans import engine as en
-from pathloom.sources import dimacs, generators as gen, traces
+from pathloom.sources import dimacs, generators as gen, traces, workloads as wl
 
 GOLDEN = "dac082c34b7b99ced8f8e9591903694024c4107ac0da61949982187f894a331b"
 GOLDEN_EDGES = [(0, 1, 4), (1, 2, 3), (0, 2, 10), (2, 3, 2), (1, 3, 10), (3, 4, 1), (0, 4, 30)]
@@ -176,34 +176,128 @@ def test_relational_loop_equals_kernel_and_repairs_equal_recompute(spark):
     assert rx.bidirectional(g, 0, 9).first()[0] == dict((v, d) for s, v, d in want if s == 0).get(9, INF)
 
 
-def test_lru_by_stack_distance_equals_a_cache(spark):
+def test_lru_in_ranges_equals_a_cache(spark):
     r = random.Random(9)
     acc = [(q + 1, q, r.randrange(9)) for q in range(150)]
-    for cap in (1, 2, 4):
+    for cap, ops in ((1, 7), (2, 1 << 16), (4, 16), (20, 16), (0, 16)):
         cache, want = [], []
         for q, _, s in acc:
-            hit = s in cache
-            evict = not hit and len(cache) >= cap
-            cache = [x for x in cache if x != s][-(cap - (not hit)) if not hit else 0 :] if not hit or cache else cache
-            cache = ([x for x in cache if x != s] + [s])[-cap:]
-            want.append((q, s, int(hit), int(evict)))
-        got = sorted(map(tuple, policy.lru(spark.createDataFrame(acc, "q long, op_seq long, source long"), cap).collect()))
-        assert [(g[0], g[1], g[2]) for g in got] == [w[:3] for w in want]
-        assert sum(g[3] for g in got) == sum(w[3] for w in want)
+            hit, victim = s in cache, None
+            if not hit and len(cache) >= cap > 0:
+                victim = cache[0]
+                cache = cache[1:]
+            cache = ([x for x in cache if x != s] + [s]) if cap else []
+            want.append((q, s, int(hit), victim))
+        got = policy.lru(spark.createDataFrame(acc, "q long, op_seq long, source long"), cap, ops).collect()
+        assert sorted(tuple(x) for x in got) == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_replay_in_ranges_equals_the_relational_loop_and_engines(spark, seed):
+    r = random.Random(seed)
+    edges = [(r.randrange(20), r.randrange(20), r.randrange(1, 15)) for _ in range(70)]
+    g, weights, log = dimacs.from_rows(spark, 20, edges), [w for *_, w in edges], []
+    for i in range(120):
+        if r.random() < 0.5:
+            e, w = r.randrange(70), r.randrange(1, 15)
+            log.append((i, "UPDATE", None, None, e, weights[e], w))
+            weights[e] = w
+        else:
+            log.append((i, "QUERY", r.randrange(20), r.randrange(20), None, None, None))
+    t = spark.createDataFrame(log, traces.TRACE_SCHEMA)
+    want = sorted((x.op_seq, x.answer) for x in tr.replay(g, t, kernel_edges=0).collect())
+    for ops in (None, 7, 1000):
+        assert sorted((x.op_seq, x.answer) for x in tr.replay(g, t, slice_ops=ops).collect()) == want
+    for x in en.replay_engines(g, t).groupBy("engine").agg(F.array_sort(F.collect_list(F.struct("op_seq", "answer"))).alias("a")).collect():
+        assert [tuple(y) for y in x.a] == want, x.engine
+    pairs = spark.createDataFrame([(a, b) for a in range(4) for b in range(20) if a < 2 or b < 3], "source long, target long")
+    by_kernel = sorted(map(tuple, rx.distances(g, pairs).select("source", "target", "dist").collect()))
+    assert by_kernel == sorted(map(tuple, rx.distances(g, pairs, kernel_edges=0).select("source", "target", "dist").collect()))
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    n = 3000
+    tree = spark.range(1, n).selectExpr("0L as source", "id as v", "id - 1 as parent", "id - 1 as parent_edge")
+    sizes = {x.v: x["size"] for x in tt.subtree_sizes(tree).collect()}
+    assert sizes == {v: n - v for v in range(n)}
+    assert sorted(x.v for x in tt.subtree(tree, n // 2).collect()) == list(range(n // 2, n))
+    assert tt.subtree(tree, n // 2, most=10) is None
+
+
+def test_next_edge_goes_round(spark):
+    g = dimacs.from_rows(spark, 3, [(0, 1, w) for w in (1, 9, 2, 9, 3)])
+    got = {x.start: x.edge_id for x in rp.next_edge(g, F.col("weight") == 9, spark.range(5).withColumnRenamed("id", "start")).collect()}
+    assert got == {0: 1, 1: 1, 2: 3, 3: 3, 4: 1}
+    assert {x.edge_id for x in rp.next_edge(g, F.col("weight") > 99, spark.range(5).withColumnRenamed("id", "start")).collect()} == {None}
 
 
 def test_generators(spark):
-    for g, n in ((gen.uniform(spark, 50), 300), (gen.clustered(spark, 100, 10), 600), (gen.preferential(spark, 40), 20 + 8 * 35)):
-        assert g.count() == n == g.select("src", "dst").distinct().count()
-        assert g.where("src = dst or weight < 1").isEmpty()
+    for g, n in ((gen.uniform(spark, 50), 300), (gen.clustered(spark, 100, 10), 600), (gen.preferential(spark, 40), 20 + 8 * 35), (gen.small_world(spark, 60), None)):
+        assert n is None or g.count() == n == g.select("src", "dst").distinct().count()
+        assert g.where("src = dst or weight < 1 or weight > 100000").isEmpty()
     assert gen.grid(spark, 10).count() == 360
-    g = gen.small_world(spark, 60)
-    for family in gen.SOURCE_FAMILIES:
-        for mode in gen.UPDATE_MODES:
-            w = gen.workload(spark, g, 5, gen.Workload(40, 4, family, mode, burst_length=3 if mode == "bursty" else 1)).collect()
-            assert [x["op_seq"] for x in w] == list(range(50))
-            assert all(x["new_weight"] >= 1 for x in w if x["kind"] == "UPDATE")
-    a, b = (sorted(map(str, gen.workload(spark, g, s, gen.Workload(30)).collect())) for s in (1, 1))
-    assert a == b
-    with pytest.raises(ValueError):
-        gen.Workload(0)
+
+
+def test_the_twister_draws_its_published_number():
+    r = wl.Mt64(5489)
+    assert [r() for _ in range(10_000)][-1] == 9981545732273789042
+
+
+@pytest.mark.parametrize("family", wl.FAMILIES)
+def test_workload_sources(spark, family):
+    n, weights = 9, [7, 3, 40, 300, 12, 5]
+    rows = lambda seed: wl._workload(n, list(weights), seed, wl.Workload(40, 0, family, 4, 5)).rows
+    sources = [x[2] for x in rows(77)]
+    assert rows(77) == rows(77) and len(sources) == 40
+    assert len(set(sources)) <= {"single-hot": 1, "uniform": 9}.get(family, 4)
+    if family == "churn":
+        assert len(set(sources[:4])) == 4
+
+
+@pytest.mark.parametrize("mode", wl.MODES)
+def test_workload_updates(mode):
+    rows = wl._workload(9, [7, 3, 40, 300, 12, 5], 91, wl.Workload(30, 2, "hot-pool", 4, 5, 90, mode, "small", 3)).rows
+    ups = [x for x in rows if x[1] == "UPDATE"]
+    assert len(ups) == 14 and all(1 <= abs(x[6] - x[5]) <= 3 for x in ups)
+    grown = [x[6] > x[5] for x in ups]
+    if mode == "increase-only":
+        assert all(grown)
+    elif mode == "decrease-only":
+        assert not any(grown)
+    elif mode != "balanced-random":
+        assert grown == [i % 2 == 0 for i in range(14)]
+    if mode == "repeated-edge":
+        assert len({x[4] for x in ups}) == 1 and {x[5] for x in ups} | {x[6] for x in ups} == {ups[0][5], ups[0][6]}
+    assert any(a[1] == b[1] == "UPDATE" for a, b in zip(rows, rows[1:])) == (mode == "bursty")
+
+
+def test_update_slots_and_bad_workloads():
+    assert wl.update_slots(100, 5) == list(range(5, 100, 5)) and wl.update_slots(1, 5) == wl.update_slots(9, 0) == []
+    assert wl.update_slots(30, 10, 3) == [20, 20]
+    for bad in ({"queries": 0}, {"queries": 1, "interval": 3}, {"queries": 1, "locality": 101}, {"queries": 1, "hot": 0}, {"queries": 1, "mode": "x"}, {"queries": 1, "epoch": 0}):
+        with pytest.raises(ValueError):
+            wl.Workload(**bad)
+    assert wl.Workload(10).canonical().split("\n")[:2] == ["workload_generator_version=2", "query_count=10"]
+    assert [wl.zipf_place(x, 3) for x in (0, 999_999, 1_000_000, 1_499_999, 1_500_000)] == [0, 0, 1, 1, 2]
+
+
+def test_fast_admission_takes_the_plain_gap():
+    # after gaps of 40 and 2 the candidate's gap is 2, not their smoothed mean
+    e = en.Engine(en.Graph(40, chain(40)), en.PROFILES["ECONOMIC-FAST"])
+    e.query(0, 39)
+    for s in range(1, 38):
+        e.query(s, 39)
+    before = e.stats["promotions"]
+    e.query(0, 39)
+    e.query(38, 39)
+    e.query(0, 39)
+    assert before == 0 and e.stats["promotions"] == 1 and 0 in e.residents
+
+
+def test_rebuilds_are_counted_when_due():
+    for make in (lambda g: en.AlwaysResident(g, "rebuild"), lambda g: en.BoundedResident(g, "rebuild")):
+        x = make(en.Graph(6, chain(6)))
+        assert [x.query(0, 5), x.query(1, 5)] == [5, 4]
+        for w in (2, 3, 3):
+            x.update(2, w)
+        assert x.query(0, 5) == 7 and x.stats["rebuilds"] == 4

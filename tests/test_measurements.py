@@ -62,10 +62,12 @@ def test_cells_and_turns(spark):
 
 
 def test_percentiles_and_scalars(spark):
-    d = spark.createDataFrame([(float(x),) for x in (5, 1, 4, 2, 3, 6)], "x double")
-    r = d.agg(stats.nearest_rank(0.5, "x").alias("a"), stats.nearest_rank(0.95, "x").alias("b"), stats.rounded_index(0.5, "x").alias("c"), F.median("x").alias("d")).first()
-    assert tuple(r) == (3.0, 6.0, 3.0, 3.5)
-    assert fn.nearest_rank([5, 1, 4, 2, 3, 6], 0.5) == 3 and d.where("x > 9").agg(stats.nearest_rank(0.5, "x")).first()[0] == 0
+    d = spark.createDataFrame([(g, float(x)) for g in ("a", None) for x in (5, 1, 4, 2, 3, 6)] + [("b", 7.0), ("c", None), ("b", None)], "g string, x double")
+    for buckets in (1, 3, 1024):
+        got = stats.values_at(d, ["g"], "x", {"a": stats.nearest_rank(0.5), "b": stats.nearest_rank(0.95), "c": stats.rounded_index(0.5)}, buckets).collect()
+        assert {r.g: (r.n, r.a, r.b, r.c) for r in got} == {"a": (6, 3.0, 6.0, 3.0), None: (6, 3.0, 6.0, 3.0), "b": (1, 7.0, 7.0, 7.0)}
+    assert {r.g: r.m for r in stats.medians(d, ["g"], "x", "m").collect()} == {"a": 3.5, None: 3.5, "b": 7.0}
+    assert fn.nearest_rank([5, 1, 4, 2, 3, 6], 0.5) == 3
     s = spark.range(1).select(fn.ewma(F.array(F.lit(1), F.lit(2), F.lit(3)), 0.25), fn.sat_add(F.lit(fn.INF - 1), F.lit(1)), fn.sat_add(F.lit(fn.INF - 2), F.lit(1)), fn.clamp_weight(F.lit("18446744073709551615")), fn.magnitude_of(F.lit(-31)), fn.phase_class(F.lit(1.1))).first()
     assert tuple(s) == (1.6875, fn.INF, fn.INF - 1, fn.INF, "medium", "superior")
     import numpy as np
