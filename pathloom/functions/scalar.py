@@ -28,6 +28,14 @@ def clamp_weight(w: Column) -> Column:
     return F.least(w.cast("decimal(20,0)"), F.lit(INF).cast("decimal(20,0)")).cast("long")
 
 
+def accounted(count: Column, each: int, more: int = 0, strict: bool = True) -> Column:
+    """count * each + more bytes.  What doesn't fit a long is an error, or null if not strict."""
+    product = F.try_multiply(count.cast("long"), F.lit(each).cast("long"))
+    total = F.try_add(product, F.lit(more).cast("long"))
+    wrong = count.isNotNull() & (total.isNull() | (count < 0))
+    return F.when(wrong, F.raise_error(F.lit("the byte account overflows")).cast("long") if strict else F.lit(None).cast("long")).otherwise(total)
+
+
 def state_bytes(vertices: Column | int) -> Column:
     """Logical bytes of one resident distance table."""
     return (F.lit(vertices) if isinstance(vertices, int) else vertices) * SSSP_VERTEX + SSSP_BASE

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pathloom.functions import scalar as fn
 from pathloom.operators import policy, relax as rx, repair as rp, stats, trace as tr, tree as tt
 from pathloom.plans.engine import engine_counters, replay_engines
-from pathloom.sources import generators as gen, views, workloads as wl
+from pathloom.sources import dimacs, generators as gen, measurements as ms, traces, views, workloads as wl
 from pathloom.sources.traces import TRACE_SCHEMA
 from pathloom.streaming import replay as stream
 
@@ -733,3 +733,123 @@ def kernel_work_counters(spark, d):
             yield pd.DataFrame(out, columns=["source", "reached", "edges_scanned", "settled"])
 
     return views.vertices(g).mapInPandas(run, "source long, reached long, edges_scanned long, settled long")
+
+
+# ---- files and functions -------------------------------------------------------------------------------------------
+def _home(spark: SparkSession) -> str:
+    import uuid
+
+    from pathloom.functions.tables import shared_dir
+
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@register("log_round_trip", f"WITH {OPS} SELECT op_seq, kind, source, target, edge_id, old_weight, new_weight FROM optrace")
+def log_round_trip(spark, d):
+    home = _home(spark)
+    traces.write_trace(_log(spark, d)[1], home)
+    return traces.read_trace(spark, home)
+
+
+@register("answers_round_trip", f"WITH {OPS} SELECT version, op_seq, (op_seq * 7 + 1)::BIGINT AS answer FROM optrace, (VALUES (1), (2)) t(version) WHERE kind = 'QUERY'")
+def answers_round_trip(spark, d):
+    """Answers of both file versions, read back; version 1 has no operation numbers and meets them again by order."""
+    from pathloom.functions.tables import global_rank
+
+    home, t = _home(spark), _log(spark, d)[1]
+    a = t.where("kind = 'QUERY'").select("op_seq", (F.col("op_seq") * 7 + 1).alias("answer"))
+    traces.write_answers(t, a, "0" * 64, f"{home}/2")
+    traces.write_plain_answers(a, "0" * 64, f"{home}/1")
+    one = traces.read_plain_answers(spark, f"{home}/1", "0" * 64, a.count())
+    at = global_rank(a.select("op_seq"), ["op_seq"], F.shiftright("op_seq", 12), "o2")
+    one = at.join(one, F.col("o2") == F.col("ordinal")).select(F.lit(1).alias("version"), "op_seq", "answer")
+    return one.union(traces.read_answers(spark, f"{home}/2", "0" * 64).select(F.lit(2), "op_seq", "answer"))
+
+
+@register("graph_round_trip", f"WITH {FLOW} SELECT edge_id, src, dst, weight FROM flow")
+def graph_round_trip(spark, d):
+    home, g = _home(spark), views.flow(spark, d)
+    dimacs.write_graph(g, g.agg(F.max(F.greatest("src", "dst")) + 1).first()[0], home)
+    return dimacs.read_graph(spark, home)
+
+
+@register("legacy_round_trip", f"WITH {OPS} SELECT op_seq, kind, source, target, edge_id, old_weight, new_weight FROM optrace")
+def legacy_round_trip(spark, d):
+    """The log in its older form, vertices, edges, updates and queries one a line, read back with the old weights found."""
+    home = _home(spark)
+    g, t = _log(spark, d)
+    n = spark.range(1).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("n 9 # vertices").alias("value"))
+    e = g.select(F.lit(1), "edge_id", F.concat_ws(" ", F.lit("e"), "src", "dst", "weight"))
+    u = F.when(F.col("kind") == "QUERY", F.concat_ws(" ", F.lit("q"), "source", "target")).otherwise(F.concat_ws(" ", F.lit("u"), "edge_id", "new_weight"))
+    n.union(e).union(t.select(F.lit(2), "op_seq", u)).repartition(1).sortWithinPartitions("part", "at").select("value").write.text(home)
+    return traces.read_legacy(spark, home)[1]
+
+
+@register("measurements_round_trip", "SELECT kind, o_orderkey AS id, o_custkey AS ns, o_orderstatus AS baseline FROM orders, (VALUES ('versioned'), ('matrix'), ('controller'), ('pilot'), ('headed')) t(kind)")
+def measurements_round_trip(spark, d):
+    """Rows of every CSV layout, written and read again."""
+    home = _home(spark)
+    o = views.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+    def rows(columns: list[str], id_: str, ns: str, text: str) -> DataFrame:
+        own = {id_: F.col("o_orderkey"), ns: F.col("o_custkey"), text: F.col("o_orderstatus"), "schema_version": F.lit(2)}
+        return o.select(*[own.get(c, F.lit("x" if c in ms.TEXT else 0)).alias(c) for c in columns])
+
+    def back(kind: str, t: DataFrame, id_: str, ns: str, text: str) -> DataFrame:
+        return t.select(F.lit(kind).alias("kind"), F.col(id_).cast("long").alias("id"), F.col(ns).cast("long").alias("ns"), F.col(text).alias("baseline"))
+
+    ms.write_rows(rows(ms.FIELDS_2, "seed", "algorithm_ns", "baseline"), f"{home}/v")
+    out = back("versioned", ms.read_rows(spark, f"{home}/v"), "seed", "algorithm_ns", "baseline")
+    for kind, columns, id_, ns, text in (("matrix", ms.MATRIX, "seed", "ns", "baseline"), ("controller", ms.CONTROLLER, "seed", "ns", "regime"), ("pilot", ms.PILOT, "budget_bytes", "algorithm_ns", "profile")):
+        ms.write_plain(rows(columns, id_, ns, text), columns, f"{home}/{kind}")
+        out = out.union(back(kind, ms.read_plain(spark, columns, f"{home}/{kind}"), id_, ns, text))
+    ms.write_headed(rows(ms.MATRIX, "seed", "ns", "baseline"), f"{home}/h")
+    return out.union(back("headed", ms.read_headed(spark, f"{home}/h", ["baseline", "ns"]), "seed", "ns", "baseline"))
+
+
+@register("file_sums", "SELECT 'missing' AS fault, 1::BIGINT AS n UNION ALL SELECT 'new', 1")
+def file_sums(spark, d):
+    """A folder held against the list of its hashes after one file was renamed."""
+    home, h = _home(spark), None
+    r = views.table(spark, d, "region")
+    r.repartition(1).write.parquet(f"{home}/data/a")
+    traces.write_sums(spark, f"{home}/data", f"{home}/sums")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(home).getFileSystem(spark._jsc.hadoopConfiguration())
+    h = next(x.getPath() for x in fs.listStatus(hadoop.Path(f"{home}/data/a")) if x.getPath().getName().endswith(".parquet"))
+    fs.rename(h, hadoop.Path(f"{home}/data/a/other.parquet"))
+    return traces.changed_files(spark, f"{home}/data", f"{home}/sums").groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("sql_functions", f"WITH RECURSIVE {FLOW}, {_sp('SELECT 0::BIGINT AS s')} SELECT v, dist, dist AS again FROM sp")
+def sql_functions(spark, d):
+    from pathloom.functions import surface
+
+    surface.register(spark, views.flow(spark, d), "flow_")
+    return spark.sql("SELECT v, dist, flow_shortest_distance(0L, v) AS again FROM flow_sssp(0L)")
+
+
+@register("value_functions", f"WITH {ACC}, g AS (SELECT source, count(*) AS n, max(q) - min(q) AS span FROM acc GROUP BY 1), x AS (SELECT source, greatest(1, span / n) AS gap, n::DOUBLE AS age, (span + 1)::DOUBLE AS cold FROM g) SELECT source, round(least(16, 16 / gap) * cold - 10 - 16 * 0.5::DOUBLE * 3, 6) AS candidate, round(least(16, 16 / greatest(1, gap, age)) * cold - 16 * 0.5::DOUBLE * 3, 6) AS resident, round(cold * greatest(1, least(64, 1000 / greatest(1, cold))), 6) AS build FROM x")
+def value_functions(spark, d):
+    a = _acc(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), (F.max("q") - F.min("q")).alias("span"))
+    x = a.select("source", F.greatest(F.lit(1.0), F.col("span") / F.col("n")).alias("gap"), F.col("n").cast("double").alias("age"), (F.col("span") + 1).cast("double").alias("cold"))
+    build, upkeep, rate = F.lit(10.0), F.lit(3.0), F.lit(0.5)
+    return x.select("source", F.round(fn.candidate_value(F.col("gap"), F.col("cold"), build, upkeep, rate), 6).alias("candidate"), F.round(fn.resident_value(F.col("gap"), F.col("age"), F.col("cold"), upkeep, rate), 6).alias("resident"), F.round(fn.first_build(F.col("cold"), F.lit(1000.0), F.col("cold")), 6).alias("build"))
+
+
+@register("campaign_cells", "SELECT family, every::BIGINT AS every, repeat::BIGINT AS repeat, engine, ((i - repeat) % 3 + 3) % 3 AS turn FROM (VALUES ('uniform'), ('zipf')) f(family), (VALUES (2), (5)) e(every), range(4) r(repeat), (VALUES ('B1', 0), ('B3', 1), ('FULL', 2)) x(engine, i)")
+def campaign_cells(spark, d):
+    return ms.rotated(ms.cells(spark, family=["uniform", "zipf"], every=[2, 5], repeat=[0, 1, 2, 3]), ["B1", "B3", "FULL"], "repeat").select("family", "every", "repeat", "engine", F.col("turn").cast("long").alias("turn"))
+
+
+@register("budget_faults", "SELECT o_orderkey AS id FROM orders WHERE o_custkey % 5 > 0 AND o_custkey % 9 > o_custkey % 5")
+def budget_faults(spark, d):
+    o = views.table(spark, d, "orders")
+    return ms.budget_faults(o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("persistent_state_budget_bytes"), (F.col("o_custkey") % 9).alias("peak_accounted_algorithm_state_bytes"))).select("id")
+
+
+@register("accounted_bytes", "SELECT o_orderkey AS id, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey * 44 + 8 END AS bytes FROM orders")
+def accounted_bytes(spark, d):
+    """Checked byte sums: null here where the account would overflow, an error in strict mode."""
+    big = F.when(F.col("o_custkey") % 4 == 0, F.lit((1 << 63) - 1)).otherwise(F.col("o_custkey"))
+    return views.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), fn.accounted(big, 44, 8, strict=False).alias("bytes"))

@@ -7,13 +7,50 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pathloom.operators import stats
 
 # The column names of measurement rows of versions 1 and 2.
-FIELDS_1 = "baseline family seed trace_sha256 queries updates increase_count decrease_count update_every hot_sources epoch cap persistent_state_budget_bytes accounted_algorithm_state_bytes peak_accounted_algorithm_state_bytes accounting_version algorithm_ns cold_queries resident_queries promotions evictions rebuilds repair_aborts".split()
-FIELDS_2 = "schema_version baseline family seed trace_sha256 queries updates increase_count decrease_count update_every hot_sources epoch cap persistent_state_budget_bytes accounted_algorithm_state_bytes peak_accounted_algorithm_state_bytes accounting_version oracle_ns algorithm_ns query_ns update_ns operation_p50_ns operation_p95_ns query_p50_ns query_p95_ns update_p50_ns update_p95_ns cold_queries resident_queries promotions evictions rebuilds repair_aborts cooldown_blocks admission_rejections filtered_updates decrease_repairs increase_repairs memory_budget_rejections memory_metadata_prunes b4_query_time_ns b4_update_time_ns b4_cold_query_ns b4_resident_query_ns b4_query_policy_ns b4_promotion_ns b4_eviction_ns b4_graph_update_ns b4_decrease_repair_ns b4_increase_repair_ns b4_rebuild_ns b4_controller_ns b4_update_policy_ns".split()
+FIELDS_1 = [
+    "baseline", "family", "seed", "trace_sha256", "queries", "updates", "increase_count", "decrease_count", "update_every", "hot_sources", "epoch", "cap",
+    "persistent_state_budget_bytes", "accounted_algorithm_state_bytes", "peak_accounted_algorithm_state_bytes", "accounting_version", "algorithm_ns", "cold_queries",
+    "resident_queries", "promotions", "evictions", "rebuilds", "repair_aborts",
+]
+FIELDS_2 = [
+    "schema_version", "baseline", "family", "seed", "trace_sha256", "queries", "updates", "increase_count", "decrease_count", "update_every", "hot_sources", "epoch",
+    "cap", "persistent_state_budget_bytes", "accounted_algorithm_state_bytes", "peak_accounted_algorithm_state_bytes", "accounting_version", "oracle_ns", "algorithm_ns",
+    "query_ns", "update_ns", "operation_p50_ns", "operation_p95_ns", "query_p50_ns", "query_p95_ns", "update_p50_ns", "update_p95_ns", "cold_queries",
+    "resident_queries", "promotions", "evictions", "rebuilds", "repair_aborts", "cooldown_blocks", "admission_rejections", "filtered_updates", "decrease_repairs",
+    "increase_repairs", "memory_budget_rejections", "memory_metadata_prunes", "b4_query_time_ns", "b4_update_time_ns", "b4_cold_query_ns", "b4_resident_query_ns",
+    "b4_query_policy_ns", "b4_promotion_ns", "b4_eviction_ns", "b4_graph_update_ns", "b4_decrease_repair_ns", "b4_increase_repair_ns", "b4_rebuild_ns",
+    "b4_controller_ns", "b4_update_policy_ns",
+]
+# The other column orders: of engine matrices, controller runs and pilot profiles.
+MATRIX = [
+    "baseline", "rep", "seed", "workload", "policy", "trace_sha256", "operations", "query_count", "update_count", "increase_count", "decrease_count", "ns",
+    "cold_queries", "resident_queries", "promotions", "rebuilds", "filtered_updates", "decrease_repairs", "increase_repairs", "repair_aborts",
+]
+CONTROLLER = [
+    "regime", "policy", "seed", "trace_sha256", "query_count", "update_count", "increase_count", "decrease_count", "source", "ns", "rebuilds", "increase_repairs",
+    "repair_aborts", "filtered_updates",
+]
+PILOT = [
+    "profile", "trace_sha256", "query_count", "update_count", "increase_count", "decrease_count", "budget_bytes", "algorithm_ns", "query_ns", "update_ns",
+    "operation_p50_ns", "operation_p95_ns", "query_p50_ns", "query_p95_ns", "update_p50_ns", "update_p95_ns", "current_bytes", "peak_bytes", "cold_queries",
+    "resident_queries", "promotions", "evictions", "rebuilds", "repair_aborts", "cooldown_blocks", "admission_rejections", "filtered_updates", "decrease_repairs",
+    "increase_repairs", "memory_budget_rejections", "memory_metadata_prunes",
+]
+# Text columns, the parts of query and update times, what makes a cell, and the states of a comparator.
 TEXT = {"baseline", "family", "trace_sha256"}
-QUERY_PARTS = "b4_cold_query_ns b4_resident_query_ns b4_query_policy_ns b4_promotion_ns b4_eviction_ns".split()
-UPDATE_PARTS = "b4_graph_update_ns b4_decrease_repair_ns b4_increase_repair_ns b4_rebuild_ns b4_controller_ns b4_update_policy_ns".split()
-CELL = "family seed trace_sha256 queries updates increase_count decrease_count update_every hot_sources epoch persistent_state_budget_bytes accounting_version".split()
-STATUSES = "DIRECT PENDING CONTEXT INELIGIBLE".split()
+QUERY_PARTS = [
+    "b4_cold_query_ns", "b4_resident_query_ns", "b4_query_policy_ns", "b4_promotion_ns", "b4_eviction_ns",
+]
+UPDATE_PARTS = [
+    "b4_graph_update_ns", "b4_decrease_repair_ns", "b4_increase_repair_ns", "b4_rebuild_ns", "b4_controller_ns", "b4_update_policy_ns",
+]
+CELL = [
+    "family", "seed", "trace_sha256", "queries", "updates", "increase_count", "decrease_count", "update_every", "hot_sources", "epoch", "persistent_state_budget_bytes",
+    "accounting_version",
+]
+STATUSES = [
+    "DIRECT", "PENDING", "CONTEXT", "INELIGIBLE",
+]
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +79,44 @@ def write_rows(rows: DataFrame, path: str) -> None:
     rows.select(*FIELDS_2).write.csv(path)
 
 
+def write_plain(rows: DataFrame, columns: list[str], path: str) -> None:
+    """Rows as CSV without a header, in the order of MATRIX, CONTROLLER or PILOT; a missing column raises."""
+    rows.select(*columns).write.csv(path)
+
+
+def read_plain(spark: SparkSession, columns: list[str], path: str) -> DataFrame:
+    """What write_plain() wrote, as text."""
+    return spark.read.schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
+
+
+def write_headed(rows: DataFrame, path: str) -> None:
+    """Rows as CSV with a header in each file."""
+    rows.write.option("header", True).csv(path)
+
+
+def read_headed(spark: SparkSession, path: str, needed: list[str]) -> DataFrame:
+    """A CSV with a header, as text; raises if there is no header or `needed` columns are missing."""
+    rows = spark.read.option("header", True).csv(path)
+    missing = sorted(set(needed) - set(rows.columns))
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return rows
+
+
+def write_report(rows: DataFrame, path: str, kind: str) -> None:
+    """A report table of bounded size as one file in a folder: csv (with header), json (a line a row) or markdown."""
+    one = rows.coalesce(1)
+    if kind == "csv":
+        write_headed(one, path)
+    elif kind == "json":
+        one.write.json(path)
+    elif kind == "markdown":
+        lines = rows.sparkSession.createDataFrame([(markdown(rows, 1 << 20),)], "value string")
+        lines.coalesce(1).write.text(path)
+    else:
+        raise ValueError(kind)
+
+
 def unreconciled(rows: DataFrame, adaptive: list[str]) -> DataFrame:
     """Rows of version 2 whose times don't add up; the parts count for the named adaptive engines only."""
     two = rows.where("schema_version = 2")
