@@ -12,7 +12,7 @@ def _mark(e: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, many: int = 1 << 22) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, many: int = 1 << 15) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
     Minima are aggregated before the shuffle and joined back; of more than `many` edges the centres of stars, with over a

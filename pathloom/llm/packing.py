@@ -45,7 +45,7 @@ class PieceEncoder(dict):
     tokenizer whole.  A part of letters and ASCII is split by the vocabulary's own pattern and goes straight to the tokenizer's model.  The result always equals tokenizer.encode(text, add_special_tokens=False).
     """
 
-    def __init__(self, path: str, limit: int = 100_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), limit
