@@ -10,7 +10,7 @@ import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, byte_texts, hot_join, materialise
+from .common import bounded, byte_texts, hot_join, materialise, small_batches
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -78,6 +78,11 @@ def _cells(anchors: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (anchors & mask).astype(np.int64), ((anchors >> np.uint64(33)) * np.uint64(0x9E3779B1) & mask).astype(np.int64) + width
 
 
+def _among(ordered: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each of x is in a sorted array that isn't empty."""
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x
+
+
 def repeated_cells(docs: DataFrame, window: int, width: int, id_col: str, text_col: str, hot: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
     """Pass 1: a bitmap of the count-min cells whose merged count over all partitions is two or more, and the sorted cells
     with more than `hot`.
@@ -156,11 +161,12 @@ def repeated_windows(docs: DataFrame, window: int = 50, width: int | None = None
                     continue
                 whole, anchor, at = anchored(hashes.of(words), window)
                 hit = np.ones(len(at), bool)
-                often = np.full(len(at), hot_set.size > 0)
-                for c in _cells(anchor, width):
+                cells = _cells(anchor, width)
+                for c in cells:
                     hit &= (bitset[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
-                    if often.any():
-                        often &= np.isin(c, hot_set)
+                often, here = np.zeros(len(at), bool), np.flatnonzero(hit)
+                if hot_set.size and here.size:
+                    often[here] = _among(hot_set, cells[0][here]) & _among(hot_set, cells[1][here])
                 # an anchor occurrence is a run of windows with one place; all of a run hit or none
                 edge = np.flatnonzero(np.diff(at, prepend=-1))
                 for s, e in zip(edge, [*edge[1:], len(at)], strict=True):
@@ -206,15 +212,18 @@ def _hot_windows(runs: DataFrame) -> DataFrame:
     """repeated_windows() of the runs of hot anchors: a row a window, met by its hash."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, 16):  # a row's lists are written once a window
             hs = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
             each = np.repeat(np.arange(b.num_rows), [len(x) for x in hs])
             step = np.concatenate([np.arange(len(x)) for x in hs]) if hs else np.empty(0, np.int64)
             rel = b.column(0).to_numpy(zero_copy_only=False)[each] - step
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs) if hs else step), pa.array(rel.astype(np.int32)), pa.array(step), *(b.column(i).take(pa.array(each)) for i in (2, 3, 4, 5))], ["h", "rel", "step", "low", "ids", "digests", "starts"])
 
-    windows = runs.select("rel", "hashes", "low", "ids", "digests", "starts").mapInArrow(split, "h long, rel int, step long, low long, ids array<long>, digests array<long>, starts array<long>")
-    least = materialise(windows.groupBy("h", "rel").agg(F.min("low").alias("owner"), F.count(F.lit(1)).alias("n")), "window-owners").select(F.col("h").alias("h2"), F.col("rel").alias("rel2"), "owner", "n")
+    schema = "h long, rel int, step long, low long, ids array<long>, digests array<long>, starts array<long>"
+    windows = runs.select("rel", "hashes", "low", "ids", "digests", "starts").mapInArrow(split, schema)
+    none = F.expr("cast(null as array<long>)")
+    bare = runs.select("rel", "hashes", "low", none.alias("ids"), none.alias("digests"), none.alias("starts")).mapInArrow(split, schema)
+    least = materialise(bare.groupBy("h", "rel").agg(F.min("low").alias("owner"), F.count(F.lit(1)).alias("n")), "window-owners").select(F.col("h").alias("h2"), F.col("rel").alias("rel2"), "owner", "n")
     total = least.agg(F.sum("n")).first()[0] or 0
     met = hot_join(windows, least, (F.col("h") == F.col("h2")) & (F.col("rel") == F.col("rel2")), total, "inner")
     each = met.select("owner", "step", F.explode(F.arrays_zip("ids", "digests", "starts")).alias("x")).where(F.col("owner") < F.col("x.ids"))
