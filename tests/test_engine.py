@@ -301,3 +301,19 @@ def test_rebuilds_are_counted_when_due():
         for w in (2, 3, 3):
             x.update(2, w)
         assert x.query(0, 5) == 7 and x.stats["rebuilds"] == 4
+
+
+def test_a_restarted_stream_goes_on(spark, tmp_path):
+    from pathloom.streaming.replay import ReplayStream
+
+    edges = [(0, 1, 4), (1, 2, 3), (0, 2, 10)]
+    log = [(0, "QUERY", 0, 2, None, None, None), (1, "UPDATE", None, None, 1, 3, 1), (2, "QUERY", 0, 2, None, None, None), (3, "UPDATE", None, None, 0, 4, 20), (4, "QUERY", 0, 2, None, None, None)]
+    part = lambda a, b: spark.createDataFrame(log[a:b], traces.TRACE_SCHEMA)
+    make = lambda: ReplayStream(en.Engine(en.Graph(3, edges)), f"{tmp_path}/out")
+    make().resume(spark).batch(part(0, 2), 0)
+    again = make().resume(spark)
+    again.batch(part(0, 2), 0)  # comes again, is skipped
+    again.batch(part(2, 5), 1)
+    assert again.next == 5 and sorted((r.op_seq, r.answer) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, 7), (2, 5), (4, 10)]
+    with pytest.raises(ValueError):
+        make().resume(spark).batch(part(2, 5), 2)
