@@ -41,6 +41,34 @@ TEMPLATES = {
         "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version",
         ["gnu lesser general public license", "free software foundation"],
     ),
+    "gpl-2": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        ["gnu general public license", "version 2 of the license"],
+    ),
+    "gpl-3": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        ["gnu general public license", "version 3 of the license"],
+    ),
+    "lgpl-2.1": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+        ["gnu lesser general public license", "version 2 1 of the license"],
+    ),
+    "agpl-3": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        ["gnu affero general public license", "version 3 of the license"],
+    ),
+    "bsd-3": (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ["neither the name of", "endorse or promote products derived from this software"],
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        ["in no event will the authors be held liable", "permission is granted to anyone to use this software"],
+    ),
+    "boost-1": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+        ["to any person or organization obtaining a copy", "use reproduce display distribute execute and transmit the software"],
+    ),
     "mpl-2": (
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
         ["mozilla public license", "subject to the terms"],
@@ -199,7 +227,9 @@ def licence_idf(docs: DataFrame, text_col: str = "text") -> dict[bytes, float]:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Null text: empty, no words, no labels, score 0.  Repeated rows return a row each; empty table: no rows.
+    labels: of the base phrases, and of every template of which `least` of the words stand in order near one place, with
+    its key phrases; score: the best such share, 1 for a base phrase.  A licence's versions are labels of their own beside
+    the one without a version.  Null text: empty, no words, no labels, score 0.  Repeated rows return a row each; empty table: no rows.
     """
     idf = licence_idf(docs, text_col)
 

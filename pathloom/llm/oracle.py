@@ -81,7 +81,7 @@ SQL["op3_quality"] = _op3()
 
 
 def _op2() -> str:
-    from .secrets import ALLOWED, CLASSES, KINDS
+    from .secrets import ALLOWED, CLASSES, KINDS, SAMPLES
 
     def q(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -92,8 +92,11 @@ def _op2() -> str:
     for i, c in enumerate(CLASSES):
         pattern = "[" + c.alphabet.replace("-", "\\-") + "]{" + str(c.window) + ",}"
         known = " OR ".join(f"regexp_matches(x, {q(p)})" for p in ALLOWED)
-        parts.append(f"SELECT {len(KINDS) + i}, {q('entropy_' + c.name)}, doc_id, unnest(regexp_extract_all(text, {q(pattern)})), unnest(list_transform(regexp_extract_all(text, {q(pattern)}), lambda x: NOT ({known}))), unnest(regexp_split_to_array(text, {q(pattern)})), unnest(generate_series(1, len(regexp_split_to_array(text, {q(pattern)})))), {c.window}, {c.bits}::DOUBLE FROM d WHERE regexp_matches(text, {q(pattern)})")
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        parts.append(f"SELECT {len(KINDS) + i}, {q('entropy_' + c.name)}, doc_id, unnest(regexp_extract_all(runs, {q(pattern)})), unnest(list_transform(regexp_extract_all(runs, {q(pattern)}), lambda x: NOT ({known}))), unnest(regexp_split_to_array(runs, {q(pattern)})), unnest(generate_series(1, len(regexp_split_to_array(runs, {q(pattern)})))), {c.window}, {c.bits}::DOUBLE FROM d WHERE regexp_matches(runs, {q(pattern)})")
+    runs = "coalesce(text, '')"
+    for x in SAMPLES:
+        runs = f"regexp_replace({runs}, {q(x)}, {q(' ' * len(x))}, 'gi')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {runs} AS runs FROM documents),
 f AS ({' UNION ALL '.join(parts)}),
 a AS (SELECT *, sum(length(gap)) OVER o + coalesce(sum(length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM f WINDOW o AS (PARTITION BY doc_id, kind ORDER BY i)),
 h AS (SELECT *, CASE WHEN width > 0 THEN list_filter(generate_series(0, length(m) - width), lambda j: list_aggregate(string_split(substr(m, j + 1, width), ''), 'entropy') >= bits - 1e-9) END AS hot FROM a WHERE m IS NOT NULL AND fine),

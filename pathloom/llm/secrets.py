@@ -114,16 +114,17 @@ def entropy_spans(text: Column, kind: int, c: EntropyClass, allowed: tuple[str,
     return F.when(text.rlike(pattern), F.aggregate(both, state, step, lambda a: a["spans"])).otherwise(_none())
 
 
-def scan(text: Column, classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED, around_samples: bool = False) -> tuple[Column, Column]:
+def scan(text: Column, classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> tuple[Column, Column]:
     """(base spans, added spans) of a text, each sorted by start, kind: code points, end exclusive; null text: none.
 
-    An added span inside a base span is no news and left out.  With around_samples an allowed sample clears only the
-    windows that overlap it: it ends a run, and what stands before and behind is judged as runs of its own.
+    An added span reaches from the first to the last hot window of a run, cooler windows between them included.  An allowed
+    sample clears only the windows that overlap it: it ends a run, and what stands before and behind is judged as runs of
+    its own.  A run that an allowed pattern fits whole (words and paths without digits) has no spans.
     """
     t = F.coalesce(text.cast("string"), F.lit(""))
     base = F.concat(*[base_spans(t, i, *spec) for i, spec in enumerate(KINDS.values())])
     runs = t
-    for x in SAMPLES if around_samples else ():
+    for x in SAMPLES:
         runs = F.regexp_replace(runs, "(?i)" + x, " " * len(x))  # as long as the sample, so places stay
     added = F.concat(*[entropy_spans(runs, len(KINDS) + i, c, allowed) for i, c in enumerate(classes)])
     return F.array_sort(base), F.array_sort(added)
@@ -158,8 +159,10 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with secrets replaced by a mark and the length column, if there is one, following; all rows and columns stay."""
-    base, added = scan(F.col("_pl_t"), around_samples=True)
+    """docs with secrets replaced by a mark and the length column, if there is one, following; all rows and columns stay.
+
+    Null texts stay null, empty ones empty; repeated rows are treated alike; empty table: no rows."""
+    base, added = scan(F.col("_pl_t"))
     x = docs.withColumn("_pl_t", F.col(text_col)).withColumn("_pl_spans", F.array_sort(F.concat(base, added)))
     x = x.withColumn("_pl_new", F.when(F.size("_pl_spans") == 0, F.col("_pl_t")).otherwise(redact(F.col("_pl_t"), F.col("_pl_spans"))))
     out = []

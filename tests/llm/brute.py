@@ -178,6 +178,8 @@ def entropy_spans(text, classes, allowed):
     from collections import Counter
 
     out = []
+    for x in ("example", "abcdefghij", "0123456789"):
+        text = re.sub("(?i)" + x, " " * len(x), text or "")
     for c in classes:
         for m in re.finditer("[" + re.escape(c.alphabet) + "]{%d,}" % c.window, text or ""):
             run = m.group()

@@ -241,6 +241,16 @@ def test_a_rare_licence_does_not_hide_a_common_one():
     assert index.scan(licenses.words_of(f"{stray} {mit}".encode()))[4:] == ("mit", 1.0)
 
 
+def test_every_licence_of_a_text_is_found():
+    for idf in ({}, {w: 1.0 + len(w) for w in ("permission", "license", "free", "software", "the", "version")}):
+        index, everything = _licence_index(**idf), " and ".join(t for t, _ in licenses.TEMPLATES.values())
+        assert set(index.scan(licenses.words_of(everything.encode()))[4].split(",")) == set(licenses.TEMPLATES)
+        for name, (text, _) in licenses.TEMPLATES.items():
+            got = set(index.scan(licenses.words_of(f"x {text} y".encode()))[4].split(","))
+            # a versioned text also is its family's, and nothing else is
+            assert name in got and got <= {name, name.split("-")[0], "gpl" if name.startswith("gpl") else name}, (name, got)
+
+
 def test_licences_with_words_added_or_left_out():
     index = _licence_index()
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions"
