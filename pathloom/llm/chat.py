@@ -104,7 +104,10 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 
 
 def chain_messages(rows: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", span: int = 256) -> DataFrame:
-    """Rows of linear conversations as messages with node (place from 1, by turn, role, text) and parent (the one before)."""
+    """Rows of linear conversations as messages with node (place from 1, by turn, role, text) and parent (the one before).
+
+    Nulls come first in that order; a null tree is a tree; repeated rows are messages of their own; empty table: no rows.
+    """
     r = rows.select(F.col(tree), F.col(turn), F.col(role), F.col(text))
     order = [F.asc_nulls_first(turn), F.asc_nulls_first(role), F.asc_nulls_first(text)]
     at = salted_rank(r, [tree], order, F.floor(F.coalesce(F.col(turn), F.lit(-(1 << 40))) / span), "node").withColumn("node", F.col("node") + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -50,6 +51,10 @@ class PieceEncoder(dict):
 
         self.tok, self.limit = Tokenizer.from_file(path), limit
         self.model = self.tok.model
+        # the shortcuts below are right for this pattern and one added token; any other vocabulary encodes texts whole
+        made = json.loads(self.tok.to_str())
+        pre = made.get("pre_tokenizer") or {}
+        self.known = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and made.get("normalizer") is None and made["model"]["type"] == "BPE" and {x["content"] for x in made["added_tokens"]} <= {EOT}
         self.marks = {c: self.whole(c) for c in ",."}
 
     def whole(self, text: str) -> bytes:
@@ -82,7 +87,7 @@ class PieceEncoder(dict):
         if not text:
             return b""
         cut = text.replace("\n", " \n")
-        if "  " in cut or "\n " in cut or cut[0] in " \n" or cut[-1] in " \n" or EOT in text or any(c in text for c in ODD):
+        if not self.known or "  " in cut or "\n " in cut or cut[0] in " \n" or cut[-1] in " \n" or EOT in text or any(c in text for c in ODD):
             return self.whole(text)
         first, _, rest = cut.partition(" ")
         return self.fresh(first) + (b"".join(map(self.__getitem__, rest.split(" "))) if rest else b"")
@@ -235,7 +240,8 @@ def _stride(n: int) -> int:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, order_col: str | None = None) -> DataFrame:
-    """Tokenise, cut and pack: one row per piece.  Ties and repeated rows are pieces of their own; null ids stay null.
+    """Tokenise, cut and pack: one row per piece.  Ties and repeated rows are pieces of their own; null ids stay null; null and
+    empty texts are one piece of end_id; an empty table gives no rows.
 
     With order_col, a column of docs, sequences follow it; it isn't returned.
     """

@@ -24,6 +24,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe, formatted and read back.  Null text or role: empty; a null conv_id is a conversation; ties
+    by turn go by role and text; repeated rows are turns of their own; empty table: the probe only."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
     made = chat.format_trees(chat.chain_messages(rows.union(probe)))
@@ -34,6 +36,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text.  Null and empty texts have none; repeated rows return a row each; empty table: no rows."""
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     of = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
     n = [of(i).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS)]
@@ -41,37 +44,52 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every text.  Null and empty texts have no words and fail; repeated rows return a row each, and count
+    each as labelled if their id is; a null language is one of its own; empty tables: no rows, or no cutoffs."""
     slim = quality.measured(_table(spark, sf_dir, "documents"))
     done = quality.verdicts(slim, quality.fit(slim, _table(spark, sf_dir, "labels")), "stratum")
     return done.select(F.col("id").alias("doc_id"), *[F.col(f"_pl_c.{c}").alias(c) for c in quality.COUNTS[:5]], F.col("_pl_base_failed").alias("base_failed"), F.col("_pl_kept").alias("kept"))
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors.  Null, zero and non-finite vectors and null labels or ids link with nothing; equal vectors link; rows of
+    one id share a component; empty table: no rows."""
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every text.  Null and empty texts have none; repeated rows return a row each; empty table: no rows."""
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of every url.  Null urls and urls without :// have an empty host and path; repeated rows return a row each; empty
+    table: no rows."""
     return urls.filter_urls(_table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "key string, verdict string"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of all documents, weighted by each source's count to 0.7.  A null source is a source; null ids and repeated rows
+    stand next to each other; empty table: no rows."""
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all texts.  Null and wordless texts have fingerprint 0 and link like any other; a null id has
+    a null component; repeated rows return a row each; empty table: no rows."""
     done = simhash.simhash_components(_table(spark, sf_dir, "documents"))
     return done.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places.  Null and empty texts are one piece of one id; repeated rows and null ids are
+    pieces of their own; empty table: no rows."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept words of every text.  Null texts have none; rows that share an id are no copies of each other; null ids lose nothing;
+    empty table: no rows."""
     done = windows.drop_repeated(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
