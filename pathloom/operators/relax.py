@@ -25,19 +25,9 @@ def relax(seeds: DataFrame, edges: DataFrame, keys: list[str], reverse: bool = F
     restricts edges by columns of both sides (versions as of a key); `heads` (keys, v) restricts what may be reached.
     Vertices not reached are absent.  Every round is written down, so its lineage is one round long.
     """
-    tail, head = ("dst", "src") if reverse else ("src", "dst")
-    e = edges.select(*[F.col(c).alias("_e_" + c) for c in edges.columns])
-    k = [F.col(c) for c in keys]
-    best = materialise(seeds.groupBy(*keys, "v").agg(F.min("dist").alias("dist"), F.lit(True).alias("fresh")), "relax")
+    best = _seeded(seeds, keys)
     for _ in range(max_rounds):
-        on = F.col("v") == F.col("_e_" + tail)
-        step = best.where("fresh").join(e, on if valid is None else on & valid)
-        cand = step.select(*k, F.col("_e_" + head).alias("v"), sat_add(F.col("dist"), F.col("_e_weight")).alias("dist")).where(F.col("dist") < INF)
-        if heads is not None:
-            cand = cand.join(heads, [*keys, "v"], "left_semi")
-        both = best.select(*keys, "v", "dist", F.col("dist").alias("was")).union(cand.select(*keys, "v", "dist", F.lit(None).cast("long")))
-        low = both.groupBy(*keys, "v").agg(F.min("dist").alias("dist"), F.min("was").alias("was"))
-        nxt = materialise(low.select(*keys, "v", "dist", F.expr("was is null or dist < was").alias("fresh")), "relax")
+        nxt = _round(best, edges, keys, reverse, valid, heads)
         discard(best)
         if nxt.where("fresh").isEmpty():
             return nxt.drop("fresh")
@@ -45,6 +35,24 @@ def relax(seeds: DataFrame, edges: DataFrame, keys: list[str], reverse: bool = F
     raise RuntimeError("relaxation did not settle")
 
 
+def _seeded(seeds: DataFrame, keys: list[str]) -> DataFrame:
+    return materialise(seeds.groupBy(*keys, "v").agg(F.min("dist").alias("dist"), F.lit(True).alias("fresh")), "relax")
+
+
+def _round(best: DataFrame, edges: DataFrame, keys: list[str], reverse: bool = False, valid: Column | None = None, heads: DataFrame | None = None) -> DataFrame:
+    """The labels after one step of the fresh ones, with those that improved marked fresh."""
+    tail, head = ("dst", "src") if reverse else ("src", "dst")
+    e = edges.select(*[F.col(c).alias("_e_" + c) for c in edges.columns])
+    on = F.col("v") == F.col("_e_" + tail)
+    step = best.where("fresh").join(e, on if valid is None else on & valid)
+    cand = step.select(*map(F.col, keys), F.col("_e_" + head).alias("v"), sat_add(F.col("dist"), F.col("_e_weight")).alias("dist")).where(F.col("dist") < INF)
+    if heads is not None:
+        cand = cand.join(heads, [*keys, "v"], "left_semi")
+    both = best.select(*keys, "v", "dist", F.col("dist").alias("was")).union(cand.select(*keys, "v", "dist", F.lit(None).cast("long")))
+    low = both.groupBy(*keys, "v").agg(F.min("dist").alias("dist"), F.min("was").alias("was"))
+    return materialise(low.select(*keys, "v", "dist", F.expr("was is null or dist < was").alias("fresh")), "relax")
+
+
 class Csr:
     """Forward adjacency in edge_id order at each vertex, as flat arrays of 8 bytes; the reverse one points into it."""
 
@@ -188,10 +196,25 @@ def distances(edges: DataFrame, pairs: DataFrame, kernel_edges: int = KERNEL_EDG
     return p.groupBy("source").agg(F.collect_list("target").alias("targets")).mapInPandas(run, "source long, target long, dist long, edge_scans long, settled long")
 
 
-def bidirectional(edges: DataFrame, source: int, target: int) -> DataFrame:
-    """(dist): labels from the source forward meet labels from the target backward; one row, INF if they never do."""
+def bidirectional(edges: DataFrame, source: int, target: int, max_rounds: int = 100_000) -> DataFrame:
+    """(dist): labels from the source forward meet labels from the target backward; one row, INF if they never do.
+
+    Both sides go on by rounds until the least fresh labels of the two sum to the best meeting: a shorter path would have
+    to leave a fresh label on either side.
+    """
     spark = edges.sparkSession
-    seed = lambda v: spark.range(1).select(F.lit(0).cast("long").alias("k"), F.lit(v).cast("long").alias("v"), F.lit(0).cast("long").alias("dist"))
-    f = relax(seed(source), edges, ["k"]).select("v", F.col("dist").alias("df"))
-    b = relax(seed(target), edges, ["k"], reverse=True).select("v", F.col("dist").alias("db"))
-    return f.join(b, "v").agg(F.coalesce(F.min(sat_add(F.col("df"), F.col("db"))), F.lit(INF)).alias("dist"))
+    row = lambda d: spark.createDataFrame([(d,)], "dist long")
+    if source == target:
+        return row(0)
+    sides = [_seeded(spark.createDataFrame([(0, v, 0)], "k long, v long, dist long"), ["k"]) for v in (source, target)]
+    for _ in range(max_rounds):
+        f, b = (x.select(F.col("v").alias("v" + c), F.col("dist").alias("d" + c)) for x, c in zip(sides, "fb", strict=True))
+        best = f.join(b, F.col("vf") == F.col("vb")).agg(F.coalesce(F.min(sat_add(F.col("df"), F.col("db"))), F.lit(INF))).first()[0]
+        near = [x.where("fresh").agg(F.coalesce(F.min("dist"), F.lit(INF))).first()[0] for x in sides]
+        if min(INF, sum(near)) >= best:
+            return row(best)
+        nxt = [_round(x, edges, ["k"], reverse=bool(i)) for i, x in enumerate(sides)]
+        for x in sides:
+            discard(x)
+        sides = nxt
+    raise RuntimeError("relaxation did not settle")

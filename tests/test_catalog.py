@@ -8,7 +8,15 @@ from pathloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SOME = sorted(set(catalog.ORACLE) - {"sssp_trade_all_pairs", "graph_edges_supply"})
+SOME = [
+    "graph_edges_flow", "sssp_flow", "sssp_flow_relational", "p2p_distance", "bidirectional_meet", "sssp_tree_parent", "subtree_sizes", "increase_repair",
+    "decrease_repair", "update_classification", "trace_sha256", "trace_validation_errors", "trace_replay_answers", "oracle_mismatches", "engine_profiles",
+    "engine_counters", "telemetry_reconciles", "policy_clocks", "lru_hits_misses", "cooldown_blocks", "byte_accounting", "resident_score", "budget_eviction_plan",
+    "reuse_gap_stream", "latency_nearest_rank", "percentile_rounded_index", "metric_summary", "campaign_medians", "stage_ratios", "material_counts", "valid_run_rows",
+    "repeated_traces", "geomean_ci", "fastest_profile", "next_filled_cell", "zipf_inverse", "update_schedule", "workload_counts", "generated_logs", "eligible_edge",
+    "tree_edge_regimes", "grid_generator", "graph_generators", "log_round_trip", "answers_round_trip", "graph_round_trip", "legacy_round_trip",
+    "measurements_round_trip", "file_sums", "sql_functions", "value_functions", "accounted_bytes",
+]
 
 
 def _rows(names, rows):

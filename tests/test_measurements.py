@@ -73,3 +73,50 @@ def test_percentiles_and_scalars(spark):
     import numpy as np
 
     assert int(fn.splitmix64(np.array([0], np.uint64))[0]) == 0xE220A8397B1DCDAF
+
+
+def test_reports_and_other_layouts(spark, tmp_path):
+    d = spark.createDataFrame([("a", 1), ("b", None)], "name string, n long")
+    for kind in ("csv", "json", "markdown"):
+        ms.write_report(d, str(tmp_path / kind), kind)
+    text = lambda kind: "".join(p.read_text() for p in sorted((tmp_path / kind).glob("part-*")))
+    assert text("csv").splitlines()[0] == "name,n" and '{"name":"a","n":1}' in text("json") and "| b | NA |" in text("markdown")
+    assert ms.read_headed(spark, str(tmp_path / "csv"), ["n"]).count() == 2
+    with pytest.raises(ValueError):
+        ms.read_headed(spark, str(tmp_path / "csv"), ["n", "ns"])
+    with pytest.raises(ValueError):
+        ms.write_report(d, str(tmp_path / "x"), "pdf")
+    assert (len(ms.MATRIX), len(ms.CONTROLLER), len(ms.PILOT)) == (20, 14, 31)
+
+
+def test_plain_answers_must_be_whole(spark, tmp_path):
+    from pathloom.sources import traces
+
+    a = spark.createDataFrame([(0, 5), (3, 7)], "op_seq long, answer long")
+    traces.write_plain_answers(a, "ab", str(tmp_path / "a"))
+    assert sorted(map(tuple, traces.read_plain_answers(spark, str(tmp_path / "a"), "ab", 2).collect())) == [(0, 5), (1, 7)]
+    for sha, n in (("cd", 2), ("ab", 3), ("ab", 1)):
+        with pytest.raises(ValueError):
+            traces.read_plain_answers(spark, str(tmp_path / "a"), sha, n)
+    part = next((tmp_path / "a").glob("part-*"))
+    (tmp_path / "b.txt").write_text(part.read_text() + "9\n")
+    with pytest.raises(ValueError):
+        traces.read_plain_answers(spark, str(tmp_path / "b.txt"), "ab", 2)
+
+
+def test_a_described_workload():
+    import json
+
+    from pathloom.sources import workloads as wl
+
+    got = json.loads(wl.describe(wl.Workload(10), "ab", "cd", 3, 4, 7, {"query_count": 10, "update_count": 1}))
+    assert got["config"]["query_count"] == 10 and got["graph_vertices"] == 3 and len(got["config_sha256"]) == 64
+
+
+def test_byte_accounts_are_checked(spark):
+    d = spark.createDataFrame([(2,), (1 << 60,), (-1,), (None,)], "n long")
+    assert [r[0] for r in d.select(fn.accounted(F.col("n"), 44, 8, strict=False)).collect()] == [96, None, None, None]
+    assert d.where("n = 2 or n is null").select(fn.accounted(F.col("n"), 44, 8)).collect()[0][0] == 96
+    for bad in ("n = -1", "n > 2"):
+        with pytest.raises(Exception, match="overflows"):
+            d.where(bad).select(fn.accounted(F.col("n"), 44, 8)).collect()
