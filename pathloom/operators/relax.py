@@ -75,6 +75,26 @@ class Csr:
         """The place of each edge id in the arrays."""
         return {e: i for i, e in enumerate(self.edge_id)}
 
+    def table(self, source: int, sweeps: int = 64) -> np.ndarray:
+        """Distances of all vertices by whole sweeps over the arcs in numpy, for as long as `sweeps` suffice: paths of few
+        hops, as in most graphs.  Longer ones are left to from_source()."""
+        if not hasattr(self, "_sweep"):
+            into, back = np.frombuffer(self.into, np.int64), np.frombuffer(self.back, np.int64)
+            heads = np.flatnonzero(np.diff(into))
+            self._sweep = np.frombuffer(self.src, np.int64)[back], np.frombuffer(self.weight, np.int64)[back], heads, into[heads]
+        src, weight, heads, starts = self._sweep
+        dist = np.full(len(self.names), INF, np.int64)
+        dist[self.at(source)] = 0
+        for _ in range(sweeps):
+            low = np.minimum(dist[heads], np.minimum.reduceat(dist[src] + weight, starts))  # INF + INF still fits
+            if (low == dist[heads]).all():
+                return dist
+            dist[heads] = low
+        return np.array(self.from_source(source)[0], np.int64)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_sweep"}
+
     def from_source(self, source: int, target: int | None = None) -> tuple[list[int], list[int], int, int]:
         """(dist, parent edge, edges scanned, vertices settled); stops at target if given.  Ties keep the first parent."""
         n = len(self.names)
@@ -156,18 +176,18 @@ def sssp(edges: DataFrame, sources: DataFrame, kernel_edges: int = KERNEL_EDGES)
                 if g.value.at(int(s)) < 0:
                     yield pd.DataFrame({"source": [s], "v": [s], "dist": [0]})
                     continue
-                dist = np.array(g.value.from_source(int(s))[0], np.int64)
+                dist = g.value.table(int(s))
                 hit = np.flatnonzero(dist < INF)
                 yield pd.DataFrame({"source": np.full(len(hit), s), "v": names[hit], "dist": dist[hit]})
 
     return src.mapInPandas(run, "source long, v long, dist long")
 
 
-def distances(edges: DataFrame, pairs: DataFrame, kernel_edges: int = KERNEL_EDGES, few: int = 8) -> DataFrame:
+def distances(edges: DataFrame, pairs: DataFrame, kernel_edges: int = KERNEL_EDGES, few: int = 2) -> DataFrame:
     """(source, target, dist, edge_scans, settled) for each distinct pair: INF where unreachable, 0 from a vertex to itself.
 
-    With the kernel a source of up to `few` targets searches each from both ends, one with more searches once for all of
-    them (its counters stand with its first target); by joins the counters are null.
+    With the kernel a source of up to `few` targets searches each from both ends, which the counters describe; one with
+    more finds all its distances at once.  There, and by joins, the counters are null.
     """
     p = pairs.select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).where("source is not null and target is not null").distinct()
     csr = csr_of(edges, kernel_edges)
@@ -184,13 +204,12 @@ def distances(edges: DataFrame, pairs: DataFrame, kernel_edges: int = KERNEL_EDG
         for f in frames:
             for s, targets in zip(f["source"].tolist(), f["targets"].tolist(), strict=True):
                 targets = sorted(map(int, targets))
-                if len(targets) <= few:
+                if len(targets) <= few or g.at(s) < 0:
                     rows = [(s, t, *g.both_ways(s, t)) for t in targets]
                 else:
-                    dist, _, scans, settled = g.from_source(s)
-                    at = [g.at(t) for t in targets]
-                    rows = [(s, t, 0 if s == t else dist[i] if i >= 0 else INF, 0 if k else scans, 0 if k else settled) for k, (t, i) in enumerate(zip(targets, at, strict=True))]
-                yield pd.DataFrame(rows, columns=["source", "target", "dist", "edge_scans", "settled"])
+                    dist, at = g.table(s), [g.at(t) for t in targets]
+                    rows = [(s, t, 0 if s == t else int(dist[i]) if i >= 0 else INF, None, None) for t, i in zip(targets, at, strict=True)]
+                yield pd.DataFrame(rows, columns=["source", "target", "dist", "edge_scans", "settled"]).astype({"edge_scans": "Int64", "settled": "Int64"})
 
     # targets of one source are vertices of a graph of bounded size
     return p.groupBy("source").agg(F.collect_list("target").alias("targets")).mapInPandas(run, "source long, target long, dist long, edge_scans long, settled long")

@@ -224,6 +224,15 @@ def test_a_long_chain_takes_few_rounds(spark):
     assert tt.subtree(tree, n // 2, most=10) is None
 
 
+def test_sweeps_equal_the_heap(spark):
+    r = random.Random(12)
+    made = [[(r.randrange(30), r.randrange(30), r.choice([0, 1, 5, INF - 3, INF])) for _ in range(90)] for _ in range(5)]
+    for rows in [*made, chain(200)]:
+        csr = rx.csr_of(dimacs.from_rows(spark, 200, rows))
+        for s in csr.names.tolist()[::7]:
+            assert csr.table(s).tolist() == csr.from_source(s)[0]
+
+
 def test_next_edge_goes_round(spark):
     g = dimacs.from_rows(spark, 3, [(0, 1, w) for w in (1, 9, 2, 9, 3)])
     got = {x.start: x.edge_id for x in rp.next_edge(g, F.col("weight") == 9, spark.range(5).withColumnRenamed("id", "start")).collect()}
