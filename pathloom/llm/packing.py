@@ -170,11 +170,12 @@ def slack_patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[tup
     return out
 
 
-def pack(parts: DataFrame, capacity: int = 1024, buckets: int = 64, order_col: str | None = None, groups: int = 64, group_pieces: int = 512) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 1024, bucket_rows: int = 4096, order_col: str | None = None, groups: int = 64, group_pieces: int = 512) -> DataFrame:
     """parts (with doc_id, piece, length) plus sequence_id and offset, gapless from 0 in each sequence.
 
     Only the histogram of at most `capacity` lengths comes to the driver.  Pieces of a length are numbered bucket by
-    bucket, and number ranges map to patterns in a table of bounded size.  Empty table: no rows.
+    bucket, of about `bucket_rows` pieces for the most frequent length, and number ranges map to patterns in a table of
+    bounded size.  Empty table: no rows.
 
     With order_col the sequences follow that order: it is cut into at most `groups` equal ranges, of about `group_pieces`
     pieces at least, and the sequences of a range, which hold its pieces only, come before those of the next; pieces
@@ -186,14 +187,16 @@ def pack(parts: DataFrame, capacity: int = 1024, buckets: int = 64, order_col: s
         groups = max(1, min(groups, n // group_pieces))
         at = F.col(order_col) * groups / F.lit(float((top or 0) + 1))
         group = F.coalesce(F.floor(at), F.lit(groups)).cast("int")
-        bucket = F.coalesce(F.floor((at - F.floor(at)) * buckets), F.pmod(order[0], F.lit(buckets)))
-        order = [F.col(order_col), *order]
-    else:
-        bucket = F.pmod(order[0], F.lit(buckets))
     parts = parts.withColumn("_pl_group", group)
     hists: dict[int, dict[int, int]] = {}
     for r in parts.groupBy("_pl_group", "length").agg(F.count(F.lit(1)).alias("n")).collect():
         hists.setdefault(r["_pl_group"], {})[r["length"]] = r["n"]
+    biggest = max((n for h in hists.values() for n in h.values()), default=0)
+    buckets = min(1 << 16, max(1, -(-biggest // bucket_rows)))
+    bucket = F.pmod(order[0], F.lit(buckets))
+    if order_col:
+        bucket = F.coalesce(F.floor((at - F.floor(at)) * buckets), bucket)
+        order = [F.col(order_col), *order]
     table, spans, base = {}, {}, 0
     for g, hist in sorted(hists.items()):
         ranges: dict[int, list[tuple[int, int, int, int]]] = {}

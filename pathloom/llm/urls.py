@@ -92,13 +92,16 @@ def _passing(keys: DataFrame, b: Bloom) -> DataFrame:
     return keys.select("key").mapInArrow(run, "key string")
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, max_levels: int = 64) -> Cascade:
+def build_cascade(universe: DataFrame, listed: DataFrame, max_levels: int = 64, most_bytes: int = 256 << 20) -> Cascade:
     """A cascade exact on universe and listed (both: distinct key).
 
     With r listed of s keys, level 0 errs at r / (sqrt(2) s) and later ones at 1/2, so every level after the first holds
-    fewer than r keys as expected and the whole takes about r (1.44 log2(s / r) + 5) bits: its size follows the list.
+    fewer than r keys as expected and the whole takes about r (1.44 log2(s / r) + 5) bits: its size follows the list.  It goes to every worker, so a list
+    that needs more than `most_bytes` raises before anything is built.
     """
     r, s = listed.count(), universe.count()
+    if r * (math.log2(max(2.0, s / max(1, r))) * 1.45 + 6) / 8 > most_bytes:
+        raise ValueError(f"a list of {r} keys needs more than {most_bytes} bytes in every worker")
     levels: list[Bloom] = []
     inside, outside = listed, universe
     n = r
