@@ -9,9 +9,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pathloom.functions.tables import materialise, shared_dir
+from pathloom.functions.tables import discard, materialise, shared_dir
 
-__all__ = ["bounded", "byte_texts", "give_back", "hot_join", "materialise", "salted_rank", "shared_dir", "small_batches"]
+__all__ = ["bounded", "byte_texts", "discard", "give_back", "hot_join", "materialise", "salted_rank", "shared_dir", "small_batches"]
 
 
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import hot_join, materialise
+from .common import discard, hot_join, materialise
 
 
 def _mark(e: DataFrame) -> tuple[int, int]:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = meet(both.where("v > u"), low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = meet(large, low.withColumnRenamed("u", "k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialise(small, "components")
+        old, e = e, materialise(small, "components")
+        discard(old)
         now = _mark(e)
         if now == seen:
             break
