@@ -43,7 +43,40 @@ g AS (SELECT k.doc_id, i, word, max(CASE WHEN f.low < k.doc_id THEN 1 ELSE 0 END
 a AS (SELECT doc_id, count(*) FILTER (gone = 1) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY 1)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN a USING (doc_id)"""
 
-SQL = {"op1_chat": OP1, "op4_embeddings": OP4, "op6_urls": OP6, "op7_mixing": OP7, "op10_substrings": OP10}
+OP11 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+# crc32 over the bytes of an ASCII key; a row's arcs, then the insertions before it, from the last row to the first
+OP12 = r"""WITH RECURSIVE bytes AS (SELECT row_number() OVER () AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+drawn AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 20 AS draw FROM bytes),
+hurt AS (SELECT k, conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role, CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN draw = 3 THEN [0, 1] ELSE [0] END) AS copy FROM drawn WHERE draw <> 0),
+placed AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, role[1:1] AS c, lead(role[1:1]) OVER w AS c2, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, role, k, copy) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, k, copy)),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN bare[-1:] NOT IN ('.', '!', '?') THEN 't' ELSE 'f' END AS fault FROM placed),
+d(conv_id, i, v) AS (SELECT conv_id, any_value(n), [{'c': 0, 'a': '', 't': ''}, {'c': 6, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}, {'c': 3, 'a': 'I', 't': 'assistant:' || chr(10)}, {'c': 0, 'a': '', 't': ''}] FROM f GROUP BY conv_id
+  UNION ALL SELECT conv_id, i, [least(o[1], {'c': o[3].c + 3, 'a': 'I' || o[3].a, 't': 'user:' || chr(10) || o[3].t}), least(o[2], {'c': o[3].c + 3, 'a': 'I' || o[3].a, 't': 'user:' || chr(10) || o[3].t}), o[3], o[4]]
+  FROM (SELECT conv_id, i, [x[1], x[2], least(x[3], {'c': x[4].c + 3, 'a': 'I' || x[4].a, 't': 'assistant:' || chr(10) || x[4].t}), least(x[4], {'c': x[3].c + 3, 'a': 'I' || x[3].a, 't': 'user:' || chr(10) || x[3].t})] AS o
+  FROM (SELECT d.conv_id, d.i - 1 AS i, list_transform([1, 2, 3, 4], lambda s: list_min(list_filter([{'c': d.v[s].c + 4, 'a': 'D' || d.v[s].a, 't': d.v[s].t},
+      CASE WHEN f.fault IN ('f', 't') AND (f.c = 's' AND s = 1 OR f.c = 'u' AND s <> 3 OR f.c = 'a' AND s = 3) THEN {'c': d.v[CASE f.c WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c + CASE f.fault WHEN 't' THEN 3 ELSE 0 END, 'a': 'K' || d.v[CASE f.c WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].a, 't': f.role || ':' || f.text || chr(10) || d.v[CASE f.c WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].t} END,
+      CASE WHEN f.fault IN ('f', 't') THEN {'c': d.v[CASE WHEN s = 3 THEN 4 ELSE 3 END].c + 3 + CASE f.fault WHEN 't' THEN 3 ELSE 0 END, 'a': 'R' || d.v[CASE WHEN s = 3 THEN 4 ELSE 3 END].a, 't': CASE WHEN s = 3 THEN 'assistant:' ELSE 'user:' END || f.text || chr(10) || d.v[CASE WHEN s = 3 THEN 4 ELSE 3 END].t} END], lambda y: y IS NOT NULL))) AS x
+    FROM d JOIN f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.i = d.i))),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (c2 IS NOT NULL AND c || c2 NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v[1].c, 0)::BIGINT AS cost, coalesce(v[1].a, '') AS audit, sha256(coalesce(v[1].t[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN d ON d.i = 0 AND d.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+OP13 = rf"""WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+lens AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY 1),
+size AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lens),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY 1),
+impact AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))) AS x FROM tf JOIN lens USING (doc_id) JOIN w USING (term), size),
+r AS (SELECT item_id, doc_id, sum(x * times)::BIGINT AS score FROM (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL) a JOIN impact USING (term) GROUP BY 1, 2),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20"""
+
+SQL = {"op11_topk": OP11, "op12_structure": OP12, "op13_lexical": OP13, "op1_chat": OP1, "op4_embeddings": OP4, "op6_urls": OP6, "op7_mixing": OP7, "op10_substrings": OP10}
 
 
 def _op3() -> str:

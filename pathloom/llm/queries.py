@@ -1,4 +1,4 @@
-"""The ten registered queries of this subpackage and the pipeline, with their SQL where SQL can express them."""
+"""The thirteen registered queries of this subpackage and the pipeline, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, embeddings, licenses, mixing, oracle, packing, quality, secrets, simhash, urls, windows
+from . import chat, embeddings, lexical, licenses, mixing, oracle, packing, quality, secrets, simhash, structure, topk, urls, windows
 
 # The probe conversation and the url rules.
 PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
@@ -94,8 +94,27 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best partners of every 50th vector.  Null and non-finite vectors and rows with a null id take no part; rows of one id
+    are no partners of each other; equal scores go by id; empty table: no rows."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after damage.  Nulls in texts and roles count as one space; a null
+    conv_id is a conversation; repeated rows are duplicates; ties by turn go by role and a hash of the text; empty table: no rows."""
+    rows = _table(spark, sf_dir, "conversations")
+    return structure.audited(rows, structure.damage(rows))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item.  Null and empty texts have no terms; equal scores go by doc_id, a null one last;
+    repeated documents are ranked each, repeated items too; empty tables: no rows."""
+    return lexical.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_secrets, op3_quality, op4_embeddings, op5_licenses, op6_urls, op7_mixing, op8_simhash, op9_packing, op10_substrings)}
+    return {f.__name__: f for f in (op1_chat, op2_secrets, op3_quality, op4_embeddings, op5_licenses, op6_urls, op7_mixing, op8_simhash, op9_packing, op10_substrings, op11_topk, op12_structure, op13_lexical)}
 
 
 def oracle_sql() -> dict[str, str]:
