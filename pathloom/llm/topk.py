@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,72 +36,82 @@ def _unpacked(b: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(b, f"<i{b[:1].decode()}", offset=1).astype(np.int64).reshape(-1, dim)
 
 
-def segments(x: np.ndarray, members: int = 128, most: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slots, starts, dims): the postings of each dimension in descending order of value, cut where the quantised value changes.
-
-    Steps are equal between the 5th and the 95th percentile of a dimension, about `members` vectors a step on average and
-    `most` steps at most; values far outside share the end steps.  Segment i holds slots[starts[i]:starts[i + 1]].
-    """
-    n, dim = x.shape
-    steps = int(np.clip(n // members, 1, most))
-    order = np.argsort(-x, axis=0, kind="stable")
-    slots, starts, dims = [], [np.zeros(1, np.int64)], []
-    for d in range(dim):
-        v = x[order[:, d], d]
-        low, high = v[min(n - 1, int(n * 0.95))], v[int(n * 0.05)]
-        level = np.clip((v - low) // max(1, -(-int(high - low) // steps)), -steps, 2 * steps)
-        cuts = np.append(np.flatnonzero(np.diff(level)) + 1, n)
-        slots.append(order[:, d])
-        starts.append(cuts + d * n)
-        dims.append(np.full(len(cuts), d))
-    return np.concatenate(slots).astype(np.int32), np.concatenate(starts), np.concatenate(dims)
+#: Where the segments of an index are cut: sizes of a component in units of the block's root mean square.
+LEVELS = (1.5, 0.75, 0.375, 0.0)
 
 
-class Block:
-    """Some vectors with their impact-ordered segments, whose greatest and least values bound what a member adds to a score."""
+def segments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(postings, cuts): the places in x.ravel() of all components but 0 in descending order of quantised impact, which is the
+    level of their size; segment i holds postings[cuts[i]:cuts[i + 1]], ordered by dimension."""
+    size = np.abs(x).T  # a row a dimension
+    unit = math.sqrt(max(1.0, float((size.astype(np.float64) ** 2).mean())))
+    level = np.full(size.shape, len(LEVELS), np.int8)
+    for i, cut in reversed(list(enumerate(LEVELS))):
+        level[size >= max(1.0, cut * unit)] = i
+    order = np.argsort(level, axis=None, kind="stable")
+    cuts = np.searchsorted(level.ravel()[order], np.arange(len(LEVELS) + 1))
+    dim, slot = np.divmod(order[: cuts[-1]], x.shape[0])
+    return slot * x.shape[1] + dim, cuts
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, slots: np.ndarray, starts: np.ndarray, dims: np.ndarray):
-        self.ids, self.x, self.slots, self.starts, self.dims = ids, x, slots, starts, dims
-        self.top, self.low = x[slots[starts[:-1]], dims], x[slots[starts[1:] - 1], dims]
 
-    def best(self, query: np.ndarray, own: int, k: int, least: int, stops: int = 12) -> tuple[np.ndarray, np.ndarray, int]:
-        """(scores, ids, postings read): the k best of the block that score `least` or more; rows with the query's own id are none.
-
-        Segments go by descending impact, the most that a member can add.  Of a vector met in c segments of sum a, what is
-        missing comes from dim - c segments that add at most t each, the next impact: a + (dim - c) * t bounds its score.
-        Reading stops only where these bounds leave few vectors; all they leave are scored exactly.
+class Block:
+    """Some vectors with the impact-ordered segments of their components."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, postings: np.ndarray, cuts: np.ndarray):
+        self.ids, self.x, self.postings, self.cuts = ids, x, postings, cuts
+        self.sorted = np.argsort(ids, kind="stable")
+        self.norm = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+        self.parts, rest = [], x.astype(np.float64)
+        for i in range(len(LEVELS)):
+            part = np.zeros(x.size)
+            at = postings[cuts[i] : cuts[i + 1]]
+            part[at] = x.ravel()[at]
+            part = part.reshape(x.shape)
+            rest = rest - part
+            self.parts.append((part, np.sqrt((rest**2).sum(axis=1))))
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(query, score, id, segments read), by query: the k best of the block that score `least` or more; rows with a query's own id are none.
+
+        Score at a time: the segments of one impact add to the scores of all queries, greatest impacts first.  What the
+        segments not read yet can add to a vector's score is at most the product of the query's length and the length of
+        the vector's components in them.  Reading stops only where these bounds leave few vectors that may
+        reach a score which k vectors have; all that they leave are scored in whole numbers.
         """
-        n, dim = self.x.shape
-        impact = np.where(query[self.dims] >= 0, query[self.dims] * self.top, query[self.dims] * self.low)
-        order = np.argsort(-impact, kind="stable")
-        size = np.diff(self.starts)[order]
-        seen, acc, met = np.cumsum(size), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        enough = max(4 * k, n // 32)
-        others = self.ids != own
-        left, done = np.flatnonzero(others), 0
-        for stop in np.unique(np.searchsorted(seen, np.arange(1, stops + 1) * (n * dim / stops))):
-            if len(left) <= enough:
+        m, n = len(queries), len(self.x)
+        q, least, score = queries.astype(np.float64), least.copy(), np.zeros((m, n))
+        length = np.sqrt((q**2).sum(axis=1))
+        error = length[:, None] * self.norm.max(initial=0) * (q.shape[1] * 2.0**-50) + 1  # of sums beyond 2^53, and of the roots
+        names = self.ids[self.sorted]
+        low, high = np.searchsorted(names, own, "left"), np.searchsorted(names, own, "right")
+        same = np.repeat(np.arange(m), high - low), self.sorted[np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)] + [np.zeros(0, int)]).astype(int)]
+        for read, (part, rest) in enumerate(self.parts, 1):
+            score += q @ part.T
+            if read == 1 < len(self.parts):
+                continue  # bounds are too wide yet to part any
+            most = score + length[:, None] * rest + error
+            most[same] = -np.inf
+            if n > k:
+                likely = np.argpartition(-most, k - 1, axis=1)[:, :k]
+                found = np.einsum("ij,ikj->ik", queries, self.x[likely])
+                found[~np.isfinite(np.take_along_axis(most, likely, axis=1))] = LOWEST
+                least = np.maximum(least, found.min(axis=1))
+            left = most >= least[:, None]
+            left[same] = False
+            if read == len(self.parts) or left.sum() <= m * max(4 * k, n // 64):
                 break
-            stop = min(int(stop) + 1, len(order))
-            for s, add in zip(order[done:stop].tolist(), impact[order[done:stop]].tolist(), strict=True):
-                at = self.slots[self.starts[s] : self.starts[s + 1]]
-                acc[at] += add
-                met[at] += 1
-            done = stop
-            most = acc + (dim - met) * (int(impact[order[done]]) if done < len(order) else 0)
-            if len(left) > k:  # the exact scores of the likeliest are a bound that k vectors reach
-                likely = left[np.argpartition(-most[left], k - 1)[:k]]
-                least = max(least, int((self.x[likely] @ query).min()))
-            left = left[most[left] >= least]
-        score = self.x[left] @ query
-        keep = score >= least
-        score, ids = score[keep], self.ids[left[keep]]
-        order2 = np.lexsort((ids, -score))[:k]
-        return score[order2], ids[order2], int(seen[done - 1]) if done else 0
+        i, j = np.nonzero(left)
+        exact = np.concatenate([np.einsum("ij,ij->i", queries[i[at : at + 32768]], self.x[j[at : at + 32768]]) for at in range(0, len(i), 32768)] or [np.zeros(0, np.int64)])
+        keep = exact >= least[i]
+        i, exact, ids = i[keep], exact[keep], self.ids[j[keep]]
+        order = np.lexsort((ids, -exact, i))
+        i, exact, ids = i[order], exact[order], ids[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        return i[rank < k], exact[rank < k], ids[rank < k], read
 
 
 def impact_index(vectors: DataFrame, blocks: int) -> DataFrame:
-    """(block, dim, ids, x, slots, starts, dims), a row for the vectors (vec_id, x array<long>) of one dimension in each of
+    """(block, dim, ids, x, postings, cuts), a row for the vectors (vec_id, x array<long>) of one dimension in each of
     `blocks` equal parts: their ids, values, and segments() as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +121,11 @@ def impact_index(vectors: DataFrame, blocks: int) -> DataFrame:
                 held.setdefault(dim, []).append((ids, x))
         for dim, parts in held.items():
             ids, x = (np.concatenate(c) for c in zip(*parts, strict=True))
-            slots, starts, dims = segments(x)
-            row = [block, dim, ids.astype("<i8").tobytes(), _packed(x), _packed(slots), starts.astype("<i8").tobytes(), dims.astype("<i4").tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], ["block", "dim", "ids", "x", "slots", "starts", "dims"])
+            postings, cuts = segments(x)
+            row = [block, dim, ids.astype("<i8").tobytes(), _packed(x), _packed(postings), cuts.astype("<i8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["block", "dim", "ids", "x", "postings", "cuts"])
 
-    return vectors.repartition(blocks).mapInArrow(run, "block int, dim int, ids binary, x binary, slots binary, starts binary, dims binary")
+    return vectors.repartition(blocks).mapInArrow(run, "block int, dim int, ids binary, x binary, postings binary, cuts binary")
 
 
 def _by_dimension(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -163,9 +174,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
             least = np.full(len(ids), LOWEST, np.int64)
             if len(known) > k:
                 names, y = np.array([i for i, _ in known], np.int64), np.array([v for _, v in known], np.int64)
-                for i in range(len(ids)):
-                    score = np.sort((y @ x[i])[names != ids[i]])
-                    least[i] = score[-k] if len(score) >= k else LOWEST
+                score = x @ y.T
+                score[ids[:, None] == names] = LOWEST
+                least = np.sort(score, axis=1)[:, -k]
             row = [part, dim, ids.astype("<i8").tobytes(), _packed(x), least.astype("<i8").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["part", "dim2", "asked", "q", "least"])
 
@@ -175,19 +186,19 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, 2 * groups * blocks))
     left = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("pair", pair("group", "block", "dim")).repartition(tasks, "pair")
     right = materialise(queries, "asked").withColumn("block2", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("pair2", pair("part", "block2", "dim2")).repartition(tasks, "pair2")
-    met = left.join(right, F.col("pair") == F.col("pair2")).select("group", "dim", "ids", "x", "slots", "starts", "dims", "asked", "q", "least")
+    met = left.join(right, F.col("pair") == F.col("pair2")).select("group", "dim", "ids", "x", "postings", "cuts", "asked", "q", "least")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 1):
             if not b.num_rows:
                 continue
-            part, dim, ids, x, slots, starts, dims, asked, q, least = (c[0].as_py() for c in b.columns)
-            block = Block(np.frombuffer(ids, "<i8"), _unpacked(x, dim), _unpacked(slots, 1)[:, 0], np.frombuffer(starts, "<i8"), np.frombuffer(dims, "<i4"))
+            part, dim, ids, x, postings, cuts, asked, q, least = (c[0].as_py() for c in b.columns)
+            block = Block(np.frombuffer(ids, "<i8"), _unpacked(x, dim), _unpacked(postings, 1)[:, 0], np.frombuffer(cuts, "<i8"))
             asked, q, least = np.frombuffer(asked, "<i8"), _unpacked(q, dim), np.frombuffer(least, "<i8")
-            found = [block.best(q[i], int(asked[i]), k, int(least[i]))[:2] for i in range(len(asked))]
-            size = [len(s) for s, _ in found]
-            place = np.repeat(np.arange(len(asked)), size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), part), pa.int32()), pa.array(np.full(len(place), dim), pa.int32()), pa.array(place, pa.int32()), pa.array(asked[place], pa.int64()), pa.array(np.concatenate([d for _, d in found]), pa.int64()), pa.array(np.concatenate([s for s, _ in found]), pa.int64())], ["part", "dim", "place", "query_id", "vec_id", "score"])
+            for at in range(0, len(asked), 128):
+                place, score, vec, _ = block.best(q[at : at + 128], asked[at : at + 128], k, least[at : at + 128])
+                place = place + at
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), part), pa.int32()), pa.array(np.full(len(place), dim), pa.int32()), pa.array(place, pa.int32()), pa.array(asked[place], pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], ["part", "dim", "place", "query_id", "vec_id", "score"])
 
     found = met.mapInArrow(search, "part int, dim int, place int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("part", "dim", "place").orderBy(F.desc("score"), F.asc("vec_id")))
