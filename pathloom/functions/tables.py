@@ -8,9 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, or else one in the warehouse: both are seen by driver and executors."""
+    """The folder named by spark.checkpoint.dir, or else one in the warehouse: both are seen by driver and executors.
+
+    Raises on a cluster if neither is set: the warehouse's default is a folder of each machine's own.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pathloom-tables"
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and not spark.sparkContext.getConf().contains("spark.sql.warehouse.dir"):
+        raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that all machines share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pathloom-tables"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -25,9 +32,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing reads any more, as between the rounds of a loop."""
     if path := getattr(df, "_pathloom_path", None):
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete_path(df.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def global_lead(df: DataFrame, order: list[str], value: str, bucket: Column, name: str) -> DataFrame:

@@ -161,12 +161,14 @@ def sssp(edges: DataFrame, sources: DataFrame, kernel_edges: int = KERNEL_EDGES)
     """(source, v, dist) of every vertex reachable from each row of sources (source).
 
     A graph of bounded size goes to all executors once and sources are dealt over tasks; a larger one is relaxed by
-    joins.  Both give the same rows.
+    joins, bucket by bucket (operators.labels).  Both give the same rows.
     """
+    from pathloom.operators.labels import delta_stepping
+
     csr = csr_of(edges, kernel_edges)
     src = sources.select(F.col("source").cast("long").alias("source")).where("source is not null").distinct()
     if csr is None:
-        return relax(src.select("source", F.col("source").alias("v"), F.lit(0).cast("long").alias("dist")), edges, ["source"])
+        return delta_stepping(edges, src)
     g = edges.sparkSession.sparkContext.broadcast(csr)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
