@@ -71,3 +71,16 @@ def global_sum(df: DataFrame, order: list[str], value: Column, bucket: Column, n
     offsets = sums.select(F.col("_b").alias("_b2"), (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_o"))
     within = F.sum("_x").over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return b.withColumn("_r", within).join(offsets, F.col("_b") == F.col("_b2")).withColumn(name, (F.col("_r") + F.col("_o")).cast("long")).drop("_b", "_b2", "_x", "_r", "_o")
+
+
+def range_sum(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """The running sum of a value up to and with each row of a global order of any columns.
+
+    Rows are dealt by ranges of the order, which Spark samples, so equal first columns are split by the next ones; each range
+    is summed apart and moved up by the sums of the ranges before it, of which there are as many as partitions.
+    """
+    b = materialise(df.withColumn("_x", value).repartitionByRange(*order).withColumn("_b", F.spark_partition_id()), "ranges")
+    sums = b.groupBy("_b").agg(F.sum("_x").alias("_n"))
+    offsets = sums.select(F.col("_b").alias("_b2"), F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    within = F.sum("_x").over(Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return b.withColumn("_r", within).join(F.broadcast(offsets), F.col("_b") == F.col("_b2")).withColumn(name, F.col("_r") + F.col("_o")).drop("_b", "_b2", "_x", "_r", "_o")

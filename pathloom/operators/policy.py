@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pathloom.functions import scalar as fn
-from pathloom.functions.tables import global_rank, global_sum
+from pathloom.functions.tables import global_rank, global_sum, materialise, range_sum
 from pathloom.operators.trace import effective
 
 
@@ -71,6 +72,79 @@ def lru(acc: DataFrame, cap: int, slice_ops: int = 1 << 16) -> DataFrame:
     return a.join(held, F.col("part") == F.col("part2")).drop("part2").groupBy("part").applyInPandas(walk, "q long, source long, hit long, victim long")
 
 
+def previous(acc: DataFrame, bits: int = 16) -> DataFrame:
+    """(q, source, prev): the source's access before, null at its first; a source is looked at in ranges of 2^bits accesses."""
+    a = acc.select("q", "source", F.shiftright("q", bits).alias("part"))
+    tops = a.groupBy("source", "part").agg(F.max("q").alias("top"))
+    before = F.max("top").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select(F.col("source").alias("s2"), F.col("part").alias("p2"), before.alias("before"))
+    near = F.lag("q").over(Window.partitionBy("source", "part").orderBy("q"))
+    j = a.withColumn("near", near).join(tops, F.col("source").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("p2")))
+    return j.select("q", "source", F.coalesce("near", "before").alias("prev"))
+
+
+def later_and_less(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each point the number of points of smaller x and larger y, by merging ever longer runs; no y occurs twice."""
+    order = np.lexsort((y, x))
+    n, rank = len(order), np.empty(len(order), np.int64)
+    rank[np.argsort(-y[order], kind="stable")] = np.arange(len(order))  # of y, the largest first
+    at, found, width = np.arange(n), np.zeros(n, np.int64), 1
+    while width < n:
+        by = np.lexsort((rank, at // (2 * width)))
+        left = (at[by] // width) % 2 == 0
+        met = np.cumsum(left)
+        run = at[by] // (2 * width)
+        start = np.searchsorted(run, run)  # what was met before the run is no business of its points
+        met = met - np.where(start > 0, met[start - 1], 0)
+        found[by[~left]] += met[~left]
+        width *= 2
+    out = np.empty(n, np.int64)
+    out[order] = found
+    return out
+
+
+def stack_distances(acc: DataFrame, block: int | None = None) -> DataFrame:
+    """(q, source, distance): the different sources accessed since the source's last access, null at its first; q counts from 1.
+
+    An access finds its source in a least-recently-used cache of every capacity above its distance, so one pass tells the
+    hits of all.  Between an access i and the one before, p, lie i - p - 1 accesses, less those j whose own last access
+    comes after p: they repeat a source.  These are the points (j, prev j) earlier and higher than (i, p).  Time and value are
+    cut into blocks: pairs in different blocks of both are sums over a grid, pairs in one block of time or one of value are
+    counted in that block, which holds at most `block` points, as no access is the last one of two.
+    """
+    a = materialise(previous(acc), "accesses")
+    n = a.agg(F.max("q")).first()[0] or 0
+    b = block or max(4096, int(4 * n**0.5))
+    last = n // b
+    p = a.where("prev is not null").select("q", "prev", F.floor(F.col("q") / b).cast("int").alias("t"), F.floor(F.col("prev") / b).cast("int").alias("u"))
+    cells = p.groupBy("t", "u").agg(F.count(F.lit(1)).alias("c"))
+    grid = acc.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.col("id").cast("int"))).alias("u")).join(cells, ["t", "u"], "left")
+    higher = F.coalesce(F.sum(F.coalesce("c", F.lit(0))).over(Window.partitionBy("t").orderBy(F.desc("u")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = F.coalesce(F.sum("higher").over(Window.partitionBy("u").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grid = grid.select("t", "u", higher.alias("higher")).select(F.col("t").alias("t2"), F.col("u").alias("u2"), earlier.alias("far"))
+
+    def count(by: str):
+        def run(f: pd.DataFrame) -> pd.DataFrame:
+            x = f["q" if by == "t" else "t"].to_numpy()
+            return pd.DataFrame({"q": f["q"], "n": later_and_less(x, f["prev"].to_numpy())})
+
+        return p.groupBy(by).applyInPandas(run, "q long, n long")
+
+    far = p.join(grid, (F.col("t") == F.col("t2")) & (F.col("u") == F.col("u2"))).select("q", F.col("far").alias("n"))
+    repeats = far.unionByName(count("t")).unionByName(count("u")).groupBy(F.col("q").alias("q2")).agg(F.sum("n").alias("n"))
+    j = a.join(repeats, F.col("q") == F.col("q2"), "left")
+    return j.select("q", "source", (F.col("q") - F.col("prev") - 1 - F.col("n")).alias("distance"))
+
+
+def hits_by_capacity(distances: DataFrame, most: int = 64) -> DataFrame:
+    """(capacity, hits, misses) of least-recently-used caches of 1 to `most` sources."""
+    n = distances.agg(F.count(F.lit(1)).alias("n"))
+    d = distances.where(F.col("distance") < most).groupBy("distance").agg(F.count(F.lit(1)).alias("c"))  # fewer rows than `most`
+    caps = distances.sparkSession.range(1, most + 1).withColumnRenamed("id", "capacity").join(F.broadcast(d), F.col("distance") < F.col("capacity"), "left")
+    hits = F.coalesce(F.sum("c"), F.lit(0))
+    return caps.groupBy("capacity").agg(hits.alias("hits")).join(F.broadcast(n)).select("capacity", "hits", (F.col("n") - F.col("hits")).alias("misses"))
+
+
 def probation(acc: DataFrame, limit: int = 4) -> DataFrame:
     """(q, source, seen, promotes): the count of a source's queries, starting anew after every promotion at `limit`."""
     k = F.row_number().over(Window.partitionBy("source").orderBy("q"))
@@ -106,6 +180,21 @@ def eviction_plan(scored: DataFrame, each: int, budget: int, need: int) -> DataF
     return ranked.select("source", "score", (F.col("_rank") < go).cast("long").alias("victim"))
 
 
+def eviction_by_bytes(residents: DataFrame, budget: int, need: int, cap: int | None = None) -> DataFrame:
+    """(source, score, bytes, victim): residents (source, score, bytes) of sizes of their own, of which the lowest scores go, ties to the
+    smaller source, until `need` more bytes fit the budget and the newcomer the `cap`.  If not even all of them make room, none goes.
+    """
+    total, count = residents.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    surplus, over = total + need - budget, 0 if cap is None else count + 1 - cap
+    if need > budget or (cap is not None and cap < 1) or (surplus <= 0 and over <= 0):
+        return residents.select("source", "score", "bytes", F.lit(0).cast("long").alias("victim"))
+    order = [F.asc("score"), F.asc("source")]
+    r = range_sum(residents.select("source", "score", "bytes"), order, F.struct("bytes")["bytes"], "freed")
+    r = range_sum(r, order, F.lit(1), "place") if over > 0 else r.withColumn("place", F.lit(1))
+    goes = (F.col("freed") - F.col("bytes") < surplus) | (F.col("place") <= over)
+    return r.select("source", "score", "bytes", goes.cast("long").alias("victim"))
+
+
 def ewma_gaps(acc: DataFrame, alpha: float = 0.25) -> DataFrame:
     """(source, ewma): the smoothed reuse gap of each source queried twice or more."""
     g = reuse_gaps(acc).where("gap is not null").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("q", "gap"))).alias("xs"))

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.functions.scalar import INF
-from pathloom.functions.tables import global_sum
-from pathloom.operators.relax import KERNEL_EDGES, csr_of, relax
+from pathloom.functions.tables import global_sum, materialise
+from pathloom.operators.history import interval_labels, stabbed
+from pathloom.operators.relax import KERNEL_EDGES, csr_of
 
 
 def line_of() -> Column:
@@ -95,8 +96,8 @@ def replay(edges: DataFrame, trace: DataFrame, kernel_edges: int = KERNEL_EDGES,
 
     A graph of bounded size goes to all executors once and the log is cut into ranges of `slice_ops` operations, which are
     answered apart: a range starts from the weights as of its first operation (the last update of an edge in the ranges
-    before, at most one row an edge and range) and walks its own operations.  A larger graph is relaxed for all (epoch,
-    source) pairs in one loop.
+    before, at most one row an edge and range) and walks its own operations.  Of a larger graph the distances of all asked
+    sources are found as intervals of epochs in one loop (operators.history).
     """
     csr = csr_of(edges, kernel_edges)
     if csr is None:
@@ -126,12 +127,13 @@ def replay(edges: DataFrame, trace: DataFrame, kernel_edges: int = KERNEL_EDGES,
 
 
 def _replay_relational(edges: DataFrame, trace: DataFrame) -> DataFrame:
-    q = epochs(trace).where("kind = 'QUERY'").select("op_seq", "source", "target", "epoch")
-    seeds = q.select("epoch", "source").distinct().select("epoch", "source", F.col("source").alias("v"), F.lit(0).cast("long").alias("dist"))
-    valid = (F.col("_e_valid_from") <= F.col("epoch")) & (F.col("epoch") < F.col("_e_valid_to"))
-    d = relax(seeds, edge_versions(edges, trace), ["epoch", "source"], valid=valid).select(F.col("epoch").alias("ep"), F.col("source").alias("s"), "v", "dist")
-    a = q.join(d, (F.col("epoch") == F.col("ep")) & (F.col("source") == F.col("s")) & (F.col("target") == F.col("v")), "left")
-    return a.select("op_seq", "source", "target", F.when(F.col("source") == F.col("target"), 0).otherwise(F.coalesce("dist", F.lit(INF))).cast("long").alias("answer"))
+    """All distances that sources have while they are asked, as intervals of epochs; queries look theirs up as of their epoch."""
+    q = epochs(trace).where("kind = 'QUERY'").select("op_seq", "source", F.col("target").alias("v"), "epoch")
+    q = materialise(q, "queries")
+    seeds = q.where("source is not null").groupBy("source").agg(F.min("epoch").alias("valid_from"), (F.max("epoch") + 1).alias("valid_to"))
+    a = stabbed(q, interval_labels(edge_versions(edges, trace), seeds))
+    dist = F.when(F.col("source") == F.col("v"), 0).otherwise(F.coalesce("dist", F.lit(INF))).cast("long")
+    return a.select("op_seq", "source", F.col("v").alias("target"), dist.alias("answer"))
 
 
 def mismatches(answers: DataFrame, oracle: DataFrame) -> DataFrame:

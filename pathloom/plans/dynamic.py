@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pathloom.functions import scalar as fn
 from pathloom.functions.tables import materialise
-from pathloom.operators import labels as lb, relax as rx, repair as rp, trace as tr, tree as tt
-from pathloom.plans.catalog import FLOW, OPS, TREE, VERSIONS, _dist, _log, _one, _sp, register
+from pathloom.operators import history as hs, labels as lb, policy, relax as rx, repair as rp, trace as tr, tree as tt
+from pathloom.plans.catalog import ACC, FLOW, OPS, REPLAY, SCORES, TREE, VERSIONS, _acc, _dist, _log, _one, _scored, _sp, register
 from pathloom.sources import views
 
 # ---- weights of zero -----------------------------------------------------------------------------------------------
@@ -87,3 +88,49 @@ def batch_repair_parents(spark, d):
     after, changed = rp.repair_batch(old, dist, tree, changes)
     diff = rp.reparent(rp.with_weights(old, changes), after, tree, changed, changes)
     return rp.updated_tree(tree, materialise(diff, "reparented")).select("source", "v", "parent_edge", "parent")
+
+
+# ---- histories -----------------------------------------------------------------------------------------------------
+@register("asof_out_weights", f"WITH {OPS}, {VERSIONS} SELECT op_seq, ep.source, count(*) AS edges, sum(v.weight)::BIGINT AS total, min(v.weight) AS least FROM ep JOIN versions v ON v.src = ep.source AND v.valid_from <= epoch AND epoch < v.valid_to WHERE kind = 'QUERY' GROUP BY 1, 2")
+def asof_out_weights(spark, d):
+    """The weights of all edges out of a query's source as of its place in the log."""
+    g, t = _log(spark, d)
+    asked = tr.epochs(t).where("kind = 'QUERY'").select("op_seq", F.col("source").alias("s"), "epoch")
+    probes = asked.join(g.select("edge_id", "src"), F.col("s") == F.col("src")).select("edge_id", "epoch", "op_seq", F.col("s").alias("source"))
+    got = hs.asof(probes, tr.edge_versions(g, t), ["edge_id"], "epoch", "valid_from", ["weight"])
+    return got.groupBy("op_seq", "source").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("total"), F.min("weight").alias("least"))
+
+
+@register("trace_replay_intervals", f"{REPLAY} SELECT op_seq, source, target, answer FROM answers")
+def trace_replay_intervals(spark, d):
+    """The answers of the log by interval labels, as for graphs beyond the kernel's size."""
+    return tr.replay(*_log(spark, d), kernel_edges=0)
+
+
+# ---- caches of every capacity, residents of every size -------------------------------------------------------------
+DISTANCE = f"{ACC}, pv AS (SELECT q, source, lag(q) OVER (PARTITION BY source ORDER BY q) AS prev FROM acc), sd AS (SELECT i.q, i.source, CASE WHEN i.prev IS NOT NULL THEN count(j.q) END AS distance FROM pv i LEFT JOIN pv j ON j.q > i.prev AND j.q < i.q AND coalesce(j.prev, 0) < i.prev GROUP BY i.q, i.source, i.prev)"
+
+
+@register("stack_distances", f"WITH {DISTANCE} SELECT q, source, distance FROM sd")
+def stack_distances(spark, d):
+    return policy.stack_distances(_acc(spark, d))
+
+
+@register("hits_by_capacity", f"WITH {DISTANCE} SELECT capacity, count(*) FILTER (distance < capacity) AS hits, count(*) FILTER (distance IS NULL OR distance >= capacity) AS misses FROM sd, range(1, 65) c(capacity) GROUP BY 1")
+def hits_by_capacity(spark, d):
+    """Hits of least-recently-used caches of 1 to 64 sources, from one pass."""
+    return policy.hits_by_capacity(materialise(policy.stack_distances(_acc(spark, d)), "distances"))
+
+
+SIZED = f"light AS (SELECT * FROM flow WHERE weight <= 2), {_sp('SELECT source AS s FROM scored', 'light')}, sized AS (SELECT source, score, 8 + 44 * count(*) + 100 AS bytes FROM scored JOIN sp ON s = source GROUP BY ALL), need AS (SELECT sum(bytes) // 2 AS budget, max(bytes) AS need, sum(bytes) AS total FROM sized)"
+
+
+@register("eviction_by_bytes", f"WITH RECURSIVE {SCORES}, {SIZED}, run AS (SELECT source, score, bytes, sum(bytes) OVER (ORDER BY score, source) - bytes AS before FROM sized) SELECT source, score, bytes::BIGINT AS bytes, CASE WHEN before < total + need - budget THEN 1 ELSE 0 END::BIGINT AS victim FROM run, need")
+def eviction_by_bytes(spark, d):
+    """Residents as large as what they reach over light edges; half of their bytes is the budget, the largest is to come in."""
+    scored = materialise(_scored(spark, d), "scored")
+    g = views.flow(spark, d).where("weight <= 2")
+    reach = rx.sssp(g, scored.select("source")).groupBy(F.col("source").alias("s2")).agg(F.count(F.lit(1)).alias("reached"))
+    sized = materialise(scored.join(reach, F.col("source") == F.col("s2")).select("source", "score", (fn.state_bytes(F.col("reached")) + fn.ADAPTIVE_ENTRY).alias("bytes")), "sized")
+    total, need = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+    return policy.eviction_by_bytes(sized, total // 2, need)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathloom.functions.scalar import clamp_weight
+from pathloom.sources.text import numbered_lines, write_lines
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, line) of a text or gzip file, n in file order: partitions and rows within them are read in order."""
-    return spark.read.text(path).withColumn("n", F.monotonically_increasing_id()).withColumnRenamed("value", "line")
+    """(n, line) of a text or gzip file, or of a folder of them, numbered in order."""
+    return numbered_lines(spark, path).withColumnRenamed("value", "line")
 
 
 def read_graph(spark: SparkSession, path: str) -> DataFrame:
@@ -45,12 +46,12 @@ def read_coordinates(spark: SparkSession, path: str, expected: int = 0) -> DataF
     return c.select((F.col("id") - 1).alias("v"), "x", "y")
 
 
-def write_graph(edges: DataFrame, n: int, path: str) -> None:
-    """A `p` line and the arcs ordered by (src, dst), in one file; ids from 1."""
+def write_graph(edges: DataFrame, n: int, path: str, parts: int | None = None) -> None:
+    """A `p` line and the arcs ordered by (src, dst), in files whose names follow the order; ids from 1."""
     m = edges.count()
     body = edges.select(F.struct("src", "dst", "edge_id").alias("k"), F.format_string("a %d %d %d", F.col("src") + 1, F.col("dst") + 1, F.col("weight")).alias("value"))
     head = edges.sparkSession.range(1).select(F.struct(F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(-1).cast("long").alias("edge_id")).alias("k"), F.lit(f"p sp {n} {m}").alias("value"))
-    head.union(body).repartition(1).sortWithinPartitions("k").select("value").write.text(path)
+    write_lines(head.union(body), ["k"], path, parts)
 
 
 def arc_counts(spark: SparkSession, path: str) -> DataFrame:
