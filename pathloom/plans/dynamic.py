@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pathloom.functions import scalar as fn
 from pathloom.functions.tables import materialise
 from pathloom.operators import history as hs, labels as lb, policy, relax as rx, repair as rp, trace as tr, tree as tt
-from pathloom.plans.catalog import ACC, FLOW, OPS, REPLAY, SCORES, TREE, VERSIONS, _acc, _dist, _log, _one, _scored, _sp, register
+from pathloom.plans.catalog import ACC, FLOW, LRU, OPS, REPLAY, SCORES, TREE, VERSIONS, _acc, _dist, _home, _log, _one, _scored, _sp, register
 from pathloom.sources import views
+from pathloom.streaming import counters as ct
 
 # ---- weights of zero -----------------------------------------------------------------------------------------------
 THIN = f"{FLOW}, thin AS (SELECT edge_id, src, dst, weight % 4 AS weight FROM flow)"
@@ -134,3 +135,17 @@ def eviction_by_bytes(spark, d):
     sized = materialise(scored.join(reach, F.col("source") == F.col("s2")).select("source", "score", (fn.state_bytes(F.col("reached")) + fn.ADAPTIVE_ENTRY).alias("bytes")), "sized")
     total, need = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
     return policy.eviction_by_bytes(sized, total // 2, need)
+
+
+# ---- counters of the query clock -----------------------------------------------------------------------------------
+@register("streamed_counters", f"WITH RECURSIVE {ACC}, {LRU}, k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY q) AS k FROM acc) SELECT k.q, k.source, (k - 1) % 4 + 1 AS seen, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS promotes, CASE WHEN EXISTS (SELECT 1 FROM lru b WHERE b.victim = k.source AND k.q >= b.q AND k.q < b.q + 32) THEN 1 ELSE 0 END::BIGINT AS blocked FROM k")
+def streamed_counters(spark, d):
+    """Probation and cooldown of a streamed log: accesses and the evictions of a cache of four, in two files, with a restart between."""
+    home = _home(spark)
+    c = materialise(policy.lru(_acc(spark, d), 4), "lru")
+    events = c.select("q", "source", F.lit(False).alias("evicted")).unionByName(c.where("victim is not null").select("q", F.col("victim").alias("source"), F.lit(True).alias("evicted")))
+    half = (c.agg(F.max("q")).first()[0] or 0) // 2
+    for part in (events.where(F.col("q") <= half), events.where(F.col("q") > half)):
+        part.repartition(1).write.mode("append").parquet(f"{home}/in")
+        ct.run_counters(spark, f"{home}/in", f"{home}/out", f"{home}/state")
+    return spark.read.schema("q long, source long, seen long, promotes long, blocked long").parquet(f"{home}/out")
