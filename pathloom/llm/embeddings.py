@@ -27,18 +27,16 @@ def block_edges(dim: int, blocks: int) -> list[tuple[int, int]]:
 
 
 def layout(dim: int, bits: float, budget: float) -> tuple[int, int]:
-    """(blocks, gridded dimensions of each) with the fewest copies of a vector that split a label's points by `bits` bits.
+    """(blocks, gridded dimensions of each) with the fewest copies of a point that split a label's points by `bits` bits.
 
     With b blocks the reach is sqrt(budget / b), cells are two reaches wide, a point is sent to two cells a dimension, and
-    a dimension tells a spread of 1 / sqrt(dim) apart by the entropy of a normal variable in such cells.  A label that fits
-    a task needs no bits: one block, one cell, no copies.
+    a dimension tells a spread of 1 / sqrt(dim) apart by the entropy of a normal variable in such cells.  There are at least four
+    blocks (as many as dimensions, if these are fewer) and one gridded dimension, however few the points.
     """
-    if bits <= 0:
-        return 1, 0
     best = None
-    for blocks in (b for b in (1, 2, 4, 8, 16, 32) if b <= dim):
+    for blocks in [b for b in (4, 8, 16, 32) if b <= dim] or [dim]:
         told = max(0.05, math.log2(max(1.0, 4.13 / math.sqrt(dim) / (2 * math.sqrt(budget / blocks)))))
-        grid = min(math.ceil(bits / told), dim // blocks)
+        grid = max(1, min(math.ceil(bits / told), dim // blocks))
         short = max(0.0, bits - grid * told)  # a grid too coarse leaves pairs of chunks, which copy too
         cost = math.log2(blocks) + grid + short
         if best is None or cost < best[0]:
@@ -57,23 +55,33 @@ def _unpacked(rows: list[bytes], dim: int) -> np.ndarray:
     return np.array([np.frombuffer(r, "<f4" if len(r) == 4 * dim else "<f8") for r in rows], np.float64).reshape(-1, dim)
 
 
+def _chunked(rows: DataFrame, tile: int) -> DataFrame:
+    """rows of cells that hold two or more, dealt by label, cell and pair of chunks (i, j): a cell of over two tiles is cut into chunks that
+    meet in pairs, so no task holds more than two chunks and no pair is lost."""
+    sizes = rows.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("label").alias("l2"), F.col("cell").alias("cell2"), F.ceil(F.col("c") / (2 * tile)).cast("int").alias("c"))
+    met = rows.join(sizes, (F.col("label") == F.col("l2")) & (F.col("cell") == F.col("cell2"))).drop("l2", "cell2")
+    met = met.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("c", "other")
+
+
 def link_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """vectors: (rep long, label, v array<double>, n long), distinct finite non-zero vectors -> (counts, edges).
+    """vectors: (uid long, rep long, label, v array<double>, n long), distinct finite non-zero vectors -> (counts, edges).
 
     For unit vectors a cosine of `threshold` is a squared distance of at most 2 - 2 * threshold, and some block of the
     rotated vectors takes at most its proportional share (dimensions / all dimensions) of it.  So each block is
     range-joined on its own: points fall into grid cells of that block's first dimensions and are also sent to the
-    neighbouring cells within reach.  A cell compares its points in the block, verifies those within budget by the cosine
-    of the stored vectors in double precision, and counts a pair only in the first block that has it within budget and in
-    the cell at home to its smaller id: exactly once.  It returns sums of links per vector and a spanning forest, never
+    neighbouring cells within reach, with the block's coordinates only.  Points that have a partner within a block's share in a cell get their
+    vectors, which few do, and meet again in that cell: there pairs are verified by the cosine
+    of the stored vectors in double precision, and a pair counts only in the first block that has it within budget and in
+    the cell at home to its smaller id: exactly once.  What returns are sums of links per vector and a spanning forest, never
     pairs.
 
     Blocks and gridded dimensions follow the size of the largest label (see layout()), so that cells hold about two tiles;
-    a cell with more is cut into chunks that meet in pairs, so no task holds more than two chunks and no pair is lost.
+    larger ones are cut (see _chunked()).
     """
     budget = 2 - 2 * threshold + 1e-9
     biggest = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1
-    bits = math.log2(biggest / (2 * tile))
+    bits = max(0.0, math.log2(biggest / (2 * tile)))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
@@ -82,7 +90,6 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 4096)
                 # a power of two per vector keeps squares in range and changes no digit
                 x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
                 y = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(dim)
-                sent = np.array(_packed(x), object)
                 blocks, grid = layout(dim, bits, budget)
                 for k, (a, b) in enumerate(block_edges(dim, blocks)):
                     reach = math.sqrt(budget * (b - a) / dim) * (1 + 1e-9)
@@ -92,20 +99,41 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.98, tile: int = 4096)
                     low = (z - home) * 2 * reach
                     side = np.where(low < reach, -1, 1)
                     gap = np.minimum(low, 2 * reach - low) ** 2
+                    sent = np.array([r.tobytes() for r in y[:, a:b].astype("<f4")], object)
                     for m in range(1 << use):
                         pick = np.array([m >> i & 1 for i in range(use)], bool)
                         near = np.flatnonzero(gap[:, pick].sum(axis=1) <= reach * reach)
                         if near.size:
                             cell = home[near] + side[near] * pick
-                            yield pd.DataFrame({"rep": g["rep"].to_numpy()[near], "label": g["label"].to_numpy()[near], "cell": [f"{dim}:{k}:" + ",".join(map(str, c)) for c in cell.astype(int).tolist()], "home": m == 0, "v": sent[near], "n": g["n"].to_numpy()[near]})
+                            yield pd.DataFrame({"uid": g["uid"].to_numpy()[near], "label": g["label"].to_numpy()[near], "cell": [f"{dim}:{k}:" + ",".join(map(str, c)) for c in cell.astype(int).tolist()], "home": m == 0, "z": sent[near]})
 
     label = vectors.schema["label"].dataType.simpleString()
-    dealt = vectors.mapInPandas(deal, f"rep long, label {label}, cell string, home boolean, v binary, n long")
-    sizes = dealt.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("label").alias("l2"), F.col("cell").alias("cell2"), F.ceil(F.col("c") / (2 * tile)).cast("int").alias("c"))
-    met = dealt.join(sizes, (F.col("label") == F.col("l2")) & (F.col("cell") == F.col("cell2"))).drop("l2", "cell2")
-    own = F.pmod(F.xxhash64("rep"), F.col("c")).cast("int")
-    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    met = met.select("label", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "home", "rep", "n", "v")
+    points = vectors.select("uid", "label", "v").mapInPandas(deal, f"uid long, label {label}, cell string, home boolean, z binary")
+
+    def partners(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        """The points of a cell that have another within the block's share, or beyond it by what single precision may be off."""
+        dim, k, _ = key[1].split(":")
+        a, b = block_edges(int(dim), layout(int(dim), bits, budget)[0])[int(k)]
+        y = np.array([np.frombuffer(z, "<f4") for z in f["z"]], np.float64).reshape(len(f), b - a)
+        sq, hit = (y**2).sum(axis=1), np.zeros(len(f), bool)
+        most = budget * (b - a) / int(dim) * (1 + 1e-4) + 1e-5
+        for s in range(0, len(f), 512):
+            near = sq[s : s + 512, None] + sq[None, :] - 2 * y[s : s + 512] @ y.T <= most
+            hit[s : s + 512] |= near.sum(axis=1) > 1  # itself is one
+        return f.loc[hit, ["uid", "label", "cell", "home"]]
+
+    near = _chunked(points, tile).groupBy("label", "cell", "i", "j").applyInPandas(partners, f"uid long, label {label}, cell string, home boolean").distinct()
+    stored = vectors.select(F.col("uid").alias("uid2"), "rep", "n", F.col("v").alias("stored"))
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            x = [np.asarray(v, np.float64) for v in f["stored"]]
+            x = [np.ldexp(v, -np.frexp(np.abs(v).max())[1]) for v in x]
+            yield f.drop(columns="stored").assign(v=[_packed(v[None, :])[0] for v in x])
+
+    dealt = near.join(stored, F.col("uid") == F.col("uid2")).select("uid", "rep", "label", "cell", "home", "stored", "n")
+    dealt = materialise(dealt.mapInPandas(packed, f"uid long, rep long, label {label}, cell string, home boolean, n long, v binary"), "near-vectors")
+    met = _chunked(dealt, tile)
 
     def meet(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("rep", ignore_index=True)
@@ -173,7 +201,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     fine = "vec_id is not null and label is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
     v = v.withColumn("fine", F.coalesce(F.expr(fine), F.lit(False)))
     groups = v.where("fine").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    reps = materialise(groups, "vectors")
+    reps = materialise(groups.withColumn("uid", F.monotonically_increasing_id()), "vectors")
     links, edges = link_vectors(reps, threshold)
     parts = connected_components(edges)
     named = reps.join(parts, F.col("rep") == F.col("node"), "left").join(links.withColumnRenamed("rep", "r2"), F.col("rep") == F.col("r2"), "left")

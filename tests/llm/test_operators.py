@@ -33,7 +33,7 @@ def test_small_tiles_lose_no_link(spark):
     want = brute.components(range(len(rows)), [(i, j) for f, i in rows for g, j in rows if i < j and ((f ^ g) & (1 << 64) - 1).bit_count() <= 3])
     assert {i: got.get(i, i) for _, i in rows} == want
     v = [(i, x, l) for i, x, l in _vectors() if l is not None and x and len(x) == 16 and all(y is not None and math.isfinite(y) for y in x) and any(x)]
-    reps = spark.createDataFrame([(i, l, list(map(float, x)), 1) for i, x, l in v if i not in (201,)], "rep long, label int, v array<double>, n long")
+    reps = spark.createDataFrame([(i, i, l, list(map(float, x)), 1) for i, x, l in v if i not in (201,)], "uid long, rep long, label int, v array<double>, n long")
     n, edges = embeddings.link_vectors(reps, tile=3)
     want = brute.vectors([x for x in v if x[0] != 201])
     assert {x.rep: x.links for x in n.collect()} == {i: w[0] for i, w in want.items() if w[0]}
@@ -328,3 +328,10 @@ def test_hot_keys_join_as_others(spark):
     got = common.hot_join(rows, named, F.col("k") == F.col("k2"), 3000)
     want = rows.join(named.drop("n"), F.col("k") == F.col("k2"), "left")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+@pytest.mark.parametrize("size", [2, 59, 8192, 10**6, 10**7])
+def test_vectors_always_meet_in_blocks_and_cells(size):
+    blocks, grid = embeddings.layout(64, max(0.0, math.log2(size / 8192)), 0.04)
+    assert blocks >= 4 and grid >= 1
+    assert embeddings.layout(3, 0.0, 0.04) == (3, 1) and embeddings.layout(1, 0.0, 0.04) == (1, 1)
