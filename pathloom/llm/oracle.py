@@ -26,12 +26,13 @@ SELECT h.page_id, h.host, h.path, m.key AS rule, coalesce(m.verdict, 'allow') AS
 OP7 = """WITH RECURSIVE s AS (SELECT source, count(*) AS c, round(pow(count(*)::DOUBLE, 0.7), 6) AS weight FROM documents GROUP BY 1),
 v AS (SELECT source, c, greatest(1, round(weight / max(weight) OVER () * 1073741824)::BIGINT) AS w FROM s),
 x AS (SELECT source, c, w, (sum(w) OVER ())::BIGINT AS total FROM v),
-z AS (SELECT greatest(32, ceil(max(c * (total::DOUBLE / w)) / 16384)::BIGINT) AS block, max(c * (total::DOUBLE / w)) AS far, count(*) AS n FROM x),
-q AS (SELECT list(source ORDER BY source NULLS FIRST) AS src, list(w ORDER BY source NULLS FIRST) AS w, any_value(total) AS total, list((c + block - 1) // block ORDER BY source NULLS FIRST) AS blocks, any_value(ceil(far / block)::BIGINT + n) AS horizon FROM x, z),
-e(t, k, i) AS (SELECT -1::BIGINT, list_transform(w, lambda x: 0::BIGINT), 0::BIGINT FROM q
-  UNION ALL SELECT t + 1, list_transform(k, lambda x, j: x + CASE WHEN j = i THEN 1 ELSE 0 END), i FROM (SELECT t, k, CASE WHEN list_min(d) < 1000000000000 THEN list_position(d, list_min(d))::BIGINT ELSE 0 END AS i
-    FROM (SELECT t, k, list_transform(k, lambda x, j: CASE WHEN x < q.blocks[j] AND x * q.total // q.w[j] <= t + 1 THEN ((x + 1) * q.total + q.w[j] - 1) // q.w[j] ELSE 1000000000000 END) AS d FROM e, q WHERE t < q.horizon - 1))),
-plan AS (SELECT q.src[i] AS source, q.w[i] AS w, q.total, t AS slot, row_number() OVER (PARTITION BY i ORDER BY t) - 1 AS j FROM e, q WHERE i > 0),
+z AS (SELECT greatest(32, ceil(sum(c) / 524288))::BIGINT AS block FROM x),
+q AS (SELECT list(source ORDER BY source NULLS FIRST) AS src, list(w ORDER BY source NULLS FIRST) AS w, any_value(total) AS total, list((c + block - 1) // block ORDER BY source NULLS FIRST) AS blocks FROM x, z),
+e(n, t, k, i, slot) AS (SELECT -1::BIGINT, 0::BIGINT, list_transform(w, lambda x: 0::BIGINT), 0::BIGINT, -1::BIGINT FROM q
+  UNION ALL SELECT n + 1, now + 1, list_transform(k, lambda x, j: x + CASE WHEN j = i THEN 1 ELSE 0 END), i, now FROM (SELECT n, k, now, list_position(d, list_min(d))::BIGINT AS i
+    FROM (SELECT n, k, now, list_transform(k, lambda x, j: CASE WHEN x < q.blocks[j] AND x * q.total // q.w[j] <= now THEN ((x + 1) * q.total + q.w[j] - 1) // q.w[j] ELSE 4000000000000000000 END) AS d
+      FROM (SELECT n, k, greatest(t, list_min(list_transform(k, lambda x, j: CASE WHEN x < q.blocks[j] THEN x * q.total // q.w[j] ELSE 4000000000000000000 END)))::BIGINT AS now FROM e, q WHERE n + 1 < list_sum(q.blocks)) y, q))),
+plan AS (SELECT q.src[i] AS source, q.w[i] AS w, q.total, slot, row_number() OVER (PARTITION BY i ORDER BY n) - 1 AS j FROM e, q WHERE i > 0),
 d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST) - 1 AS no FROM documents)
 SELECT doc_id, d.source, no // block AS block, j * total // w AS release, ((j + 1) * total + w - 1) // w AS deadline, slot, no % block AS place
 FROM d CROSS JOIN z JOIN plan ON plan.source IS NOT DISTINCT FROM d.source AND plan.j = no // block"""

@@ -127,14 +127,14 @@ def test_mixing_stays_within_a_block_of_its_targets(spark, sources):
     rows = [(i, s) for i, s in enumerate(s for s in w for _ in range(n[s]))]
     weights = spark.createDataFrame([(s, float(x)) for s, x in w.items()] + [("none", 0.0), ("gone", None)], "source string, weight double")
     d = spark.createDataFrame([*rows, (-1, "none"), (-2, None)], "doc_id long, source string").repartition(8)
-    out = mixing.mix(d, weights, block=3, slots=6000).collect()
+    out = mixing.mix(d, weights, block=3, most=6000).collect()
     assert sorted(r.doc_id for r in out) == list(range(-2, len(rows)))
     assert all(r.slot is None for r in out if r.doc_id < 0)
     total, taken, size = sum(w.values()), {}, 1 + max(r.place for r in out)
     for r in out:
         if r.slot is not None:
             assert taken.setdefault(r.slot, (r.source, r.block, r.release, r.deadline)) == (r.source, r.block, r.release, r.deadline)
-    assert len(taken) == sum(-(-x // size) for x in n.values()) and max(taken) <= 6000 + len(w)
+    assert len(taken) == sum(-(-x // size) for x in n.values()) <= 6000 + len(w)
     done = dict.fromkeys(w, 0)
     for t in sorted(taken):
         s, block, release, deadline = taken[t]
@@ -335,3 +335,14 @@ def test_vectors_always_meet_in_blocks_and_cells(size):
     blocks, grid = embeddings.layout(64, max(0.0, math.log2(size / 8192)), 0.04)
     assert blocks >= 4 and grid >= 1
     assert embeddings.layout(3, 0.0, 0.04) == (3, 1) and embeddings.layout(1, 0.0, 0.04) == (1, 1)
+
+
+def test_a_light_source_does_not_undo_the_mix(spark):
+    rows = [(i, "abc"[i // 1000]) for i in range(3000)]
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1e-6)], "source string, weight double")
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights).collect()
+    assert max(r.place for r in out) == 31
+    slots = {r.slot: r.source for r in out}
+    assert [slots[t] for t in range(64) if slots[t] != "c"] in (["a", "b"] * 32, (["a", "b"] * 32)[:63])
+    order = [s for t, s in sorted(slots.items()) if s != "c"]
+    assert order == ["a", "b"] * 32 and len([s for s in slots.values() if s == "c"]) == 32
