@@ -162,18 +162,45 @@ def partition_masks(bits: int, size: int, tables: int, seed: int = 5) -> np.ndar
     return np.array(found[:tables])
 
 
-def wide_links(values: DataFrame, radius: int = 48, similarity: float = 0.8, recall: float = 0.9, tile: int = 2048) -> DataFrame:
+def found_share(size: int, tables: int, radius: int, similarity: float, bits: int = 64 * WORDS) -> float:
+    """The share of pairs of texts of a shingle similarity s that some mask finds and the radius admits.
+
+    Such texts share 2s / (1 + s) of their shingles, so each bit differs with probability acos(2s / (1 + s)) / pi; the sum
+    goes over all numbers of differing bits and not their mean, as few masks find the pairs that lie far out.
+    """
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return sum(math.comb(bits, d) * apart**d * (1 - apart) ** (bits - d) * (1 - (1 - math.comb(bits - size, d) / math.comb(bits, d)) ** tables) for d in range(radius + 1))
+
+
+def tables_for(size: int, radius: int, similarity: float, recall: float) -> int:
+    """The least number of masks of `size` bits that finds `recall` of the pairs at a similarity; raises if the radius admits fewer."""
+    if found_share(size, 1 << 40, radius, similarity) <= recall:
+        raise ValueError("the radius admits fewer pairs")
+    high = 1
+    while found_share(size, high, radius, similarity) < recall:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if found_share(size, mid, radius, similarity) >= recall else (mid, high)
+    return high
+
+
+def mask_size(values: int) -> int:
+    """Bits a mask keeps: two more than it takes to tell the values apart, so keys rarely meet by chance."""
+    return max(12, values.bit_length() + 1)
+
+
+def wide_links(values: DataFrame, radius: int = 51, similarity: float = 0.8, recall: float = 0.92, tile: int = 2048) -> DataFrame:
     """(a, b) links of wide fingerprints at most `radius` of 256 bits apart; values: distinct (fp binary, rep long).
 
-    Two texts of shingle similarity s share 2s / (1 + s) of their shingles, so each bit differs with probability
-    acos(2s / (1 + s)) / pi.  Masks keep one bit more than it takes to tell the values apart, and there are as many as
-    find a pair at `similarity` with probability `recall`; nearer pairs are found almost surely, and those within the
-    radius of partition_masks() always.  Keys per value grow as the 0.24th power of their number.  Only keys met twice
+    There are as many masks as find a pair at `similarity` with probability `recall` (see found_share()) at any number of
+    values; nearer pairs are found almost surely, and those within the
+    radius of partition_masks() always.  Keys per value grow as the 0.29th power of their number.  Only keys met twice
     are sent with a fingerprint.
     """
-    size = max(12, values.count().bit_length() + 1)
-    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    masks = partition_masks(64 * WORDS, size, math.ceil(math.log(1 - recall) / math.log1p(-((1 - apart) ** size))))
+    size = mask_size(values.count())
+    masks = partition_masks(64 * WORDS, size, tables_for(size, radius, similarity, recall))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(size)).astype(np.int64)
@@ -187,11 +214,11 @@ def wide_links(values: DataFrame, radius: int = 48, similarity: float = 0.8, rec
     return _bucket_links(met.select("k", "rep", "fp", "c"), radius)
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 48) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 51) -> DataFrame:
     """(id, fp, component) as simhash_components(), for texts whose shingles of five words are similar by 0.8 or more.
 
-    64 bits and radius 3 find few of these.  Of texts at similarity 0.8 a radius of 48 in 256 bits links about 95 %, at 0.7
-    half, at 0.6 one in twenty and at 0.5 none.  Nulls, wordless texts, repeats and the empty table: as there.
+    64 bits and radius 3 find few of these.  Of texts at similarity 0.8 a radius of 51 in 256 bits and its masks link 92 %, at 0.7
+    half, at 0.6 one in ten and at 0.5 none.  Nulls, wordless texts, repeats and the empty table: as there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import math
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -318,7 +319,7 @@ def test_near_copies_of_five_word_shingles(spark):
         made[i] = least
     got = {x.id: x.component for x in simhash.near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     found = {s: sum(got[2 * i + 1] == 2 * i for i, x in made.items() if x == s) / 80 for s in (0.8, 0.9, 0.4)}
-    assert found[0.8] >= 0.75 and found[0.9] >= 0.97 and found[0.4] == 0, found
+    assert found[0.8] >= 0.85 and found[0.9] >= 0.97 and found[0.4] == 0, found
     assert all(c // 2 == i // 2 for i, c in got.items())
 
 
@@ -346,3 +347,30 @@ def test_a_light_source_does_not_undo_the_mix(spark):
     assert [slots[t] for t in range(64) if slots[t] != "c"] in (["a", "b"] * 32, (["a", "b"] * 32)[:63])
     order = [s for t, s in sorted(slots.items()) if s != "c"]
     assert order == ["a", "b"] * 32 and len([s for s in slots.values() if s == "c"]) == 32
+
+
+@pytest.fixture(scope="module")
+def pairs_at_four_fifths():
+    """Wide fingerprints of 400 pairs of texts whose five-word similarity is just above 0.8."""
+    r, pairs = random.Random(11), []
+    word = lambda: f"w{r.getrandbits(30)}"
+    for _ in range(400):
+        a = [word() for _ in range(r.randint(150, 500))]
+        b, last = list(a), list(a)
+        while brute.jaccard(" ".join(a), " ".join(b)) >= 0.8:
+            last = list(b)
+            b[r.randrange(len(b))] = word()
+        pairs.append([np.unpackbits(np.frombuffer(simhash.wide_fingerprint(" ".join(t).encode()), np.uint8), bitorder="little") for t in (a, last)])
+    return np.array(pairs)
+
+
+@pytest.mark.parametrize("values", [1000, 250_000, 15_000_000, 10**9])
+def test_pairs_at_four_fifths_are_found_at_every_size(pairs_at_four_fifths, values):
+    size = simhash.mask_size(values)
+    masks = simhash.partition_masks(256, size, simhash.tables_for(size, 51, 0.8, 0.92))
+    differ = pairs_at_four_fifths[:, 0] != pairs_at_four_fifths[:, 1]
+    found = np.zeros(len(differ), bool)
+    for m in masks:
+        found |= ~differ[:, m].any(axis=1)
+    found &= differ.sum(axis=1) <= 51
+    assert found.mean() >= 0.9, found.mean()
