@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialise, salted_rank
+from .common import bind, materialise, running_starts, salted_rank
 
 OPEN, SEP, CLOSE = "### ", ": ", "</turn>\n"
 
@@ -66,7 +66,7 @@ def format_trees(messages: DataFrame, tree: str = "conv_id", node: str = "node",
 
     A turn is written as "### role: text</turn>\\n" with control characters of role and text escaped, so the marks can't
     be forged and read_turns() gives the turns back.  loss_spans: code points (start, end exclusive) of the escaped texts
-    of assistant turns in `formatted`.  Null text or role: empty.  Repeated node ids of a tree count once (the least row).
+    of assistant turns in `formatted`, with the turn's place from 0.  Null text or role: empty.  Repeated node ids of a tree count once (the least row).
     Very long texts are only concatenated.  Empty table: no rows.
     """
     paths = reply_paths(messages, tree, node, parent, score, top_k)
@@ -75,16 +75,10 @@ def format_trees(messages: DataFrame, tree: str = "conv_id", node: str = "node",
     head = F.concat(F.lit(OPEN), escape(F.col("x.role"), True), F.lit(SEP))
     turn = F.struct((-F.col("back")).alias("at"), F.concat(head, escape(F.col("x.text")), F.lit(CLOSE)).alias("s"), F.length(head).alias("head"), (F.col("x.role") == "assistant").alias("loss"))
     conv = rows.groupBy("t", "leaf", "branch_rank", "branch_score").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    walked = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["s"])).alias("at"),
-            F.when(x["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + x["head"]).alias("start"), (a["at"] + F.length(x["s"]) - len(CLOSE)).alias("end"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )
-    return conv.select(F.col("t").alias(tree), "leaf", "branch_rank", "branch_score", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda x: x["s"]), "").alias("formatted"), walked["spans"].alias("loss_spans"))
+    starts = running_starts(F.transform("turns", lambda x: F.length(x["s"])))
+    placed = F.transform(F.zip_with("turns", starts, lambda x, at: F.struct(x.alias("x"), at.alias("at"))), lambda t, i: F.struct((t["at"] + t["x"]["head"]).alias("start"), (t["at"] + F.length(t["x"]["s"]) - len(CLOSE)).alias("end"), i.alias("turn"), t["x"]["loss"].alias("loss")))
+    spans = F.transform(F.filter(placed, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["turn"].alias("turn")))
+    return conv.select(F.col("t").alias(tree), "leaf", "branch_rank", "branch_score", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda x: x["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -99,8 +93,14 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """The text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    """The text under the loss mask, unescaped.  A span is cut out of its turn, whose place follows from the turns before it."""
+    turns = F.split(formatted, CLOSE)
+
+    def cut(parts: Column, starts: Column) -> Column:
+        inside = lambda s: F.substr(F.get(parts, s["turn"]), (s["start"] - F.get(starts, s["turn"]) + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+        return F.array_join(F.transform(spans, lambda s: unescape(inside(s))), "")
+
+    return bind(turns, lambda parts: bind(running_starts(F.transform(parts, lambda x: F.length(x) + len(CLOSE))), lambda starts: cut(parts, starts)))
 
 
 def chain_messages(rows: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", span: int = 256) -> DataFrame:

@@ -4,14 +4,47 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.functions.tables import discard, materialise, shared_dir
 
-__all__ = ["bounded", "byte_texts", "discard", "give_back", "hot_join", "materialise", "salted_rank", "shared_dir", "small_batches"]
+__all__ = ["bind", "bounded", "byte_texts", "discard", "fold_out", "give_back", "hot_join", "materialise", "running_starts", "salted_rank", "shared_dir", "small_batches"]
+
+
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once: a lambda would work a plain expression out again at each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def fold_out(items: Column, state: Column, empty: Column, step: Callable[[Column, Column], tuple[Column, Column]], chunk: int = 256) -> Column:
+    """What a fold over an array emits: step(state, item) gives (next state, array of what to emit); empty is an array of none.
+
+    Appending to an array copies it, so what is emitted is gathered by chunks of items, and the chunks are joined at the end: the work
+    is the length times the chunk's, not the square of the length.
+    """
+
+    def part(of: Column, a: Column, c: Column) -> Column:
+        def one(b: Column, x: Column) -> Column:
+            after, made = step(b["state"], x)
+            return F.struct(after.alias("state"), F.concat(b["out"], made).alias("out"))
+
+        done = F.aggregate(F.slice(of, c * chunk + 1, F.lit(chunk)), F.struct(a["state"].alias("state"), empty.alias("out")), one)
+        return bind(done, lambda x: F.struct(x["state"].alias("state"), F.concat(a["outs"], F.array(x["out"])).alias("outs")))
+
+    def whole(of: Column) -> Column:
+        start = F.struct(state.alias("state"), F.slice(F.array(empty), F.lit(1), F.lit(0)).alias("outs"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(of) - 1) / chunk).cast("int")), start, lambda a, c: part(of, a, c), lambda a: F.flatten(a["outs"]))
+
+    return bind(items, lambda of: F.when(F.size(of) > 0, whole(of)).otherwise(empty))
+
+
+def running_starts(lengths: Column) -> Column:
+    """The sums of the lengths before each element of an array of whole numbers."""
+    none = F.expr("cast(array() as array<bigint>)")
+    return fold_out(lengths, F.lit(0).cast("long"), none, lambda at, n: ((at + n).cast("long"), F.array(at)))
 
 
 def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -4,12 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialise, salted_rank
-
-
-def _bind(value: Column, then) -> Column:
-    """then(value), with the value worked out once: a lambda would work a plain expression out again at each use."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+from .common import bind, materialise, salted_rank
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -44,13 +39,13 @@ def schedule(sources: DataFrame, steps: int, chunk: int = 512) -> DataFrame:
         def at_slot(now: Column) -> Column:
             free = F.zip_with("q", a["k"], lambda s, k: F.when((k < s["blocks"]) & (_div(k * s["total"], s["w"]) <= now), F.struct(_div((k + 1) * s["total"] + s["w"] - 1, s["w"]).alias("due"), s["at"].alias("at"))))
             taken = lambda i: F.struct((now + 1).alias("t"), F.transform(a["k"], lambda k, at: k + F.when(at == i, 1).otherwise(0)).alias("k"), F.concat(a["s"], F.array(F.struct(i.alias("i"), F.get(a["k"], i).alias("j"), now.alias("slot")))).alias("s"))
-            return _bind(F.array_min(free)["at"], taken)
+            return bind(F.array_min(free)["at"], taken)
 
-        return _bind(F.greatest(a["t"], released), at_slot)
+        return bind(F.greatest(a["t"], released), at_slot)
 
     def chunk_of(a: Column, c: Column) -> Column:
         inside = F.sequence(c * chunk, F.least(c * chunk + chunk, F.lit(steps)) - 1)
-        return _bind(F.aggregate(inside, F.struct(a["t"].alias("t"), a["k"].alias("k"), F.expr(none).alias("s")), step), lambda x: F.struct(x["t"].alias("t"), x["k"].alias("k"), F.concat(a["s"], F.array(x["s"])).alias("s")))
+        return bind(F.aggregate(inside, F.struct(a["t"].alias("t"), a["k"].alias("k"), F.expr(none).alias("s")), step), lambda x: F.struct(x["t"].alias("t"), x["k"].alias("k"), F.concat(a["s"], F.array(x["s"])).alias("s")))
 
     start = F.struct(F.lit(0).cast("long").alias("t"), F.transform("q", lambda s: F.lit(0).cast("long")).alias("k"), F.expr("cast(array() as array<array<struct<i:int,j:bigint,slot:bigint>>>)").alias("s"))
     laid = row.select("q", F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit((steps - 1) // chunk).cast("long")), start, chunk_of, lambda a: F.flatten(a["s"])).alias("taken"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import bind, fold_out
+
 # The base kinds in order, their patterns, the group whose length counts, and its least length.
 KINDS = {
     "assign": ("((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
@@ -44,16 +46,15 @@ def _none() -> Column:
     return F.expr(f"cast(array() as {_SPANS})")
 
 
-def _fold(items: Column, gaps: Column, span) -> Column:
-    """Spans of matches from the texts between them: a match starts behind all earlier gaps and matches."""
-    state = F.struct(F.lit(0).alias("at"), _none().alias("spans"))
+def _placed(items: Column, gaps: Column, span) -> Column:
+    """Spans of the items with ok from the lengths of the texts between them: a match starts behind all earlier gaps and matches."""
+    both = F.zip_with(items, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        return F.struct((start + x["size"]).alias("at"), F.when(x["ok"], F.concat(a["spans"], F.array(span(start, x)))).otherwise(a["spans"]).alias("spans"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = (at + x["gap"]).cast("int")
+        return (start + x["m"]["size"]).cast("int"), F.when(x["m"]["ok"], F.array(span(start, x["m"]))).otherwise(_none())
 
-    both = F.zip_with(items, gaps, lambda m, g: F.struct(m["size"].alias("size"), m["ok"].alias("ok"), g.alias("gap")))
-    return F.aggregate(both, state, step, lambda a: a["spans"])
+    return fold_out(both, F.lit(0), _none(), step)
 
 
 def base_spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
@@ -62,31 +63,48 @@ def base_spans(text: Column, kind: int, pattern: str, group: int, least: int) ->
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     items = F.zip_with(whole, part, lambda w, p: F.struct(F.length(w).alias("size"), (F.length(p) >= least).alias("ok")))
     gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(whole))
-    found = _fold(items, gaps, lambda start, x: F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).alias("stop")))
+    found = _placed(items, gaps, lambda start, x: F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["size"]).cast("int").alias("stop")))
     return F.when(text.rlike(pattern), found).otherwise(_none())
 
 
+CELLS, CELL = 12, 5  # counts of five bits in a long
+
+
 def hot_range(run: Column, c: EntropyClass) -> Column:
     """struct(first, last): ends of the first and last window of a run with enough entropy, null if none has.
 
-    The counts of a window and the sum of n * log2(n) over them change by one character in and one out at each step.
+    The counts of a window and the sum of n * log2(n) over them change by one character in and one out at each step: two
+    cells of a few packed longs.  Windows are shorter than 32, so a count fits its cell.
     """
+    assert c.window < 1 << CELL
     table = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(c.window + 2)])
-    codes = F.transform(F.split(run, ""), lambda ch: F.instr(F.lit(c.alphabet), ch) - 1)
     limit = c.window * (math.log2(c.window) - c.bits) + 1e-9
-    steps = F.transform(codes, lambda x, i: F.struct(x.alias("add"), i.alias("i")))
-    state = F.struct(F.expr(f"array_repeat(0, {len(c.alphabet)})").alias("n"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    codes = F.transform(F.split(run, ""), lambda ch: F.instr(F.lit(c.alphabet), ch) - 1)
+    cell = lambda code: F.struct(F.floor(code / CELLS).cast("int").alias("word"), (code % CELLS * CELL).cast("int").alias("bit"))
+
+    def steps_of(come: Column) -> Column:
+        gone = F.concat(F.array_repeat(F.lit(-1), c.window), come)
+        return F.transform(F.zip_with(come, F.slice(gone, F.lit(1), F.size(come)), lambda x, y: F.struct(x.alias("add"), y.alias("out"), cell(x).alias("up"), cell(y).alias("down"))), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
 
-    def step(a: Column, x: Column) -> Column:
-        out = F.when(x["i"] >= c.window, F.get(codes, x["i"] - c.window)).otherwise(F.lit(-1))
-        up = F.get(a["n"], x["add"])
-        down = F.get(a["n"], out)
-        total = F.when(x["add"] == out, a["sum"]).otherwise(a["sum"] + F.get(table, up + 1) - F.get(table, up) + F.when(out >= 0, F.get(table, down - 1) - F.get(table, down)).otherwise(F.lit(0.0)))
-        n = F.when(x["add"] == out, a["n"]).otherwise(F.transform(a["n"], lambda v, k: v + F.when(k == x["add"], 1).when(k == out, -1).otherwise(0)))
-        hot = (x["i"] >= c.window - 1) & (total <= limit)
-        return F.struct(n.alias("n"), total.alias("sum"), F.when(hot & a["first"].isNull(), x["i"]).otherwise(a["first"]).alias("first"), F.when(hot, x["i"]).otherwise(a["last"]).alias("last"))
+    words = -(-len(c.alphabet) // CELLS)
+    state = F.struct(F.array(*[F.lit(0).cast("long")] * words).alias("n"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    held = lambda n, at: F.call_function("shiftright", F.get(n, at["word"]), at["bit"]).bitwiseAND((1 << CELL) - 1)
+    one = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at["bit"])
+
+    def step(a: Column, s: Column) -> Column:
+        x, i = s["x"], s["i"]
+        same, full = x["add"] == x["out"], x["out"] >= 0
+        gain = bind(held(a["n"], x["up"]), lambda k: F.get(table, (k + 1).cast("int")) - F.get(table, k.cast("int")))
+        loss = F.when(full, bind(held(a["n"], x["down"]), lambda k: F.get(table, (k - 1).cast("int")) - F.get(table, k.cast("int")))).otherwise(F.lit(0.0))
+        n = F.when(same, a["n"]).otherwise(F.transform(a["n"], lambda v, k: v + F.when(k == x["up"]["word"], one(x["up"])).otherwise(0) - F.when(full & (k == x["down"]["word"]), one(x["down"])).otherwise(0)))
 
-    return F.aggregate(steps, state, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+        def noted(total: Column) -> Column:
+            hot = (i >= c.window - 1) & (total <= limit)
+            return F.struct(n.alias("n"), total.alias("sum"), F.when(hot & a["first"].isNull(), i).otherwise(a["first"]).alias("first"), F.when(hot, i).otherwise(a["last"]).alias("last"))
+
+        return bind(F.when(same, a["sum"]).otherwise(a["sum"] + gain + loss), noted)
+
+    return F.aggregate(bind(codes, steps_of), state, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
 def entropy_spans(text: Column, kind: int, c: EntropyClass, allowed: tuple[str, ...] = ALLOWED) -> Column:
@@ -98,20 +116,12 @@ def entropy_spans(text: Column, kind: int, c: EntropyClass, allowed: tuple[str,
         known = F.lit(False)
         for p in allowed:
             known = known | r.rlike(p)
-        hot = F.when(~known, hot_range(r, c))
-        return F.struct(F.length(r).alias("size"), hot["first"].isNotNull().alias("ok"), hot["first"].alias("first"), hot["last"].alias("last"))
+        return bind(F.when(~known, hot_range(r, c)), lambda hot: F.struct(F.length(r).alias("size"), F.coalesce(hot["first"].isNotNull(), F.lit(False)).alias("ok"), hot["first"].alias("first"), hot["last"].alias("last")))
 
     items = F.transform(runs, item)
     gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(runs))
-    state = F.struct(F.lit(0).alias("at"), _none().alias("spans"))
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        span = F.struct((start + x["m"]["first"] - (c.window - 1)).alias("start"), F.lit(kind).alias("kind"), (start + x["m"]["last"] + 1).alias("stop"))
-        return F.struct((start + x["m"]["size"]).alias("at"), F.when(x["m"]["ok"], F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
-
-    both = F.zip_with(items, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-    return F.when(text.rlike(pattern), F.aggregate(both, state, step, lambda a: a["spans"])).otherwise(_none())
+    found = _placed(items, gaps, lambda start, x: F.struct((start + x["first"] - (c.window - 1)).cast("int").alias("start"), F.lit(kind).alias("kind"), (start + x["last"] + 1).cast("int").alias("stop")))
+    return F.when(text.rlike(pattern), found).otherwise(_none())
 
 
 def scan(text: Column, classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[str, ...] = ALLOWED) -> tuple[Column, Column]:
@@ -142,8 +152,14 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base, added = scan(F.col("t"))
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).select("doc_id", base.alias("base"), added.alias("added"))
-    news = F.filter("added", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"])))
-    return found.select("doc_id", "base", F.array_sort(F.concat("base", news)).alias("spans"))
+    # in order, a base span stands before what starts where it does or later: what reaches no further than one of them lies in it
+    base_kinds = len(KINDS)
+
+    def step(far: Column, s: Column) -> tuple[Column, Column]:
+        is_base = s["kind"] < base_kinds
+        return F.when(is_base, F.greatest(far, s["stop"])).otherwise(far), F.when(is_base | (s["stop"] > far), F.array(s)).otherwise(_none())
+
+    return found.select("doc_id", "base", fold_out(F.array_sort(F.concat("base", "added")), F.lit(-1), _none(), step).alias("spans"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
