@@ -1,6 +1,8 @@
 """Plain versions of the ten contracts, for small inputs."""
 
 import hashlib
+import heapq
+import math
 import re
 import struct
 import zlib
@@ -198,3 +200,88 @@ def redact(text, spans, mark="[SECRET]"):
             out += text[at:s] + mark
         at = max(at, e)
     return out + text[at:]
+
+
+def top_k(rows, k=5, every=50):
+    """rows: (id, vector): {(query, rank): (id, score)} for tables without repeated ids."""
+    fine = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = {}
+    for q, a in fine:
+        if q % every == 0:
+            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in fine if i != q and len(a) == len(b))
+            out |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(found[:k])}
+    return out
+
+
+def damaged(rows):
+    """rows: (conv, turn, role, text)."""
+    out = []
+    for c, t, role, text in rows:
+        blank = lambda x: " " if x is None else str(x)
+        draw = zlib.crc32(f"{blank(c)}:{blank(t)}".encode()) % 20
+        role, text = "user" if draw == 4 else blank(role), blank(text)
+        text = "" if draw == 1 else re.sub("[.!?]", "", text) if draw == 2 else text
+        out += [(c, t, role, text)] * (0 if draw == 0 else 2 if draw == 3 else 1)
+    return out
+
+
+def structure(original, rows):
+    """{conv: (gaps, blank, duplicate, truncated, illegal, cost, audit, sha256)} by the edits themselves, tried from the left."""
+    out = {c: (0, 0, 0, 0, 0, 0, "", sha("")) for c, *_ in original}
+    for conv in {c for c, *_ in rows}:
+        mine = [(t, role, text) for c, t, role, text in rows if c == conv]
+        mine.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], xxhash.xxh64_intdigest(x[2].encode(), 42) - ((xxhash.xxh64_intdigest(x[2].encode(), 42) >> 63) << 64)))
+        seen, faults = set(), []
+        for _, role, text in mine:
+            bare = text.rstrip(" \t\n\x0b\x0c\r")
+            faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+            seen.add((role, text))
+        turns = [t for t, *_ in mine if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(mine, mine[1:]))
+        follow = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+        heap, done = [(0, "", 0, "", ())], {}  # cheapest first, then least letters; every place and state is settled once
+        while heap:
+            cost, audit, i, s, lines = heapq.heappop(heap)
+            if (i, s) in done:
+                continue
+            done[i, s] = True
+            if i == len(mine) and s in ("", "a"):
+                break
+            for new in ("user", "assistant"):
+                if (s, new[0]) in follow:
+                    heapq.heappush(heap, (cost + 3, audit + "I", i, follow[s, new[0]], (*lines, f"{new}:")))
+            if i < len(mine):
+                _, role, text = mine[i]
+                heapq.heappush(heap, (cost + 4, audit + "D", i + 1, s, lines))
+                if faults[i] not in ("blank", "duplicate"):
+                    more = 3 if faults[i] == "truncated" else 0
+                    for new, price, name in ((role, 0, "K"), ("user", 3, "R"), ("assistant", 3, "R")):
+                        if (s, new[:1]) in follow:
+                            heapq.heappush(heap, (cost + price + more, audit + name, i + 1, follow[s, new[:1]], (*lines, f"{new}:{text}")))
+        out[conv] = (gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, sha("\n".join(lines)))
+    return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def lexical(docs, items, k=20):
+    """docs: rows (id, text); items: (id, text): a list for each item row of (rank, doc, score)."""
+    terms = lambda t: TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    held = [(i, terms(t)) for i, t in docs]
+    held = [(i, ts, {x: ts.count(x) for x in set(ts)}) for i, ts in held if ts]
+    n_docs, total, df = len(held), sum(len(ts) for _, ts, _ in held), {}
+    for _, _, tf in held:
+        for x in tf:
+            df[x] = df.get(x, 0) + 1
+    out = []
+    for item, text in items:
+        found = []
+        for i, ts, tf in held:
+            m = 100 - 25 + (25 * len(ts) * n_docs) // total
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[x] + 1))) * ((10**9 * tf[x]) // (1000 * tf[x] + 12 * m)) for x in terms(text) if x in tf)
+            if s > 0:
+                found.append((-s, i is None, i if i is not None else 0))
+        out.append((item, [(r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(found)[:k])]))
+    return out
