@@ -28,6 +28,16 @@ def clamp_weight(w: Column) -> Column:
     return F.least(w.cast("decimal(20,0)"), F.lit(INF).cast("decimal(20,0)")).cast("long")
 
 
+def unsigned(text: Column, bits: int = 64, strict: bool = True) -> Column:
+    """A whole number of digits only, below 2^bits, as decimal(20, 0); anything else, as a sign, a blank or no digit, is an error, or
+    null if not strict.  Null stays null."""
+    number = F.when(text.rlike(r"\A0*[0-9]{1,20}\z"), F.regexp_replace(text, r"\A0+(?=[0-9])", "")).try_cast("decimal(20,0)")
+    good = F.when(number < F.lit(1 << bits).cast("decimal(20,0)"), number) if bits < 64 else F.when(number <= F.lit("18446744073709551615").cast("decimal(20,0)"), number)
+    if not strict:
+        return good
+    return F.when(text.isNotNull() & good.isNull(), F.raise_error(F.concat(F.lit("not a number of at most "), F.lit(str(bits)), F.lit(" bits: "), text)).cast("decimal(20,0)")).otherwise(good)
+
+
 def accounted(count: Column, each: int, more: int = 0, strict: bool = True) -> Column:
     """count * each + more bytes.  What doesn't fit a long is an error, or null if not strict."""
     product = F.try_multiply(count.cast("long"), F.lit(each).cast("long"))

@@ -214,6 +214,64 @@ def account(per_op: DataFrame, n_vertices: int) -> DataFrame:
     return running_max(x, "q", "bytes", "peak")
 
 
+def preflight(trace: DataFrame, n_vertices: int, budget: int) -> DataFrame:
+    """(sources, bytes, most, fits): the distinct query sources of a log, the bytes of their distance tables, for how many of
+    them the budget is enough, and whether it is for all.  A lower bound: neither the graph nor containers are in it."""
+    if budget < 1:
+        raise ValueError("a budget has a byte or more")
+    each = fn.SSSP_VERTEX * n_vertices
+    total = fn.accounted(F.col("sources"), each)
+    most = F.least(F.col("sources"), F.lit(budget // each)) if each else F.col("sources")
+    return trace.agg(F.count_distinct("source").alias("sources")).select("sources", total.alias("bytes"), most.cast("long").alias("most"), (total <= budget).alias("fits"))
+
+
+def records(lru_log: DataFrame, limit: int = 4, cooldown: int = 32) -> DataFrame:
+    """(q, residents, probation, cooldown) after each access of a cache's log (q, source, hit, victim): tables held, sources
+    counted and not promoted yet, and sources that left at most `cooldown` - 1 queries ago.
+
+    Each is a running sum of comings and goings; a source that leaves again while it cools down keeps its one record.
+    """
+    p = probation(lru_log.select("q", "source"), limit).select("q", ((F.col("seen") == 1).cast("long") - F.col("promotes")).alias("p"))
+    left = lru_log.where("victim is not null").select("q", F.col("victim").alias("source"))
+    again = F.least(F.col("q") + cooldown, F.coalesce(F.lead("q").over(Window.partitionBy("source").orderBy("q")), F.col("q") + cooldown))
+    left = left.withColumn("again", again)
+    c = left.select(F.explode(F.array(F.struct(F.col("q").alias("q"), F.lit(1).alias("c")), F.struct(F.col("again").alias("q"), F.lit(-1).alias("c")))).alias("x")).select("x.q", "x.c")
+    r = lru_log.select("q", (1 - F.col("hit") - F.col("victim").isNotNull().cast("long")).alias("r"))
+    zero = F.lit(0).cast("long")
+    moves = r.select("q", "r", zero.alias("p"), zero.alias("c")).unionByName(p.select("q", zero.alias("r"), "p", zero.alias("c"))).unionByName(c.select("q", zero.alias("r"), zero.alias("p"), F.col("c").cast("long").alias("c")))
+    end = lru_log.agg(F.max("q").alias("end"))
+    x = moves.groupBy("q").agg(*[F.sum(k).alias(k) for k in "rpc"]).crossJoin(F.broadcast(end)).where("q <= end").drop("end")
+    for k, name in zip("rpc", ("residents", "probation", "cooldown"), strict=True):
+        x = range_sum(x, [F.asc("q")], F.col(k), name)
+    return x.select("q", "residents", "probation", "cooldown")
+
+
+def probation_by_work(acc: DataFrame, edges: int, limit: int = 4, ratio: float = 0.25) -> DataFrame:
+    """(q, source, seen, scans, promotes) of accesses (q, source, scans): a source is promoted once it was asked `limit` times and its
+    searches scanned `ratio` of all edges, and is counted anew from then on.
+
+    Accesses go by source and q; a source is one sequence, read as a stream with two numbers of state.  Null sources are one.
+    """
+    least = ratio * edges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, started, seen, work = None, False, 0, 0
+        for b in batches:
+            out = []
+            for source, scans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if not started or source != now:
+                    now, started, seen, work = source, True, 0, 0
+                seen, work = seen + 1, work + (scans or 0)
+                up = seen >= limit and work >= least
+                out.append((seen, work, int(up)))
+                if up:
+                    seen, work = 0, 0
+            cols = zip(*out, strict=True) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], ["q", "source", "seen", "scans", "promotes"])
+
+    return acc.select(F.col("q").cast("long"), F.col("source").cast("long"), F.col("scans").cast("long")).repartition("source").sortWithinPartitions("source", "q").mapInArrow(run, "q long, source long, seen long, scans long, promotes long")
+
+
 def running_max(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """The largest value up to and with each row, by ranges of a dense order: one row a range is ordered in one place."""
     b = rows.withColumn("_b", F.shiftright(order, 12))

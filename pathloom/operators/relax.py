@@ -71,9 +71,17 @@ class Csr:
         i = int(np.searchsorted(self.names, v))
         return i if i < len(self.names) and self.names[i] == v else -1
 
-    def places(self) -> dict[int, int]:
-        """The place of each edge id in the arrays."""
-        return {e: i for i, e in enumerate(self.edge_id)}
+    def places(self, edge_ids: np.ndarray) -> np.ndarray:
+        """The places of edge ids in the arrays; ids are sorted once a process, in two flat arrays."""
+        if not hasattr(self, "_ids"):
+            ids = np.frombuffer(self.edge_id, np.int64)
+            order = np.argsort(ids, kind="stable")
+            self._ids = ids[order], order
+        ids, order = self._ids
+        at = np.minimum(np.searchsorted(ids, edge_ids), max(0, len(ids) - 1))
+        if len(edge_ids) and (not len(ids) or (ids[at] != edge_ids).any()):
+            raise IndexError("unknown edge")
+        return order[at]
 
     def table(self, source: int, sweeps: int = 64) -> np.ndarray:
         """Distances of all vertices by whole sweeps over the arcs in numpy, for as long as `sweeps` suffice: paths of few
@@ -93,7 +101,7 @@ class Csr:
         return np.array(self.from_source(source)[0], np.int64)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_sweep"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_sweep", "_ids")}
 
     def from_source(self, source: int, target: int | None = None) -> tuple[list[int], list[int], int, int]:
         """(dist, parent edge, edges scanned, vertices settled); stops at target if given.  Ties keep the first parent."""

@@ -168,9 +168,12 @@ def spatial_bins(coords: DataFrame, side: int = 32) -> DataFrame:
     return coords.crossJoin(F.broadcast(box)).select("v", at("x").alias("bx"), at("y").alias("by"))
 
 
-def next_filled(bins: DataFrame, starts: DataFrame, side: int = 32) -> DataFrame:
-    """(start, cell): the first cell (by * side + bx) with a point at or after each start, going round; no points: no rows."""
-    full = bins.select((F.col("by") * side + F.col("bx")).alias("cell")).distinct()
+def next_filled(bins: DataFrame, starts: DataFrame, side: int = 32, dense: bool = False) -> DataFrame:
+    """(start, cell): the first cell (by * side + bx) with a point at or after each start, going round; no points: no rows.
+    `dense`: only cells with more points than the mean of all cells count."""
+    full = bins.groupBy((F.col("by") * side + F.col("bx")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    if dense:
+        full = full.crossJoin(F.broadcast(bins.agg(F.count(F.lit(1)).alias("all")))).where(F.col("n") * side * side > F.col("all"))
     ring = F.array_sort(F.collect_list("cell"))  # side * side cells at most
     cells = full.agg(ring.alias("cells")).where("size(cells) > 0")
     return starts.crossJoin(F.broadcast(cells)).select("start", F.coalesce(F.try_element_at(F.filter("cells", lambda c: c >= F.col("start")), F.lit(1)), F.element_at("cells", 1)).alias("cell"))

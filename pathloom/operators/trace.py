@@ -6,6 +6,7 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -114,13 +115,15 @@ def replay(edges: DataFrame, trace: DataFrame, kernel_edges: int = KERNEL_EDGES,
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         g, out = sent.value, []
-        weight, place = array("q", g.weight), g.places()
+        weight = array("q", g.weight)
         f = f.sort_values("op_seq", kind="stable")
-        for seq, query, a, b in zip(f["op_seq"].tolist(), f["query"].tolist(), f["a"].tolist(), f["b"].tolist(), strict=True):
+        at, updates = f["a"].to_numpy(np.int64).copy(), ~f["query"].to_numpy(bool)
+        at[updates] = g.places(at[updates])
+        for seq, query, a, b in zip(f["op_seq"].tolist(), f["query"].tolist(), at.tolist(), f["b"].tolist(), strict=True):
             if query:
                 out.append((seq, a, b, g.both_ways(a, b, weight)[0]))
             else:
-                weight[place[a]] = b
+                weight[a] = b
         return pd.DataFrame(out, columns=["op_seq", "source", "target", "answer"])
 
     return ops.unionByName(start).groupBy("part").applyInPandas(run, "op_seq long, source long, target long, answer long")

@@ -224,13 +224,10 @@ def decrease_repair(spark, d):
     return rp.repair_decrease(rp.set_weight(g, e, 1), _dist(spark, g, 0), e).select("v", "dist")
 
 
-@register("update_classification", f"WITH RECURSIVE {OPS}, {_sp('SELECT 0::BIGINT AS s UNION ALL SELECT 1')}, {TREE.format(edges='flow')}, u AS (SELECT f.edge_id, f.src, f.dst, f.weight AS old_weight, o.new_weight FROM (SELECT edge_id, arg_min(new_weight, op_seq) AS new_weight FROM optrace WHERE kind = 'UPDATE' GROUP BY 1) o JOIN flow f USING (edge_id)) SELECT u.edge_id, r.s::BIGINT AS source, CASE WHEN new_weight = old_weight THEN 'unchanged' WHEN new_weight < old_weight AND (a.dist IS NULL OR a.dist + new_weight >= coalesce(b.dist, {INF})) THEN 'filtered' WHEN new_weight < old_weight THEN 'repair_decrease' WHEN a.dist IS NULL OR a.dist + old_weight <> coalesce(b.dist, {INF}) THEN 'filtered' WHEN par.parent_edge = u.edge_id THEN 'repair_increase' ELSE 'rebuild' END AS outcome FROM u CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 1) r LEFT JOIN sp a ON a.s = r.s AND a.v = u.src LEFT JOIN sp b ON b.s = r.s AND b.v = u.dst LEFT JOIN par ON par.s = r.s AND par.v = u.dst")
+@register("update_classification", f"WITH RECURSIVE {OPS}, {VERSIONS}, u AS (SELECT op_seq, ep.edge_id, src, dst, old_weight, new_weight, epoch - CASE WHEN new_weight <> old_weight THEN 1 ELSE 0 END AS e, r.s FROM ep JOIN flow USING (edge_id) CROSS JOIN (SELECT 0::BIGINT AS s UNION ALL SELECT 1) r WHERE kind = 'UPDATE'), sp(e, s, v, dist) USING KEY (e, s, v) AS (SELECT DISTINCT e, s, s, 0::BIGINT FROM u UNION SELECT c.e, c.s, c.v, c.nd FROM (SELECT p.e, p.s, x.dst AS v, min(p.dist + x.weight) AS nd FROM sp p JOIN versions x ON p.v = x.src AND x.valid_from <= p.e AND p.e < x.valid_to GROUP BY 1, 2, 3) c LEFT JOIN recurring.sp r ON r.e = c.e AND r.s = c.s AND r.v = c.v WHERE r.dist IS NULL OR c.nd < r.dist), w AS (SELECT u.*, a.dist AS du, coalesce(b.dist, {INF}) AS dv FROM u LEFT JOIN sp a ON a.e = u.e AND a.s = u.s AND a.v = u.src LEFT JOIN sp b ON b.e = u.e AND b.s = u.s AND b.v = u.dst), par AS (SELECT w.op_seq, w.s, min(x.edge_id) AS parent_edge FROM w JOIN versions x ON x.dst = w.dst AND x.valid_from <= w.e AND w.e < x.valid_to JOIN sp p ON p.e = w.e AND p.s = w.s AND p.v = x.src WHERE p.dist + x.weight = w.dv AND w.dst <> w.s GROUP BY 1, 2) SELECT w.op_seq, w.edge_id, w.s AS source, CASE WHEN new_weight = old_weight THEN 'unchanged' WHEN new_weight < old_weight AND (du IS NULL OR du + new_weight >= dv) THEN 'filtered' WHEN new_weight < old_weight THEN 'repair_decrease' WHEN du IS NULL OR du + old_weight <> dv THEN 'filtered' WHEN par.parent_edge = w.edge_id THEN 'repair_increase' ELSE 'rebuild' END AS outcome FROM w LEFT JOIN par ON par.op_seq = w.op_seq AND par.s = w.s")
 def update_classification(spark, d):
-    g = views.flow(spark, d)
-    t = views.optrace(spark, d, g).where("kind = 'UPDATE'").groupBy(F.col("edge_id").alias("e2")).agg(F.min_by("new_weight", "op_seq").alias("new_weight"))
-    u = t.join(g, F.col("e2") == F.col("edge_id")).select("edge_id", "src", "dst", F.col("weight").alias("old_weight"), "new_weight")
-    dist = _dist(spark, g, 0, 1)
-    return rp.classify(u, dist, tt.parents(g, dist)).select("edge_id", "source", "outcome")
+    """All updates of the log against two residents, as of their places in it."""
+    return rp.classify_log(*_log(spark, d), _one(spark, 0, 1))
 
 
 # ---- operation logs ------------------------------------------------------------------------------------------------
@@ -613,9 +610,9 @@ def spatial_grid_bins(spark, d):
     return _bins(spark, d)
 
 
-@register("next_filled_cell", f"WITH {POINTS}, full_cells AS (SELECT DISTINCT bins.by * 32 + bx AS cell FROM bins WHERE v % 40 = 0 OR v < 20) SELECT s AS start, coalesce((SELECT min(cell) FROM full_cells WHERE cell >= s), (SELECT min(cell) FROM full_cells)) AS cell FROM range(1024) t(s)")
+@register("next_filled_cell", f"WITH {POINTS}, full_cells AS (SELECT bins.by * 32 + bx AS cell FROM bins GROUP BY 1 HAVING count(*) * 1024 > (SELECT count(*) FROM bins)) SELECT s AS start, coalesce((SELECT min(cell) FROM full_cells WHERE cell >= s), (SELECT min(cell) FROM full_cells)) AS cell FROM range(1024) t(s)")
 def next_filled_cell(spark, d):
-    return stats.next_filled(_bins(spark, d).where("v % 40 = 0 or v < 20"), spark.range(1024).withColumnRenamed("id", "start"))
+    return stats.next_filled(_bins(spark, d), spark.range(1024).withColumnRenamed("id", "start"), dense=True)
 
 
 @register("zipf_cdf", "SELECT r AS rank, (1000000 // r)::BIGINT AS weight, sum(1000000 // r) OVER (ORDER BY r)::BIGINT AS cumulative FROM range(1, 65) t(r)")

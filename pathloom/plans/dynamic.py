@@ -149,3 +149,43 @@ def streamed_counters(spark, d):
         part.repartition(1).write.mode("append").parquet(f"{home}/in")
         ct.run_counters(spark, f"{home}/in", f"{home}/out", f"{home}/state")
     return spark.read.schema("q long, source long, seen long, promotes long, blocked long").parquet(f"{home}/out")
+
+
+# ---- accounts ------------------------------------------------------------------------------------------------------
+@register("preflight_budget", f"WITH {OPS}, p AS (SELECT count(DISTINCT source) AS sources, (SELECT max(n) FROM size) * 44 AS each FROM optrace) SELECT sources, sources * each AS bytes, least(sources, 100000 // each)::BIGINT AS most, sources * each <= 100000 AS fits FROM p")
+def preflight_budget(spark, d):
+    """Whether 100,000 bytes hold the tables of all sources of the log, and of how many else."""
+    g, t = _log(spark, d)
+    return policy.preflight(t, g.agg(F.max(F.greatest("src", "dst")) + 1).first()[0] or 0, 100_000)
+
+
+RECORDS = f"""{ACC}, {LRU}, pr AS (SELECT q, sum(CASE WHEN k % 4 = 1 THEN 1 WHEN k % 4 = 0 THEN -1 ELSE 0 END) OVER (ORDER BY q) AS probation FROM (SELECT q, row_number() OVER (PARTITION BY source ORDER BY q) AS k FROM acc)),
+cd AS (SELECT a.q, count(DISTINCT b.victim) AS cooldown FROM acc a LEFT JOIN lru b ON b.victim IS NOT NULL AND b.q <= a.q AND a.q < b.q + 32 GROUP BY 1),
+rs AS (SELECT q, sum(1 - hit - CASE WHEN victim IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY q) AS residents FROM lru WHERE q > 0),
+by AS (SELECT q, residents::BIGINT AS residents, probation::BIGINT AS probation, cooldown::BIGINT AS cooldown, (residents * (8 + 44 * (SELECT max(n) FROM size) + 100) + 16 * probation + 12 * cooldown)::BIGINT AS bytes FROM rs JOIN pr USING (q) JOIN cd USING (q))"""
+
+
+@register("byte_accounting_records", f"WITH RECURSIVE {RECORDS} SELECT q, residents, probation, cooldown, bytes, max(bytes) OVER (ORDER BY q) AS peak FROM by")
+def byte_accounting_records(spark, d):
+    """Bytes of tables and of probation and cooldown records after every access of a cache of four, and their peak."""
+    g, t = _log(spark, d)
+    n = g.agg(F.max(F.greatest("src", "dst")) + 1).first()[0] or 0
+    r = materialise(policy.records(materialise(policy.lru(policy.accesses(t), 4), "lru")), "records")
+    return r.join(policy.account(r, n).withColumnRenamed("q", "q2"), F.col("q") == F.col("q2")).drop("q2")
+
+
+@register("probation_by_work", f"WITH RECURSIVE {ACC}, deg AS (SELECT src AS v, count(*) AS n FROM flow GROUP BY 1), w AS (SELECT q, source, row_number() OVER (PARTITION BY source ORDER BY q) AS k, coalesce(n, 0) AS scans FROM acc LEFT JOIN deg ON v = source), p(source, k, q, seen, scans) AS (SELECT source, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT FROM (SELECT DISTINCT source FROM w) UNION ALL SELECT p.source, w.k, w.q, CASE WHEN p.seen >= 4 AND p.scans >= 0.05 * (SELECT max(m) FROM size) THEN 0 ELSE p.seen END + 1, CASE WHEN p.seen >= 4 AND p.scans >= 0.05 * (SELECT max(m) FROM size) THEN 0 ELSE p.scans END + w.scans FROM p JOIN w ON w.source = p.source AND w.k = p.k + 1) SELECT q, source, seen, scans::BIGINT AS scans, CASE WHEN seen >= 4 AND scans >= 0.05 * (SELECT max(m) FROM size) THEN 1 ELSE 0 END::BIGINT AS promotes FROM p WHERE k > 0")
+def probation_by_work(spark, d):
+    """Promotions by frequency and work, a search's work being the edges out of its source."""
+    g, t = _log(spark, d)
+    deg = g.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    acc = policy.accesses(t).join(deg, F.col("source") == F.col("v"), "left").select("q", "source", F.coalesce("n", F.lit(0)).alias("scans"))
+    return policy.probation_by_work(acc, g.count(), ratio=0.05)
+
+
+@register("strict_numbers", "WITH t AS (SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN '-' || o_custkey WHEN 1 THEN ' ' || o_custkey WHEN 2 THEN '00' || o_custkey WHEN 3 THEN '1844674407370955' || (1000 + o_custkey % 9000) WHEN 4 THEN '' WHEN 5 THEN o_custkey || 'x' ELSE o_custkey::VARCHAR END AS x FROM orders) SELECT id, CASE WHEN regexp_full_match(x, '[0-9]+') AND x::HUGEINT < 18446744073709551616 THEN (x::HUGEINT)::DECIMAL(20, 0) END AS number, CASE WHEN regexp_full_match(x, '[0-9]+') AND x::HUGEINT < 4294967296 THEN (x::HUGEINT)::DECIMAL(20, 0) END AS small FROM t")
+def strict_numbers(spark, d):
+    """Digits only, within 64 and 32 bits; signs, blanks, letters and what is too large are none."""
+    k, c = F.col("o_orderkey") % 7, F.col("o_custkey").cast("string")
+    x = F.when(k == 0, F.concat(F.lit("-"), c)).when(k == 1, F.concat(F.lit(" "), c)).when(k == 2, F.concat(F.lit("00"), c)).when(k == 3, F.concat(F.lit("1844674407370955"), (1000 + F.col("o_custkey") % 9000).cast("string"))).when(k == 4, "").when(k == 5, F.concat(c, F.lit("x"))).otherwise(c)
+    return views.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), fn.unsigned(x, strict=False).alias("number"), fn.unsigned(x, 32, strict=False).alias("small"))

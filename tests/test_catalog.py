@@ -16,6 +16,9 @@ SOME = [
     "repeated_traces", "geomean_ci", "fastest_profile", "next_filled_cell", "zipf_inverse", "update_schedule", "workload_counts", "generated_logs", "eligible_edge",
     "tree_edge_regimes", "grid_generator", "graph_generators", "log_round_trip", "answers_round_trip", "graph_round_trip", "legacy_round_trip",
     "measurements_round_trip", "file_sums", "sql_functions", "value_functions", "accounted_bytes",
+    "zero_weight_tree_parent", "zero_weight_subtree_sizes", "tree_edge_affected_sets", "sssp_supply_delta", "batch_repair", "batch_repair_parents",
+    "asof_out_weights", "trace_replay_intervals", "stack_distances", "hits_by_capacity", "eviction_by_bytes", "streamed_counters", "preflight_budget",
+    "byte_accounting_records", "probation_by_work", "strict_numbers",
 ]
 
 

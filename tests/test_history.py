@@ -8,9 +8,11 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from pathloom.functions import tables
-from pathloom.operators import history as hs, policy, trace as tr
-from pathloom.sources import dimacs, text, traces
+from pathloom.functions import scalar, tables
+from pathloom.operators import history as hs, policy, repair, trace as tr
+from pathloom.sources import dimacs, text, traces, workloads
+
+from .test_trees import plain
 
 INF = hs.INF
 
@@ -134,3 +136,80 @@ def test_lines_keep_their_order_over_splits_and_parts(spark, tmp_path):
     traces.write_trace(log.repartition(5), str(tmp_path / "t"), parts=8)
     assert [x.target for x in traces.read_trace(spark, str(tmp_path / "t")).orderBy("op_seq").collect()] == [7 * i for i in range(300)]
     assert len(list((tmp_path / "t").glob("part-*"))) == 8
+
+
+@pytest.mark.parametrize("text, bits, want", [("0", 64, 0), ("007", 64, 7), ("18446744073709551615", 64, 2**64 - 1), ("18446744073709551616", 64, None), ("4294967295", 32, 2**32 - 1), ("4294967296", 32, None), ("", 64, None), ("+1", 64, None), ("-0", 64, None), (" 1", 64, None), ("1\n", 64, None), ("1e3", 64, None), ("0" * 40 + "5", 64, 5), ("9" * 40, 64, None), ("\u0661", 64, None)])
+def test_numbers_are_digits_within_their_bits(spark, text, bits, want):
+    df = spark.createDataFrame([(text,)], "x string")
+    assert df.select(scalar.unsigned(F.col("x"), bits, strict=False)).first()[0] == want
+    if want is None:
+        with pytest.raises(Exception, match="not a number"):
+            df.select(scalar.unsigned(F.col("x"), bits)).collect()
+    else:
+        assert df.select(scalar.unsigned(F.col("x"), bits)).first()[0] == want
+
+
+def test_records_and_work(spark):
+    r = random.Random(3)
+    acc = [(q + 1, q, r.randrange(7), r.randrange(9)) for q in range(200)]
+    df = spark.createDataFrame(acc, "q long, op_seq long, source long, scans long")
+    log = policy.lru(df, 2).cache()
+    seen, until, held = {}, {}, set()
+    want = []
+    for x in sorted(log.collect(), key=lambda x: x.q):
+        seen[x.source] = seen.get(x.source, 0) + 1
+        if seen[x.source] == 4:
+            del seen[x.source]
+        if x.victim is not None:
+            until[x.victim] = x.q + 10
+            held.discard(x.victim)
+        held.add(x.source)
+        want.append((x.q, len(held), len(seen), sum(u > x.q for u in until.values())))
+    assert sorted(map(tuple, policy.records(log, 4, 10).collect())) == want
+    state, out = {}, []
+    for q, _, s, scans in acc:
+        n, w = state.get(s, (0, 0))
+        n, w = n + 1, w + scans
+        up = n >= 3 and w >= 0.5 * 40
+        out.append((q, s, n, w, int(up)))
+        state[s] = (0, 0) if up else (n, w)
+    assert sorted(map(tuple, policy.probation_by_work(df, 40, 3, 0.5).collect())) == out
+    assert policy.preflight(spark.createDataFrame([("QUERY", 3), ("QUERY", 3), ("UPDATE", None)], "kind string, source long"), 10, 439).first().asDict() == {"sources": 1, "bytes": 440, "most": 0, "fits": False}
+    with pytest.raises(ValueError):
+        policy.preflight(df, 10, 0)
+
+
+def test_descriptions_come_back(spark, tmp_path):
+    w = workloads.Workload(queries=40)
+    text = workloads.describe(w, "a" * 64, "b" * 64, 10, 20, 7, {"query_count": 40, "update_count": 3, "increase_count": 1, "decrease_count": 2})
+    workloads.write_description(spark, text, str(tmp_path / "d"))
+    [(head, back)] = workloads.read_descriptions(spark, str(tmp_path / "d"))
+    assert back == w and head["seed"] == 7
+    for n, (old, new) in enumerate([('"seed"', '"sead"'), ("pathloom-workload-2", "other"), ('"burst_length": 1', '"burst_length": 2'), ('"query_count": 40,\n    "up', '"query_count": "40",\n    "up'), (w.family, "unheard-of")]):
+        assert old in text
+        workloads.write_description(spark, text.replace(old, new), str(tmp_path / f"bad{n}"))
+        with pytest.raises(ValueError):
+            workloads.read_descriptions(spark, str(tmp_path / f"bad{n}"))
+
+
+def test_whole_logs_are_classified_as_of_each_update(spark):
+    r = random.Random(7)
+    rows = [(r.randrange(12), r.randrange(12), r.randrange(1, 9)) for _ in range(40)]
+    weights, log = [w for *_, w in rows], []
+    for i in range(60):
+        e, w = r.randrange(40), r.randrange(1, 9)
+        log.append((i, "UPDATE", None, None, e, weights[e], w))
+        weights[e] = w
+    g, t = dimacs.from_rows(spark, 12, rows), spark.createDataFrame(log, traces.TRACE_SCHEMA)
+    src = spark.createDataFrame([(0,), (5,)], "source long")
+    got = {(x.op_seq, x.source): x.outcome for x in repair.classify_log(g, t, src).collect()}
+    now, want = [list(x) for x in rows], {}
+    for i, _, _, _, e, _, w in log:
+        for s in (0, 5):
+            dist, par = plain([tuple(x) for x in now], s)
+            u, v, old = now[e]
+            du, dv = dist.get(u, INF), dist.get(v, INF)
+            tight = du < INF and du + old == dv
+            want[i, s] = "unchanged" if w == old else ("filtered" if du >= INF or du + w >= dv else "repair_decrease") if w < old else "filtered" if not tight else "repair_increase" if v != s and par[v][0] == e else "rebuild"
+        now[e][2] = w
+    assert got == want
