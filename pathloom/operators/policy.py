@@ -176,8 +176,8 @@ def eviction_plan(scored: DataFrame, each: int, budget: int, need: int) -> DataF
     go = max(0, min(count, -((budget - need - count * each) // each)))
     if go in (0, count):
         return scored.select("source", "score", F.lit(int(go > 0)).cast("long").alias("victim"))
-    ranked = global_rank(scored, ["score", "source"], F.floor(F.col("score") * 1024), "_rank")
-    return ranked.select("source", "score", (F.col("_rank") < go).cast("long").alias("victim"))
+    ranked = range_sum(scored, [F.asc("score"), F.asc("source")], F.lit(1), "_place")
+    return ranked.select("source", "score", (F.col("_place") <= go).cast("long").alias("victim"))
 
 
 def eviction_by_bytes(residents: DataFrame, budget: int, need: int, cap: int | None = None) -> DataFrame:

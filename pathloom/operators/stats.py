@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathloom.functions.scalar import phase_class, ratio
+from pathloom.functions.tables import range_sum
 
 #: Two-sided 95 % quantile of Student's t with two degrees of freedom; other sample sizes take the normal one.
 T_THREE, Z = 4.302652729911275, 1.96
@@ -20,28 +21,23 @@ def rounded_index(p: float) -> Column:
     return F.bround((F.col("n") - 1) * p) + 1
 
 
-def values_at(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], buckets: int = 1024) -> DataFrame:
+def values_at(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], bits: int = 16) -> DataFrame:
     """(keys, n, one value a rank) of each group's non-null values in ascending order; a rank is a column of n, from 1.
 
-    A group's values fall into equal parts of its range; counts tell the part a rank lies in, and only those parts' values
-    are numbered, a part apart from the others.  So no group is collected or sorted whole.  Null keys are groups; a group
+    Equal values of a group become one row with their number.  These are summed in the order of group and value, range by
+    range of what Spark samples, so every value knows its places among all; a wanted rank is such a place, and meets the value that holds it in
+    a bin of 2^bits places.  So no group is collected or sorted whole, however its values are spread.  Null keys are groups; a group
     of nulls only is absent.
     """
-    r = rows.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("k"), F.col(value).alias("x"))
-    ends = r.groupBy("k").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"))
-    wanted = ends.select(F.col("k").alias("k2"), "low", "high", "n", F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]).alias("ranks"))
-    at = F.when(F.col("high") > F.col("low"), F.least(F.lit(buckets - 1), F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * buckets))).otherwise(0)
-    dealt = r.join(wanted, F.col("k").eqNullSafe(F.col("k2"))).select("k", "x", "n", "ranks", at.cast("int").alias("b"))
-    sizes = dealt.groupBy("k", "b").agg(F.count(F.lit(1)).alias("c"), F.first("ranks").alias("ranks"))
-    upto = F.sum("c").over(Window.partitionBy("k").orderBy("b"))
-    summed = sizes.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
-    hit = summed.select("k", "b", "before", "upto", F.explode("ranks").alias("r")).where("r.rank > before and r.rank <= upto")
-    hit = hit.select(F.col("k").alias("k3"), F.col("b").alias("b3"), "r.name", (F.col("r.rank") - F.col("before")).alias("place"))
-    near = dealt.join(hit.select("k3", "b3").distinct(), F.col("k").eqNullSafe(F.col("k3")) & (F.col("b") == F.col("b3")), "left_semi")
-    numbered = near.withColumn("no", F.row_number().over(Window.partitionBy("k", "b").orderBy("x")))
-    got = numbered.join(hit, F.col("k").eqNullSafe(F.col("k3")) & (F.col("b") == F.col("b3")) & (F.col("no") == F.col("place")))
-    one = got.groupBy("k").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in ranks])
-    return one.select("k.*", "n", *ranks)
+    r = rows.where(F.col(value).isNotNull()).groupBy(F.struct(*keys).alias("k"), F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    r = range_sum(r, [F.asc("k"), F.asc("x")], F.col("c"), "upto")
+    ends = r.groupBy("k").agg(F.sum("c").alias("n"), F.min(F.col("upto") - F.col("c")).alias("start"))
+    named = F.array(*[F.struct(F.lit(name).alias("name"), (F.col("start") + rank.cast("long")).alias("at")) for name, rank in ranks.items()])
+    wanted = ends.select(F.col("k").alias("k2"), "n", F.explode(named).alias("r")).select("k2", "n", "r.name", "r.at", F.shiftright("r.at", bits).alias("bin2"))
+    held = r.select("x", "c", "upto", F.explode(F.sequence(F.shiftright(F.col("upto") - F.col("c") + 1, bits), F.shiftright("upto", bits))).alias("bin"))
+    got = held.join(wanted, (F.col("bin") == F.col("bin2")) & (F.col("at") > F.col("upto") - F.col("c")) & (F.col("at") <= F.col("upto")))
+    one = got.groupBy("k2").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in ranks])
+    return one.select("k2.*", "n", *ranks)
 
 
 def medians(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

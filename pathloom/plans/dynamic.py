@@ -162,10 +162,10 @@ def preflight_budget(spark, d):
 RECORDS = f"""{ACC}, {LRU}, pr AS (SELECT q, sum(CASE WHEN k % 4 = 1 THEN 1 WHEN k % 4 = 0 THEN -1 ELSE 0 END) OVER (ORDER BY q) AS probation FROM (SELECT q, row_number() OVER (PARTITION BY source ORDER BY q) AS k FROM acc)),
 cd AS (SELECT a.q, count(DISTINCT b.victim) AS cooldown FROM acc a LEFT JOIN lru b ON b.victim IS NOT NULL AND b.q <= a.q AND a.q < b.q + 32 GROUP BY 1),
 rs AS (SELECT q, sum(1 - hit - CASE WHEN victim IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY q) AS residents FROM lru WHERE q > 0),
-by AS (SELECT q, residents::BIGINT AS residents, probation::BIGINT AS probation, cooldown::BIGINT AS cooldown, (residents * (8 + 44 * (SELECT max(n) FROM size) + 100) + 16 * probation + 12 * cooldown)::BIGINT AS bytes FROM rs JOIN pr USING (q) JOIN cd USING (q))"""
+acct AS (SELECT q, residents::BIGINT AS residents, probation::BIGINT AS probation, cooldown::BIGINT AS cooldown, (residents * (8 + 44 * (SELECT max(n) FROM size) + 100) + 16 * probation + 12 * cooldown)::BIGINT AS bytes FROM rs JOIN pr USING (q) JOIN cd USING (q))"""
 
 
-@register("byte_accounting_records", f"WITH RECURSIVE {RECORDS} SELECT q, residents, probation, cooldown, bytes, max(bytes) OVER (ORDER BY q) AS peak FROM by")
+@register("byte_accounting_records", f"WITH RECURSIVE {RECORDS} SELECT q, residents, probation, cooldown, bytes, max(bytes) OVER (ORDER BY q) AS peak FROM acct")
 def byte_accounting_records(spark, d):
     """Bytes of tables and of probation and cooldown records after every access of a cache of four, and their peak."""
     g, t = _log(spark, d)

@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from pathloom.functions import scalar, tables
-from pathloom.operators import history as hs, policy, repair, trace as tr
+from pathloom.operators import history as hs, policy, repair, stats, trace as tr
 from pathloom.sources import dimacs, text, traces, workloads
 
 from .test_trees import plain
@@ -213,3 +213,18 @@ def test_whole_logs_are_classified_as_of_each_update(spark):
             want[i, s] = "unchanged" if w == old else ("filtered" if du >= INF or du + w >= dv else "repair_decrease") if w < old else "filtered" if not tight else "repair_increase" if v != s and par[v][0] == e else "rebuild"
         now[e][2] = w
     assert got == want
+
+
+def test_ranks_of_heavy_tails_and_ties(spark):
+    r = random.Random(1)
+    rows = [(g, x) for g, n in (("a", 900), ("b", 1), (None, 40), ("c", 2)) for x in [r.choice([0.5, 10.0 ** r.randint(-9, 12), float(r.randrange(5))]) for _ in range(n)]] + [("d", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    ranks = {"p50": stats.nearest_rank(0.5), "p95": stats.rounded_index(0.95), "top": F.col("n")}
+    for bits in (0, 3, 16):
+        got = {x.g: (x.n, x.p50, x.p95, x.top) for x in stats.values_at(df, ["g"], "x", ranks, bits).collect()}
+        want = {}
+        for g in ("a", "b", None, "c"):
+            xs = sorted(x for h, x in rows if h == g and x is not None)
+            want[g] = (len(xs), xs[max(0, -(-len(xs) // 2) - 1)], xs[round((len(xs) - 1) * 0.95)], xs[-1])
+        assert got == want
+    assert stats.values_at(df.limit(0), ["g"], "x", ranks).collect() == []
