@@ -285,3 +285,28 @@ def lexical(docs, items, k=20):
                 found.append((-s, i is None, i if i is not None else 0))
         out.append((item, [(r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(found)[:k])]))
     return out
+
+
+def license_labels(words, templates, least=0.75, slack=8):
+    """{label: best share} of the templates whose words stand in order, each within slack places of one shift tried plainly at
+    every place, with all key phrases near."""
+    found = {}
+    for name, (text, keys) in templates.items():
+        text = text.encode().split()
+        if not set(text) & set(words):
+            continue
+        for shift in range(-slack, len(words)):
+            if len(set(text) & set(words[max(0, shift - slack) : shift + len(text) + slack])) < least * len(set(text)) / 2:
+                continue
+            near = words[max(0, shift - 8) : max(0, shift + len(text) + 8)]
+            if not all(any(near[i : i + len(k.split())] == k.encode().split() for i in range(len(near))) for k in keys):
+                continue
+            table = {}
+            for q, w in enumerate(text):
+                for at in range(shift + q - slack, shift + q + slack + 1):
+                    same = 0 <= at < len(words) and words[at] == w
+                    table[q, at] = max(table.get((q - 1, at - 1), 0) + same, table.get((q - 1, at), 0), table.get((q, at - 1), 0))
+            share = max(v for (q, _), v in table.items() if q == len(text) - 1) / len(text)
+            if share >= least:
+                found[name] = max(share, found.get(name, 0))
+    return found
