@@ -20,9 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pathloom-tables"
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one, which release() deletes."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written down on its way, once its results are stored elsewhere."""
+    delete_path(spark, own_dir(spark))
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: computed once, lineage cut, safe if executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """df written as Parquet to the shared folder and read again: computed once, lineage cut, safe if executors are lost.
+    What a loop replaces it discards; the rest stays until release()."""
+    path = f"{own_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._pathloom_path = path

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pathloom.functions.scalar import INF, sat_add
-from pathloom.functions.tables import delete_path, discard, materialise, shared_dir
+from pathloom.functions.tables import delete_path, discard, materialise, own_dir
 
 
 class LabelStore:
@@ -22,7 +22,7 @@ class LabelStore:
         self.spark: SparkSession = labels.sparkSession
         self.keys, self.by, self.prune = keys, [*keys, "v"], prune
         self.parts = parts or max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        self.root = f"{shared_dir(self.spark)}/labels-{uuid.uuid4().hex}"
+        self.root = f"{own_dir(self.spark)}/labels-{uuid.uuid4().hex}"
         self.kinds = {f.name: f.dataType.simpleString() for f in labels.schema.fields}
         self.round, self.base, self.added, self.written = -1, 0, 0, []
         self.base = self.add(labels)[1]

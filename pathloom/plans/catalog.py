@@ -292,10 +292,10 @@ def trace_replay_answers(spark, d):
 
 @register("oracle_mismatches", f"WITH {OPS} SELECT op_seq FROM optrace WHERE kind = 'QUERY' AND op_seq % 50 = 3")
 def oracle_mismatches(spark, d):
-    """Operations at which an engine's answers, each fiftieth of them spoilt, differ from the answers of fresh searches."""
+    """Operations at which the answers of two-sided searches, each fiftieth of them spoilt, differ from those of interval labels."""
     g, t = _log(spark, d)
-    seq = replay_engines(g, t, ["FULL"]).select("op_seq", (F.col("answer") + (F.col("op_seq") % 50 == 3).cast("long")).alias("answer"))
-    return tr.mismatches(seq, tr.replay(g, t).select("op_seq", "answer")).select("op_seq")
+    seq = tr.replay(g, t).select("op_seq", (F.col("answer") + (F.col("op_seq") % 50 == 3).cast("long")).alias("answer"))
+    return tr.mismatches(seq, tr.replay(g, t, kernel_edges=0).select("op_seq", "answer")).select("op_seq")
 
 
 @register("engine_profiles", f"{REPLAY}, engines AS (SELECT unnest(['B0', 'B1', 'B2', 'B3', 'B2L', 'B3L', 'COLD', 'FREQ-LRU-REBUILD', 'FREQ-LRU-REPAIR', 'WORK-LRU-REPAIR', 'WORK-DEBT-REPAIR', 'FULL', 'ECONOMIC', 'ECONOMIC-FAST']) AS engine) SELECT engine, op_seq, answer FROM answers CROSS JOIN engines")
@@ -749,9 +749,9 @@ def kernel_work_counters(spark, d):
 def _home(spark: SparkSession) -> str:
     import uuid
 
-    from pathloom.functions.tables import shared_dir
+    from pathloom.functions.tables import own_dir
 
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/files-{uuid.uuid4().hex}"
 
 
 @register("log_round_trip", f"WITH {OPS} SELECT op_seq, kind, source, target, edge_id, old_weight, new_weight FROM optrace")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathloom.functions import scalar as fn
 from pathloom.functions.tables import materialise
-from pathloom.operators import history as hs, labels as lb, policy, relax as rx, repair as rp, trace as tr, tree as tt
+from pathloom.operators import history as hs, labels as lb, policy, relax as rx, repair as rp, stats, trace as tr, tree as tt
 from pathloom.plans.catalog import ACC, FLOW, LRU, OPS, REPLAY, SCORES, TREE, VERSIONS, _acc, _dist, _home, _log, _one, _scored, _sp, register
 from pathloom.sources import views
 from pathloom.streaming import counters as ct
@@ -123,6 +123,17 @@ def hits_by_capacity(spark, d):
     return policy.hits_by_capacity(materialise(policy.stack_distances(_acc(spark, d)), "distances"))
 
 
+@register("cache_counters_reconcile", f"WITH {DISTANCE} SELECT capacity, count(*) AS queries, count(*) FILTER (distance IS NULL OR distance >= capacity) AS cold_queries, count(*) FILTER (distance < capacity) AS resident_queries FROM sd, (VALUES (2), (4), (16)) c(capacity) GROUP BY 1")
+def cache_counters_reconcile(spark, d):
+    """Counters of caches that walked the log, kept where cold and resident queries sum up to all and the stack distances agree."""
+    acc = materialise(_acc(spark, d), "accesses")
+    logs = [policy.lru(acc, c).select(F.lit(c).alias("capacity"), "hit") for c in (2, 4, 16)]
+    counted = logs[0].unionByName(logs[1]).unionByName(logs[2]).groupBy("capacity").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("hit") == 0).alias("cold_queries"), F.sum("hit").alias("resident_queries"))
+    bad = stats.reconcile(counted, ["cold_queries", "resident_queries"], "queries").select(F.col("capacity").alias("c2"))
+    told = policy.hits_by_capacity(materialise(policy.stack_distances(acc), "distances"), 16).select(F.col("capacity").alias("c3"), F.col("hits"))
+    return counted.join(bad, F.col("capacity") == F.col("c2"), "left_anti").join(told, (F.col("capacity") == F.col("c3")) & (F.col("resident_queries") == F.col("hits")), "left_semi")
+
+
 SIZED = f"light AS (SELECT * FROM flow WHERE weight <= 2), {_sp('SELECT source AS s FROM scored', 'light')}, sized AS (SELECT source, score, 8 + 44 * count(*) + 100 AS bytes FROM scored JOIN sp ON s = source GROUP BY ALL), need AS (SELECT sum(bytes) // 2 AS budget, max(bytes) AS need, sum(bytes) AS total FROM sized)"
 
 

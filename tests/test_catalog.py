@@ -18,7 +18,7 @@ SOME = [
     "measurements_round_trip", "file_sums", "sql_functions", "value_functions", "accounted_bytes",
     "zero_weight_tree_parent", "zero_weight_subtree_sizes", "tree_edge_affected_sets", "sssp_supply_delta", "batch_repair", "batch_repair_parents",
     "asof_out_weights", "trace_replay_intervals", "stack_distances", "hits_by_capacity", "eviction_by_bytes", "streamed_counters", "preflight_budget",
-    "byte_accounting_records", "probation_by_work", "strict_numbers",
+    "byte_accounting_records", "probation_by_work", "strict_numbers", "cache_counters_reconcile",
 ]
 
 

@@ -228,3 +228,13 @@ def test_ranks_of_heavy_tails_and_ties(spark):
             want[g] = (len(xs), xs[max(0, -(-len(xs) // 2) - 1)], xs[round((len(xs) - 1) * 0.95)], xs[-1])
         assert got == want
     assert stats.values_at(df.limit(0), ["g"], "x", ranks).collect() == []
+
+
+def test_written_tables_are_released(spark):
+    kept = tables.materialise(spark.range(5), "kept")
+    folder = tables.own_dir(spark)
+    assert kept.count() == 5 and spark.read.parquet(f"{folder}/kept-*").count() >= 5
+    other = tables.materialise(spark.range(3), "dropped")
+    tables.discard(other)
+    with pytest.raises(Exception, match="dropped|PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(f"{folder}/dropped-*").count()
